@@ -42,7 +42,7 @@ def _(s, d):
 @query("seeded_draw", sql(T, f"""SELECT subject, trial_idx, rep, {draws.sql_hash(42, 'rep', 'event_id')} AS hash, ({draws.sql_hash(7, 'rep', 'trial_idx')}) % 66 AS draw
   FROM trials, range(1, 6) r(rep)""", "subject, trial_idx, rep, hash, draw"))
 def _(s, d):
-    tr = fx.trials(s, d).withColumn("rep", F.explode(replicates(5)).cast("long"))
+    tr = fx.trials(s, d).withColumn("rep", F.explode(replicates(5)))
     return tr.select("subject", "trial_idx", "rep", draws.seeded_hash(42, F.col("rep"), F.col("event_id")).alias("hash"),
                      draws.seeded_draw(7, F.col("rep"), F.col("trial_idx"), 66).alias("draw"))
 

@@ -230,7 +230,7 @@ def quantiles(df, keys, x, points, growth=1, split=None):
 
 def replicates(n):
     """Replicate numbers 1..n as an array to explode."""
-    return F.sequence(F.lit(1), F.lit(int(n)))
+    return F.sequence(F.lit(1).cast("long"), F.lit(int(n)).cast("long"))
 
 
 def literal_table(spark, rows, schema):
@@ -242,7 +242,7 @@ def literal_table(spark, rows, schema):
 
 def round6(df, digits=6):
     """Round all double columns as the reports do."""
-    return df.select(*[F.round(c, digits).alias(c) if t in ("double", "float") else F.col(c) for c, t in df.dtypes])
+    return df.select(*[F.round(F.col(f"`{c}`"), digits).alias(c) if t in ("double", "float") else F.col(f"`{c}`") for c, t in df.dtypes])
 
 
 def ceil_div(a, b):
