@@ -70,12 +70,12 @@ def _(s, d):
     return A.displacement_stats(tr, ["subject", "run"], ["subject"], "fd", F.col("trial_type") == "error")
 
 
-@query("qc_status", sql(T + """, q AS (SELECT subject, avg(k) / 100 AS fd, count(*) AS dof, count(*) FILTER (trial_type = 'error') AS n_bad FROM trials GROUP BY 1)""",
+@query("qc_status", sql(T + """, q AS (SELECT subject, avg(k) / 97.3 AS fd, count(*) AS dof, count(*) FILTER (trial_type = 'error') AS n_bad FROM trials GROUP BY 1)""",
   """SELECT subject, (n_bad > 15)::INT + (fd > 0.55)::INT AS n_flags, (fd > 0.5)::INT + (dof < 60)::INT AS n_warnings, concat_ws('; ', CASE WHEN n_bad > 15 THEN n_bad || ' bad values' END, CASE WHEN fd > 0.55 THEN 'motion' END) AS flags,
   concat_ws('; ', CASE WHEN fd > 0.5 THEN 'mean displacement' END, CASE WHEN dof < 60 THEN 'low dof' END) AS warnings, CASE WHEN n_bad > 15 OR fd > 0.55 THEN 'FAIL' ELSE 'PASS' END AS status, fd FROM q""",
   "subject, n_flags, n_warnings, flags, warnings, status", "fd"))
 def _(s, d):
-    q = fx.trials(s, d).groupBy("subject").agg((F.avg("k") / 100).alias("fd"), F.count("k").alias("dof"), F.count_if(F.col("trial_type") == "error").alias("n_bad"))
+    q = fx.trials(s, d).groupBy("subject").agg((F.avg("k") / 97.3).alias("fd"), F.count("k").alias("dof"), F.count_if(F.col("trial_type") == "error").alias("n_bad"))
     return A.qc_status(q, [(F.col("n_bad") > 15, F.format_string("%d bad values", "n_bad")), (F.col("fd") > 0.55, "motion")],
                        [(F.col("fd") > 0.5, "mean displacement"), (F.col("dof") < 60, "low dof")]).drop("dof", "n_bad")
 
@@ -275,8 +275,8 @@ def _(s, d):
     return A.robust_limits(fx.features(s, d), ["band"], "power")
 
 
-@query("deviant_channels", sql(FE + """, a AS (SELECT subject, channel, stddev_samp(power) * CASE WHEN channel = 'c3' AND subject % 2 = 0 THEN 9 ELSE 1 END AS amplitude FROM features GROUP BY ALL), m AS (SELECT *, median(amplitude) OVER (PARTITION BY subject) AS m FROM a),
-  z AS (SELECT *, (amplitude - m) / (1.4826 * median(abs(amplitude - m)) OVER (PARTITION BY subject)) AS z FROM m)""", "SELECT subject, channel, z, abs(z) > 5 OR (subject = 1 AND channel = 'c7') AS flagged FROM z", "subject, channel, flagged", "z"))
+@query("deviant_channels", sql(FE + """, a AS (SELECT subject, channel, stddev_samp(power) * CASE WHEN channel = 'c3' AND subject % 2 = 0 THEN 9 ELSE 1 END AS amplitude FROM features GROUP BY subject, channel), am AS (SELECT *, median(amplitude) OVER (PARTITION BY subject) AS md FROM a),
+  z AS (SELECT *, (amplitude - md) / (1.4826 * median(abs(amplitude - md)) OVER (PARTITION BY subject)) AS z FROM am)""", "SELECT subject, channel, z, abs(z) > 5 OR (subject = 1 AND channel = 'c7') AS flagged FROM z", "subject, channel, flagged", "z"))
 def _(s, d):
     a = fx.features(s, d).groupBy("subject", "channel").agg(F.stddev_samp("power").alias("amplitude"))
     a = a.withColumn("amplitude", F.col("amplitude") * F.when((F.col("channel") == "c3") & (F.col("subject") % 2 == 0), 9).otherwise(1))
