@@ -40,7 +40,7 @@ def t_crit(df, name="tc"):
 
 
 def fz(r):
-    return f"atanh(greatest(-0.999999, least(0.999999, {r})))"
+    return f"CASE WHEN ({r}) IS NOT NULL THEN atanh(greatest(-0.999999, least(0.999999, {r}))) END"
 
 
 @query("safe_pearson", sql(T + f", c AS (SELECT subject, {sql_n('rating', 'score')} AS n, {sql_r('rating', 'score')} AS r FROM (SELECT CASE WHEN subject % 9 = 0 THEN 7.0 ELSE rating END AS rating, CASE WHEN k % 5 <> 0 THEN score END AS score, subject FROM trials) GROUP BY 1)",

@@ -49,7 +49,8 @@ def r_with_p(agg, tag="", r="r", p="p", min_n=2, keep=()):
 
 
 def clip(x, low, high):
-    return F.greatest(F.lit(float(low)), F.least(F.lit(float(high)), x))
+    """``x`` within limits; missing stays missing (``least`` and ``greatest`` alone would skip it)."""
+    return F.when(x.isNotNull(), F.greatest(F.lit(float(low)), F.least(F.lit(float(high)), x)))
 
 
 def fisher_z(r, limit=0.999999):

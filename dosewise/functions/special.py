@@ -2,6 +2,7 @@
 
 import math
 from functools import lru_cache
+from statistics import NormalDist
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -9,23 +10,30 @@ from pyspark.sql import functions as F
 T_EXACT_DF = 1000  # above this the t distribution is taken to the normal one
 
 
+def let(fn, **values):
+    """``fn`` of named values that are evaluated once, so that long formulas do not repeat their inputs."""
+    row = F.struct(*[v.alias(k) for k, v in values.items()])
+    return F.get(F.transform(F.array(row), lambda s: fn(**{k: s[k] for k in values})), F.lit(0))
+
+
 def erfc(z):
     """Complementary error function for z >= 0; Chebyshev fit, relative error below 1.2e-7."""
     # Coefficients of the published fit, highest power first.
     coef = [0.17087277, -0.82215223, 1.48851587, -1.13520398, 0.27886807,
             -0.18628806, 0.09678418, 0.37409196, 1.00002368, -1.26551223]
-    t = 1.0 / (1.0 + 0.5 * z)
-    poly = F.lit(coef[0])
-    for c in coef[1:]:
-        poly = poly * t + F.lit(c)
-    return t * F.exp(-z * z + poly)
+    def fit(z, t):
+        poly = F.lit(coef[0])
+        for c in coef[1:]:
+            poly = poly * t + F.lit(c)
+        return t * F.exp(-z * z + poly)
+
+    return let(fit, z=z, t=1.0 / (1.0 + 0.5 * z))
 
 
 def normal_sf(z):
     """P(Z > z)."""
-    a = F.abs(z) / math.sqrt(2.0)
-    tail = 0.5 * erfc(a)
-    return F.when(z >= 0, tail).otherwise(1.0 - tail)
+    tail = 0.5 * erfc(F.abs(z) / math.sqrt(2.0))
+    return let(lambda z, tail: F.when(z >= 0, tail).otherwise(1.0 - tail), z=z, tail=tail)
 
 
 def normal_cdf(z):
@@ -51,16 +59,18 @@ def normal_quantile(p):
             out = out * x + F.lit(k)
         return out
 
-    q = p - 0.5
-    centre = horner(a, q * q) * q / horner(b, q * q)
-    ql = F.sqrt(-2.0 * F.ln(p))
-    qu = F.sqrt(-2.0 * F.ln(1.0 - p))
-    return (
-        F.when((p <= 0) | (p >= 1), F.lit(None).cast("double"))
-        .when(p < low, horner(c, ql) / horner(d, ql))
-        .when(p > 1 - low, -horner(c, qu) / horner(d, qu))
-        .otherwise(centre)
-    )
+    def tail(u):
+        return let(lambda x: horner(c, x) / horner(d, x), x=F.sqrt(-2.0 * F.ln(u)))
+
+    def pick(p, q, qq):
+        return (
+            F.when((p <= 0) | (p >= 1), F.lit(None).cast("double"))
+            .when(p < low, tail(p))
+            .when(p > 1 - low, -tail(1.0 - p))
+            .otherwise(horner(a, qq) * q / horner(b, qq))
+        )
+
+    return let(pick, p=p, q=p - 0.5, qq=(p - 0.5) * (p - 0.5))
 
 
 def t_two_sided(t, df):
@@ -69,50 +79,49 @@ def t_two_sided(t, df):
     The finite trigonometric series: even df sum odd/even factor products times sin,
     odd df start from the angle itself.  Each term comes from the one before.
     """
-    t = t.cast("double")
-    nu = df.cast("double")
-    theta = F.atan(F.abs(t) / F.sqrt(nu))
-    cos2 = nu / (nu + t * t)
-    sin = F.sqrt(t * t / (nu + t * t))
-    even = (df.cast("long") % 2) == 0
+    return let(_t_series, t=t.cast("double"), nu=df.cast("double"), even=(df.cast("long") % 2) == 0)
+
+
+def _t_series(t, nu, even):
     steps = F.floor(F.when(even, nu / 2 - 1).otherwise((nu - 1) / 2 - 1)).cast("int")
     start = F.struct(F.lit(1.0).alias("term"), F.lit(1.0).alias("total"))
 
     def add(acc, k):
-        kk = k.cast("double")
-        ratio = F.when(even, (2 * kk - 1) / (2 * kk)).otherwise(2 * kk / (2 * kk + 1))
-        term = acc["term"] * ratio * cos2
+        ratio = F.when(even, (2 * k - 1) / (2 * k)).otherwise(2 * k / (2 * k + 1))
+        term = acc["term"] * ratio * (nu / (nu + t * t))
         return F.struct(term.alias("term"), (acc["total"] + term).alias("total"))
 
-    ks = F.when(steps >= 1, F.sequence(F.lit(1), steps)).otherwise(F.array().cast("array<int>"))
-    series = F.aggregate(ks, start, add, lambda acc: acc["total"])
-    inside = (
-        F.when(nu == 1, 2 * theta / math.pi)
-        .when(even, sin * series)
-        .otherwise(2 / math.pi * (theta + sin * F.sqrt(cos2) * series))
-    )
+    def close(theta, sin, cos, series):
+        inside = F.when(nu == 1, 2 * theta / math.pi).when(even, sin * series).otherwise(2 / math.pi * (theta + sin * cos * series))
+        return F.greatest(F.lit(0.0), 1 - inside)
+
+    ks = F.when((steps >= 1) & (nu <= T_EXACT_DF), F.sequence(F.lit(1), steps)).otherwise(F.array().cast("array<int>"))
+    exact = let(close, theta=F.atan(F.abs(t) / F.sqrt(nu)), sin=F.sqrt(t * t / (nu + t * t)), cos=F.sqrt(nu / (nu + t * t)),
+                series=F.aggregate(ks, start, add, lambda acc: acc["total"]))
     z = F.abs(t) * (1 - 1 / (4 * nu)) / F.sqrt(1 + t * t / (2 * nu))
     return (
         F.when(t.isNull() | nu.isNull() | (nu < 1), F.lit(None).cast("double"))
         .when(nu > T_EXACT_DF, 2 * normal_sf(z))
-        .otherwise(F.greatest(F.lit(0.0), 1 - inside))
+        .otherwise(exact)
     )
 
 
 def t_greater(t, df):
     """One-sided p for the alternative that the mean is above the null value."""
-    half = t_two_sided(t, df) / 2
-    return F.when(t >= 0, half).otherwise(1 - half)
+    return let(lambda t, half: F.when(t >= 0, half).otherwise(1 - half), t=t, half=t_two_sided(t, df) / 2)
 
 
 def r_p_value(r, n):
     """Two-sided p of a correlation of n pairs (t with n - 2 degrees of freedom)."""
-    t = r * F.sqrt((n - 2) / F.greatest(1 - r * r, F.lit(1e-300)))
-    return (
-        F.when(r.isNull() | (n < 3), F.lit(None).cast("double"))
-        .when(F.abs(r) >= 1, F.lit(0.0))
-        .otherwise(t_two_sided(t, n - 2))
-    )
+    def close(r, n):
+        t = r * F.sqrt((n - 2) / F.greatest(1 - r * r, F.lit(1e-300)))
+        return (
+            F.when(r.isNull() | (n < 3), F.lit(None).cast("double"))
+            .when(F.abs(r) >= 1, F.lit(0.0))
+            .otherwise(t_two_sided(t, n - 2))
+        )
+
+    return let(close, r=r, n=n)
 
 
 def _t_two_sided_np(t, nu):
@@ -152,8 +161,8 @@ def t_quantile(df, prob):
     """Quantile ``prob`` (above 0.5) of Student t for a column of whole-number df."""
     table = F.array(*[F.lit(float(v)) for v in _t_table(float(prob))])
     nu = df.cast("double")
-    z = normal_quantile(F.lit(float(prob)))
-    z3, z5 = z * z * z, z * z * z * z * z
+    z = NormalDist().inv_cdf(float(prob))
+    z3, z5 = z**3, z**5
     far = z + (z3 + z) / (4 * nu) + (5 * z5 + 16 * z3 + 3 * z) / (96 * nu * nu)
     return (
         F.when(df.isNull() | (df < 1), F.lit(None).cast("double"))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.moments import pair_aggs, r_with_p
 from ..functions.scalars import joined, logratio_to_percent
-from ..plans.shapes import join_keys, ordered_scan, quantiles, with_midrank, with_totals
+from ..plans.shapes import join_keys, ordered_scan, quantiles, with_midrank, with_row, with_totals
 
 TINY = 1e-20
 
@@ -236,7 +236,7 @@ def condition_contrast(df, keys=("band", "channel"), value="power", pain="pain",
     """Pain against non-pain, and the highest against the lowest temperature (1 decimal)."""
     ends = df.agg(F.min(F.round(temp, 1)).alias("lo"), F.max(F.round(temp, 1)).alias("hi"))
     a = class_contrast(df, keys, F.col(pain) == 1, F.col(pain) == 0, value).withColumn("contrast", F.lit("pain"))
-    rounded = df.withColumns({"__t": F.round(temp, 1), "__lo": ends.select("lo").scalar(), "__hi": ends.select("hi").scalar()})
+    rounded = with_row(df.withColumn("__t", F.round(temp, 1)), ends.select(F.col("lo").alias("__lo"), F.col("hi").alias("__hi")))
     b = class_contrast(rounded, keys, F.col("__t") == F.col("__hi"), F.col("__t") == F.col("__lo"), value).withColumn("contrast", F.lit("temperature"))
     return a.unionByName(b)
 

@@ -5,7 +5,7 @@ import math
 from pyspark.sql import functions as F
 
 from ..functions.moments import pair_aggs, r_with_p
-from ..plans.shapes import join_keys, ordered_scan, with_index, with_midrank, with_totals
+from ..plans.shapes import join_keys, ordered_scan, with_index, with_midrank, with_row, with_totals
 
 TINY = 1e-20
 
@@ -77,8 +77,7 @@ def cousineau_morey(df, subject, condition, value):
     cells = df.groupBy(subject, condition).agg(F.avg(value).alias("v"))
     cells = with_totals(cells, [subject], {"__s": F.avg("v")})
     tot = cells.agg(F.avg("v").alias("g"), F.count_distinct(condition).alias("k"))
-    g, k = tot.select("g").scalar(), tot.select("k").scalar()
-    norm = cells.withColumns({"__g": g, "__k": k})
+    norm = with_row(cells, tot.select(F.col("g").alias("__g"), F.col("k").alias("__k")))
     scale = F.when(F.col("__k") > 1, F.sqrt(F.col("__k") / (F.col("__k") - 1))).otherwise(F.lit(1.0))
     adj = F.col("__g") + scale * (F.col("v") - F.col("__s"))
     return norm.groupBy(condition).agg(F.avg(adj).alias("mean"), (F.stddev_samp(adj) / F.sqrt(F.count(adj))).alias("sem"), F.count(adj).alias("n"))

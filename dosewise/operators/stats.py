@@ -2,11 +2,12 @@
 
 import numpy as np
 import pandas as pd
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.moments import clip, fisher_z, pair_aggs, r_of, r_with_p
 from ..functions.special import normal_quantile, r_p_value, t_greater, t_quantile, t_two_sided
-from ..plans.shapes import join_keys, ordered_scan, quantiles, with_midrank, with_totals
+from ..plans.shapes import is_large, join_keys, ordered_scan, quantiles, with_midrank, with_totals
 from .aggregate import roi_mean
 from .columns import TEMPERATURE_ALIASES, pick_first_column
 
@@ -278,6 +279,17 @@ def bh_fdr(df, keys=(), p="p", alpha=0.05, q="q", reject="reject", crit="crit_p"
     Ranks are counted over distinct p values, so ties and large tables are handled alike.
     """
     keys = list(keys)
+    split = is_large(df) if split is None else split
+    if not split:
+        # Small input: the same counts as frames of one window.
+        by = Window.partitionBy(*keys, F.col(p).isNull())
+        up = by.orderBy(p).rangeBetween(Window.unboundedPreceding, 0)
+        down = by.orderBy(F.col(p).desc()).rangeBetween(Window.unboundedPreceding, 0)
+        out = df.withColumns({"__m": F.count(p).over(by), "__k": F.count(p).over(up)})
+        out = out.withColumns({"__raw": F.when(F.col(p).isNotNull(), F.least(F.col(p) * F.col("__m") / F.col("__k"), F.lit(1.0))),
+                               "__ok": F.when(F.col(p) <= F.col("__k") / F.col("__m") * alpha, F.col(p))})
+        out = out.withColumns({q: F.min("__raw").over(down), crit: F.max("__ok").over(by)}).drop("__m", "__k", "__raw", "__ok")
+        return out.withColumn(reject, F.coalesce(F.col(p) <= F.col(crit), F.lit(False)))
     vc = df.where(F.col(p).isNotNull()).groupBy(*keys, p).agg(F.count(F.lit(1)).alias("__c"))
     vc = with_totals(vc, keys, {"__m": F.sum("__c")}, split=split)
     vc = ordered_scan(vc, keys, [p], {"__k": ("sum_to", "__c")}, split=split)

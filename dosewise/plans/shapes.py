@@ -164,6 +164,13 @@ def with_index(df, keys, order, name="idx", start=0, growth=1, split=None):
     return out.withColumn(name, F.col(name) - 1 + start)
 
 
+def with_row(df, one):
+    """Attach the columns of a one-row frame, as one scalar subquery."""
+    row = one.select(F.struct(*one.columns).alias("__row")).scalar()
+    out = df.withColumn("__row", row)
+    return out.withColumns({c: F.col("__row")[c] for c in one.columns}).drop("__row")
+
+
 def with_totals(df, keys, aggs, growth=1, split=None):
     """Attach group aggregates to the rows.
 
@@ -172,8 +179,7 @@ def with_totals(df, keys, aggs, growth=1, split=None):
     """
     keys = list(keys)
     if not keys:
-        total = df.agg(*[a.alias(k) for k, a in aggs.items()])
-        return df.withColumns({k: total.select(k).scalar() for k in aggs})
+        return with_row(df, df.agg(*[a.alias(k) for k, a in aggs.items()]))
     split = is_large(df, growth) if split is None else split
     if not split:
         w = Window.partitionBy(*keys)
