@@ -27,9 +27,10 @@ def row_resamples(df, keys, n_boot, seed, index="__i"):
     return slots.select(*keys, "rep", pick.alias(index)).groupBy(*keys, "rep", index).agg(F.count(F.lit(1)).alias("m"))
 
 
-def percentile_interval(boots, keys, value, level=0.95, growth=1):
+def percentile_interval(boots, keys, value, level=0.95):
+    """Percentile limits over replicates; a group holds one row per replicate, so its size is known."""
     tail = (1 - level) / 2
-    ci = quantiles(boots, keys, value, {"ci_low": tail, "ci_high": 1 - tail}, growth)
+    ci = quantiles(boots, keys, value, {"ci_low": tail, "ci_high": 1 - tail}, split=False)
     n = boots.groupBy(*keys).agg(F.count(value).alias("n_boot"))
     return join_keys(ci, n, list(keys)) if keys else with_row(ci, n)
 
@@ -40,15 +41,15 @@ def bootstrap_percentile(df, keys, x, y, order, n_boot=1000, seed=42, statistic=
     draws = row_resamples(rows, keys, n_boot, seed)
     boot = join_keys(draws, rows.select(*keys, "__i", x, y), [*keys, "__i"])
     if statistic == "auc":
-        stat = auc(boot, [*keys, "rep"], y, x, 1, n_boot, weight="m").select(*keys, "rep", F.col("auc").alias("stat"))
+        stat = auc(boot, [*keys, "rep"], y, x, 1, weight="m").select(*keys, "rep", F.col("auc").alias("stat"))
     else:
         # Weighted midranks: a value's rank is the rows below plus half of its own.
         for c in (x, y):
             vc = boot.groupBy(*keys, "rep", c).agg(F.sum("m").alias("__m"))
-            vc = ordered_scan(vc, [*keys, "rep"], [c], {"__b": ("sum_before", "__m")}, n_boot)
+            vc = ordered_scan(vc, [*keys, "rep"], [c], {"__b": ("sum_before", "__m")})
             boot = join_keys(boot, vc.select(*keys, "rep", c, (F.col("__b") + (F.col("__m") + 1) / 2).alias(f"__rk_{c}")), [*keys, "rep", c])
         stat = weighted_r(boot, [*keys, "rep"], f"__rk_{x}", f"__rk_{y}", "m").withColumnRenamed("r", "stat")
-    return percentile_interval(stat, keys, "stat", level, n_boot)
+    return percentile_interval(stat, keys, "stat", level)
 
 
 def weighted_r(df, keys, x, y, weight):
@@ -105,7 +106,7 @@ def cluster_bootstrap(sums, subject, statistic, keys=(), n_boot=1000, seed=42, l
     if samples:
         return boots
     point = sums.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in cols]).select(*keys, close.alias("estimate"))
-    ci = percentile_interval(boots, keys, "stat", level, n_boot)
+    ci = percentile_interval(boots, keys, "stat", level)
     if keys:
         return join_keys(point, ci, list(keys))
     return with_row(point, ci)
@@ -168,7 +169,7 @@ def permuted(df, keys, value, order, n_perm, seed):
     idx = with_index(df.select(*keys, *order, value), keys, list(order), "__k")
     shuffled = with_replicates(idx.select(*keys, "__k", value), n_perm)
     shuffled = shuffled.withColumn("__h", seeded_hash(seed, F.col("rep"), F.col("__k")))
-    shuffled = with_index(shuffled.drop("__k").withColumn("__v", F.col(value)), [*keys, "rep"], ["__h", "__v"], "__k", growth=n_perm)
+    shuffled = with_index(shuffled.drop("__k").withColumn("__v", F.col(value)), [*keys, "rep"], ["__h", "__v"], "__k")
     return shuffled.select(*keys, "rep", "__k", value)
 
 

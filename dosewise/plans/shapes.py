@@ -23,13 +23,16 @@ SLICE_SIDE = 64  # a hot group gets up to SLICE_SIDE ** 2 slices
 
 
 def source_bytes(df):
-    """Bytes of the tables the plan reads, as Catalyst knows them before running anything."""
+    """Bytes of the largest table the plan reads, as Catalyst knows them before running anything.
+
+    The operators join on keys of one side, so a group holds no more rows than that table.
+    """
     leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
-    return sum(int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size()))
+    return max([int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size())], default=0)
 
 
 def is_large(df, growth=1):
-    """True when the input, grown ``growth`` times (replicates, exploded cells), needs the split plan."""
+    """True when the input needs the split plan; ``growth`` is how many times an operator copies a row within one group."""
     limit = int(df.sparkSession.conf.get("spark.dosewise.splitBytes", str(SPLIT_BYTES)))
     return source_bytes(df) * growth > limit
 
