@@ -2,10 +2,9 @@
 
 import math
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import functions as F
 
+from ..functions.solvers import inverse
 from ..plans.shapes import join_keys, quantiles, with_index, with_totals
 from ..session import stored
 
@@ -59,15 +58,6 @@ def with_drift(design, keys, n_cosines, order="volume"):
     return d.withColumns({"intercept": F.lit(1.0), **cos}).drop("__i", "__n")
 
 
-@F.pandas_udf("array<double>")
-def _inverse(xtx: pd.Series) -> pd.Series:
-    out = []
-    for flat in xtx:
-        k = int(round(len(flat) ** 0.5))
-        out.append(np.linalg.pinv(np.asarray(flat, float).reshape(k, k)).ravel().tolist())
-    return pd.Series(out)
-
-
 def _cell_sums(design, data, keys, cell, regressors, row, value):
     """Sums over volumes: of the design per run, and of design x value per (run, cell); no row is copied."""
     x = [F.col(r) for r in regressors]
@@ -88,7 +78,7 @@ def glm_fit(design, data, keys, cell, regressors, row="volume", value="value"):
     k = len(regressors)
     des, cells = _cell_sums(design, data, keys, cell, regressors, row, value)
     flat = F.array(*[F.col(f"__x{min(i, j)}_{max(i, j)}") for i in range(k) for j in range(k)])
-    inv = des.select(*keys, "n", _inverse(flat).alias("__inv"))
+    inv = des.select(*keys, "n", F.pandas_udf(inverse, "array<double>")(flat).alias("__inv"))
     c = join_keys(cells.select(*keys, *cell, "__sy", "__syy", F.array(*[F.col(f"__y{i}") for i in range(k)]).alias("__xty")), inv, list(keys))
     dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda p, q: p * q), F.lit(0.0), lambda acc, v: acc + v)
     c = c.withColumn("betas", F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda j: dot(F.slice("__inv", j * k + 1, F.lit(k)), F.col("__xty"))))

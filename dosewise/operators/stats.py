@@ -1,11 +1,10 @@
 """Correlations, tests, corrections and agreement measures over groups."""
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.moments import clip, fisher_z, pair_aggs, r_of, r_with_p
+from ..functions.solvers import partial_from_cov, slopes_from_cov
 from ..functions.special import normal_quantile, r_p_value, t_greater, t_quantile, t_two_sided
 from ..plans.shapes import is_large, join_keys, ordered_scan, quantiles, with_midrank, with_totals
 from .aggregate import roi_mean
@@ -61,31 +60,6 @@ def kendall_tau(df, fold, feature, value, split=None):
     return out.unionByName(out.select(F.col("fold_b").alias("fold_a"), F.col("fold_a").alias("fold_b"), "n", "tau"))
 
 
-@F.pandas_udf("double")
-def _partial_from_cov(cov: pd.Series) -> pd.Series:
-    """Partial correlation of the first two variables given the others, from a flattened covariance matrix."""
-    out = []
-    for flat in cov:
-        m = int(round(len(flat) ** 0.5))
-        c = np.asarray(flat, float).reshape(m, m)
-        if not np.isfinite(c).all():
-            out.append(None)
-            continue
-        sd = np.sqrt(np.diag(c))
-        if (sd <= 0).any():
-            out.append(None)
-            continue
-        c = c / np.outer(sd, sd)
-        z = c[2:, 2:]
-        if np.linalg.cond(z) > 1e8:
-            out.append(None)
-            continue
-        s = c[:2, :2] - c[:2, 2:] @ np.linalg.solve(z, c[2:, :2])
-        ok = s[0, 0] > 1e-12 and s[1, 1] > 1e-12
-        out.append(float(np.clip(s[0, 1] / np.sqrt(s[0, 0] * s[1, 1]), -1, 1)) if ok else None)
-    return pd.Series(out, dtype="float64")
-
-
 def _first_order(rxy, rxz, ryz):
     den = (1 - rxz * rxz) * (1 - ryz * ryz)
     return F.when((1 - rxz * rxz > 1e-12) & (1 - ryz * ryz > 1e-12), (rxy - rxz * ryz) / F.sqrt(den))
@@ -118,22 +92,13 @@ def partial_correlation(df, keys, x, y, covariates, method="pearson", min_n=5, r
         value = _first_order(F.col("__xy"), F.col("__xz"), F.col("__yz"))
     else:
         m = len(names)
-        value = _partial_from_cov(F.array(*[F.coalesce(c(i, j), F.lit(float("nan"))) for i in range(m) for j in range(m)]))
+        value = F.pandas_udf(partial_from_cov, "double")(F.array(*[F.coalesce(c(i, j), F.lit(float("nan"))) for i in range(m) for j in range(m)]))
     valid = (F.col(n) >= max(min_n, len(zs) + 2)) & (F.col("__ylo") < F.col("__yhi"))
     g = g.withColumn("__v", value)
     out = g.withColumn(r, F.when(valid & ~F.isnan("__v"), clip(F.col("__v"), -1, 1)))
     return out.withColumn(p, r_p_value(F.col(r), F.col(n))).select(*keys, r, p, n)
 
 
-@F.pandas_udf("array<double>")
-def _slopes_from_cov(zz: pd.Series, zx: pd.Series) -> pd.Series:
-    out = []
-    for a, b in zip(zz, zx):
-        k = len(b)
-        out.append(np.linalg.lstsq(np.asarray(a, float).reshape(k, k), np.asarray(b, float), rcond=1e-10)[0].tolist())
-    return pd.Series(out)
-
-
 def partial_residuals(df, keys, x, y, covariates):
     """Row residuals of x and y after a fit on the covariates; the coefficients come from group moments."""
     zs = list(covariates)
@@ -146,7 +111,7 @@ def partial_residuals(df, keys, x, y, covariates):
         for v in (x, y):
             g = g.withColumn(f"__b_{v}", F.array(F.try_divide(F.col(f"__z_{v}")[0], F.col("__zz")[0])))
     else:
-        g = g.withColumns({f"__b_{v}": _slopes_from_cov("__zz", f"__z_{v}") for v in (x, y)})
+        g = g.withColumns({f"__b_{v}": F.pandas_udf(slopes_from_cov, "array<double>")("__zz", f"__z_{v}") for v in (x, y)})
     g = g.select(*keys, *[f"__m_{v}" for v in (x, y, *zs)], *[f"__b_{v}" for v in (x, y)])
     out = join_keys(ok, g, list(keys))
     new = {}
