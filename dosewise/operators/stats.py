@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from ..functions.moments import clip, fisher_z, pair_aggs, r_of, r_with_p
 from ..functions.solvers import partial_from_cov, slopes_from_cov
 from ..functions.special import normal_quantile, r_p_value, t_greater, t_quantile, t_two_sided
-from ..plans.shapes import is_large, join_keys, ordered_scan, quantiles, with_midrank, with_totals
+from ..plans.shapes import is_large, join_keys, once, ordered_scan, quantiles, with_midrank, with_totals
 from .aggregate import roi_mean
 from .columns import TEMPERATURE_ALIASES, pick_first_column
 
@@ -255,6 +255,7 @@ def bh_fdr(df, keys=(), p="p", alpha=0.05, q="q", reject="reject", crit="crit_p"
                                "__ok": F.when(F.col(p) <= F.col("__k") / F.col("__m") * alpha, F.col(p))})
         out = out.withColumns({q: F.min("__raw").over(down), crit: F.max("__ok").over(by)}).drop("__m", "__k", "__raw", "__ok")
         return out.withColumn(reject, F.coalesce(F.col(p) <= F.col(crit), F.lit(False)))
+    df = once(df)
     vc = df.where(F.col(p).isNotNull()).groupBy(*keys, p).agg(F.count(F.lit(1)).alias("__c"))
     vc = with_totals(vc, keys, {"__m": F.sum("__c")}, split=split)
     vc = ordered_scan(vc, keys, [p], {"__k": ("sum_to", "__c")}, split=split)

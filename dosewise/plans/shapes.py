@@ -12,11 +12,14 @@ table.  Each shape here therefore has two plans with the same result:
 """
 
 import math
+import re
 from functools import reduce
 
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..session import stored
+
 SPLIT_BYTES = 256 * 1024 * 1024
 GROUP_ROWS = 4_000_000
 SLICE_SIDE = 64  # a hot group gets up to SLICE_SIDE ** 2 slices
@@ -37,6 +40,17 @@ def is_large(df, growth=1):
     return source_bytes(df) * growth > limit
 
 
+def once(df):
+    """``df``, written to the shared folder first if computing it takes more than a scan.
+
+    The split plans read their input several times; without this, nested ones would
+    repeat all work below them.
+    """
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    costly = re.search(r"Join|Aggregate|Window|Sort|Generate|Repartition|InPandas|MapInArrow|LogicalRDD|Union", plan)
+    return stored(df, "split") if costly else df
+
+
 def _hot_rows(df):
     return int(df.sparkSession.conf.get("spark.dosewise.groupRows", str(GROUP_ROWS)))
 
@@ -94,7 +108,7 @@ def ordered_scan(df, keys, order, outs, growth=1, split=None):
         df, keys = df.withColumn("__all", F.lit(0)), ["__all"]
     part = list(keys)
     if split:
-        df = _with_slices(df, keys, order[0])
+        df = _with_slices(once(df), keys, order[0])
         part = keys + ["__slice"]
     fwd = Window.partitionBy(*part).orderBy(*order)
     back = Window.partitionBy(*part).orderBy(*[o.desc() for o in order])
@@ -187,6 +201,7 @@ def with_totals(df, keys, aggs, growth=1, split=None):
     if not split:
         w = Window.partitionBy(*keys)
         return df.withColumns({k: a.over(w) for k, a in aggs.items()})
+    df = once(df)
     return join_keys(df, df.groupBy(*keys).agg(*[a.alias(k) for k, a in aggs.items()]), keys, "left")
 
 
@@ -197,6 +212,7 @@ def with_midrank(df, keys, cols, growth=1, split=None):
     """
     keys = list(keys)
     split = is_large(df, growth) if split is None else split
+    df = once(df) if split else df
     for x, out in cols.items():
         if not split and keys:
             tie = Window.partitionBy(*keys, x)
@@ -208,6 +224,7 @@ def with_midrank(df, keys, cols, growth=1, split=None):
             vc = ordered_scan(vc, keys, [x], {"__b": ("sum_before", "__n")}, growth, split)
             vc = vc.select(*keys, x, (F.col("__b") + (F.col("__n") + 1) / 2.0).alias(out))
             df = join_keys(df, vc, keys + [x], "left")
+            df = once(df) if split else df
     return df
 
 
@@ -218,6 +235,8 @@ def quantiles(df, keys, x, points, growth=1, split=None):
     split = is_large(df, growth) if split is None else split
     if not split:
         return df.groupBy(*keys).agg(*[F.percentile(x, float(q)).alias(k) for k, q in points.items()])
+    df = once(df.select(*keys, x.alias("__q")))
+    x = F.col("__q")
     groups = df.select(*keys).distinct() if keys else None
     rows = df.select(*keys, x.cast("double").alias("__x")).where(F.col("__x").isNotNull())
     vc = rows.groupBy(*keys, "__x").agg(F.count(F.lit(1)).alias("__n"))
