@@ -206,7 +206,7 @@ def permutation_within_group(df, keys, group, x, y, order, n_perm=1000, seed=42)
     return permutation_test(df, keys, x, y, order, n_perm, seed, list(group))
 
 
-def mixed_random_intercept(df, subject, x, y, keys=(), lo=-6.0, hi=6.0, steps=61, rounds=3):
+def mixed_random_intercept(df, subject, x, y, keys=(), lo=-12.0, hi=8.0, steps=81, rounds=3):
     """y on x with a random intercept per subject, by restricted likelihood.
 
     Subjects give six sums; the likelihood is profiled over the log variance ratio on a
