@@ -102,12 +102,32 @@ def _(s, d):
     return M.final_refit(df, "x", "y_true", n_folds=N_FOLDS, medians=medians(df))
 
 
-@query("permutation_r2")
+def pooled_ctes(src, keys, by="subject"):
+    """Oracle tables of group-out lines scored on sums: src has keys, the group, x and y."""
+    ks = f"{keys}, " if keys else ""
+    return (f"gs AS (SELECT {ks}{by}, count(*) AS n, sum(x) AS sx, sum(y) AS sy, sum(x * x) AS sxx, sum(y * y) AS syy, sum(x * y) AS sxy FROM {src} GROUP BY ALL),"
+            f"tr AS (SELECT *, sum(n) OVER w - n AS tn, sum(sx) OVER w - sx AS tx, sum(sy) OVER w - sy AS ty, sum(sxx) OVER w - sxx AS txx, sum(sxy) OVER w - sxy AS txy FROM gs WINDOW w AS (PARTITION BY {keys})),"
+            f"ln AS (SELECT *, (txy - tx * ty / tn) / (txx - tx * tx / tn) AS b FROM tr), la AS (SELECT *, ty / tn - b * tx / tn AS a FROM ln),"
+            f"sc AS (SELECT {ks}sum(n) AS nn, sum(sy) AS yy, sum(syy) AS y2, sum(a * n + b * sx) AS p1, sum(a * a * n + 2 * a * b * sx + b * b * sxx) AS p2, sum(a * sy + b * sxy) AS py FROM la GROUP BY ALL),"
+            f"po AS (SELECT {ks}(py - p1 * yy / nn) / sqrt((y2 - yy * yy / nn) * (p2 - p1 * p1 / nn)) AS r, 1 - (y2 - 2 * py + p2) / (y2 - yy * yy / nn) AS r2 FROM sc)")
+
+
+SHUFFLED = (T + ", b0 AS (SELECT subject, temp AS x, score AS y, row_number() OVER (ORDER BY subject, trial_idx) - 1 AS pos FROM trials),"
+            f"sh AS (SELECT rep, row_number() OVER (PARTITION BY rep ORDER BY {sql_hash(42, 'rep', 'pos')}, y) - 1 AS pos, y FROM b0, range(1, 100) r(rep) UNION ALL SELECT 0, pos, y FROM b0),"
+            "sx0 AS (SELECT rep, subject, x, sh.y FROM sh JOIN b0 USING (pos)),")
+MODELS = (T + ", b0 AS (SELECT subject, trial_idx AS pos, temp, rating, trial_idx, score AS y FROM trials),"
+          f"sh AS (SELECT rep, subject, row_number() OVER (PARTITION BY subject, rep ORDER BY {sql_hash(42, 'rep', 'pos')}, y) - 1 AS pos, y FROM b0, range(1, 100) r(rep) UNION ALL SELECT 0, subject, pos, y FROM b0),"
+          "sx0 AS (SELECT rep, subject, sh.y, unnest(['temp', 'rating', 'trial_idx']) AS model, unnest([temp, rating, trial_idx]::DOUBLE[]) AS x FROM sh JOIN b0 USING (subject, pos)),")
+
+
+@query("permutation_r2", sql(SHUFFLED + pooled_ctes("sx0", "rep"), """SELECT o.r2 AS r2_obs, count(n.r2) AS n_perm, (1 + count(*) FILTER (n.r2 >= o.r2)) / (count(n.r2) + 1) AS p, quantile_cont(n.r2, 0.05) AS null_q05, quantile_cont(n.r2, 0.5) AS null_q50, quantile_cont(n.r2, 0.95) AS null_q95
+  FROM po n JOIN po o ON o.rep = 0 AND n.rep > 0 GROUP BY 1""", "n_perm", "r2_obs p null_q05 null_q50 null_q95"))
 def _(s, d):
     return M.permutation_r2(fx.trials(s, d), "subject", "temp", "score", ["subject", "trial_idx"], 99)
 
 
-@query("max_stat_permutation")
+@query("max_stat_permutation", sql(MODELS + pooled_ctes("sx0", "rep, model") + ", mx AS (SELECT rep, max(abs(r)) AS t2, max(r) AS t1 FROM po WHERE rep > 0 GROUP BY 1)",
+                                   "SELECT model, r AS r_obs, (SELECT count(*) FROM mx) AS n_perm, (SELECT (1 + count(*) FILTER (t2 >= abs(po.r))) / (count(*) + 1) FROM mx) AS p_two_sided, (SELECT (1 + count(*) FILTER (t1 >= po.r)) / (count(*) + 1) FROM mx) AS p_greater FROM po WHERE rep = 0", "model, n_perm", "r_obs p_two_sided p_greater"))
 def _(s, d):
     return M.max_stat_permutation(fx.trials(s, d), "subject", ["temp", "rating", "trial_idx"], "score", ["trial_idx"], 99)
 
