@@ -7,7 +7,7 @@ from ..functions.draws import sql_hash
 from ..operators import resample as R
 from ..operators import stats as H
 from .h_stats import bh_ctes, t_crit
-from .registry import query, sql, sql_midrank, sql_n, sql_r
+from .registry import query, sql, sql_midrank, sql_n, sql_normal_sf, sql_r
 
 T, FE, SI, CE = fx.SQL_TRIALS, fx.SQL_FEATURES, fx.SQL_SIGNALS, fx.SQL_CELLS
 PERM, BOOT = 99, 100
@@ -73,7 +73,20 @@ def _(s, d):
     return R.permutation_within_group(fx.trials(s, d), [], ["subject"], "temp", "score", ["trial_idx"], PERM)
 
 
-@query("mixed_random_intercept")
+def profile_round(i, centre, width, steps=81):
+    """Oracle tables of one round of the likelihood search: m{i} is the best point."""
+    return (f"g{i} AS (SELECT s.*, {centre} + {-width!r} + {2 * width!r} * j / {steps - 1} AS u FROM s, range(0, {steps}) r(j)), w{i} AS (SELECT *, exp(u) AS l, exp(u) / (1 + exp(u) * n) AS w FROM g{i}),"
+            f"a{i} AS (SELECT u, sum(n) AS nn, sum(n - w * n * n) AS a11, sum(sx - w * n * sx) AS a12, sum(sxx - w * sx * sx) AS a22, sum(sy - w * n * sy) AS b1, sum(sxy - w * sx * sy) AS b2, sum(syy - w * sy * sy) AS c, sum(ln(1 + l * n)) AS ld FROM w{i} GROUP BY u),"
+            f"d{i} AS (SELECT *, a11 * a22 - a12 * a12 AS det FROM a{i}), e{i} AS (SELECT *, (a11 * b2 - a12 * b1) / det AS beta, (a22 * b1 - a12 * b2) / det AS alpha FROM d{i}),"
+            f"f{i} AS (SELECT *, (c - alpha * b1 - beta * b2) / (nn - 2) AS s2 FROM e{i}), m{i} AS (SELECT * FROM f{i} ORDER BY -0.5 * ((nn - 2) * ln(s2) + ld + ln(det)) DESC LIMIT 1)")
+
+
+MIXED = (T + ", s AS (SELECT subject, count(*)::DOUBLE AS n, sum(temp) AS sx, sum(score) AS sy, sum(temp * temp) AS sxx, sum(score * score) AS syy, sum(temp * score) AS sxy FROM trials GROUP BY 1),"
+         + profile_round(1, "-2.0::DOUBLE", 10.0) + "," + profile_round(2, "(SELECT u FROM m1)", 0.25) + "," + profile_round(3, "(SELECT u FROM m2)", 0.00625))
+
+
+@query("mixed_random_intercept", sql(MIXED + ", z AS (SELECT *, sqrt(s2 * a11 / det) AS se, beta / sqrt(s2 * a11 / det) AS z FROM m3)",
+                                     f"SELECT beta, alpha AS intercept, se, z, 2 * {sql_normal_sf('abs(z)')} AS p, exp(u) * s2 AS var_subject, s2 AS var_residual, u > -12 AND u < 8 AS converged FROM z", "converged", "beta intercept se z p var_subject var_residual"))
 def _(s, d):
     return R.mixed_random_intercept(fx.trials(s, d), "subject", "temp", "score")
 
