@@ -124,42 +124,37 @@ def r_p_value(r, n):
     return let(close, r=r, n=n)
 
 
-def _t_two_sided_np(t, nu):
-    cos2 = nu / (nu + t * t)
-    sin = np.sqrt(1 - cos2)
-    theta = np.arctan(t / np.sqrt(nu))
-    if nu == 1:
-        return 1 - 2 * theta / np.pi
+def _t_two_sided_all(t):
+    """Two-sided p of ``t[i]`` at i + 1 degrees of freedom, the same series for all df at once."""
+    nu = np.arange(1, len(t) + 1, dtype=float)
     even = nu % 2 == 0
-    m = nu // 2 - 1 if even else (nu - 1) // 2 - 1
-    k = np.arange(1, m + 1, dtype=float)
-    ratio = (2 * k - 1) / (2 * k) if even else 2 * k / (2 * k + 1)
-    total = 1 + np.cumprod(ratio * cos2).sum()
-    return 1 - (sin * total if even else 2 / np.pi * (theta + sin * np.sqrt(cos2) * total))
+    last = np.where(even, nu / 2 - 1, (nu - 1) / 2 - 1)
+    cos2 = nu / (nu + t * t)
+    sin, cos, theta = np.sqrt(1 - cos2), np.sqrt(cos2), np.arctan(t / np.sqrt(nu))
+    term, total = np.ones_like(nu), np.ones_like(nu)
+    for k in range(1, int(last.max()) + 1):
+        term = term * np.where(even, (2 * k - 1) / (2 * k), 2 * k / (2 * k + 1)) * cos2
+        total = total + np.where(k <= last, term, 0.0)
+    odd = 2 / np.pi * (theta + np.where(nu > 1, sin * cos * total, 0.0))
+    return 1 - np.where(even, sin * total, odd)
 
 
 @lru_cache(maxsize=32)
 def _t_table(prob):
     """Upper quantiles for df 1..T_EXACT_DF; the size is fixed and does not follow the data."""
-    p2 = 2 * (1 - prob)
-    out = []
-    for nu in range(1, T_EXACT_DF + 1):
-        lo, hi = 0.0, 1.0
-        while _t_two_sided_np(hi, nu) > p2:
-            hi *= 2
-        for _ in range(60):
-            mid = (lo + hi) / 2
-            if _t_two_sided_np(mid, nu) > p2:
-                lo = mid
-            else:
-                hi = mid
-        out.append((lo + hi) / 2)
-    return out
+    lo, hi = np.zeros(T_EXACT_DF), np.full(T_EXACT_DF, 2.0)
+    while (_t_two_sided_all(hi) > 2 * (1 - prob)).any():
+        hi = np.where(_t_two_sided_all(hi) > 2 * (1 - prob), 2 * hi, hi)
+    for _ in range(60):
+        mid = (lo + hi) / 2
+        above = _t_two_sided_all(mid) > 2 * (1 - prob)
+        lo, hi = np.where(above, mid, lo), np.where(above, hi, mid)
+    return ((lo + hi) / 2).tolist()
 
 
 def t_quantile(df, prob):
     """Quantile ``prob`` (above 0.5) of Student t for a column of whole-number df."""
-    table = F.array(*[F.lit(float(v)) for v in _t_table(float(prob))])
+    table = F.expr("array(" + ", ".join(f"{v!r}D" for v in _t_table(float(prob))) + ")")
     nu = df.cast("double")
     z = NormalDist().inv_cdf(float(prob))
     z3, z5 = z**3, z**5
