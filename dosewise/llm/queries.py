@@ -1,6 +1,6 @@
 """Registered queries of this subpackage: each applies one operator to its whole table."""
 
-from . import bpe, licenses, mixing, quality, sharding, warc
+from . import bpe, licenses, mixing, partenum, quality, sharding, toxicity, warc
 
 QUERIES = {}
 ORACLE = {}
@@ -51,3 +51,15 @@ def op9_byte_bpe(spark, sf_dir):
 def op10_license_scan(spark, sf_dir):
     scanned = licenses.scan(table(spark, sf_dir, "documents"))
     return scanned.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
+
+
+@query()
+def op7_toxic_spans(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, model).select("doc_id", "held_out", "score", "predicted")
+
+
+@query()
+def op6_partenum_groups(spark, sf_dir):
+    return partenum.groups(table(spark, sf_dir, "documents"))
