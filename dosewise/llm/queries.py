@@ -1,6 +1,6 @@
 """Registered queries of this subpackage: each applies one operator to its whole table."""
 
-from . import bpe, licenses, mixing, partenum, quality, sharding, toxicity, warc
+from . import bpe, licenses, mixing, partenum, quality, sharding, syncmers, toxicity, warc
 
 QUERIES = {}
 ORACLE = {}
@@ -63,3 +63,8 @@ def op7_toxic_spans(spark, sf_dir):
 @query()
 def op6_partenum_groups(spark, sf_dir):
     return partenum.groups(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op3_closed_syncmers(spark, sf_dir):
+    return syncmers.compare_with_next(table(spark, sf_dir, "documents"))
