@@ -1,6 +1,6 @@
 """Registered queries of this subpackage: each applies one operator to its whole table."""
 
-from . import bpe, licenses, mixing, partenum, quality, sharding, syncmers, toxicity, warc
+from . import bpe, html_diff, licenses, mixing, partenum, quality, sharding, syncmers, toxicity, warc
 
 QUERIES = {}
 ORACLE = {}
@@ -68,3 +68,8 @@ def op6_partenum_groups(spark, sf_dir):
 @query()
 def op3_closed_syncmers(spark, sf_dir):
     return syncmers.compare_with_next(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op2_page_differencing(spark, sf_dir):
+    return html_diff.extract(table(spark, sf_dir, "pages"))
