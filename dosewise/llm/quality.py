@@ -23,7 +23,7 @@ GROUP_ROWS = 200
 # Each share that is judged, the least spread its fence is given, and whether small values are judged too.
 SHARES = {
     "symbol_share": (0.01, False),
-    "dup_line_share": (0.1, False),
+    "dup_line_share": (0.15, False),
     "repeat_share": (0.1, False),
     "upper_share": (0.04, False),
     "word_length": (0.5, True),
