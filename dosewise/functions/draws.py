@@ -4,14 +4,12 @@ from pyspark.sql import functions as F
 
 # The modulus is the Mersenne prime 2^31 - 1, the factors are odd primes.
 MODULUS = 2147483647
+SECOND_SEED = 104729
 
 
-def seeded_hash(seed, rep, pos):
-    """A whole number in [0, 2^31 - 1) from the three numbers."""
+def _word(seed, rep, pos):
     m = F.lit(MODULUS).cast("long")
-    pos = F.expr(pos) if isinstance(pos, str) else pos
-    rep = F.lit(rep) if isinstance(rep, int) else rep
-    first = ((pos.cast("long") % m) * 1299709 + (rep.cast("long") % m) * 15485863 + int(seed) * 7919 + 12345) % m
+    first = ((pos % m) * 1299709 + F.shiftright(pos, 31) % m * 32452843 + (rep.cast("long") % m) * 15485863 + int(seed) * 7919 + 12345) % m
 
     def round_(h):
         return ((h % 65536) * 69621 + F.floor(h / 65536).cast("long") * 40692 + (h % 32749) * (h % 31337)) % m
@@ -19,6 +17,13 @@ def seeded_hash(seed, rep, pos):
     return round_(round_(first))
 
 
+def seeded_hash(seed, rep, pos):
+    """A whole number in [0, 2^62) from the three numbers; every bit of a position counts."""
+    pos = (F.expr(pos) if isinstance(pos, str) else pos).cast("long")
+    rep = F.lit(rep) if isinstance(rep, int) else rep
+    return _word(seed, rep, pos) * F.lit(2147483648).cast("long") + _word(seed + SECOND_SEED, rep, pos)
+
+
 def seeded_draw(seed, rep, pos, n):
     """A draw in [0, n)."""
     n = F.lit(n) if isinstance(n, int) else n
@@ -27,9 +32,12 @@ def seeded_draw(seed, rep, pos, n):
 
 def sql_hash(seed, rep, pos):
     """The same number as SQL text, for checking against another engine."""
-    first = f"((({pos}) % 2147483647) * 1299709 + (({rep}) % 2147483647) * 15485863 + {int(seed) * 7919 + 12345}) % 2147483647"
+    def word(seed):
+        first = f"((({pos}) % 2147483647) * 1299709 + ((({pos})::BIGINT) >> 31) % 2147483647 * 32452843 + (({rep}) % 2147483647) * 15485863 + {int(seed) * 7919 + 12345}) % 2147483647"
 
-    def round_(h):
-        return f"((({h}) % 65536) * 69621 + (({h}) // 65536) * 40692 + (({h}) % 32749) * (({h}) % 31337)) % 2147483647"
+        def round_(h):
+            return f"((({h}) % 65536) * 69621 + (({h}) // 65536) * 40692 + (({h}) % 32749) * (({h}) % 31337)) % 2147483647"
 
-    return round_(round_(first))
+        return round_(round_(first))
+
+    return f"((({word(seed)})::BIGINT) * 2147483648 + ({word(seed + SECOND_SEED)}))"

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from ..functions.draws import seeded_draw, seeded_hash
 from ..functions.moments import fisher_z, pair_aggs, r_of
 from ..functions.special import let, normal_cdf, normal_quantile, t_quantile
-from ..plans.shapes import join_keys, ordered_scan, quantiles, replicates, with_index, with_midrank, with_row, with_totals
+from ..plans.shapes import join_keys, ordered_scan, quantiles, replicate_quantiles, replicates, with_index, with_midrank, with_row, with_totals
 from ..session import stored
 from .sequence import contiguous_clusters
 from .stats import auc, bh_fdr, complete, partial_residuals, ttest_one_sample
@@ -30,7 +30,7 @@ def row_resamples(df, keys, n_boot, seed, index="__i"):
 def percentile_interval(boots, keys, value, level=0.95):
     """Percentile limits over replicates; a group holds one row per replicate, so its size is known."""
     tail = (1 - level) / 2
-    ci = quantiles(boots, keys, value, {"ci_low": tail, "ci_high": 1 - tail}, split=False)
+    ci = replicate_quantiles(boots, keys, value, {"ci_low": tail, "ci_high": 1 - tail})
     n = boots.groupBy(*keys).agg(F.count(value).alias("n_boot"))
     return join_keys(ci, n, list(keys)) if keys else with_row(ci, n)
 
@@ -311,7 +311,7 @@ def signflip_cluster_test(df, subject, keys, index, value, n_perm=1000, seed=42,
     The threshold is the two-sided critical t at the smallest number of subjects.
     """
     t = _sign_flip_t(df, subject, [*keys, index], value, n_perm, seed)
-    t = with_totals(t, keys, {"__n": F.min(F.when(F.col("rep") == 0, F.col("n")))}, growth=n_perm)
+    t = with_totals(t, keys, {"__n": F.min(F.when(F.col("rep") == 0, F.col("n")))})
     t = t.withColumns({"threshold": t_quantile(F.col("__n") - 1, 1 - p_threshold / 2), "abs_t": F.abs("t")})
     c = contiguous_clusters(t, [*keys, "rep", "threshold"], index, "abs_t", F.col("threshold"))
     obs = c.where("rep = 0").drop("rep")

@@ -134,16 +134,16 @@ def reindex_to_grid(df, keys, subject, axes, value):
     return join_keys(full, df.select(*keys, subject, *axes, value), [*keys, subject, *axes], "left")
 
 
-def interpolate_to_grid(samples, grid, keys, t="t", value="v", split=None):
+def interpolate_to_grid(samples, grid, keys, t="t", value="v"):
     """Linear interpolation at grid times inside each group's own range, missing outside; needs two points.
 
     Samples and grid points are put in one order; the neighbours are running values.
     """
     pts = samples.where(F.col(value).isNotNull()).select(*keys, t, F.struct(F.col(t).alias("t"), F.col(value).alias("v")).alias("__s"))
-    pts = with_totals(pts, keys, {"__n": F.count(F.lit(1))}, split=split).where(F.col("__n") >= 2)
+    pts = with_totals(pts, keys, {"__n": F.count(F.lit(1))}).where(F.col("__n") >= 2)
     both = pts.select(*keys, t, "__s", F.lit(0).alias("__grid")).unionByName(
         grid.select(*keys, t, F.lit(None).cast(pts.schema["__s"].dataType).alias("__s"), F.lit(1).alias("__grid")))
-    both = ordered_scan(both, keys, [t, "__grid"], {"__a": ("last_to", "__s"), "__b": ("first_after", "__s")}, split=split)
+    both = ordered_scan(both, keys, [t, "__grid"], {"__a": ("last_to", "__s"), "__b": ("first_after", "__s")})
     a, b = F.col("__a"), F.col("__b")
     v = F.when(a["t"] == F.col(t), a["v"]).when(
         a.isNotNull() & b.isNotNull(), a["v"] + (b["v"] - a["v"]) * ((F.col(t) - a["t"]) / (b["t"] - a["t"])))

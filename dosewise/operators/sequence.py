@@ -5,7 +5,7 @@ import math
 from pyspark.sql import functions as F
 
 from ..functions.moments import pair_aggs, r_with_p
-from ..plans.shapes import join_keys, ordered_scan, with_index, with_midrank, with_row, with_totals
+from ..plans.shapes import join_keys, ordered_scan, with_index, with_midrank, with_midrank_in, with_row, with_totals
 
 TINY = 1e-20
 
@@ -35,20 +35,11 @@ def running_correlation(df, subject, index, x, y, width=20, min_valid=5, min_tri
     df = with_totals(df, [subject], {"__n": F.max(index)}).withColumn("__n", F.col("__n") + 1).where(F.col("__n") >= min_trials)
     first, last = F.greatest(F.col(index) - (width - 1), F.lit(0)), F.least(F.col(index), F.col("__n") - width)
     win = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(subject, x, y, F.explode(F.sequence(first, last)).alias("start"))
-    ranked = with_midrank(win, [subject, "start"], {x: "__rx", y: "__ry"}, split=False)
+    ranked = with_midrank_in(win, [subject, "start"], {x: "__rx", y: "__ry"})
     out = r_with_p(ranked.groupBy(subject, "start").agg(*pair_aggs("__rx", "__ry")), r="rho", p=None, min_n=min_valid)
     return out.withColumn("midpoint", F.col("start") + width // 2 + 1)
 
 
-def running_pearson(df, keys, order, x, y, width=20):
-    """Plain correlation of the row and the rows after it, by a bounded frame."""
-    from pyspark.sql import Window
-
-    w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(0, width - 1)
-    cov, vx, vy = F.covar_samp(x, y).over(w), F.var_samp(x).over(w), F.var_samp(y).over(w)
-    return df.withColumn("r", F.when((vx > 0) & (vy > 0), cov / F.sqrt(vx * vy)))
-
-
 def lag1_consistency(df, subject, order, value, min_pairs=6, min_trials=11):
     """Rank correlation of a rating with the one before."""
     df = ordered_scan(df, [subject], list(order), {"__prev": ("lag", value)})
@@ -116,15 +107,15 @@ def envelope_logpower(df, cell, window, t="t", value="x", eps=1e-12):
     return out.withColumn("db", 10 * F.log10(F.greatest(p, F.lit(eps)) / F.greatest(F.col("__b"), F.lit(eps)))).drop("__b")
 
 
-def contiguous_clusters(df, keys, index, stat, threshold, split=None):
+def contiguous_clusters(df, keys, index, stat, threshold):
     """Runs of neighbouring rows at or above a threshold: start, end, length and mass.
 
     The threshold is a number or a column; missing statistics end a run.
     """
     thr = F.lit(threshold) if isinstance(threshold, (int, float)) else threshold
-    pos = with_index(df, keys, [index], "__pos", split=split)
+    pos = with_index(df, keys, [index], "__pos")
     up = pos.where(F.coalesce(F.col(stat) >= thr, F.lit(False)))
-    up = with_index(up, keys, ["__pos"], "__k", split=split).withColumn("__island", F.col("__pos") - F.col("__k"))
+    up = with_index(up, keys, ["__pos"], "__k").withColumn("__island", F.col("__pos") - F.col("__k"))
     return up.groupBy(*keys, "__island").agg(F.min(index).alias("start"), F.max(index).alias("end"), F.count(stat).alias("n"), F.sum(stat).alias("mass")).drop("__island")
 
 
@@ -156,14 +147,14 @@ def break_intervals(df, keys, min_gap=20.0, shrink=2.0, onset="onset", duration=
     return gap.select(*keys, (end + shrink).alias("start"), (F.col("__next") - shrink).alias("end"), (F.col("__next") - end - 2 * shrink).alias("removed"))
 
 
-def keep_segments(records, bad, keys, end="end", split=None):
+def keep_segments(records, bad, keys, end="end"):
     """Good segments of [0, end]: the complement of the (possibly overlapping) bad intervals."""
     cut = join_keys(bad.select(*keys, F.greatest("start", F.lit(0.0)).alias("a"), F.col("stop").alias("b")), records.select(*keys, F.col(end).alias("__end")), list(keys))
     cut = cut.withColumn("b", F.least("b", "__end")).where(F.col("a") < F.col("b")).select(*keys, "a", "b")
     tail = records.select(*keys, F.col(end).cast("double").alias("a"), F.col(end).cast("double").alias("b"))
-    both = ordered_scan(cut.unionByName(tail), keys, ["a", "b"], {"__to": ("max_before", "b")}, split=split)
+    both = ordered_scan(cut.unionByName(tail), keys, ["a", "b"], {"__to": ("max_before", "b")})
     good = both.select(*keys, F.coalesce("__to", F.lit(0.0)).alias("start"), F.col("a").alias("stop"))
-    return with_totals(good.where(F.col("start") < F.col("stop")), keys, {"n_segments": F.count(F.lit(1))}, split=split)
+    return with_totals(good.where(F.col("start") < F.col("stop")), keys, {"n_segments": F.count(F.lit(1))})
 
 
 def rolling_windows(df, keys, tmin, tmax, length, step, t="t", value="power"):
@@ -177,13 +168,13 @@ def rolling_windows(df, keys, tmin, tmax, length, step, t="t", value="power"):
     return rows.groupBy(*keys, "start").agg(F.avg(value).alias("mean"), F.count(value).alias("n"))
 
 
-def feature_ranks(df, fold, feature, importance, split=None):
+def feature_ranks(df, fold, feature, importance):
     """Rank of importance per fold (1 is best) and its mean over folds."""
     neg = df.withColumn("__i", -F.col(importance))
     vc = neg.groupBy(fold, "__i").agg(F.count(F.lit(1)).alias("__n"))
-    vc = ordered_scan(vc, [fold], ["__i"], {"__b": ("sum_before", "__n")}, split=split)
+    vc = ordered_scan(vc, [fold], ["__i"], {"__b": ("sum_before", "__n")})
     ranked = join_keys(neg, vc.select(fold, "__i", (F.col("__b") + 1).alias("rank")), [fold, "__i"])
-    return with_totals(ranked.drop("__i"), [feature], {"mean_rank": F.avg("rank")}, split=split)
+    return with_totals(ranked.drop("__i"), [feature], {"mean_rank": F.avg("rank")})
 
 
 def baseline_modes(df, cell, windows, modes=("logratio", "ratio", "percent", "zscore"), t="t", value="power"):

@@ -1,12 +1,11 @@
 """Correlations, tests, corrections and agreement measures over groups."""
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.moments import clip, fisher_z, pair_aggs, r_of, r_with_p
 from ..functions.solvers import partial_from_cov, slopes_from_cov
 from ..functions.special import normal_quantile, r_p_value, t_greater, t_quantile, t_two_sided
-from ..plans.shapes import is_large, join_keys, once, ordered_scan, quantiles, with_midrank, with_totals
+from ..plans.shapes import join_keys, once, ordered_scan, quantiles, with_midrank, with_totals
 from .aggregate import roi_mean
 from .columns import TEMPERATURE_ALIASES, pick_first_column
 
@@ -23,21 +22,21 @@ def safe_pearson(df, keys, x, y, min_n=2, r="r", p="p"):
     return r_with_p(df.groupBy(*keys).agg(*pair_aggs(x, y)), r=r, p=p, min_n=min_n)
 
 
-def spearman(df, keys, x, y, min_n=5, r="r", p="p", growth=1, split=None):
+def spearman(df, keys, x, y, min_n=5, r="r", p="p"):
     """Correlation of average ranks on the rows where both are present."""
-    ranked = with_midrank(complete(df, x, y), keys, {x: "__rx", y: "__ry"}, growth, split)
+    ranked = with_midrank(complete(df, x, y), keys, {x: "__rx", y: "__ry"})
     out = r_with_p(ranked.groupBy(*keys).agg(*pair_aggs("__rx", "__ry")), r=r, p=p, min_n=min_n)
     return out
 
 
-def kendall_tau(df, fold, feature, value, split=None):
+def kendall_tau(df, fold, feature, value):
     """tau-b between the folds' value vectors, both orders of the pair.
 
     Discordant pairs are counted without forming pairs: for each binary digit of the
     second rank, rows with digit 1 that come earlier in the first order are counted by
     a running sum.
     """
-    ranks = with_midrank(complete(df, value), [fold], {value: "rk"}, split=split).select(fold, feature, (2 * F.col("rk")).cast("long").alias("rk"))
+    ranks = with_midrank(complete(df, value), [fold], {value: "rk"}).select(fold, feature, (2 * F.col("rk")).cast("long").alias("rk"))
     a = ranks.select(feature, F.col(fold).alias("fold_a"), F.col("rk").alias("ra"))
     b = ranks.select(feature, F.col(fold).alias("fold_b"), F.col("rk").alias("rb"))
     pairs = a.join(b, feature).where(F.col("fold_a") < F.col("fold_b"))
@@ -46,12 +45,12 @@ def kendall_tau(df, fold, feature, value, split=None):
     for name, cols in (("tx", ["ra"]), ("ty", ["rb"]), ("txy", ["ra", "rb"])):
         c = pairs.groupBy(*keys, *cols).agg(F.count(F.lit(1)).alias("c")).groupBy(*keys).agg(F.sum(F.col("c") * (F.col("c") - 1) / 2).alias(name), F.sum("c").alias("n"))
         ties = c if ties is None else join_keys(ties, c.drop("n"), keys)
-    top = with_totals(pairs, keys, {"__top": F.max("rb")}, split=split)
+    top = with_totals(pairs, keys, {"__top": F.max("rb")})
     digits = F.ceil(F.log2(F.col("__top") + 1)).cast("int")
     bits = top.select(*keys, "ra", "rb", F.explode(F.sequence(F.lit(0), digits)).alias("level"))
     bits = bits.select(*keys, "level", F.expr("shiftright(rb, level + 1)").alias("head"), "ra", F.expr("shiftright(rb, level) % 2").alias("bit"))
     vc = bits.groupBy(*keys, "level", "head", "ra").agg(F.count_if(F.col("bit") == 1).alias("ones"), F.count_if(F.col("bit") == 0).alias("zeros"))
-    vc = ordered_scan(vc, [*keys, "level", "head"], ["ra"], {"before": ("sum_before", "ones")}, split=split)
+    vc = ordered_scan(vc, [*keys, "level", "head"], ["ra"], {"before": ("sum_before", "ones")})
     disc = vc.groupBy(*keys).agg(F.sum(F.col("zeros") * F.col("before")).alias("d"))
     out = join_keys(ties, disc, keys)
     n0 = F.col("n") * (F.col("n") - 1) / 2
@@ -193,38 +192,38 @@ def ttest_paired(df, keys, unit, condition, value, a, b):
     return ttest_one_sample(d, keys, "diff")
 
 
-def _score_counts(df, keys, score, first, second, growth=1, split=None, weight=None):
+def _score_counts(df, keys, score, first, second, weight=None):
     """Per distinct score: rows of two kinds and how many of the first lie strictly below."""
     w = F.lit(1) if weight is None else F.col(weight)
     vc = df.where(F.col(score).isNotNull()).groupBy(*keys, score).agg(F.sum(F.when(first, w).otherwise(0)).alias("__a"), F.sum(F.when(second, w).otherwise(0)).alias("__b"))
-    return ordered_scan(vc, keys, [score], {"__below": ("sum_before", "__a")}, growth, split)
+    return ordered_scan(vc, keys, [score], {"__below": ("sum_before", "__a")})
 
 
-def auc(df, keys, label, score, min_n=10, growth=1, split=None, weight=None):
+def auc(df, keys, label, score, min_n=10, weight=None):
     """Area under the curve with ties at one half; needs both classes."""
-    vc = _score_counts(df, keys, score, F.col(label) == 0, F.col(label) == 1, growth, split, weight)
+    vc = _score_counts(df, keys, score, F.col(label) == 0, F.col(label) == 1, weight)
     g = vc.groupBy(*keys).agg(F.sum(F.col("__b") * (F.col("__below") + F.col("__a") / 2)).alias("__u"), F.sum("__b").alias("n_pos"), F.sum("__a").alias("n_neg"))
     ok = (F.col("n_pos") > 0) & (F.col("n_neg") > 0) & (F.col("n_pos") + F.col("n_neg") >= min_n)
     return g.select(*keys, F.when(ok, F.try_divide(F.col("__u"), F.col("n_pos") * F.col("n_neg"))).alias("auc"), "n_pos", "n_neg")
 
 
-def forced_choice(df, keys, dose, score, low=46.0, high=47.0, split=None):
+def forced_choice(df, keys, dose, score, low=46.0, high=47.0):
     """Share of low-high pairs in which the high dose has the strictly higher score, by running counts."""
-    vc = _score_counts(df, keys, score, F.col(dose) < low, F.col(dose) >= high, split=split)
+    vc = _score_counts(df, keys, score, F.col(dose) < low, F.col(dose) >= high)
     g = vc.groupBy(*keys).agg(F.sum(F.col("__b") * F.col("__below")).alias("n_wins"), (F.sum("__a") * F.sum("__b")).alias("n_pairs"))
     return g.withColumn("accuracy", F.when(F.col("n_pairs") > 0, F.try_divide(F.col("n_wins"), F.col("n_pairs"))))
 
 
-def roc_curve(df, keys, label, score, split=None):
+def roc_curve(df, keys, label, score):
     """False and true positive rate at each threshold, from the highest score down."""
     neg = df.withColumn("__s", -F.col(score))
     vc = neg.where(F.col(score).isNotNull()).groupBy(*keys, "__s").agg(F.count_if(F.col(label) == 1).alias("__p"), F.count_if(F.col(label) == 0).alias("__n"))
-    vc = ordered_scan(vc, keys, ["__s"], {"tp": ("sum_to", "__p"), "fp": ("sum_to", "__n")}, split=split)
-    vc = with_totals(vc, keys, {"__tp": F.sum("__p"), "__tn": F.sum("__n")}, split=split).where((F.col("__tp") > 0) & (F.col("__tn") > 0))
+    vc = ordered_scan(vc, keys, ["__s"], {"tp": ("sum_to", "__p"), "fp": ("sum_to", "__n")})
+    vc = with_totals(vc, keys, {"__tp": F.sum("__p"), "__tn": F.sum("__n")}).where((F.col("__tp") > 0) & (F.col("__tn") > 0))
     return vc.select(*keys, (-F.col("__s")).alias("threshold"), (F.col("fp") / F.col("__tn")).alias("fpr"), (F.col("tp") / F.col("__tp")).alias("tpr"))
 
 
-def group_roc(curves, subject, n_points=100, split=None):
+def group_roc(curves, subject, n_points=100):
     """Mean true positive rate over subjects at evenly spaced false positive rates."""
     pts = curves.groupBy(subject, "fpr").agg(F.min("tpr").alias("lo"), F.max("tpr").alias("hi"))
     zero = curves.select(subject).distinct().select(subject, F.lit(0.0).alias("fpr"), F.lit(0.0).alias("lo"), F.lit(0.0).alias("hi"))
@@ -232,38 +231,27 @@ def group_roc(curves, subject, n_points=100, split=None):
     grid = zero.select(subject, F.explode(F.sequence(F.lit(0), F.lit(n_points - 1))).alias("i")).select(subject, "i", (F.col("i") / (n_points - 1)).alias("fpr"))
     both = pts.select(subject, "fpr", "s", F.lit(None).cast("int").alias("i")).unionByName(grid.select(subject, "fpr", F.lit(None).cast(pts.schema["s"].dataType).alias("s"), "i"))
     both = both.withColumn("__g", F.col("i").isNotNull().cast("int"))
-    both = ordered_scan(both, [subject], ["fpr", "__g"], {"a": ("last_to", "s"), "b": ("first_after", "s")}, split=split).where("i is not null")
+    both = ordered_scan(both, [subject], ["fpr", "__g"], {"a": ("last_to", "s"), "b": ("first_after", "s")}).where("i is not null")
     a, b = F.col("a"), F.col("b")
     v = F.when((a["t"] == F.col("fpr")) | b.isNull(), a["hi"]).otherwise(a["hi"] + (b["lo"] - a["hi"]) * ((F.col("fpr") - a["t"]) / (b["t"] - a["t"])))
     return both.groupBy("i").agg(F.first("fpr").alias("fpr"), F.avg(v).alias("tpr"), F.count(v).alias("n"))
 
 
-def bh_fdr(df, keys=(), p="p", alpha=0.05, q="q", reject="reject", crit="crit_p", split=None):
+def bh_fdr(df, keys=(), p="p", alpha=0.05, q="q", reject="reject", crit="crit_p"):
     """Benjamini-Hochberg within ``keys``: q, critical p and rejection; missing p are left out.
 
-    Ranks are counted over distinct p values, so ties and large tables are handled alike.
+    Ranks are counted over distinct p values, so heavy ties are one row.
     """
     keys = list(keys)
-    split = is_large(df) if split is None else split
-    if not split:
-        # Small input: the same counts as frames of one window.
-        by = Window.partitionBy(*keys, F.col(p).isNull())
-        up = by.orderBy(p).rangeBetween(Window.unboundedPreceding, 0)
-        down = by.orderBy(F.col(p).desc()).rangeBetween(Window.unboundedPreceding, 0)
-        out = df.withColumns({"__m": F.count(p).over(by), "__k": F.count(p).over(up)})
-        out = out.withColumns({"__raw": F.when(F.col(p).isNotNull(), F.least(F.col(p) * F.col("__m") / F.col("__k"), F.lit(1.0))),
-                               "__ok": F.when(F.col(p) <= F.col("__k") / F.col("__m") * alpha, F.col(p))})
-        out = out.withColumns({q: F.min("__raw").over(down), crit: F.max("__ok").over(by)}).drop("__m", "__k", "__raw", "__ok")
-        return out.withColumn(reject, F.coalesce(F.col(p) <= F.col(crit), F.lit(False)))
     df = once(df)
     vc = df.where(F.col(p).isNotNull()).groupBy(*keys, p).agg(F.count(F.lit(1)).alias("__c"))
-    vc = with_totals(vc, keys, {"__m": F.sum("__c")}, split=split)
-    vc = ordered_scan(vc, keys, [p], {"__k": ("sum_to", "__c")}, split=split)
+    vc = with_totals(vc, keys, {"__m": F.sum("__c")})
+    vc = ordered_scan(vc, keys, [p], {"__k": ("sum_to", "__c")})
     vc = vc.withColumns({"__raw": F.least(F.col(p) * F.col("__m") / F.col("__k"), F.lit(1.0)), "__np": -F.col(p),
                          "__ok": F.when(F.col(p) <= F.col("__k") / F.col("__m") * alpha, F.col(p))})
     vc = vc.withColumn("__nr", -F.col("__raw"))
-    vc = ordered_scan(vc, keys, ["__np"], {"__later": ("max_before", "__nr")}, split=split)
-    vc = with_totals(vc, keys, {crit: F.max("__ok")}, split=split)
+    vc = ordered_scan(vc, keys, ["__np"], {"__later": ("max_before", "__nr")})
+    vc = with_totals(vc, keys, {crit: F.max("__ok")})
     vc = vc.select(*keys, p, F.least("__raw", F.coalesce(-F.col("__later"), F.lit(1.0))).alias(q), crit)
     out = join_keys(df, vc, [*keys, p], "left")
     return out.withColumn(reject, F.coalesce(F.col(p) <= F.col(crit), F.lit(False)))
@@ -290,7 +278,7 @@ def pooled_group_correlation(df, subject, x, y, min_pairs=5):
         "within_subject_zscored": (F.try_divide(cx, F.col("__sx")), F.try_divide(cy, F.col("__sy")), (F.col("__sx") > 0) & (F.col("__sy") > 0)),
     }
     rows = F.array_compact(F.array(*[F.when(c, F.struct(F.lit(k).alias("strategy"), a.alias("a"), b.alias("b"))) for k, (a, b, c) in forms.items()]))
-    pooled = spearman(z.select(F.inline(rows)), ["strategy"], "a", "b", 2, growth=3).select("strategy", "r", "p", "n")
+    pooled = spearman(z.select(F.inline(rows)), ["strategy"], "a", "b", 2).select("strategy", "r", "p", "n")
     by = spearman(ok, [subject], x, y, min_pairs)
     g = fisher_group(by, [], "r")
     total = by.where("r is not null").agg(F.sum("n").alias("n"))

@@ -1,17 +1,12 @@
 """Query shapes shared by the operators: ordered scans, ranks, quantiles, group totals.
 
-A window function sends all rows of a partition key to one task.  That is right
-while the input is small, and wrong when one subject holds a third of a large
-table.  Each shape here therefore has two plans with the same result:
-
-* small input (source bytes under ``spark.dosewise.splitBytes``): one window;
-* otherwise groups above ``spark.dosewise.groupRows`` rows are cut into slices
-  along the ordering column.  Slice limits come from a mergeable quantile sketch, so
-  they only balance the work and never change the result; totals carried over
-  from earlier slices make it exact.
+A window function sends all rows of a partition key to one task, which is wrong when one subject holds a third of a large
+table.  Each shape therefore has one plan, chosen by nothing: the rows are cut into ordered slices by range partitioning on
+the keys and the *full* order (a hash of the row breaks ties), the slices are written once so that their numbers hold in every
+later read, windows run inside a slice, and totals carried over from the earlier slices of the group make the result exact.
+Ranks and quantiles first reduce the rows to distinct values with counts, so a heavy tie is one row.
 """
 
-import math
 import re
 from functools import reduce
 
@@ -20,44 +15,14 @@ from pyspark.sql import functions as F
 
 from ..session import stored
 
-SPLIT_BYTES = 256 * 1024 * 1024
-GROUP_ROWS = 4_000_000
-SLICE_SIDE = 64  # a hot group gets up to SLICE_SIDE ** 2 slices
-
-
-def source_bytes(df):
-    """Bytes of the largest table the plan reads, as Catalyst knows them before running anything.
-
-    The operators join on keys of one side, so a group holds no more rows than that table.
-    """
-    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
-    return max([int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size())], default=0)
-
-
-def is_large(df, growth=1):
-    """True when the input needs the split plan; ``growth`` is how many times an operator copies a row within one group."""
-    limit = int(df.sparkSession.conf.get("spark.dosewise.splitBytes", str(SPLIT_BYTES)))
-    return source_bytes(df) * growth > limit
-
-
 def once(df):
     """``df``, written to the shared folder first if computing it takes more than a scan.
 
-    The split plans read their input several times; without this, nested ones would
-    repeat all work below them.
+    The shapes read their input several times; without this, nested ones would repeat all work below them.
     """
     plan = df._jdf.queryExecution().optimizedPlan().toString()
     costly = re.search(r"Join|Aggregate|Window|Sort|Generate|Repartition|InPandas|MapInArrow|LogicalRDD|Union", plan)
-    return stored(df, "split") if costly else df
-
-
-def _hot_rows(df):
-    return int(df.sparkSession.conf.get("spark.dosewise.groupRows", str(GROUP_ROWS)))
-
-
-def same_keys(left, right, keys):
-    """Join condition treating missing keys as equal."""
-    return reduce(lambda a, b: a & b, [left[k].eqNullSafe(right[k]) for k in keys])
+    return stored(df, "once") if costly else df
 
 
 def join_keys(left, right, keys, how="inner"):
@@ -68,48 +33,29 @@ def join_keys(left, right, keys, how="inner"):
     return left.join(right, cond, how).drop(*tmp.values())
 
 
-def _with_slices(df, keys, by):
-    """Add ``__slice``: 0 for ordinary groups, a monotone function of ``by`` for hot ones."""
-    hot = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__rows")).where(F.col("__rows") > _hot_rows(df)).drop("__rows")
-    cuts = [i / SLICE_SIDE**2 for i in range(1, SLICE_SIDE**2)]
-    limits = (
-        join_keys(df.select(*keys, by.cast("double").alias("__by")), hot, keys)
-        .groupBy(*keys)
-        .agg(F.percentile_approx("__by", cuts, 20000).alias("__cuts"))
-        .withColumn(
-            "__cuts",
-            F.transform(F.sequence(F.lit(0), F.lit(SLICE_SIDE - 1)),
-                        lambda i: F.slice("__cuts", i * SLICE_SIDE + 1, F.lit(SLICE_SIDE))),
-        )
-    )
-    out = join_keys(df, limits, keys, "left")
-    v = by.cast("double")
-    below = lambda arr: F.size(F.filter(arr, lambda b: b < v))
-    coarse = F.size(F.filter(F.col("__cuts"), lambda a: a[F.size(a) - 1] < v))
-    fine = F.coalesce(below(F.get("__cuts", coarse)), F.lit(0))
-    return out.withColumn("__slice", F.when(F.col("__cuts").isNull() | v.isNull(), F.lit(0))
-                          .otherwise(coarse * SLICE_SIDE + fine + 1)).drop("__cuts")
-
-
-def ordered_scan(df, keys, order, outs, growth=1, split=None):
+def _sliced(df, keys, order):
+    """``df`` with ``__slice`` and ``__tie``: ordered slices of the rows, stored; a group may lie in one or in many."""
+    tied = once(df).withColumn("__tie", F.xxhash64(*df.columns))
+    return stored(tied.repartitionByRange(*keys, *order, "__tie").withColumn("__slice", F.spark_partition_id()), "slices")
+
+
+def ordered_scan(df, keys, order, outs):
     """Add running values along ``order`` inside ``keys``.
 
     ``outs`` maps a new column to ``(kind, expression)``:
     row_number, sum_before, sum_to, max_before, last_to, first_after, lag, lead.
-    ``last_to``/``first_after`` skip missing values; ``order`` is ascending and its
-    first entry numeric.
+    ``last_to``/``first_after`` skip missing values; ``order`` is ascending, of any orderable types, missing values first.
+    Rows that ``order`` does not tell apart follow each other by a hash of the row.
     """
     order = [F.col(o) if isinstance(o, str) else o for o in order]
     outs = {k: (kind, F.col(e) if isinstance(e, str) else e) for k, (kind, e) in outs.items()}
-    split = is_large(df, growth) if split is None else split
     base = list(df.columns)
     keys = list(keys)
     if not keys:
         df, keys = df.withColumn("__all", F.lit(0)), ["__all"]
-    part = list(keys)
-    if split:
-        df = _with_slices(once(df), keys, order[0])
-        part = keys + ["__slice"]
+    df = _sliced(df, keys, order)
+    order = [*order, F.col("__tie")]
+    part = keys + ["__slice"]
     fwd = Window.partitionBy(*part).orderBy(*order)
     back = Window.partitionBy(*part).orderBy(*[o.desc() for o in order])
     upto, before = (Window.unboundedPreceding, 0), (Window.unboundedPreceding, -1)
@@ -123,11 +69,6 @@ def ordered_scan(df, keys, order, outs, growth=1, split=None):
         "lag": lambda e: F.lag(e).over(fwd),
         "lead": lambda e: F.lead(e).over(fwd),
     }
-    zero_based = lambda kind, c: F.coalesce(c, F.lit(0)) if kind in ("sum_before", "sum_to") else c
-    if not split:
-        res = df.withColumns({k: zero_based(kind, local[kind](e)) for k, (kind, e) in outs.items()})
-        return res.select(*base, *outs)
-
     first_row = F.row_number().over(fwd) == 1
     last_row = F.row_number().over(back) == 1
     res = df.withColumns({f"__l_{k}": local[kind](e) for k, (kind, e) in outs.items()})
@@ -175,9 +116,9 @@ def ordered_scan(df, keys, order, outs, growth=1, split=None):
     return res.select(*base, *[combine(kind, k).alias(k) for k, (kind, _) in outs.items()])
 
 
-def with_index(df, keys, order, name="idx", start=0, growth=1, split=None):
+def with_index(df, keys, order, name="idx", start=0):
     """Position of each row inside its group, counted from ``start``."""
-    out = ordered_scan(df, keys, order, {name: ("row_number", F.lit(1))}, growth, split)
+    out = ordered_scan(df, keys, order, {name: ("row_number", F.lit(1))})
     return out.withColumn(name, F.col(name) - 1 + start)
 
 
@@ -188,60 +129,45 @@ def with_row(df, one):
     return out.withColumns({c: F.col("__row")[c] for c in one.columns}).drop("__row")
 
 
-def with_totals(df, keys, aggs, growth=1, split=None):
-    """Attach group aggregates to the rows.
-
-    A window while small; otherwise one merged aggregate joined back, so that no
-    task holds a group.
-    """
+def with_totals(df, keys, aggs):
+    """Attach group aggregates to the rows: one merged aggregate joined back, so that no task holds a group."""
     keys = list(keys)
+    df = once(df)
     if not keys:
         return with_row(df, df.agg(*[a.alias(k) for k, a in aggs.items()]))
-    split = is_large(df, growth) if split is None else split
-    if not split:
-        w = Window.partitionBy(*keys)
-        return df.withColumns({k: a.over(w) for k, a in aggs.items()})
-    df = once(df)
     return join_keys(df, df.groupBy(*keys).agg(*[a.alias(k) for k, a in aggs.items()]), keys, "left")
 
 
-def with_midrank(df, keys, cols, growth=1, split=None):
+def with_midrank(df, keys, cols):
     """Add average ranks (ties share their mean rank) of non-missing values; ``cols`` maps value to rank name.
 
-    The split plan ranks distinct values with their counts, so a heavy tie is one row.
+    Distinct values are ranked with their counts, so a heavy tie is one row.
     """
     keys = list(keys)
-    split = is_large(df, growth) if split is None else split
-    df = once(df) if split else df
+    df = once(df)
     for x, out in cols.items():
-        if not split and keys:
-            tie = Window.partitionBy(*keys, x)
-            by = Window.partitionBy(*keys).orderBy(F.col(x).asc_nulls_last())
-            rank = F.rank().over(by) + (F.count(F.lit(1)).over(tie) - 1) / 2.0
-            df = df.withColumn(out, F.when(F.col(x).isNotNull(), rank))
-        else:
-            vc = df.where(F.col(x).isNotNull()).groupBy(*keys, x).agg(F.count(F.lit(1)).alias("__n"))
-            vc = ordered_scan(vc, keys, [x], {"__b": ("sum_before", "__n")}, growth, split)
-            vc = vc.select(*keys, x, (F.col("__b") + (F.col("__n") + 1) / 2.0).alias(out))
-            df = join_keys(df, vc, keys + [x], "left")
-            df = once(df) if split else df
+        vc = df.where(F.col(x).isNotNull()).groupBy(*keys, x).agg(F.count(F.lit(1)).alias("__n"))
+        vc = ordered_scan(vc, keys, [x], {"__b": ("sum_before", "__n")})
+        df = join_keys(df, vc.select(*keys, x, (F.col("__b") + (F.col("__n") + 1) / 2.0).alias(out)), keys + [x], "left")
     return df
 
 
-def quantiles(df, keys, x, points, growth=1, split=None):
+def with_midrank_in(df, keys, cols):
+    """The same where a parameter of the caller bounds the rows of a group: one window for each value."""
+    def rank(x):
+        by, tie = Window.partitionBy(*keys).orderBy(F.col(x).asc_nulls_last()), Window.partitionBy(*keys, x)
+        return F.when(F.col(x).isNotNull(), F.rank().over(by) + (F.count(F.lit(1)).over(tie) - 1) / 2.0)
+
+    return df.withColumns({out: rank(x) for x, out in cols.items()})
+
+
+def quantiles(df, keys, x, points):
     """Linear-interpolated quantiles per group; ``points`` maps a name to a probability."""
     x = F.col(x) if isinstance(x, str) else x
     keys = list(keys)
-    split = is_large(df, growth) if split is None else split
-    if not split:
-        return df.groupBy(*keys).agg(*[F.percentile(x, float(q)).alias(k) for k, q in points.items()])
-    df = once(df.select(*keys, x.alias("__q")))
-    x = F.col("__q")
-    groups = df.select(*keys).distinct() if keys else None
-    rows = df.select(*keys, x.cast("double").alias("__x")).where(F.col("__x").isNotNull())
-    vc = rows.groupBy(*keys, "__x").agg(F.count(F.lit(1)).alias("__n"))
-    vc = ordered_scan(vc, keys, ["__x"], {"__b": ("sum_before", "__n")}, growth, split)
-    vc = with_totals(vc, keys, {"__t": F.sum("__n")}, growth, split)
+    df = once(df.select(*keys, x.cast("double").alias("__x")))
+    vc = df.where(F.col("__x").isNotNull()).groupBy(*keys, "__x").agg(F.count(F.lit(1)).alias("__n"))
+    vc = with_totals(ordered_scan(vc, keys, ["__x"], {"__b": ("sum_before", "__n")}), keys, {"__t": F.sum("__n")})
     aggs = []
     for k, q in points.items():
         pos = float(q) * (F.col("__t") - 1)
@@ -253,7 +179,12 @@ def quantiles(df, keys, x, points, growth=1, split=None):
     out = out.select(*keys, *[
         (F.col(f"__lo_{k}") + (F.col(f"__hi_{k}") - F.col(f"__lo_{k}")) * F.col(f"__f_{k}")).alias(k) for k in points
     ])
-    return join_keys(groups, out, keys, "left") if keys else out
+    return join_keys(df.select(*keys).distinct(), out, keys, "left") if keys else out
+
+
+def replicate_quantiles(df, keys, x, points):
+    """The same for groups that hold one value per replicate, whose number the caller states: one exact aggregate."""
+    return df.groupBy(*keys).agg(*[F.percentile(x, float(q)).alias(k) for k, q in points.items()])
 
 
 def replicates(n):
@@ -261,17 +192,6 @@ def replicates(n):
     return F.sequence(F.lit(1).cast("long"), F.lit(int(n)).cast("long"))
 
 
-def literal_table(spark, rows, schema):
-    """A table the caller wrote down (bands, regions, conditions); its size does not follow the data."""
-    if len(rows) > 100_000:
-        raise ValueError("literal tables are for settings; read larger ones from a source")
-    return spark.createDataFrame(rows, schema)
-
-
 def round6(df, digits=6):
     """Round all double columns as the reports do."""
     return df.select(*[F.round(F.col(f"`{c}`"), digits).alias(c) if t in ("double", "float") else F.col(f"`{c}`") for c, t in df.dtypes])
-
-
-def ceil_div(a, b):
-    return int(math.ceil(a / b))

@@ -13,21 +13,3 @@ def spark():
     s = get_session("local[8]", 4)
     s.sparkContext.setLogLevel("OFF")
     yield s
-
-
-@pytest.fixture
-def whole(spark):
-    """Hand-made frames have no known size: keep them on the plan for small input."""
-    spark.conf.set("spark.dosewise.splitBytes", str(2**62))
-    yield spark
-    spark.conf.unset("spark.dosewise.splitBytes")
-
-
-@pytest.fixture
-def sliced(spark):
-    """Force the plan for large input, with groups above five rows cut into slices."""
-    spark.conf.set("spark.dosewise.splitBytes", "-1")
-    spark.conf.set("spark.dosewise.groupRows", "5")
-    yield spark
-    spark.conf.unset("spark.dosewise.splitBytes")
-    spark.conf.unset("spark.dosewise.groupRows")

@@ -1,10 +1,11 @@
-"""Split plans against one-window plans, properties over random groups, and SQL agreement."""
+"""Sliced plans against one-window plans, properties over random groups, and SQL agreement."""
 
 import random
 
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
@@ -26,34 +27,67 @@ def sample(spark, n=120, seed=1):
 KINDS = {"rn": ("row_number", "i"), "to": ("sum_to", "i"), "before": ("sum_before", "i"), "mx": ("max_before", "y"), "last": ("last_to", "y"), "first": ("first_after", "y"), "lg": ("lag", "y"), "ld": ("lead", "y")}
 
 
-def test_ordered_scan_split_equals_window(sliced):
-    df = sample(sliced)
-    got = [sorted(map(repr, shapes.ordered_scan(df, keys, ["x", "i"], KINDS, split=s).collect())) for keys in (["g"], []) for s in (False, True)]
-    assert got[0] == got[1] and got[2] == got[3]
-
-
-def test_rank_quantile_totals_split(sliced):
-    df = sample(sliced)
-    pick = lambda d: sorted(map(repr, shapes.round6(d).collect()))
-    assert pick(shapes.with_midrank(df, ["g"], {"x": "rk"}, split=False)) == pick(shapes.with_midrank(df, ["g"], {"x": "rk"}, split=True).select("g", "i", "x", "y", "rk"))
-    pts = {"lo": 0.02, "mid": 0.5, "hi": 0.98}
-    assert pick(shapes.quantiles(df, ["g"], "y", pts, split=False)) == pick(shapes.quantiles(df, ["g"], "y", pts, split=True))
-    assert pick(shapes.with_totals(df, ["g"], {"m": F.max("y")}, split=False).select("g", "i", "m")) == pick(shapes.with_totals(df, ["g"], {"m": F.max("y")}, split=True).select("g", "i", "m"))
-    p = df.select("g", "i", F.round(F.col("y") / 3, 2).alias("p"))
-    cols = ["g", "i", "p", "q", "crit_p", "reject"]
-    assert pick(stats.bh_fdr(p, ["g"], alpha=0.9, split=False).select(cols)) == pick(stats.bh_fdr(p, ["g"], alpha=0.9, split=True).select(cols))
-
-
-def test_partitioning_does_not_matter(whole):
-    df = sample(whole)
+def rows(df):
+    return sorted(map(repr, shapes.round6(df).collect()))
+
+
+def one_window(df, keys, order):
+    """The running values of KINDS by plain windows."""
+    fwd = Window.partitionBy(*keys).orderBy(*order)
+    back = Window.partitionBy(*keys).orderBy(*[F.col(o).desc() for o in order])
+    upto, before = (Window.unboundedPreceding, 0), (Window.unboundedPreceding, -1)
+    return df.withColumns({
+        "rn": F.row_number().over(fwd).cast("long"), "to": F.coalesce(F.sum("i").over(fwd.rowsBetween(*upto)), F.lit(0)),
+        "before": F.coalesce(F.sum("i").over(fwd.rowsBetween(*before)), F.lit(0)), "mx": F.max("y").over(fwd.rowsBetween(*before)),
+        "last": F.last("y", True).over(fwd.rowsBetween(*upto)), "first": F.last("y", True).over(back.rowsBetween(*upto)),
+        "lg": F.lag("y").over(fwd), "ld": F.lead("y").over(fwd),
+    })
+
+
+@pytest.mark.parametrize("keys,order", [(["g"], ["x", "i"]), ([], ["x", "i"]), (["g"], ["name"]), ([], ["g", "name"]), (["x"], ["i"])])
+def test_ordered_scan_equals_one_window(spark, keys, order):
+    """Number and text orders, composite orders, no keys, missing keys and values; slices far smaller than the groups."""
+    df = sample(spark).withColumns({"name": F.concat(F.lit("s"), F.lpad("i", 4, "0")), "g": F.when(F.col("i") % 17 > 0, F.col("g"))}).repartition(7)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        assert rows(shapes.ordered_scan(df, keys, order, KINDS)) == rows(one_window(df, keys, order))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_one_tied_value_is_cut(spark):
+    """A thousand rows with one order value: every position once, in several slices."""
+    df = spark.range(1000).select(F.lit("hot").alias("g"), F.lit(1.0).alias("x"), "id")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        assert sorted(r["idx"] for r in shapes.with_index(df, ["g"], ["x"]).collect()) == list(range(1000))
+        assert shapes._sliced(df, ["g"], [F.col("x")]).select("__slice").distinct().count() > 1
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_rank_quantile_totals(spark):
+    df = sample(spark)
+    data = df.toPandas()
+    ranks = {r["i"]: r["rk"] for r in shapes.with_midrank(df, ["g"], {"x": "rk"}).collect()}
+    assert ranks == dict(zip(data["i"], data.groupby("g")["x"].rank()))
+    q = {r["g"]: r for r in shapes.quantiles(df, ["g"], "y", {"lo": 0.02, "mid": 0.5, "hi": 0.98}).collect()}
+    for g, part in data.groupby("g"):
+        assert np.allclose([q[g]["lo"], q[g]["mid"], q[g]["hi"]], part["y"].quantile([0.02, 0.5, 0.98]))
+    top = {r["i"]: r["m"] for r in shapes.with_totals(df, ["g"], {"m": F.max("y")}).collect()}
+    assert top == dict(zip(data["i"], data.groupby("g")["y"].transform("max")))
+
+
+def test_partitioning_does_not_matter(spark):
+    df = sample(spark)
     got = [sorted(map(repr, shapes.round6(stats.spearman(df.repartition(n, F.rand(n)), ["g"], "x", "y")).collect())) for n in (1, 4, 16)]
     assert got[0] == got[1] == got[2]
 
 
-def test_rank_properties(whole):
+def test_rank_properties(spark):
     """Many random groups in one frame: monotone maps, mirrored scores, wins plus half the ties."""
     rng = random.Random(3)
-    df = whole.createDataFrame([(g, float(rng.randint(0, 9)), rng.random(), int(rng.random() < 0.5)) for g in range(25) for _ in range(20)], "g int, x double, y double, c int")
+    df = spark.createDataFrame([(g, float(rng.randint(0, 9)), rng.random(), int(rng.random() < 0.5)) for g in range(25) for _ in range(20)], "g int, x double, y double, c int")
     a = {r["g"]: r["r"] for r in stats.spearman(df, ["g"], "x", "y").collect()}
     b = {r["g"]: r["r"] for r in stats.spearman(df.withColumns({"x": F.exp("x"), "y": F.col("y") * 3 - 7}), ["g"], "x", "y").collect()}
     assert all(abs(a[g] - b[g]) < 1e-12 for g in a)
@@ -71,15 +105,15 @@ def test_rank_properties(whole):
         assert abs(u[g] - (w[g][0] + ties / 2) / w[g][1]) < 1e-12
 
 
-def test_q_values(whole):
+def test_q_values(spark):
     rng = random.Random(5)
-    df = whole.createDataFrame([(round(rng.random() ** 2, 3),) for _ in range(80)], "p double")
+    df = spark.createDataFrame([(round(rng.random() ** 2, 3),) for _ in range(80)], "p double")
     got = sorted((r["p"], r["q"]) for r in stats.bh_fdr(df).collect())
     assert all(q >= p - 1e-12 for p, q in got) and all(a[1] <= b[1] + 1e-12 for a, b in zip(got, got[1:]))
 
 
-def test_leave_one_out_equals_refit(whole):
-    df = sample(whole).where("y is not null").withColumn("h", F.col("i") % 4)
+def test_leave_one_out_equals_refit(spark):
+    df = sample(spark).where("y is not null").withColumn("h", F.col("i") % 4)
     pred = models.baseline_linear_logo(df, "h", "x", "y").toPandas()
     for h, sub in pred.groupby("h"):
         rest = pred[pred.h != h]
@@ -87,11 +121,11 @@ def test_leave_one_out_equals_refit(whole):
         assert np.allclose(sub.y_pred, a + b * sub.x)
 
 
-def test_elastic_net_against_numpy(whole):
+def test_elastic_net_against_numpy(spark):
     rng = np.random.default_rng(0)
     x = rng.normal(size=(60, 3))
     y = x @ [2.0, 0.0, -1.0] + 0.1 * rng.normal(size=60)
-    df = whole.createDataFrame([(int(i % 3), x[i].tolist(), float(y[i])) for i in range(60)], "fold int, x array<double>, y double")
+    df = spark.createDataFrame([(int(i % 3), x[i].tolist(), float(y[i])) for i in range(60)], "fold int, x array<double>, y double")
     fits = {r["fold"]: r for r in models.elasticnet_nested(df, "x", "y", n_folds=3, alphas=(0.0001,), l1_ratios=(0.5,)).collect()}
     for f, r in fits.items():
         keep = np.arange(60) % 3 != f
@@ -99,9 +133,9 @@ def test_elastic_net_against_numpy(whole):
         assert np.allclose([*r["coef"], r["intercept"]], ols, atol=5e-3)
 
 
-def test_missing_features_take_training_medians(whole):
+def test_missing_features_take_training_medians(spark):
     rows = [(i % 2, None if i in (1, 4) else float(i * i % 7), float(3 * (i * i % 7) + i % 3)) for i in range(20)]
-    df = whole.createDataFrame(rows, "fold int, a double, y double").withColumn("x", F.array("a"))
+    df = spark.createDataFrame(rows, "fold int, a double, y double").withColumn("x", F.array("a"))
     med = models.training_medians(df, "fold", ["a"], 2)
     exp = {f: float(np.median([a for g, a, _ in rows if g != f and a is not None])) for f in (0, 1)}
     assert {r["held_out"]: r["median"] for r in med.collect() if r["held_out"] >= 0} == exp
@@ -112,13 +146,13 @@ def test_missing_features_take_training_medians(whole):
         assert np.allclose([r["coef"][0], r["intercept"]], np.polyfit(a, y, 1), atol=1e-3)
 
 
-def test_permutation_p_in_range(whole):
-    out = resample.permutation_correlation(sample(whole), ["g"], "x", "y", ["i"], 19).collect()
+def test_permutation_p_in_range(spark):
+    out = resample.permutation_correlation(sample(spark), ["g"], "x", "y", ["i"], 19).collect()
     assert len(out) == 2 and all(1 / 20 <= r["p_perm"] <= 1 for r in out)
 
 
-def test_within_group_shuffle_moves_values(whole):
-    df = sample(whole).where("y is not null")
+def test_within_group_shuffle_moves_values(spark):
+    df = sample(spark).where("y is not null")
     p = resample.permuted(df, ["g"], "y", ["i"], 3, 42)
     sums = p.groupBy("g", "rep").agg(F.round(F.sum("y"), 6).alias("s")).groupBy("g").agg(F.count_distinct("s").alias("d"), F.count("s").alias("n")).collect()
     assert all(r["d"] == 1 and r["n"] == 3 for r in sums)
@@ -127,21 +161,21 @@ def test_within_group_shuffle_moves_values(whole):
     assert moved > 100
 
 
-def test_mixed_model_recovers_slope(whole):
+def test_mixed_model_recovers_slope(spark):
     rng = np.random.default_rng(2)
     u = rng.normal(size=30) * 2
     data = [(s, float(t), float(0.5 * t + u[s] + 0.3 * rng.normal())) for s in range(30) for t in range(8)]
-    r = resample.mixed_random_intercept(whole.createDataFrame(data, "s int, x double, y double"), "s", "x", "y").first()
+    r = resample.mixed_random_intercept(spark.createDataFrame(data, "s int, x double, y double"), "s", "x", "y").first()
     assert abs(r["beta"] - 0.5) < 0.03 and r["converged"] and 1 < r["var_subject"] < 9 and abs(r["var_residual"] - 0.09) < 0.03
 
 
-def test_glm_against_numpy(whole):
+def test_glm_against_numpy(spark):
     from dosewise.operators.linear import glm_fit
 
     rng = np.random.default_rng(4)
     a, y = rng.normal(size=20), rng.normal(size=(20, 2))
-    design = whole.createDataFrame([(1, i, float(a[i]), 1.0) for i in range(20)], "run int, volume int, a double, one double")
-    data = whole.createDataFrame([(1, i, c, float(y[i, c])) for i in range(20) for c in range(2)], "run int, volume int, cell int, value double")
+    design = spark.createDataFrame([(1, i, float(a[i]), 1.0) for i in range(20)], "run int, volume int, a double, one double")
+    data = spark.createDataFrame([(1, i, c, float(y[i, c])) for i in range(20) for c in range(2)], "run int, volume int, cell int, value double")
     for r in glm_fit(design, data, ["run"], ["cell"], ["a", "one"]).collect():
         b = np.linalg.lstsq(np.c_[a, np.ones(20)], y[:, r["cell"]], rcond=None)[0]
         assert np.allclose([r["beta_a"], r["beta_one"]], b) and r["dof"] == 18
