@@ -115,7 +115,7 @@ CLAUSES = [
     ("cc0-1.0", "to the extent possible under law .{1,80}? has waived all copyright"),
     ("gfdl", "permission is granted to copy distribute and or modify this document"),
     ("reserved", "no part of this (?:publication|book|work) may be reproduced"),
-    ("reserved", "unauthorized (?:copying|reproduction|distribution) .{0,60}?prohibited"),
+    ("reserved", "unauthorized (?:copying|reproduction|distribution) .{0,60}? ?prohibited"),
     ("proprietary", "this (?:document|file|software) contains proprietary"),
     ("trademark", "is a registered trademark of"),
 ]

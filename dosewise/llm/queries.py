@@ -1,6 +1,6 @@
 """Registered queries of this subpackage: each applies one operator to its whole table."""
 
-from . import bpe, html_diff, licenses, mixing, partenum, quality, sharding, syncmers, toxicity, warc
+from . import bpe, html_diff, licenses, mixing, oracles, partenum, quality, sharding, syncmers, toxicity, warc
 
 QUERIES = {}
 ORACLE = {}
@@ -19,13 +19,13 @@ def table(spark, sf_dir, name):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-@query()
+@query(oracles.MIX)
 def op1_source_mix(spark, sf_dir):
     plan = mixing.mix_plan(table(spark, sf_dir, "documents"))
     return plan.select("doc_id", "size", "source_size", "target", "taken")
 
 
-@query()
+@query(oracles.QUALITY)
 def op4_adaptive_quality(spark, sf_dir):
     verdicts = quality.judge(table(spark, sf_dir, "documents"))
     return verdicts.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -36,7 +36,7 @@ def op5_hypergeometric_shards(spark, sf_dir):
     return sharding.shuffle_into_shards(table(spark, sf_dir, "documents"), 40)
 
 
-@query()
+@query(oracles.WARC)
 def op8_warc_round_trip(spark, sf_dir):
     records = warc.round_trip(table(spark, sf_dir, "pages"))
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -60,7 +60,7 @@ def op7_toxic_spans(spark, sf_dir):
     return toxicity.score(docs, model).select("doc_id", "held_out", "score", "predicted")
 
 
-@query()
+@query(oracles.GROUPS)
 def op6_partenum_groups(spark, sf_dir):
     return partenum.groups(table(spark, sf_dir, "documents"))
 
