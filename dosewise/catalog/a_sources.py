@@ -29,7 +29,7 @@ def _(s, d):
     for version, factor in (("old", 1), ("new", 2)):
         part = tr.select("subject", "run", "trial_idx", (F.col("rating") * factor).alias("rating"), F.concat(F.lit(f"{version}_run-"), F.col("run")).alias("file"))
         part.repartition("file").write.partitionBy("file").option("header", True).csv(f"{path}/{version}")
-    return S.scan_behavior_latest(s, path, "subject bigint, run int, trial_idx bigint, rating double", []).select("subject", "run", "trial_idx", "rating")
+    return S.scan_behavior_latest(s, path, "subject bigint, run int, trial_idx bigint, rating double")
 
 
 RECORDS = """rec AS (SELECT event_type AS model, user_id % 40 AS fold, event_id, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events)"""
@@ -41,9 +41,10 @@ def _(s, d):
     k = F.get_json_object("props", "$.k").cast("int")
     ev = fx.table(s, d, "events").withColumn("k", k)
     params = F.create_map(F.lit("alpha"), F.concat(F.when(F.col("k") % 3 == 0, "a").otherwise("b"), F.col("k")))
-    rec = F.to_json(F.struct(F.col("event_type").alias("model"), (F.col("user_id") % 40).alias("fold"), F.when(F.col("k") % 3 == 0, params).alias("best_params"), F.when(F.col("k") % 3 != 0, params).alias("best_params_by_r")))
-    lines = ev.select(F.col("event_id").alias("line_no"), F.when(F.col("k") % 5 == 0, F.concat(F.lit("{broken"), rec)).otherwise(rec).alias("record"))
-    return S.scan_json_records(lines, ["model", "fold"]).select("model", "fold", F.col("params")["alpha"].alias("alpha"), "line_no")
+    rec = F.to_json(F.struct(F.col("event_type").alias("model"), (F.col("user_id") % 40).alias("fold"), F.when(F.col("k") % 3 == 0, params).alias("best_params"), F.when(F.col("k") % 3 != 0, params).alias("best_params_by_r"), F.col("event_id").alias("best_score_r")))
+    path = scratch_path(s, "records")
+    ev.repartitionByRange(4, "event_id").sortWithinPartitions("event_id").select(F.when(F.col("k") % 5 == 0, F.concat(F.lit("{broken"), rec)).otherwise(rec).alias("value")).write.text(path)
+    return S.read_json_records(s, path, ["model", "fold"]).select("model", "fold", F.col("params")["alpha"].alias("alpha"), F.col("best_score_r").cast("long").alias("line_no"))
 
 
 @query("scan_tensor_long", sql("", "SELECT vec_id, CAST(i // 16 AS INTEGER) AS channel, CAST(i % 16 AS INTEGER) AS t, embedding[i + 1]::DOUBLE AS value FROM embeddings, range(0, 64) r(i)", "vec_id, channel, t", "value"))
@@ -62,6 +63,18 @@ def _(s, d):
     return S.file_inventory(tr, files, ["view", "click", "signup", "error"])
 
 
+@query("file_inventory_folder", sql(T, """SELECT r.run, bool_and(c.n IS NOT NULL) AS complete, count(c.n) AS n_found, sum(c.n)::BIGINT AS n_rows, coalesce(string_agg(r.kind, '|' ORDER BY r.kind) FILTER (c.n IS NULL), '') AS missing, 1 AS runs_complete
+  FROM (SELECT * FROM (SELECT DISTINCT run FROM trials), (VALUES ('view'), ('click'), ('signup'), ('error')) kd(kind)) r
+  LEFT JOIN (SELECT run, trial_type AS kind, count(*) AS n FROM trials GROUP BY 1, 2) c ON c.run = r.run AND c.kind = r.kind GROUP BY r.run""", "run, complete, n_found, n_rows, missing"))
+def _(s, d):
+    """A folder of files per run and kind of event, listed and counted."""
+    tr = fx.trials(s, d)
+    path = scratch_path(s, "runs")
+    tr.select("subject", "trial_idx", "rating", F.concat_ws("-", "run", "trial_type").alias("name")).repartition("name").write.partitionBy("name").option("header", True).csv(path)
+    files = S.files_with_counts(s, path, r"name=(\d+)-(\w+)", ["run", "kind"]).select(F.col("run").cast("int"), "kind", "n_rows")
+    return S.file_inventory(tr, files, ["view", "click", "signup", "error"], ["run"]).drop("runs_complete")
+
+
 @query("sink_delimited", sql(T, "SELECT subject, trial_idx, score, CASE WHEN k > 50 THEN rating END AS rating FROM trials", "subject, trial_idx", "score rating"))
 def _(s, d):
     path = scratch_path(s, "report")

@@ -8,8 +8,6 @@ from ..plans.shapes import with_totals
 
 # Column aliases and regions used by the experiment's tables.
 TEMPERATURE_ALIASES = ["stimulus_temp", "stimulus_temperature", "temp", "temperature", "temp_celsius"]
-RATING_ALIASES = ["vas_final_coded_rating", "vas_final_rating", "vas_rating", "vas", "rating"]
-PAIN_ALIASES = ["pain_binary_coded", "pain_binary", "pain"]
 PREFIX_REGIONS = {
     "Frontal": ["FP", "AF", "F"],
     "Central": ["C", "CZ"],

@@ -37,11 +37,6 @@ def design_matrix(events, keys, tr, n_volumes, name="trial_type", onset="onset",
     return rows.groupBy(*keys, "volume", name).agg(F.sum(hrf_step(lag) - hrf_step(lag - F.col(duration))).alias("value"))
 
 
-def design_wide(design, keys, names, name="trial_type"):
-    """One row per volume with one column per regressor."""
-    return design.groupBy(*keys, "volume").pivot(name, list(names)).agg(F.sum("value")).fillna(0.0, list(names))
-
-
 def trial_design(events, keys, subject, run, is_trial, order, tr, n_volumes, nuisance="trial_type"):
     """One regressor per trial plus the nuisance types; the trial number runs on over the subject's runs."""
     trials = with_index(events.where(is_trial), [subject], [run, *order], "trial_idx_global")

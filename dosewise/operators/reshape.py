@@ -45,11 +45,6 @@ def features_long_to_wide(df, keys, names=None, prefix="pow"):
     return named.groupBy(*keys).pivot("__name", names).agg(F.max("power"))
 
 
-def score_matrix_long(df, keys=()):
-    """Mean score per train and test time (6 decimals); the form to keep at scale."""
-    return df.groupBy(*keys, F.round("t_train", 6).alias("t_train"), F.round("t_test", 6).alias("t_test")).agg(F.avg("score").alias("score"))
-
-
 def pivot_mean_matrix(df, test_times=None):
     values = None if test_times is None else [str(float(t)) for t in test_times]
     named = df.withColumns({"t_train": F.round("t_train", 6), "__t": F.round("t_test", 6).cast("string")})

@@ -35,7 +35,7 @@ def join_keys(left, right, keys, how="inner"):
 
 def _sliced(df, keys, order):
     """``df`` with ``__slice`` and ``__tie``: ordered slices of the rows, stored; a group may lie in one or in many."""
-    tied = once(df).withColumn("__tie", F.xxhash64(*df.columns))
+    tied = df.withColumn("__tie", F.xxhash64(*df.columns))
     return stored(tied.repartitionByRange(*keys, *order, "__tie").withColumn("__slice", F.spark_partition_id()), "slices")
 
 
@@ -145,10 +145,15 @@ def with_midrank(df, keys, cols):
     """
     keys = list(keys)
     df = once(df)
-    for x, out in cols.items():
-        vc = df.where(F.col(x).isNotNull()).groupBy(*keys, x).agg(F.count(F.lit(1)).alias("__n"))
-        vc = ordered_scan(vc, keys, [x], {"__b": ("sum_before", "__n")})
-        df = join_keys(df, vc.select(*keys, x, (F.col("__b") + (F.col("__n") + 1) / 2.0).alias(out)), keys + [x], "left")
+    kinds = dict(df.dtypes)
+    common = kinds[next(iter(cols))] if len({kinds[x] for x in cols}) == 1 else "double"
+    values = F.explode(F.array(*[F.struct(F.lit(k).alias("__col"), F.col(x).cast(common).alias("__x")) for k, x in enumerate(cols)]))
+    vc = df.select(*keys, values.alias("__v")).select(*keys, "__v.*").where(F.col("__x").isNotNull())
+    vc = vc.groupBy(*keys, "__col", "__x").agg(F.count(F.lit(1)).alias("__n"))
+    vc = once(ordered_scan(vc, [*keys, "__col"], ["__x"], {"__b": ("sum_before", "__n")}))
+    for k, (x, out) in enumerate(cols.items()):
+        own = vc.where(F.col("__col") == k).select(*keys, F.col("__x").alias("__own"), (F.col("__b") + (F.col("__n") + 1) / 2.0).alias(out))
+        df = join_keys(df.withColumn("__own", F.col(x).cast(common)), own, [*keys, "__own"], "left").drop("__own")
     return df
 
 

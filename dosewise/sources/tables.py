@@ -28,26 +28,30 @@ def path_exists(spark, path):
     return bool(fs.globStatus(jpath)) if any(c in path for c in "*?[{") else fs.exists(jpath)
 
 
-def latest_by_run(raw, keys, file="file", mtime="mtime"):
-    """Rows of the newest file per run; the run number is in the path, and files without one come in by name.
+def list_files(spark, path, pattern, names):
+    """One row per file below a folder: path, length, modification time and the groups of ``pattern`` found in its path.
 
-    Files are compared on a table of one row per file.
+    File contents are not read.
     """
-    run = F.regexp_extract(file, r"(?i)run-?0*(\d+)(?!\d)", 1)
-    raw = raw.withColumn("file_run", F.when(run != "", run.try_cast("int")))
-    files = raw.groupBy("file_run", *[k for k in keys if k != "run"], file).agg(F.first(mtime).alias(mtime))
-    order = F.when(F.col("file_run").isNotNull(), F.unix_micros(mtime)).otherwise(F.lit(0))
-    best = F.max_by(file, F.struct(order, F.when(F.col("file_run").isNotNull(), F.col(file))))
-    first = F.min(file)
-    pick = files.groupBy("file_run", *[k for k in keys if k != "run"]).agg(best.alias("__best"), first.alias("__first"))
-    pick = pick.select(F.when(F.col("file_run").isNotNull(), F.col("__best")).otherwise(F.col("__first")).alias(file))
-    return raw.join(pick, file, "left_semi").drop(mtime)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    return files.select("path", "length", "modificationTime", *[F.regexp_extract("path", pattern, i + 1).alias(n) for i, n in enumerate(names)])
 
 
-def scan_behavior_latest(spark, path, schema, keys=("subject",)):
-    """The newest trial-summary file per (subject, run)."""
-    raw = spark.read.schema(schema).option("header", True).option("recursiveFileLookup", True).csv(path)
-    return latest_by_run(raw.select("*", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_modification_time").alias("mtime")), list(keys))
+def latest_by_run(files, keys):
+    """Paths of the newest file per run from a file list; the run number is in the path, and of files without one the first by name."""
+    run = F.regexp_extract("path", r"(?i)run-?0*(\d+)(?!\d)", 1)
+    files = files.withColumn("file_run", F.when(run != "", run.try_cast("int")))
+    best = F.max_by("path", F.struct("modificationTime", "path"))
+    return files.groupBy("file_run", *keys).agg(F.when(F.col("file_run").isNotNull(), best).otherwise(F.min("path")).alias("path"))
+
+
+def scan_behavior_latest(spark, path, schema, pattern="()", keys=()):
+    """The newest trial-summary file per run, and per the groups of ``pattern`` named by ``keys``; no other file is opened."""
+    chosen = latest_by_run(list_files(spark, path, pattern, list(keys)), list(keys))
+    paths = [r["path"] for r in chosen.select("path").collect()]  # one path per run, as a file list already is on the driver
+    if not paths:
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).option("header", True).csv(paths)
 
 
 def scan_json_records(df, keys, line="line_no", text="record"):
@@ -58,7 +62,15 @@ def scan_json_records(df, keys, line="line_no", text="record"):
     rec = F.from_json(text, "model string, fold bigint, heldout_subject string, best_params map<string,string>, best_params_by_r map<string,string>, best_score_r double",
                       {"mode": "PERMISSIVE"})
     rows = df.select(line, rec.alias("r")).select(line, "r.*").withColumn("params", F.coalesce("best_params", "best_params_by_r")).where("params is not null")
-    return rows.groupBy(*keys).agg(F.max_by("params", line).alias("params"), F.max(line).alias(line))
+    return rows.groupBy(*keys).agg(F.max_by("params", line).alias("params"), F.max_by("best_score_r", line).alias("best_score_r"))
+
+
+def read_json_records(spark, path, keys):
+    """The same from files of JSON lines; later lines win, and later files by name."""
+    lines = spark.read.text(path).select(
+        F.struct(F.col("_metadata.file_path"), F.col("_metadata.file_block_start"), F.monotonically_increasing_id()).alias("line_no"), F.col("value").alias("record")
+    )
+    return scan_json_records(lines, keys)
 
 
 def scan_tensor_long(df, keys, column, axes):
@@ -72,7 +84,7 @@ def scan_tensor_long(df, keys, column, axes):
 def file_inventory(runs, files, kinds, keys=("subject", "run")):
     """Required files per run with an exists flag and size; a run is complete when all exist.
 
-    ``files`` holds (keys, kind, n_rows); see ``list_files`` for reading a folder.
+    ``files`` holds (keys, kind, n_rows), as ``files_with_counts`` reads them from a folder.
     """
     want = runs.select(*keys).distinct().withColumn("kind", F.explode(F.array(*[F.lit(k) for k in kinds])))
     j = join_keys(want, files.withColumn("found", F.lit(True)), [*keys, "kind"], "left").withColumn("found", F.coalesce("found", F.lit(False)))
@@ -81,10 +93,13 @@ def file_inventory(runs, files, kinds, keys=("subject", "run")):
     return with_totals(g, [keys[0]], {"runs_complete": F.count_if("complete")})
 
 
-def list_files(spark, path, pattern):
-    """Paths below a folder with the groups of ``pattern``; file contents are not read."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "length")
-    return files.select("path", "length", *[F.regexp_extract("path", pattern, i).alias(f"g{i}") for i in (1, 2)])
+def files_with_counts(spark, path, pattern, names):
+    """The files below a folder of delimited tables, summed by the groups of ``pattern``: files, bytes, rows, columns."""
+    counts = spark.read.option("header", True).option("recursiveFileLookup", True).csv(path)
+    n_columns = len(counts.columns)
+    counts = counts.groupBy(F.col("_metadata.file_path").alias("path")).agg(F.count(F.lit(1)).alias("n"))
+    files = list_files(spark, path, pattern, names).join(counts, "path", "left")
+    return files.groupBy(*names).agg(F.count(F.lit(1)).alias("n_files"), F.sum("length").alias("bytes"), F.coalesce(F.sum("n"), F.lit(0)).alias("n_rows")).withColumn("n_columns", F.lit(n_columns))
 
 
 def sink_delimited(df, path, digits=6, sep="\t", mode="error"):

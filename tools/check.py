@@ -39,7 +39,6 @@ def main():
     ap.add_argument("names", nargs="*")
     ap.add_argument("--sf", default="0.01")
     ap.add_argument("--slow", type=float, default=0)
-    ap.add_argument("--split", action="store_true", help="force the plan for large inputs, with groups above 20 rows cut into slices")
     args = ap.parse_args()
     import duckdb
 
@@ -48,9 +47,6 @@ def main():
     sf_dir = f"/root/testdata/sf{args.sf}"
     spark = get_session("local[8]", 8)
     spark.sparkContext.setLogLevel("OFF")
-    if args.split:
-        spark.conf.set("spark.dosewise.splitBytes", "-1")
-        spark.conf.set("spark.dosewise.groupRows", "20")
     con = duckdb.connect()
     con.execute("set timezone='UTC'")
     for t in TABLES:
