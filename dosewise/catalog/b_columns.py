@@ -52,13 +52,14 @@ def _(s, d):
     return C.parse_run_number(C.parse_feature_name(ev)).select("event_id", "band", "channel", "run")
 
 
-@query("select_band_columns", sql("", "SELECT vec_id, embedding[1]::DOUBLE AS alpha_power_c1, embedding[2]::DOUBLE AS pow_alpha_c0, embedding[3]::DOUBLE AS pow_beta_c0 FROM embeddings",
-                                  "vec_id", "alpha_power_c1 pow_alpha_c0 pow_beta_c0"))
+# One name per vector element: four bands in turn, and both forms of the name for the first.
+ELEMENTS = [f"alpha_power_c{i}" if i % 8 == 4 else f"pow_{('alpha', 'beta', 'gamma', 'delta')[i % 4]}_c{i}" for i in range(64)]
+CHOSEN = [n for n in ELEMENTS if "alpha" in n or "beta" in n]
+
+
+@query("select_band_columns", sql("", "SELECT vec_id, " + ", ".join(f"embedding[{ELEMENTS.index(n) + 1}]::DOUBLE AS {n}" for n in CHOSEN) + " FROM embeddings", "vec_id", " ".join(CHOSEN)))
 def _(s, d):
-    e = F.col("embedding")
-    wide = fx.table(s, d, "embeddings").select(
-        "vec_id", e[2].cast("double").alias("pow_beta_c0"), e[3].cast("double").alias("pow_gamma_c0"),
-        e[1].cast("double").alias("pow_alpha_c0"), e[0].cast("double").alias("alpha_power_c1"))
+    wide = fx.table(s, d, "embeddings").select("vec_id", *[F.col("embedding")[i].cast("double").alias(n) for i, n in enumerate(ELEMENTS)])
     return C.select_band_columns(wide, ["alpha", "beta"], keep=["vec_id"])
 
 

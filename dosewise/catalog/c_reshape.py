@@ -33,14 +33,14 @@ def _(s, d):
     return R.trials_to_events(phases(s, d))
 
 
-@query("features_wide_to_long", sql("", """SELECT vec_id, 'alpha' AS band, 'c' || (i - 1) AS channel, embedding[i]::DOUBLE AS power FROM embeddings, range(1, 4) r(i)
-  UNION ALL SELECT vec_id, 'low_beta', 'c' || (i - 4), embedding[i]::DOUBLE FROM embeddings, range(4, 7) r(i)""", "vec_id, band, channel", "power"))
+@query("features_wide_to_long", sql("", """SELECT vec_id, 'alpha' AS band, 'c' || (i - 1) AS channel, embedding[i]::DOUBLE AS power FROM embeddings, range(1, 33) r(i)
+  UNION ALL SELECT vec_id, 'low_beta', 'c' || (i - 33), embedding[i]::DOUBLE FROM embeddings, range(33, 65) r(i)""", "vec_id, band, channel", "power"))
 def _(s, d):
     e = F.col("embedding")
     wide = fx.table(s, d, "embeddings").select(
-        "vec_id", *[e[i].cast("double").alias(f"pow_alpha_c{i}") for i in range(3)], *[e[i].cast("double").alias(f"pow_low_beta_c{i - 3}") for i in range(3, 6)])
+        "vec_id", *[e[i].cast("double").alias(f"pow_alpha_c{i}") for i in range(32)], *[e[i].cast("double").alias(f"pow_low_beta_c{i - 32}") for i in range(32, 64)])
     long = R.features_wide_to_long(wide, ["vec_id"])
-    names = [f"pow_{b}_c{i}" for b in ("alpha", "low_beta") for i in range(3)]
+    names = [f"pow_{b}_c{i}" for b in ("alpha", "low_beta") for i in range(32)]
     return R.features_wide_to_long(R.features_long_to_wide(long, ["vec_id"], names), ["vec_id"])
 
 
@@ -89,12 +89,14 @@ def _(s, d):
     return R.best_params_long(rec)
 
 
-@query("metrics_wide", sql(T, "SELECT subject, " + ", ".join(f"avg(score) FILTER (trial_type = '{m}') AS r__{m}, max(rating) FILTER (trial_type = '{m}') AS top__{m}" for m in ("view", "click", "error")) +
-                           " FROM trials WHERE trial_type IN ('view', 'click', 'error') GROUP BY 1", "subject", " ".join(f"r__{m} top__{m}" for m in ("view", "click", "error"))))
+KINDS = ["view", "click", "error", "purchase", "signup"]
+
+
+@query("metrics_wide", sql(T, "SELECT subject, " + ", ".join(f"avg(score) FILTER (trial_type = '{m}') AS r__{m}, max(rating) FILTER (trial_type = '{m}') AS top__{m}" for m in KINDS) +
+                           " FROM trials GROUP BY 1", "subject", " ".join(f"r__{m} top__{m}" for m in KINDS)))
 def _(s, d):
-    m = fx.trials(s, d).where(F.col("trial_type").isin("view", "click", "error")).groupBy("subject", F.col("trial_type").alias("model")).agg(
-        F.avg("score").alias("r"), F.max("rating").alias("top"))
-    return R.metrics_wide(m, ["r", "top"], ["view", "click", "error"])
+    m = fx.trials(s, d).groupBy("subject", F.col("trial_type").alias("model")).agg(F.avg("score").alias("r"), F.max("rating").alias("top"))
+    return R.metrics_wide(m, ["r", "top"], KINDS)
 
 
 @query("common_channels", sql(FE, """SELECT channel, count(DISTINCT subject) AS n_subjects FROM features f WHERE NOT (subject = 3 AND freq > 9) AND NOT (subject = 5 AND channel IN ('c1', 'c2') AND band = 'b4')

@@ -10,7 +10,7 @@ from .registry import query, sql, sql_n, sql_r, sql_r_p
 
 FE = fx.SQL_FEATURES
 COR = FE + f""", c0 AS (SELECT band, channel, {sql_n('power', 'rating')} AS n, {sql_r('power', 'rating')} AS r FROM features GROUP BY 1, 2), cor AS (SELECT *, {sql_r_p('r', 'n')} AS p FROM c0)"""
-EDGE = FE + f""", e0 AS (SELECT a.band, a.channel AS node_a, b.channel AS node_b, {sql_n('a.power', 'b.power')} AS n, {sql_r('a.power', 'b.power')} AS r FROM features a JOIN features b ON a.trial = b.trial AND a.band = b.band AND a.freq < b.freq AND b.freq - a.freq <= 3 GROUP BY 1, 2, 3),
+EDGE = FE + f""", e0 AS (SELECT a.band, a.channel AS node_a, b.channel AS node_b, {sql_n('a.power', 'b.power')} AS n, {sql_r('a.power', 'b.power')} AS r FROM features a JOIN features b ON a.trial = b.trial AND a.band = b.band AND a.freq < b.freq GROUP BY 1, 2, 3),
   edges AS (SELECT *, {sql_r_p('r', 'n')} AS p FROM e0)"""
 
 
@@ -19,9 +19,9 @@ def correlations(s, d):
 
 
 def edges(s, d):
-    """Neighbouring channels (at most three apart) of a band as pairs."""
+    """All pairs of channels of a band (thirteen channels at most)."""
     f = fx.features(s, d)
-    a = f.select("trial", "band", F.col("channel").alias("node_a"), F.col("power").alias("x"), F.explode(F.array(*[F.col("freq") + i for i in (1, 2, 3)])).alias("freq"))
+    a = f.select("trial", "band", F.col("channel").alias("node_a"), F.col("power").alias("x"), F.explode(F.array(*[F.col("freq") + i for i in range(1, 13)])).alias("freq"))
     b = f.select("trial", "band", F.col("channel").alias("node_b"), F.col("power").alias("y"), "freq")
     return r_with_p(a.join(b, ["trial", "band", "freq"]).groupBy("band", "node_a", "node_b").agg(*pair_aggs("x", "y")))
 

@@ -206,9 +206,9 @@ def _(s, d):
     return H.global_fdr(_result_tables(s, d)).drop("p", "p_perm")
 
 
-@query("within_subject_correlations", sql(T + f", c AS (SELECT subject, {sql_n('temp', 'score')} AS n, {sql_r('temp', 'score', 3)} AS r FROM trials WHERE pain = 1 GROUP BY 1)", f"SELECT *, {sql_r_p('r', 'n')} AS p FROM c", "subject, n", "r p"))
+@query("within_subject_correlations", sql(T + f", c AS (SELECT subject, {sql_n('temp', 'score')} AS n, {sql_r('temp', 'score', 3)} AS r FROM trials GROUP BY 1)", f"SELECT *, {sql_r_p('r', 'n')} AS p FROM c", "subject, n", "r p"))
 def _(s, d):
-    return H.within_subject_correlations(fx.trials(s, d).where("pain = 1"), "subject", "temp", "score")
+    return H.within_subject_correlations(fx.trials(s, d), "subject", "temp", "score")
 
 
 @query("pooled_group_correlation", sql(T + """, ok AS (SELECT subject, k * 1.0::DOUBLE AS x, level + rating AS y FROM trials QUALIFY count(*) OVER (PARTITION BY subject) >= 5), z AS (SELECT subject, x, y, avg(x) OVER w AS mx, avg(y) OVER w AS my, stddev_samp(x) OVER w AS sx, stddev_samp(y) OVER w AS sy FROM ok WINDOW w AS (PARTITION BY subject)),
@@ -262,22 +262,21 @@ DESIGN = """dz AS (SELECT subject, trial_idx // 5 AS volume, trial_type AS name,
 
 
 @query("design_correlations", sql(T + "," + DESIGN + f", pr AS (SELECT a.subject, a.name AS a, b.name AS b, {sql_r('a.value', 'b.value')} AS r, {sql_n('a.value', 'b.value')} AS n FROM dz a JOIN dz b ON a.subject = b.subject AND a.volume = b.volume AND a.name < b.name GROUP BY 1, 2, 3)",
-                                  "SELECT subject, a, b, r, n, coalesce(abs(r) > 0.2, false) AS flagged FROM pr", "subject, a, b, n, flagged", "r"))
+                                  "SELECT s.subject, x.name AS a, y.name AS b, r, coalesce(n, 0) AS n, coalesce(abs(r) > 0.2, false) AS flagged FROM (SELECT DISTINCT subject FROM trials) s JOIN (SELECT DISTINCT trial_type AS name FROM trials) x ON true JOIN (SELECT DISTINCT trial_type AS name FROM trials) y ON x.name < y.name LEFT JOIN pr ON pr.subject = s.subject AND pr.a = x.name AND pr.b = y.name", "subject, a, b, n, flagged", "r"))
 def _(s, d):
     dz = fx.trials(s, d).groupBy("subject", F.floor(F.col("trial_idx") / 5).alias("volume"), F.col("trial_type").alias("name")).agg((F.max("k") / 10).alias("value"))
-    out = H.design_correlations(dz, ["subject"], ["click", "error", "purchase", "signup", "view"])
-    return out.where("n > 0")
+    return H.design_correlations(dz, ["subject"], ["click", "error", "purchase", "signup", "view"])
 
 
-SCORES = CE + ", sc AS (SELECT subject, cell // 8 / 10 AS t_train, cell % 8 / 10 AS t_test, avg(v) AS score FROM cells WHERE NOT (subject = 2 AND cell > 50) GROUP BY ALL)"
+SCORES = CE + ", sc AS (SELECT subject, cell // 8 / 10 AS t_train, cell % 8 / 10 AS t_test, avg(CASE WHEN NOT (subject = 2 AND cell > 50) THEN v END) AS score FROM cells GROUP BY ALL)"
 
 
 def score_matrix(s, d):
-    return fx.cells(s, d).where("not (subject = 2 and cell > 50)").groupBy("subject", (F.floor(F.col("cell") / 8) / 10).alias("t_train"), (F.col("cell") % 8 / 10).alias("t_test")).agg(F.avg("v").alias("score"))
+    return fx.cells(s, d).withColumn("v", F.expr("case when not (subject = 2 and cell > 50) then v end")).groupBy("subject", (F.floor(F.col("cell") / 8) / 10).alias("t_train"), (F.col("cell") % 8 / 10).alias("t_test")).agg(F.avg("v").alias("score"))
 
 
 @query("group_matrix_average", sql(SCORES, f"""SELECT t_train, t_test, tanh(avg({fz('score')})) AS mean, count(score) AS n, CASE WHEN t_train = t_test THEN stddev_samp({fz('score')}) END AS sd,
-  CASE WHEN t_train = t_test THEN tanh(avg({fz('score')}) - 1.96 * stddev_samp({fz('score')}) / sqrt(count(*))) END AS ci_low, CASE WHEN t_train = t_test THEN tanh(avg({fz('score')}) + 1.96 * stddev_samp({fz('score')}) / sqrt(count(*))) END AS ci_high FROM sc GROUP BY 1, 2""", "t_train, t_test, n", "mean sd ci_low ci_high"))
+  CASE WHEN t_train = t_test THEN tanh(avg({fz('score')}) - 1.96 * stddev_samp({fz('score')}) / sqrt(count(score))) END AS ci_low, CASE WHEN t_train = t_test THEN tanh(avg({fz('score')}) + 1.96 * stddev_samp({fz('score')}) / sqrt(count(score))) END AS ci_high FROM sc GROUP BY 1, 2""", "t_train, t_test, n", "mean sd ci_low ci_high"))
 def _(s, d):
     sc = score_matrix(s, d).withColumn("mode", F.lit("r"))
     g = H.group_matrix_average(sc, config=["mode"])
@@ -313,15 +312,15 @@ def _(s, d):
     return H.channel_power_correlation(fx.features(s, d), covariates={"rating": ["temp"]}, alpha=0.5)
 
 
-CONN = CE + """, conn AS (SELECT a.subject, a.trial, CASE WHEN a.cell < 32 THEN 'aec' ELSE 'wpli' END AS measure, 'n' || (a.cell % 8) AS node_a, 'n' || (a.cell // 8 % 4) AS node_b, v AS value, (trial * 37 % 97)::DOUBLE AS rating FROM cells a WHERE a.cell % 8 > a.cell // 8 % 4 AND NOT (cell = 1 AND trial > 3))"""
+CONN = CE + """, conn AS (SELECT a.subject, a.trial, CASE WHEN a.cell < 32 THEN 'aec' ELSE 'wpli' END AS measure, chr(101 + a.cell % 8) AS node_a, chr(97 + a.cell // 8 % 4) AS node_b, CASE WHEN NOT (cell = 1 AND trial > 3) THEN v END AS value, (trial * 37 % 97)::DOUBLE AS rating FROM cells a)"""
 
 
 def connectivity(s, d):
-    """Node pairs from the cell number: a = cell mod 8, b = cell div 8 mod 4, a > b; one pair is nearly untested."""
-    b = F.floor(F.col("cell") / 8) % 4
-    c = fx.cells(s, d).where((F.col("cell") % 8 > b) & ~((F.col("cell") == 1) & (F.col("trial") > 3)))
-    return c.select("subject", "trial", F.when(F.col("cell") < 32, "aec").otherwise("wpli").alias("measure"), F.concat(F.lit("n"), F.col("cell") % 8).alias("node_a"),
-                    F.concat(F.lit("n"), b).alias("node_b"), F.col("v").alias("value"), (F.col("trial") * 37 % 97).cast("double").alias("rating"))
+    """Every cell as an edge: eight nodes from e on, four from a on, two measures; one pair is nearly untested."""
+    c = fx.cells(s, d)
+    tested = ~((F.col("cell") == 1) & (F.col("trial") > 3))
+    return c.select("subject", "trial", F.when(F.col("cell") < 32, "aec").otherwise("wpli").alias("measure"), F.char(F.col("cell") % 8 + 101).alias("node_a"),
+                    F.char(F.floor(F.col("cell") / 8) % 4 + 97).alias("node_b"), F.when(tested, F.col("v")).alias("value"), (F.col("trial") * 37 % 97).cast("double").alias("rating"))
 
 
 @query("edge_correlation", sql(CONN + "," + rank_ctes("ec", "conn", "measure, node_a, node_b", "value", "rating", 5) + "," + bh_ctes("fd", "ec", "measure", "p", 0.5), "SELECT * FROM fd", "measure, node_a, node_b, n, reject", "r p q crit_p"))
@@ -329,13 +328,13 @@ def _(s, d):
     return H.edge_correlation(connectivity(s, d), alpha=0.5)
 
 
-@query("roi_edge_summary", sql(CONN + """, nr AS (SELECT 'n' || i AS node, CASE WHEN i < 4 THEN 'A' ELSE 'B' END AS roi FROM range(0, 8) r(i) UNION ALL SELECT 'n5', 'C'),
+@query("roi_edge_summary", sql(CONN + """, nr AS (SELECT chr((97 + i)::INT) AS node, CASE WHEN i < 4 THEN 'A' ELSE 'B' END AS roi FROM range(0, 12) r(i) UNION ALL SELECT 'f', 'C'),
   e AS (SELECT DISTINCT trial, measure, node_a, node_b, value, least(x.roi, y.roi) AS roi_i, greatest(x.roi, y.roi) AS roi_j FROM conn JOIN nr x ON x.node = node_a JOIN nr y ON y.node = node_b)""",
-  f"SELECT trial, measure, roi_i, roi_j, tanh(avg({fz('value')})) AS value, count(*) AS n_edges FROM e GROUP BY ALL", "trial, measure, roi_i, roi_j, n_edges", "value"))
+  f"SELECT trial, measure, roi_i, roi_j, tanh(avg({fz('value')})) AS value, count(value) AS n_edges FROM e GROUP BY ALL", "trial, measure, roi_i, roi_j, n_edges", "value"))
 def _(s, d):
     e = connectivity(s, d)
     nodes = e.select(F.explode(F.array("node_a", "node_b")).alias("node")).distinct()
-    rois = nodes.select("node", F.explode(F.array_compact(F.array(F.when(F.col("node") < "n4", "A").otherwise("B"), F.when(F.col("node") == "n5", "C")))).alias("roi"))
+    rois = nodes.select("node", F.explode(F.array_compact(F.array(F.when(F.col("node") < "e", "A").otherwise("B"), F.when(F.col("node") == "f", "C")))).alias("roi"))
     return H.roi_edge_summary(e, rois, ["trial", "measure"])
 
 
