@@ -23,9 +23,9 @@ NUM, DEN = 75, 100
 BAND_RATIO = 2.0
 SECOND, LEFT_OUT = 2, 1
 SKETCH_BINS = 128
+COARSE, FINE = 0.2, 0.7
 BLOCK_ROWS = 2048
 BROADCAST_ROWS = 1_000_000
-FLUSH_ROWS = 1 << 21
 
 SPACES, FOLD = space_table(), fold_table()
 STEPS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD], np.uint64)
@@ -62,19 +62,33 @@ def in_stretches(texts, chars=1 << 21):
         yield held
 
 
-def sketch_of(s):
+def sketch_of(s, bins):
     """Counts of the elements by bin, in bytes.  Two sketches are no further apart than their sets."""
-    return np.minimum(np.bincount((s >> np.uint64(32)).astype(np.int64) % SKETCH_BINS, minlength=SKETCH_BINS), 255).astype(np.uint8)
+    return np.minimum(np.bincount((s >> np.uint64(32)).astype(np.int64) % bins, minlength=bins), 255).astype(np.uint8)
+
+
+def bins_for(size, share):
+    """Bins of a sketch: a power of two that follows the set's size, ``share`` bins for each element at least."""
+    return max(SKETCH_BINS, 1 << max(0, int(np.ceil(np.log2(share * max(1, size))))))
+
+
+def folded(sketch, bins):
+    """A sketch in fewer bins: the bins are powers of two, so counts of equal remainders add up."""
+    return sketch.reshape(*sketch.shape[:-1], -1, bins).sum(axis=-2, dtype=np.int16)
+
+
+PROFILE = {"n": "long", "f1": "long", "f2": "long", "sketch": "binary", "fine": "binary"}
 
 
 def profiles(texts):
-    out = {"n": [], "f1": [], "f2": [], "sketch": []}
+    out = {k: [] for k in PROFILE}
     for part in in_stretches(texts):
         for s in shingle_sets(part):
             out["n"].append(len(s))
             out["f1"].append(int(s.sum(dtype=np.uint64).view(np.int64)))
             out["f2"].append(int(mix(s ^ STEPS[4]).sum(dtype=np.uint64).view(np.int64)))
-            out["sketch"].append(sketch_of(s).tobytes())
+            out["sketch"].append(sketch_of(s, bins_for(len(s), COARSE)).tobytes())
+            out["fine"].append(sketch_of(s, bins_for(len(s), FINE)).tobytes())
     return out
 
 
@@ -94,7 +108,7 @@ def most_apart(size, top):
 def partitions(top):
     """First-level partitions for sets of up to ``top`` elements: more second-level partitions than differences, by a margin
     for those in which a set holds nothing."""
-    wanted = max(most_apart(top, top) + 1, top // 3 + 8 if top > 64 else 4 * top if top < 10 else top)
+    wanted = max(most_apart(top, top) + 1, top * 31 // 100 + 8 if top > 64 else 4 * top if top < 10 else top)
     return -(-wanted // SECOND)
 
 
@@ -152,8 +166,13 @@ def set_rows(docs, doc_id, text, fields, make):
 def of_documents(docs, ids, doc_id="doc_id"):
     """The documents whose id is in the stored frame ``ids`` (id).  A list of at most ``BROADCAST_ROWS`` ids, 8 bytes each, is
     sent to every executor; a longer one is joined by a shuffle."""
+    return joined_by_id(docs, ids, doc_id, "left_semi")
+
+
+def joined_by_id(docs, ids, doc_id, how):
     few = ids.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    return docs.join(F.broadcast(ids) if few else ids, F.col(doc_id) == F.col("id"), "left_semi")
+    ids = ids.select(F.col("id").alias("__id"))
+    return docs.join(F.broadcast(ids) if few else ids, F.col(doc_id) == F.col("__id"), how)
 
 
 def signature_rows(docs, doc_id, text):
@@ -169,61 +188,62 @@ def signature_rows(docs, doc_id, text):
 
 
 def stars(rows):
-    """For every signature that two ids share: (sig, rep, other) from one of its ids to each other one.
+    """For every signature that ids share: (rep, other) from the smallest of them to each other one, repeats in a batch left out.
 
-    A task keeps one id for each signature it has seen, so a signature that very many ids share costs it one entry.
+    Each task reads its signatures in order, so it holds a batch and the last smallest id, however many ids share one.
     """
-    fields = {"sig": "long", "rep": "long", "other": "long"}
+    fields = {"rep": "long", "other": "long"}
 
     def run(batches):
-        sig, ids = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        held, size = [], 0
-
-        def merge():
-            nonlocal sig, ids
-            s = np.concatenate([sig, *(h[0] for h in held)])
-            d = np.concatenate([ids, *(h[1] for h in held)])
-            order = np.argsort(s, kind="stable")
-            s, d = s[order], d[order]
-            head = np.flatnonzero(np.diff(s, prepend=s[:1] - 1) != 0) if len(s) else np.zeros(0, int)
-            rep = np.repeat(d[head], np.diff(np.append(head, len(s))))
-            sig, ids = s[head], d[head]
-            apart = d != rep
-            return pa.RecordBatch.from_arrays([pa.array(x[apart]) for x in (s, rep, d)], list(fields))
-
+        last, rep = None, 0
         for batch in batches:
-            held.append([c.to_numpy(zero_copy_only=False) for c in batch.columns])
-            size += batch.num_rows
-            if size >= FLUSH_ROWS:
-                yield merge()
-                held, size = [], 0
-        yield merge()
-
-    return rows.repartition("sig").mapInArrow(run, T.StructType(fields_of(fields)))
+            sig, ids = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+            if not len(sig):
+                continue
+            head = np.flatnonzero(np.append(True, sig[1:] != sig[:-1]))
+            first = ids[head].copy()
+            if last is not None and sig[0] == last:
+                first[0] = rep
+            reps = np.repeat(first, np.diff(np.append(head, len(sig))))
+            last, rep = sig[-1], reps[-1]
+            apart = ids != reps
+            pairs = np.unique(np.stack([reps[apart], ids[apart]], axis=1), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], list(fields))
+
+    ordered = rows.repartition("sig").sortWithinPartitions("sig", "id").select("sig", "id")
+    return ordered.mapInArrow(run, T.StructType(fields_of(fields))).distinct()
 
 
 def may_be_similar(a, b, na, nb):
     """Whether the sketches (bytes) and sizes leave room for the asked similarity; never false for a similar pair."""
-    near = np.abs(a.astype(np.int16) - b.astype(np.int16)).sum(axis=-1, dtype=np.int64) * (DEN + NUM) <= (DEN - NUM) * (na + nb)
-    return near & (np.minimum(na, nb) * DEN >= np.maximum(na, nb) * NUM)
+    close = np.abs(a.astype(np.int16) - b.astype(np.int16)).sum(axis=-1, dtype=np.int64) * (DEN + NUM) <= (DEN - NUM) * (na + nb)
+    return close & (np.minimum(na, nb) * DEN >= np.maximum(na, nb) * NUM)
 
 
-def plausible(pairs, sketches):
-    """The pairs (a, b) whose sketches leave room for similarity."""
-    one = sketches.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
-    two = sketches.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
+def plausible(pairs, sketches, sketch):
+    """The pairs (a, b) whose sketches (in the column ``sketch``) leave room for similarity."""
+    one = sketches.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col(sketch).alias("sa"))
+    two = sketches.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col(sketch).alias("sb"))
     wide = pairs.join(one, "a").join(two, "b").filter(f"least(na, nb) * {DEN} >= greatest(na, nb) * {NUM}")
 
     def run(batches):
         for batch in batches:
-            c = {name: batch.column(k) for k, name in enumerate(batch.schema.names)}
-            a, b = (np.frombuffer(b"".join(c[k].to_pylist()), np.uint8).reshape(-1, SKETCH_BINS) for k in ("sa", "sb"))
-            ok = may_be_similar(a, b, *(c[k].to_numpy(zero_copy_only=False) for k in ("na", "nb")))
-            yield pa.RecordBatch.from_arrays([c["a"].filter(pa.array(ok)), c["b"].filter(pa.array(ok))], ["a", "b"])
+            c = [batch.column(k) for k in range(6)]
+            ok = np.zeros(batch.num_rows, bool)
+            for k, (na, nb, sa, sb) in enumerate(zip(*(x.to_pylist() for x in c[2:]))):
+                x, y = np.frombuffer(sa, np.uint8), np.frombuffer(sb, np.uint8)
+                bins = min(len(x), len(y))
+                ok[k] = may_be_similar(folded(x, bins), folded(y, bins), na, nb)
+            yield pa.RecordBatch.from_arrays([x.filter(pa.array(ok)) for x in c[:2]], ["a", "b"])
 
     return wide.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(run, T.StructType(fields_of({"a": "long", "b": "long"})))
 
 
+def near(pairs, sketches):
+    """Plausible by the coarse sketch, and then by the finer one, which fewer pairs carry."""
+    return plausible(stored(plausible(pairs, sketches, "sketch"), "coarse"), sketches, "fine")
+
+
 def linked(pairs, docs, doc_id, text):
     """The pairs whose sets are similar, by counting their common elements.  Only sets of ids in a pair are built."""
     pairs = stored(pairs, "pairs")
@@ -277,40 +297,43 @@ def components(links):
 
 
 def crossing(star, comps, sketches):
-    """Plausible pairs of ids that share a signature but no component yet (but for those with the star's centre, which are
-    settled).  Buckets with the same ids count once.
+    """Plausible pairs that share a signature but no component yet (but for those with the star's centre, which are settled).
 
-    Pairs are compared inside a task, on sketches, and only plausible ones leave it.  A bucket of more than ``BLOCK_ROWS``
-    ids is cut into chunks, and each pair of chunks is a group of its own.
+    Ids that share a signature are in the star of its smallest id, so the pairs of each star are compared, once for all its
+    signatures.  That happens inside a task, on sketches, and only plausible pairs leave it.  A star of more than
+    ``BLOCK_ROWS`` ids is cut into chunks, and each pair of chunks is a group of its own.
     """
-    placed = star.join(comps.withColumnRenamed("id", "other"), "other", "left").select("sig", "rep", "other", F.coalesce("comp", "other").alias("comp"))
-    buckets = placed.groupBy("sig").agg(
-        F.count(F.lit(1)).alias("n"), F.min("comp").alias("lo"), F.max("comp").alias("hi"),
-        F.bit_xor(F.xxhash64(F.lit(1), "other")).alias("x1"), F.bit_xor(F.xxhash64(F.lit(2), "other")).alias("x2"),
-    ).filter("lo < hi")
-    live = buckets.groupBy("n", "x1", "x2").agg(F.min("sig").alias("sig")).select("sig", F.ceil(F.col("n") / BLOCK_ROWS).cast("int").alias("chunks"))
-    members = placed.join(live, "sig").withColumn("own", F.pmod(F.xxhash64("other"), F.col("chunks")).cast("int"))
-    members = members.withColumn("mate", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    members = members.select("sig", F.least("own", "mate").alias("i"), F.greatest("own", "mate").alias("j"), F.col("other").alias("id"), "comp")
-    wide = members.distinct().join(sketches.select("id", "n", "sketch"), "id").select("sig", "i", "j", "id", "comp", "n", "sketch")
+    placed = star.join(comps.withColumnRenamed("id", "other"), "other", "left").select("rep", "other", F.coalesce("comp", "other").alias("comp"))
+    live = placed.groupBy("rep").agg(F.count(F.lit(1)).alias("n"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi")
+    members = placed.join(live.select("rep", F.ceil(F.col("n") / BLOCK_ROWS).cast("int").alias("chunks")), "rep")
+    members = members.withColumn("own", F.pmod(F.xxhash64("other"), F.col("chunks")).cast("int")).withColumn("mate", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    members = members.select("rep", F.least("own", "mate").alias("i"), F.greatest("own", "mate").alias("j"), F.col("other").alias("id"), "comp")
+    wide = members.join(sketches.select("id", "n", "sketch"), "id").select("rep", "i", "j", "id", "comp", "n", "sketch")
 
     def compare(group):
         n, comp, ids = (group.column(k).to_numpy(zero_copy_only=False) for k in ("n", "comp", "id"))
-        sketch = np.frombuffer(b"".join(group.column("sketch").to_pylist()), np.uint8).reshape(-1, SKETCH_BINS)
-        names, back, counts = np.unique(comp, return_inverse=True, return_counts=True)
-        rows = np.flatnonzero(back != counts.argmax())
+        raw = group.column("sketch").to_pylist()
+        bins = np.array([len(r) for r in raw])
+        _, back, counts = np.unique(comp, return_inverse=True, return_counts=True)
+        minor = back != counts.argmax()
         a, b = [], []
-        for at in range(0, len(rows), 32):
-            r = rows[at:at + 32]
-            ok = may_be_similar(sketch[r][:, None], sketch[None], n[r][:, None], n[None]) & (comp[r][:, None] != comp[None])
-            x, y = np.nonzero(ok)
-            a.append(np.minimum(ids[r][x], ids[y]))
-            b.append(np.maximum(ids[r][x], ids[y]))
+        for own in np.unique(bins[minor]):
+            for other in np.unique(bins):
+                level = min(own, other)
+                rows, columns = np.flatnonzero(minor & (bins == own)), np.flatnonzero(bins == other)
+                x, y = (folded(np.frombuffer(b"".join(raw[k] for k in at), np.uint8).reshape(len(at), -1), level) for at in (rows, columns))
+                step = max(1, (1 << 22) // (len(columns) * level))
+                for at in range(0, len(rows), step):
+                    r = rows[at:at + step]
+                    ok = may_be_similar(x[at:at + step, None], y[None], n[r][:, None], n[columns][None]) & (comp[r][:, None] != comp[columns][None])
+                    u, v = np.nonzero(ok)
+                    a.append(np.minimum(ids[r][u], ids[columns][v]))
+                    b.append(np.maximum(ids[r][u], ids[columns][v]))
         a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (a, b))
         pairs = np.unique(np.stack([a, b], axis=1), axis=0)
         return pa.table({"a": pa.array(pairs[:, 0], pa.int64()), "b": pa.array(pairs[:, 1], pa.int64())})
 
-    return wide.groupBy("sig", "i", "j").applyInArrow(compare, T.StructType(fields_of({"a": "long", "b": "long"}))).distinct()
+    return wide.groupBy("rep", "i", "j").applyInArrow(compare, T.StructType(fields_of({"a": "long", "b": "long"}))).distinct()
 
 
 def groups(docs, doc_id="doc_id", text="text"):
@@ -320,22 +343,21 @@ def groups(docs, doc_id="doc_id", text="text"):
        their smallest id.
     2. The signatures of those sets meet; each shared signature gives a star, not all pairs.
     3. Plausible pairs (by sketch, which errs only towards plausible) are counted exactly; links give components.
-    4. Signatures whose ids are still apart are compared in full, on sketches, and what is plausible is counted as well.
+    4. Stars whose ids are still apart are compared in full, on sketches, and what is plausible is counted as well.
 
     After that every two similar sets are in one component, and all links are real.  A document without words, or null, is
     alone; one without an id takes no part and has no component; rows that share an id count as one document with several
     texts; an empty table gives no rows.  Ids must be whole numbers.
     """
-    narrow = stored(map_texts(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")), "text", ["doc_id"], {"n": "long", "f1": "long", "f2": "long", "sketch": "binary"}, profiles), "profiles")
+    narrow = stored(map_texts(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")), "text", ["doc_id"], PROFILE, profiles), "profiles")
     real = narrow.filter("n > 0 and doc_id is not null")
     reps = stored(real.groupBy("f1", "f2", "n").agg(F.min("doc_id").alias("id")), "reps")
-    sketches = stored(real.join(reps.select("id", "f1", "f2", "n").withColumnsRenamed({"f1": "g1", "f2": "g2", "n": "m"}), F.col("doc_id") == F.col("id"), "inner").filter("f1 = g1 and f2 = g2 and n = m").select("id", "n", "sketch").distinct(), "sketches")
+    sketches = stored(real.join(reps.select("id", "f1", "f2", "n").withColumnsRenamed({"f1": "g1", "f2": "g2", "n": "m"}), F.col("doc_id") == F.col("id"), "inner").filter("f1 = g1 and f2 = g2 and n = m").select("id", "n", "sketch", "fine").distinct(), "sketches")
     standing = of_documents(docs, reps.select("id"), doc_id)
-    star = stored(stars(signature_rows(standing, doc_id, text)).distinct(), "stars")
-    pairs = star.select(F.least("rep", "other").alias("a"), F.greatest("rep", "other").alias("b")).distinct()
-    links = linked(plausible(pairs, sketches), docs, doc_id, text)
+    star = stored(stars(signature_rows(standing, doc_id, text)), "stars")
+    links = linked(near(star.select(F.col("rep").alias("a"), F.col("other").alias("b")), sketches), docs, doc_id, text)
     comps = components(links)
-    more = linked(crossing(star, comps, sketches), docs, doc_id, text)
+    more = linked(plausible(stored(crossing(star, comps, sketches), "crossing"), sketches, "fine"), docs, doc_id, text)
     comps = components(comps.select(F.col("id").alias("a"), F.col("comp").alias("b")).unionByName(more))
     named = reps.join(comps, "id", "left").select(F.col("f1").alias("g1"), F.col("f2").alias("g2"), F.col("n").alias("m"), F.coalesce("comp", "id").alias("group_id"))
     same = (F.col("f1") == F.col("g1")) & (F.col("f2") == F.col("g2")) & (F.col("n") == F.col("m")) & F.col("doc_id").isNotNull()
@@ -349,5 +371,4 @@ def one_of_each(docs, doc_id="doc_id", text="text"):
     """
     members = stored(groups(docs, doc_id, text), "groups")
     gone = stored(members.filter("component_id <> doc_id").select(F.col("doc_id").alias("id")).distinct(), "gone")
-    few = gone.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    return docs.join(F.broadcast(gone) if few else gone, F.col(doc_id) == F.col("id"), "left_anti")
+    return joined_by_id(docs, gone, doc_id, "left_anti")

@@ -204,9 +204,10 @@ def test_similar_sets_share_a_signature():
         common = len(np.intersect1d(a, b))
         if 100 * common >= 75 * (len(a) + len(b) - common):
             assert len(np.intersect1d(partenum.signatures(a), partenum.signatures(b)))
-            bins = min(partenum.fine_bins(len(a)), partenum.fine_bins(len(b)))
-            x, y = (partenum.folded(partenum.sketch_of(s, partenum.fine_bins(len(s))), bins) for s in (a, b))
-            assert partenum.may_be_similar(x, y, len(a), len(b))
+            for share in (partenum.COARSE, partenum.FINE):
+                bins = [partenum.bins_for(len(s), share) for s in (a, b)]
+                x, y = (partenum.folded(partenum.sketch_of(s, k), min(bins)) for s, k in zip((a, b), bins))
+                assert partenum.may_be_similar(x, y, len(a), len(b))
 
 
 def test_groups_against_brute_force(spark):
