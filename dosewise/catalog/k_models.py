@@ -13,6 +13,8 @@ from .registry import query, sql
 T = fx.SQL_TRIALS
 N_FOLDS, P = 10, 8
 NAMES = [f"c{i}" for i in range(P)]
+# The search grid of the nested model.
+GRID = {"alphas": [0.001, 0.01, 0.1, 1.0, 10.0], "l1_ratios": [0.1, 0.3, 0.5, 0.7, 0.9]}
 
 
 def epochs(s, d):
@@ -34,7 +36,7 @@ def medians(df, n_folds=N_FOLDS):
 
 def fits(s, d):
     df = epochs(s, d)
-    return df, M.elasticnet_nested(df, "x", "y_true", n_folds=N_FOLDS, medians=medians(df))
+    return df, M.elasticnet_nested(df, "x", "y_true", n_folds=N_FOLDS, medians=medians(df), inner="run", **GRID)
 
 
 GREEDY = """, sz AS (SELECT subject, count(*) AS sz FROM trials GROUP BY 1), od AS (SELECT subject, sz, row_number() OVER (ORDER BY sz DESC, subject) AS i FROM sz),

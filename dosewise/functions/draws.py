@@ -2,14 +2,16 @@
 
 from pyspark.sql import functions as F
 
-# The modulus is the Mersenne prime 2^31 - 1, the factors are odd primes.
+# The modulus is the Mersenne prime 2^31 - 1; each half of a draw has odd primes of its own as factors of the
+# position's low, middle and high bits, the replicate, and the seed.
 MODULUS = 2147483647
-SECOND_SEED = 104729
+FACTORS = ((1299709, 32452843, 49979687, 15485863, 7919), (86028121, 67867967, 22801763, 104395301, 104729))
 
 
-def _word(seed, rep, pos):
+def _word(seed, rep, pos, low, middle, high, copy, salt):
     m = F.lit(MODULUS).cast("long")
-    first = ((pos % m) * 1299709 + F.shiftright(pos, 31) % m * 32452843 + (rep.cast("long") % m) * 15485863 + int(seed) * 7919 + 12345) % m
+    place = pos % 65536 * low + F.shiftright(pos, 16) % 65536 * middle + F.shiftright(pos, 32) * high
+    first = (place + (rep.cast("long") % m) * copy + (int(seed) * salt % MODULUS + 12345)) % m
 
     def round_(h):
         return ((h % 65536) * 69621 + F.floor(h / 65536).cast("long") * 40692 + (h % 32749) * (h % 31337)) % m
@@ -21,7 +23,7 @@ def seeded_hash(seed, rep, pos):
     """A whole number in [0, 2^62) from the three numbers; every bit of a position counts."""
     pos = (F.expr(pos) if isinstance(pos, str) else pos).cast("long")
     rep = F.lit(rep) if isinstance(rep, int) else rep
-    return _word(seed, rep, pos) * F.lit(2147483648).cast("long") + _word(seed + SECOND_SEED, rep, pos)
+    return _word(seed, rep, pos, *FACTORS[0]) * F.lit(2147483648).cast("long") + _word(seed, rep, pos, *FACTORS[1])
 
 
 def seeded_draw(seed, rep, pos, n):
@@ -32,12 +34,14 @@ def seeded_draw(seed, rep, pos, n):
 
 def sql_hash(seed, rep, pos):
     """The same number as SQL text, for checking against another engine."""
-    def word(seed):
-        first = f"((({pos}) % 2147483647) * 1299709 + ((({pos})::BIGINT) >> 31) % 2147483647 * 32452843 + (({rep}) % 2147483647) * 15485863 + {int(seed) * 7919 + 12345}) % 2147483647"
+    def word(low, middle, high, copy, salt):
+        p = f"({pos})::BIGINT"
+        place = f"(({p}) % 65536 * {low} + (({p}) >> 16) % 65536 * {middle} + (({p}) >> 32) * {high})"
+        first = f"({place} + (({rep})::BIGINT % 2147483647) * {copy} + {int(seed) * salt % MODULUS + 12345}) % 2147483647"
 
         def round_(h):
             return f"((({h}) % 65536) * 69621 + (({h}) // 65536) * 40692 + (({h}) % 32749) * (({h}) % 31337)) % 2147483647"
 
         return round_(round_(first))
 
-    return f"((({word(seed)})::BIGINT) * 2147483648 + ({word(seed + SECOND_SEED)}))"
+    return f"((({word(*FACTORS[0])})::BIGINT) * 2147483648 + ({word(*FACTORS[1])}))"

@@ -63,7 +63,8 @@ def filled(gram, med):
 
 
 def enet(g, alpha, l1, rounds=2000, tol=1e-9):
-    """Elastic net on standardised columns from cross products: slopes in the data's units, intercept, scales."""
+    """Elastic net on standardised columns from cross products: slopes in the data's units, intercept, scales, and whether
+    the last sweep moved no slope by more than ``tol``."""
     p = len(g) - 2
     n = g[p, p]
     mu, my = g[:p, p] / n, g[p + 1, p] / n
@@ -71,6 +72,7 @@ def enet(g, alpha, l1, rounds=2000, tol=1e-9):
     sd = np.sqrt(np.maximum(np.diag(c), 0))
     live = sd > 1e-9
     b = np.zeros(p)
+    settled = True
     if live.any():
         s = sd[live]
         q = c[np.ix_(live, live)] / np.outer(s, s)
@@ -88,8 +90,9 @@ def enet(g, alpha, l1, rounds=2000, tol=1e-9):
                     w[j] = new
                 if moved < tol:
                     break
+            settled = moved < tol
         b[live] = w / s
-    return b, my - b @ mu, sd
+    return b, my - b @ mu, sd, settled
 
 
 def line_scores(g, b, a):

@@ -186,20 +186,45 @@ def cross_products(df, keys, features, y):
 
 
 FIT_SCHEMA = ("fold int, alpha double, l1_ratio double, best_r2 double, best_r double, best_neg_mse double, params_by_r string, params_by_neg_mse string, "
-              "intercept double, coef array<double>, scale array<double>, median array<double>, n_train bigint")
+              "intercept double, coef array<double>, scale array<double>, median array<double>, n_train bigint, converged boolean")
+
+
+def fold_ids(df, fold, grams, n_folds=None):
+    """The folds in the data, which are few; a row without one, or outside the ``n_folds`` that are asked for, is an error."""
+    ids = sorted(int(r["part"]) for r in grams.select("part").distinct().collect())
+    if df.where(F.col(fold).isNull()).limit(1).count():
+        raise ValueError("rows without a fold")
+    if n_folds is not None and not set(ids) <= set(range(n_folds)):
+        raise ValueError(f"folds {ids} do not lie in 0..{n_folds - 1}")
+    return ids
+
+
+def balanced_blocks(rows, n_splits):
+    """Blocks (block -> rows) to at most ``n_splits`` inner folds: the largest first, each to the lightest fold."""
+    n = min(n_splits, len(rows))
+    load, out = [0.0] * n, [[] for _ in range(n)]
+    for block in sorted(rows, key=lambda k: (-rows[k], k)):
+        k = load.index(min(load))
+        load[k] += rows[block]
+        out[k].append(block)
+    return out
 
 
-def elasticnet_nested(df, features, y, fold="fold", n_folds=5, alphas=(0.01, 0.1, 1.0), l1_ratios=(0.2, 0.5, 0.8), medians=None, n_features=None, refit_all=False):
-    """Per outer fold: search the grid over the other folds by R2, refit on them; one row per outer fold.
+def elasticnet_nested(df, features, y, fold="fold", n_folds=None, alphas=(0.01, 0.1, 1.0), l1_ratios=(0.2, 0.5, 0.8), medians=None, refit_all=False, inner=None, inner_splits=5):
+    """Per outer fold: search the grid by R2 over inner folds of the training rows, refit on all of them; one row per outer fold.
 
-    Missing features take the training median (``medians``: held_out, feature position, median;
-    held_out is the fold left out).  The best settings by r and by error are recorded too.
-    With ``refit_all`` one extra row (fold -1) is chosen over all folds and fitted on all rows.
+    ``inner`` names the column (a run) whose values are grouped into at most ``inner_splits`` inner folds of about equal
+    size; without it the other outer folds are the inner ones.  Missing features take the training median (``medians``:
+    held_out, feature position, median; held_out is the fold left out).  The best settings by r and by error are recorded
+    too.  Where fewer than two inner folds are left there is nothing to choose by: the first setting is fitted and the best
+    scores are NULL.  ``converged`` tells whether the final solver settled.  With ``refit_all`` one extra row (fold -1) is
+    chosen over all folds and fitted on all rows.  The folds are those in the data; ``n_folds`` only checks them.
     """
-    grams = cross_products(df, [fold], features, y).withColumnRenamed(fold, "part")
+    keyed = df.withColumn("__block", F.col(inner).cast("long") if inner else F.col(fold).cast("long"))
+    grams = stored(cross_products(keyed, [fold, "__block"], features, y).withColumnRenamed(fold, "part"), "grams")
     grid = [(float(a), float(q)) for a in alphas for q in l1_ratios]
-    outer = list(range(n_folds)) + ([-1] if refit_all else [])
-    table = grams.withColumn("fold", F.explode(F.array(*[F.lit(i) for i in outer])))
+    outer = fold_ids(df, fold, grams, n_folds) + ([-1] if refit_all else [])
+    table = grams.withColumn("fold", F.explode(F.array(*[F.lit(int(i)) for i in outer])))
     if medians is not None:
         m = medians.groupBy("held_out").agg(F.transform(F.array_sort(F.collect_list(F.struct("feature", "median"))), lambda s: s["median"]).alias("median"))
         table = join_keys(table, m.withColumnRenamed("held_out", "fold"), ["fold"], "left")
@@ -212,24 +237,25 @@ def elasticnet_nested(df, features, y, fold="fold", n_folds=5, alphas=(0.01, 0.1
         p = (size - 2) // 2
         med = pdf["median"].iloc[0]
         med = np.zeros(p) if med is None else np.nan_to_num(np.asarray(med, float))
-        g = {int(k): filled(np.asarray(v, float).reshape(size, size), med) for k, v in zip(pdf["part"], pdf["gram"])}
-        inner = [k for k in sorted(g) if k != fold_id]
-        total = sum(g[k] for k in inner)
-        marks = []
-        for a, q in grid:
-            each = []
-            for h in inner:
-                if len(inner) < 2:
-                    break
-                b, c, _ = enet(total - g[h], a, q)
-                each.append(line_scores(g[h], b, c))
-            marks.append(np.nanmean(np.asarray(each), axis=0) if each else np.array([0.0, 0.0, 0.0]))
-        marks = np.asarray(marks)
-        by_r2, by_r, by_mse = (int(np.nanargmax(np.nan_to_num(v, nan=-np.inf))) for v in (marks[:, 0], marks[:, 1], -marks[:, 2]))
-        b, c, sd = enet(total, *grid[by_r2])
+        g = {}
+        for part, block, v in zip(pdf["part"], pdf["__block"], pdf["gram"]):
+            if int(part) != fold_id:
+                one = filled(np.asarray(v, float).reshape(size, size), med)
+                g[block] = g[block] + one if block in g else one
+        total = sum(g.values())
+        splits = balanced_blocks({k: v[p, p] for k, v in g.items()}, inner_splits) if inner else [[k] for k in sorted(g)]
+        tests = [sum(g[k] for k in s) for s in splits] if len(splits) > 1 else []
+        marks = np.full((len(grid), 3), np.nan)
+        for k, (a, q) in enumerate(grid):
+            each = np.array([line_scores(t, *enet(total - t, a, q)[:2]) for t in tests]).reshape(-1, 3)
+            known = ~np.isnan(each)
+            marks[k] = np.where(known.any(axis=0), np.where(known, each, 0.0).sum(axis=0) / np.maximum(known.sum(axis=0), 1), np.nan)
+        by_r2, by_r, by_mse = (int(np.argmax(np.nan_to_num(v, nan=-np.inf))) for v in (marks[:, 0], marks[:, 1], -marks[:, 2]))
+        b, c, sd, settled = enet(total, *grid[by_r2])
         text = lambda i: f'{{"alpha": {grid[i][0]}, "l1_ratio": {grid[i][1]}}}'
-        return pd.DataFrame([{"fold": fold_id, "alpha": grid[by_r2][0], "l1_ratio": grid[by_r2][1], "best_r2": marks[by_r2, 0], "best_r": marks[by_r, 1], "best_neg_mse": -marks[by_mse, 2],
-                              "params_by_r": text(by_r), "params_by_neg_mse": text(by_mse), "intercept": c, "coef": b.tolist(), "scale": sd.tolist(), "median": med.tolist(), "n_train": int(total[p, p])}])
+        none = lambda v: None if np.isnan(v) else float(v)
+        return pd.DataFrame([{"fold": fold_id, "alpha": grid[by_r2][0], "l1_ratio": grid[by_r2][1], "best_r2": none(marks[by_r2, 0]), "best_r": none(marks[by_r, 1]), "best_neg_mse": none(-marks[by_mse, 2]),
+                              "params_by_r": text(by_r), "params_by_neg_mse": text(by_mse), "intercept": c, "coef": b.tolist(), "scale": sd.tolist(), "median": med.tolist(), "n_train": int(total[p, p]), "converged": settled}])
 
     return table.groupBy("fold").applyInPandas(fit, FIT_SCHEMA)
 
@@ -243,17 +269,17 @@ def predict_linear(df, fits, features, fold="fold", name="y_pred"):
     return j.withColumn(name, F.col("intercept") + dot).drop("intercept", "coef", "median")
 
 
-def predict_fixed_params(df, params, features, y, fold="fold", n_folds=5):
-    """Leave-one-fold-out with stored settings (fold, alpha, l1_ratio): one fit per fold, then predictions."""
-    grams = cross_products(df, [fold], features, y).withColumnRenamed(fold, "part")
-    table = grams.withColumn("fold", F.explode(F.array(*[F.lit(i) for i in range(n_folds)]))).join(params, "fold")
+def predict_fixed_params(df, params, features, y, fold="fold", n_folds=None):
+    """Leave-one-fold-out with stored settings (fold, alpha, l1_ratio): one fit per fold in the data, then predictions."""
+    grams = stored(cross_products(df, [fold], features, y).withColumnRenamed(fold, "part"), "grams")
+    table = grams.withColumn("fold", F.explode(F.array(*[F.lit(int(i)) for i in fold_ids(df, fold, grams, n_folds)]))).join(params, "fold")
 
     def fit(pdf):
         size = int(round(len(pdf["gram"].iloc[0]) ** 0.5))
         p = (size - 2) // 2
         f = int(pdf["fold"].iloc[0])
         total = sum(filled(np.asarray(v, float).reshape(size, size), np.zeros(p)) for k, v in zip(pdf["part"], pdf["gram"]) if int(k) != f)
-        b, c, _ = enet(total, float(pdf["alpha"].iloc[0]), float(pdf["l1_ratio"].iloc[0]))
+        b, c, *_ = enet(total, float(pdf["alpha"].iloc[0]), float(pdf["l1_ratio"].iloc[0]))
         return pd.DataFrame([{"fold": f, "intercept": c, "coef": b.tolist(), "median": [0.0] * p}])
 
     fits = table.groupBy("fold").applyInPandas(fit, "fold int, intercept double, coef array<double>, median array<double>")
@@ -277,7 +303,7 @@ def within_subject_cv(df, subject, block, features, y, n_splits=5, alpha=1.0, l1
         g = {int(k): filled(np.asarray(v, float).reshape(size, size), np.zeros(p)) for k, v in zip(pdf["fold"], pdf["gram"])}
         rows = []
         for f in g:
-            b, c, _ = enet(sum(v for k, v in g.items() if k != f), alpha, l1_ratio)
+            b, c, *_ = enet(sum(v for k, v in g.items() if k != f), alpha, l1_ratio)
             rows.append({subject: pdf[subject].iloc[0], "fold": f, "intercept": c, "coef": b.tolist(), "median": [0.0] * p})
         return pd.DataFrame(rows)
 
@@ -287,9 +313,9 @@ def within_subject_cv(df, subject, block, features, y, n_splits=5, alpha=1.0, l1
     return j.withColumn("y_pred", F.col("intercept") + dot).drop("intercept", "coef", "median")
 
 
-def final_refit(df, features, y, fold="fold", n_folds=5, **grid):
+def final_refit(df, features, y, fold="fold", n_folds=None, **grid):
     """Settings by all folds, one fit on all rows, and its metrics on those rows."""
-    fits = elasticnet_nested(df, features, y, fold, n_folds, refit_all=True, **grid).where("fold = -1")
+    fits = stored(elasticnet_nested(df, features, y, fold, n_folds, refit_all=True, **grid).where("fold = -1"), "fits")
     pred = predict_linear(df.withColumn("__all", F.lit(-1)), fits, features, "__all")
     return with_row(fits.select("alpha", "l1_ratio", "intercept", "coef", "n_train"), in_sample_metrics(pred, y))
 
@@ -327,7 +353,7 @@ def permutation_r2(df, group, x, y, order, n_perm=1000, seed=42):
 def max_stat_permutation(df, group, xs, y, order, n_perm=1000, seed=42):
     """Shuffle inside each subject; the largest absolute r over one-feature models per replicate gives corrected p."""
     ok = complete(df, y, *xs)
-    base = with_index(ok.select(group, *order, *xs, y), [group], list(order), "__k")
+    base = with_index(ok.select(*dict.fromkeys([group, *order, *xs, y])), [group], list(order), "__k")
     rows = lambda d, extra: d.select(group, *extra, y, F.inline(F.array(*[F.struct(F.lit(m).alias("model"), F.col(m).cast("double").alias("x")) for m in xs])))
     obs = pooled_scores(logo_lines(_pair_sums(rows(base, []), ["model", group], "x", y), group, ["model"]), ["model"]).select("model", F.col("r").alias("r_obs"))
     perm = permuted(base.drop("__k"), [group], y, order, n_perm, seed)
@@ -465,7 +491,7 @@ def temporal_generalization(df, fold, t, features, y, n_folds, alpha=1.0):
             rest = [v for f, v in g.items() if f != k]
             if rest:
                 total = sum(rest)
-                b, a, _ = enet(total, alpha / total[p, p], 0.0)
+                b, a, *_ = enet(total, alpha / total[p, p], 0.0)
                 rows.append({"t_train": pdf[t].iloc[0], "fold": k, "w": [*b, a]})
         return pd.DataFrame(rows, columns=["t_train", "fold", "w"])
 

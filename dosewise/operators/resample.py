@@ -243,12 +243,12 @@ def mixed_random_intercept(df, subject, x, y, keys=(), lo=-12.0, hi=8.0, steps=8
                        (F.exp(m["u"]) * m["s2"]).alias("var_subject"), m["s2"].alias("var_residual"), ((m["u"] > lo) & (m["u"] < hi)).alias("converged"))
 
 
-def group_stats_table(df, subject="subject", metrics=None, primary=("slope", "auc"), n_boot=1000, seed=42):
+def group_stats_table(df, subject="subject", metrics=None, primary=("slope", "auc"), n_boot=1000, seed=42, r_limit=0.9999):
     """Group tests of subject metrics: n, mean, SD, corrected interval, t, one-sided p; BH over the primary ones.
 
-    ``metrics`` maps a column to (kind, null value); kind ``r`` goes through the z scale.
+    ``metrics`` maps a column to (kind, null value); kind ``r`` goes through the z scale, clipped at ``r_limit``.
     """
-    rows = F.array(*[F.struct(F.lit(m).alias("metric"), (fisher_z(F.col(m)) if kind == "r" else F.col(m)).alias("v"), F.lit(kind).alias("kind"), F.lit(float(mu)).alias("mu"))
+    rows = F.array(*[F.struct(F.lit(m).alias("metric"), (fisher_z(F.col(m), r_limit) if kind == "r" else F.col(m)).alias("v"), F.lit(kind).alias("kind"), F.lit(float(mu)).alias("mu"))
                      for m, (kind, mu) in metrics.items()])
     long = df.select(subject, F.inline(rows)).where(F.col("v").isNotNull())
     shifted = long.withColumn("d", F.col("v") - F.col("mu"))

@@ -1,5 +1,6 @@
 """Sliced plans against one-window plans, properties over random groups, and SQL agreement."""
 
+import math
 import random
 
 import duckdb
@@ -9,6 +10,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from dosewise.functions import draws, special
 from dosewise.operators import models, resample, stats
 from dosewise.plans import shapes
 from tools.check import TABLES, rows_of
@@ -196,3 +198,56 @@ def test_query_agrees_with_sql(spark, name):
     cols = [d[0] for d in cur.description]
     assert sorted(cols) == sorted(df.columns)
     assert rows_of(df.columns, df.collect()) == rows_of(cols, cur.fetchall())
+
+
+def test_folds_come_from_the_data(spark):
+    df = spark.createDataFrame([(i % 4, [float(i * i % 7), float(i % 3)], float(i % 5)) for i in range(40)], "fold int, x array<double>, y double")
+    fits = models.elasticnet_nested(df, "x", "y", alphas=(0.01,), l1_ratios=(0.5,))
+    assert models.predict_linear(df, fits, "x").count() == 40 and fits.where("converged").count() == 4
+    for bad in (lambda: models.elasticnet_nested(df, "x", "y", n_folds=3), lambda: models.elasticnet_nested(df.withColumn("fold", F.when(F.col("fold") > 0, F.col("fold"))), "x", "y")):
+        with pytest.raises(ValueError):
+            bad()
+
+
+def test_inner_folds_are_blocks_of_runs(spark):
+    assert models.balanced_blocks({1: 5.0, 2: 9.0, 3: 4.0, 4: 1.0}, 2) == [[2, 4], [1, 3]]
+    rng = np.random.default_rng(2)
+    rows = [(int(i % 3), int(i % 7), rng.normal(size=2).tolist(), float(rng.normal())) for i in range(90)]
+    df = spark.createDataFrame(rows, "fold int, run int, x array<double>, y double")
+    got = {r["fold"]: r for r in models.elasticnet_nested(df, "x", "y", alphas=(0.1,), l1_ratios=(0.0,), inner="run").collect()}
+    x, y = np.array([r[2] for r in rows]), np.array([r[3] for r in rows])
+    fold, run = np.array([r[0] for r in rows]), np.array([r[1] for r in rows])
+    for f in range(3):
+        keep = fold != f
+        sizes = {int(r): float((keep & (run == r)).sum()) for r in np.unique(run)}
+        marks = []
+        for block in models.balanced_blocks(sizes, 5):
+            test = keep & np.isin(run, block)
+            train = keep & ~test
+            m, s = x[train].mean(0), x[train].std(0)
+            z = (x[train] - m) / s
+            w = np.linalg.solve(z.T @ z / train.sum() + 0.1 * np.eye(2), z.T @ (y[train] - y[train].mean()) / train.sum())
+            pred = y[train].mean() + ((x[test] - m) / s) @ w
+            marks.append(1 - ((y[test] - pred) ** 2).sum() / ((y[test] - y[test].mean()) ** 2).sum())
+        assert np.isclose(got[f]["best_r2"], np.mean(marks))
+    alone = models.elasticnet_nested(df.where("fold < 2"), "x", "y", alphas=(0.1, 1.0), l1_ratios=(0.5,)).first()
+    assert alone["best_r2"] is None and alone["alpha"] == 0.1
+
+
+def test_draws_use_every_bit_of_a_position(spark):
+    far = 2**31 - 1
+    h = draws.seeded_hash(1, F.lit(1), F.col("id"))
+    got = [r["h"] for r in spark.createDataFrame([(i,) for i in (0, far, 2 * far, 2**40, 2**40 + far)], "id long").select(h.alias("h")).collect()]
+    assert len(set(got)) == 5 and max(got) > 2**55 and all(0 <= x < 2**62 for x in got)
+    sql = draws.sql_hash(1, "1", "id")
+    assert [duckdb.sql(f"SELECT {sql} FROM (SELECT {i}::BIGINT AS id)").fetchall()[0][0] for i in (0, far, 2 * far, 2**40, 2**40 + far)] == got
+
+
+def test_far_tails_keep_their_digits(spark):
+    ts, dfs = (0.01, 1.0, 9.0, 14.0), (1, 2, 4, 999, 1000, 1001, 1002)
+    p = {(r["t"], r["n"]): r["p"] for r in spark.createDataFrame([(t, n) for t in ts for n in dfs], "t double, n int").withColumn("p", special.t_two_sided(F.col("t"), F.col("n"))).collect()}
+    for t in ts:
+        assert np.isclose(p[t, 1], 2 / math.pi * math.atan(1 / t), rtol=1e-12) and np.isclose(p[t, 2], 2 / (2 + t * t + t * math.sqrt(2 + t * t)), rtol=1e-12)
+        steps = [math.log(p[t, b] / p[t, a]) for a, b in ((999, 1000), (1000, 1001), (1001, 1002))]
+        assert max(steps) - min(steps) < 1e-2 * max(map(abs, steps))
+    assert 1.1e-18 < p[9.0, 1000] < 1.12e-18
