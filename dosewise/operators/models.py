@@ -340,7 +340,7 @@ def feature_importance(fits, names):
 def permutation_r2(df, group, x, y, order, n_perm=1000, seed=42):
     """Shuffle the target, repeat the group-out line on sums: p = (ge + 1)/(P + 1) and the null's quantiles."""
     ok = complete(df, x, y)
-    base = with_index(ok.select(group, *order, x, y), [], list(order), "__k")
+    base = with_index(ok.select(*dict.fromkeys([group, *order, x, y])), [], list(order), "__k")
     perm = permuted(base.drop("__k"), [], y, order, n_perm, seed)
     null = perm.join(base.select("__k", group, x), "__k")
     scores = pooled_scores(logo_lines(_pair_sums(null, ["rep", group], x, y), group, ["rep"]), ["rep"])
