@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from ..functions.draws import seeded_draw, seeded_hash
 from ..functions.moments import fisher_z, pair_aggs, r_of
 from ..functions.special import let, normal_cdf, normal_quantile, t_quantile
-from ..plans.shapes import join_keys, ordered_scan, quantiles, replicate_quantiles, replicates, with_index, with_midrank, with_row, with_totals
+from ..plans.shapes import join_keys, once, ordered_scan, quantiles, replicate_quantiles, replicates, with_index, with_midrank, with_row, with_totals
 from ..session import stored
 from .sequence import contiguous_clusters
 from .stats import auc, bh_fdr, complete, partial_residuals, ttest_one_sample
@@ -99,12 +99,14 @@ def cluster_bootstrap(sums, subject, statistic, keys=(), n_boot=1000, seed=42, l
     ``statistic`` is a name of ``pair_statistic`` or an expression over the summed columns.
     """
     close = pair_statistic(statistic) if isinstance(statistic, str) else statistic
+    sums = once(sums)
     cols = [c for c in sums.columns if c not in (subject, *keys)]
     mult = subject_multiplicities(sums, subject, n_boot, seed)
     g = mult.join(sums, subject).groupBy("rep", *keys).agg(*[F.sum(F.col(c) * F.col("m")).alias(c) for c in cols])
     boots = g.select("rep", *keys, close.alias("stat"))
     if samples:
         return boots
+    boots = once(boots)
     point = sums.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in cols]).select(*keys, close.alias("estimate"))
     ci = percentile_interval(boots, keys, "stat", level)
     if keys:
