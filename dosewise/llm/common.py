@@ -31,8 +31,18 @@ def batch_of(columns, fields):
     return pa.RecordBatch.from_arrays([pa.array(columns[n], ARROW[k][1]) for n, k in fields.items()], list(fields))
 
 
+SLICE_ROWS = 512
+
+
+def slices(batches, rows=SLICE_ROWS):
+    """The batches in parts of at most ``rows`` rows, so that few texts are Python objects at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def map_texts(df, text, keep, fields, fn):
-    """``fn`` over Arrow batches: a list of texts (null kept as None) becomes name -> list for ``fields``.
+    """``fn`` over parts of Arrow batches: a list of texts (null kept as None) becomes name -> list for ``fields``.
 
     Only ``keep`` and the text column are read.  A kept column whose name is also in ``fields`` is replaced.
     """
@@ -41,7 +51,7 @@ def map_texts(df, text, keep, fields, fn):
     schema = T.StructType([src.schema[k] for k in keep] + fields_of(fields))
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             made = batch_of(fn(batch.column(len(keep)).to_pylist()), fields)
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(keep))), *made.columns], [*keep, *fields])
 

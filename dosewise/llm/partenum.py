@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import stored
-from .common import batch_of, fields_of, map_texts
+from .common import batch_of, fields_of, map_texts, slices
 from .hashing import WordHashes, fold_table, mix, space_table
 
 WORDS = 5
@@ -153,7 +153,7 @@ def set_rows(docs, doc_id, text, fields, make):
     src = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             at = 0
             for part in in_stretches(texts):
@@ -257,7 +257,7 @@ def linked(pairs, docs, doc_id, text):
     wide = pairs.join(sets.select(F.col("id").alias("a"), F.col("set").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("set").alias("sb")), "b")
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             out = {"a": [], "b": []}
             for a, b, sa, sb in zip(*(c.to_pylist() for c in batch.columns)):
                 x, y = np.frombuffer(sa, np.uint64), np.frombuffer(sb, np.uint64)
