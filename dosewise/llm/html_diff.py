@@ -196,18 +196,37 @@ def shared_lines(lists):
     """(key, drop): the numbers of a page's blocks that it shares, in order, with the page of the nearest URL on its host.
 
     The pages stand in the order of host and path, cut into ordered parts; the nearest page is the neighbour with the longer
-    common path, the one before in case of a tie.  The first and last page of each part (one row per part) bridge the cuts.
-    Only pages without an article element can lose lines, so only those with something to drop are returned.
+    common path, the one before in case of a tie.  A page with the very same blocks is a copy and tells nothing of what is
+    template, so runs of copies are passed over, to the next page that differs.  Four pages of each part (one row per part)
+    bridge the cuts.  Only pages without an article element can lose lines, so only those with something to drop are returned.
     """
     order = ["host", "path", "key"]
     parts = parts_in_order(lists, [F.col(c) for c in order])
     whole = F.struct("host", "path", "lines")
+
+    def other(page, step):
+        """The nearest page before (after) that has not the lines of this one: the one beyond the run of copies."""
+        row = Window.partitionBy("__part").orderBy(*(order if step > 0 else [F.col(c).desc() for c in order]))
+        beside = F.lag(page).over(row)
+        return F.last(F.when(beside["lines"] != F.col("lines"), beside), ignorenulls=True).over(row.rowsBetween(Window.unboundedPreceding, 0))
+
+    near = parts.withColumn("prev", other(whole, 1)).withColumn("next", other(whole, -1))
     place = F.struct(*order)
-    ends = stored(parts.groupBy("__part").agg(F.min_by(whole, place).alias("head"), F.max_by(whole, place).alias("tail")), "ends")
-    chain = Window.orderBy("__part")
-    ends = ends.select("__part", F.lag("tail").over(chain).alias("before"), F.lead("head").over(chain).alias("after"))
-    row = Window.partitionBy("__part").orderBy(*order)
-    near = parts.withColumns({"prev": F.lag(whole).over(row), "next": F.lead(whole).over(row)}).filter("host <> '' and not article").join(F.broadcast(ends), "__part")
+    ends = near.groupBy("__part").agg(
+        F.min_by(whole, place).alias("head"), F.min_by("next", place).alias("after_head"),
+        F.max_by(whole, place).alias("tail"), F.max_by("prev", place).alias("before_tail"),
+    )
+    ends = stored(ends, "ends")
+
+    def beyond(edge, far, beyond_far, chain):
+        """The same over the parts: the far edge of the part beside, else what differs from it there; a part of copies alone is passed over."""
+        found = F.when(F.lag(far).over(chain)["lines"] != F.col(edge)["lines"], F.lag(far).over(chain)).otherwise(F.lag(beyond_far).over(chain))
+        return F.last(found, ignorenulls=True).over(chain.rowsBetween(Window.unboundedPreceding, 0))
+
+    ends = ends.select(
+        "__part", beyond("head", "tail", "before_tail", Window.orderBy("__part")).alias("before"), beyond("tail", "head", "after_head", Window.orderBy(F.desc("__part"))).alias("after"),
+    )
+    near = near.filter("host <> '' and not article").join(F.broadcast(ends), "__part")
     near = near.select("key", "host", "path", "lines", F.coalesce("prev", "before").alias("prev"), F.coalesce("next", "after").alias("next"))
     fields = {"drop": "longs"}
     schema = T.StructType([T.StructField("key", T.LongType())] + fields_of(fields))
@@ -241,7 +260,7 @@ def extract(pages, page_id="page_id", url="url", html="html"):
 
     Where the markup names an article (or main) element, its blocks are the text, whatever other pages hold: equal lines of
     two articles are no template.  Elsewhere the blocks outside navigation, forms, adverts and the like are, without those
-    shared with the page of the nearest URL on the same host.
+    shared with the page of the nearest URL on the same host that is no copy of it; a page with copies only keeps them.
 
     A null html has an empty text; a page with a null or unreadable address has no partner; repeated rows get equal texts; an
     empty table gives no rows.  Only these columns are returned.

@@ -106,6 +106,23 @@ def test_template_lines_go(spark):
     assert out[99] == "Menu of alone Story 1 of alone More about 1 Imprint of alone" and out[98] == "Menu of a"
 
 
+@pytest.mark.parametrize("parts", [1, 4, 40])
+def test_copies_keep_their_text(spark, parts):
+    """Copies under other ids and addresses, in runs longer than a part, are no template; pages beyond the run are."""
+    page = "<div>Menu</div><div>Story {0}</div><div>More about {0}</div><div>Imprint</div>".format
+    pages = [(k, f"http://h.example/n/{k:03}", page("A" if 10 <= k < 40 else f"B{k}")) for k in range(50)]
+    pages += [(100 + k, "http://h.example/n/020", page("A")) for k in range(5)]
+    pages += [(200 + k, f"http://mirror.example/x?copy={k}", page("M")) for k in range(30)]
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    try:
+        out = {r["page_id"]: r["text"] for r in html_diff.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    want = {k: "Story {0} More about {0}".format("A" if 10 <= k < 40 or k >= 100 else f"B{k}") for k, _, _ in pages if k < 200}
+    assert out == want | {200 + k: "Menu Story M More about M Imprint" for k in range(30)}
+
+
 # --- 3 syncmers ------------------------------------------------------------------------------------------------------
 
 def test_anchors_are_closed_syncmers(texts):
