@@ -164,6 +164,19 @@ def common_lines(a, b):
     return [*range(lead), *reversed(middle), *range(len(a) - tail, len(a))]
 
 
+def template_edges(a, b):
+    """Places in ``a`` of the lines that open or close both lists; none where most of ``a`` is in ``b``: then the two are
+    versions of one text, and what they share is that text."""
+    if 2 * len(common_lines(a, b)) > len(a):
+        return []
+    n, lead, tail = min(len(a), len(b)), 0, 0
+    while lead < n and a[lead] == b[lead]:
+        lead += 1
+    while tail < n - lead and a[-1 - tail] == b[-1 - tail]:
+        tail += 1
+    return [*range(lead), *range(len(a) - tail, len(a))]
+
+
 def address(url):
     """(host, path with query) of an address; an address that cannot be read has no host."""
     try:
@@ -174,8 +187,8 @@ def address(url):
 
 
 def line_lists(pages):
-    """(key, host, path, lines, article): hashes of a page's blocks, for pairing; equal rows once."""
-    fields = {"host": "string", "path": "string", "lines": "longs", "article": "boolean"}
+    """(key, host, path, lines, own, article): hashes of a page's blocks and of those that may be its text, for pairing; equal rows once."""
+    fields = {"host": "string", "path": "string", "lines": "longs", "own": "longs", "article": "boolean"}
     schema = T.StructType([T.StructField("key", T.LongType())] + fields_of(fields))
 
     def run(batches):
@@ -184,7 +197,9 @@ def line_lists(pages):
             for url, page in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
                 found = blocks(page or "")
                 host, path = address(url)
-                for k, v in (("host", host), ("path", path), ("lines", [line_key(t) for t, _ in found]), ("article", any(x for _, x in found))):
+                lines = [line_key(t) for t, _ in found]
+                own = [n for n, (_, x) in zip(lines, found) if x]
+                for k, v in (("host", host), ("path", path), ("lines", lines), ("own", own or lines), ("article", bool(own))):
                     out[k].append(v)
             made = batch_of(out, fields)
             yield pa.RecordBatch.from_arrays([batch.column(0), *made.columns], ["key", *fields])
@@ -196,19 +211,20 @@ def shared_lines(lists):
     """(key, drop): the numbers of a page's blocks that it shares, in order, with the page of the nearest URL on its host.
 
     The pages stand in the order of host and path, cut into ordered parts; the nearest page is the neighbour with the longer
-    common path, the one before in case of a tie.  A page with the very same blocks is a copy and tells nothing of what is
+    common path, the one before in case of a tie.  A page with the very same text is a copy and tells nothing of what is
     template, so runs of copies are passed over, to the next page that differs.  Four pages of each part (one row per part)
-    bridge the cuts.  Only pages without an article element can lose lines, so only those with something to drop are returned.
+    bridge the cuts.  Inside an article element only the lines that open or close both articles go, and the numbers are those
+    of the article's blocks.  Only pages with something to drop are returned.
     """
     order = ["host", "path", "key"]
     parts = parts_in_order(lists, [F.col(c) for c in order])
-    whole = F.struct("host", "path", "lines")
+    whole = F.struct("host", "path", "lines", "own")
 
     def other(page, step):
-        """The nearest page before (after) that has not the lines of this one: the one beyond the run of copies."""
+        """The nearest page before (after) that has not the text of this one: the one beyond the run of copies."""
         row = Window.partitionBy("__part").orderBy(*(order if step > 0 else [F.col(c).desc() for c in order]))
         beside = F.lag(page).over(row)
-        return F.last(F.when(beside["lines"] != F.col("lines"), beside), ignorenulls=True).over(row.rowsBetween(Window.unboundedPreceding, 0))
+        return F.last(F.when(beside["own"] != F.col("own"), beside), ignorenulls=True).over(row.rowsBetween(Window.unboundedPreceding, 0))
 
     near = parts.withColumn("prev", other(whole, 1)).withColumn("next", other(whole, -1))
     place = F.struct(*order)
@@ -220,14 +236,14 @@ def shared_lines(lists):
 
     def beyond(edge, far, beyond_far, chain):
         """The same over the parts: the far edge of the part beside, else what differs from it there; a part of copies alone is passed over."""
-        found = F.when(F.lag(far).over(chain)["lines"] != F.col(edge)["lines"], F.lag(far).over(chain)).otherwise(F.lag(beyond_far).over(chain))
+        found = F.when(F.lag(far).over(chain)["own"] != F.col(edge)["own"], F.lag(far).over(chain)).otherwise(F.lag(beyond_far).over(chain))
         return F.last(found, ignorenulls=True).over(chain.rowsBetween(Window.unboundedPreceding, 0))
 
     ends = ends.select(
         "__part", beyond("head", "tail", "before_tail", Window.orderBy("__part")).alias("before"), beyond("tail", "head", "after_head", Window.orderBy(F.desc("__part"))).alias("after"),
     )
-    near = near.filter("host <> '' and not article").join(F.broadcast(ends), "__part")
-    near = near.select("key", "host", "path", "lines", F.coalesce("prev", "before").alias("prev"), F.coalesce("next", "after").alias("next"))
+    near = near.filter("host <> ''").join(F.broadcast(ends), "__part")
+    near = near.select("key", "host", "path", "lines", "own", "article", F.coalesce("prev", "before").alias("prev"), F.coalesce("next", "after").alias("next"))
     fields = {"drop": "longs"}
     schema = T.StructType([T.StructField("key", T.LongType())] + fields_of(fields))
 
@@ -246,7 +262,7 @@ def shared_lines(lists):
                 sides = [s for s in (r["prev"], r["next"]) if s and s["host"] == r["host"]]
                 if sides:
                     partner = max(sides, key=lambda s: alike(r["path"], s["path"]))
-                    drop = common_lines(r["lines"], partner["lines"])
+                    drop = template_edges(r["own"], partner["own"]) if r["article"] else common_lines(r["lines"], partner["lines"])
                     if drop:
                         keys.append(r["key"])
                         drops.append(drop)
@@ -258,9 +274,10 @@ def shared_lines(lists):
 def extract(pages, page_id="page_id", url="url", html="html"):
     """The main text of every page: page_id, url, text, n_chars.
 
-    Where the markup names an article (or main) element, its blocks are the text, whatever other pages hold: equal lines of
-    two articles are no template.  Elsewhere the blocks outside navigation, forms, adverts and the like are, without those
-    shared with the page of the nearest URL on the same host that is no copy of it; a page with copies only keeps them.
+    Where the markup names an article (or main) element, its blocks are the text, without those that open or close it and the
+    nearest page's too: equal lines further inside are text that two articles share.  Elsewhere the blocks outside navigation,
+    forms, adverts and the like are, without those shared with the page of the nearest URL on the same host.  Copies of a page
+    do not count as its nearest; a page with copies only keeps its lines.
 
     A null html has an empty text; a page with a null or unreadable address has no partner; repeated rows get equal texts; an
     empty table gives no rows.  Only these columns are returned.
@@ -275,11 +292,9 @@ def extract(pages, page_id="page_id", url="url", html="html"):
             texts = []
             for page, drop in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
                 found = blocks(page or "")
-                own = [t for t, x in found if x]
-                if not own:
-                    gone = set(drop or ())
-                    own = [t for k, (t, _) in enumerate(found) if k not in gone]
-                texts.append(" ".join(own))
+                own = [t for t, x in found if x] or [t for t, _ in found]
+                gone = set(drop or ())
+                texts.append(" ".join(t for k, t in enumerate(own) if k not in gone))
             made = batch_of({"text": texts, "n_chars": [len(t) for t in texts]}, {"text": "string", "n_chars": "long"})
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *made.columns], ["page_id", "url", "text", "n_chars"])
 

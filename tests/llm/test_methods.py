@@ -123,6 +123,16 @@ def test_copies_keep_their_text(spark, parts):
     assert out == want | {200 + k: "Menu Story M More about M Imprint" for k in range(30)}
 
 
+def test_template_at_the_edges_of_articles(spark):
+    """Lines without a class that open or close the articles of neighbours go; shared lines inside, and versions of a text, stay."""
+    page = "<article><p>Daily news</p><p>Story {0}</p><p>As said</p><p>More {0}</p><p>End {0}</p><p>Read on</p></article>".format
+    near = "<article><p>One</p><p>Two</p><p>Three {0}</p><p>Four</p><p>Five</p></article>".format
+    pages = [(k, f"http://a.example/{k}", page(k)) for k in range(6)] + [(10 + k, f"http://b.example/{k}", near(k)) for k in range(3)]
+    out = {r["page_id"]: r["text"] for r in html_diff.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert out == {k: f"Story {k} As said More {k} End {k}" for k in range(6)} | {10 + k: f"One Two Three {k} Four Five" for k in range(3)}
+    assert html_diff.template_edges([], [1]) == html_diff.template_edges([1], []) == []
+
+
 # --- 3 syncmers ------------------------------------------------------------------------------------------------------
 
 def test_anchors_are_closed_syncmers(texts):
