@@ -133,14 +133,52 @@ def tag(label):
     return label.replace("-", " ").replace(".", " ")
 
 
+REPEAT = re.compile(r"\{(\d+),\d+\}\??|\?")
+
+
+def forms(pattern):
+    """Every text that a pattern of these rules matches; a zero byte stands for whatever a repeated dot takes."""
+    def choice(at):
+        out, made = set(), {""}
+        while at < len(pattern) and pattern[at] != ")":
+            if pattern[at] == "|":
+                out, made, at = out | made, {""}, at + 1
+                continue
+            if pattern.startswith("(?:", at):
+                part, at = choice(at + 3)
+            elif pattern[at] == "[":
+                end = pattern.index("]", at)
+                part = set(re.findall(f"[{pattern[at + 1:end]}]", "abcdefghijklmnopqrstuvwxyz0123456789"))
+                at = end
+            else:
+                part = {pattern[at].replace(".", "\0")}
+            times = REPEAT.match(pattern, at + 1)
+            if times and times[1] in (None, "0"):
+                part = part | {""}
+            at = times.end() if times else at + 1
+            made = {a + b for a in made for b in part}
+        return out | made, at
+
+    return choice(0)[0]
+
+
+def gate_of(pattern, more=()):
+    """(words, openings) without which no text matches: the two longest of the words that stand by themselves in every form,
+    and the first words of the forms, of which one must be there.  ``more`` are such words of what precedes the pattern."""
+    split = [f.split() for f in forms(pattern)]
+    always = set.intersection(*map(set, split)).union(more)
+    words = sorted(always, key=lambda w: (len(w), w))[-2:]
+    return tuple(w.encode() for w in words), frozenset(f[0].encode() for f in split)
+
+
 def build_rules():
-    """(priority, weight, label, pattern, gate words) in order; a lower priority number wins."""
-    rules = []
+    """(priority, weight, label, pattern, gate words) in order, and for each rule its openings; a lower priority number wins."""
+    rules, openings = [], []
 
-    def add(priority, weight, label, pattern):
-        plain = re.sub(r"\(\?:[^()]*(?:\(\?:[^()]*\)\??[^()]*)*\)\??|\[.*?\]|\.\{.*?\}\??", " ", pattern)
-        gate = [w for w in re.split(r" (?!\?)", re.sub(r"\w\?", "", plain)) if re.fullmatch(r"[a-z0-9]+", w)]
-        rules.append((priority, weight, label, re.compile(rf"(?<= ){pattern}(?= )".encode()), tuple(w.encode() for w in sorted(set(gate), key=len)[-2:])))
+    def add(priority, weight, label, pattern, before=""):
+        gate, first = gate_of(pattern, ("under",) if before else ())
+        rules.append((priority, weight, label, re.compile(rf"(?<= ){before}{pattern}(?= )".encode()), gate))
+        openings.append(first)
 
     commons = [(f"{label}-{v.replace(' ', '.')}", f"{names}(?: licen[cs]e)?(?: version| v)? ?{v}") for label, names in COMMONS.items() for v in VERSIONS]
     named = [(label, p) for label, patterns in NAMES.items() for p in patterns] + commons
@@ -149,7 +187,7 @@ def build_rules():
     for label, pattern in CLAUSES:
         add(1, 0.95, label, pattern)
     for label, pattern in named:
-        add(2, 0.9, label, f"{GRANT} {pattern}")
+        add(2, 0.9, label, pattern, f"{GRANT} ")
     for label, pattern in named:
         add(3, 0.7, label, pattern)
     for label, pattern in COMMONS.items():
@@ -157,16 +195,13 @@ def build_rules():
     for label, pattern in FAMILIES.items():
         add(5, 0.5, label, pattern)
     add(6, 0.3, "copyright", "copyright (?:c )?(?:19|20)[0-9][0-9]")
-    return rules
+    return rules, openings
 
 
-RULES = build_rules()
-# A rule that has no word which always stands by itself is gated by these: one of them is in whatever it matches.
-LOOSE = frozenset(
-    w.encode() for w in ["cc", "commons", "cc0", "share", "licensed", "released", "distributed", "available", "published", "provided", "shared"]
-    + [f"{name}{v}{n}" for name in ("asl", "gpl", "lgpl", "agpl", "mpl", "epl", "eupl", "cddl") for v in ("", "v") for n in ("", 1, 2, 3)]
-)
-GATE = LOOSE | frozenset(w for rule in RULES for w in rule[4])
+RULES, OPENINGS = build_rules()
+# A rule that has no word which always stands by itself is gated by its openings alone.
+LOOSE = frozenset(w for rule, first in zip(RULES, OPENINGS) if not rule[4] for w in first)
+GATE = frozenset(w for rule, first in zip(RULES, OPENINGS) for w in (*rule[4], *first))
 
 # Lower case for A-Z, white space for every other character below 0x80 that is no digit or letter.
 FOLD = bytes(c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else c + 32 if 65 <= c <= 90 else 32 for c in range(256))
@@ -187,7 +222,7 @@ def detections(folded, words):
         return []
     found = []
     for order, (priority, weight, label, pattern, gate) in enumerate(RULES):
-        if (present.issuperset(gate) if gate else not present.isdisjoint(LOOSE)):
+        if present.issuperset(gate) and not present.isdisjoint(OPENINGS[order]):
             found += [(priority, m.start() - m.end(), m.start(), order, m.end(), label, weight) for m in pattern.finditer(folded)]
     kept, starts = [], []
     for _, _, start, _, end, label, weight in sorted(found):

@@ -398,6 +398,28 @@ def test_gate_never_hides_a_match():
                 assert present.issuperset(gate) if gate else not present.isdisjoint(licenses.LOOSE), (label, t)
 
 
+def test_gate_passes_every_form_of_every_rule():
+    """Each rule alone, in all of its optional forms, against its gate; the leading grant with the longest and shortest name."""
+    grants = sorted(licenses.forms(licenses.GRANT))
+    for order, (priority, _, label, pattern, gate) in enumerate(licenses.RULES):
+        plain = pattern.pattern.decode()[len("(?<= )"):-len("(?= )")]
+        if priority == 2:
+            names = sorted(licenses.forms(plain.removeprefix(f"{licenses.GRANT} ")), key=len)
+            made = [f"{g} {n}" for g in grants for n in (names[0], names[-1])] + [f"{grants[0]} {n}" for n in names]
+        else:
+            made = licenses.forms(plain)
+        for form in made:
+            tokens = form.replace("\0", "a b").encode().split()
+            folded = b" " + b" ".join(tokens) + b" "
+            if pattern.search(folded):
+                present = licenses.GATE.intersection(tokens)
+                assert present.issuperset(gate) and not present.isdisjoint(licenses.OPENINGS[order]), (label, form)
+            else:
+                assert "  " in form or " " in (form[:1], form[-1:]), (label, form)
+    for text, label in (("under the OpenRAIL-M license", "openrail"), ("Open RAIL license", "openrail"), ("CeCILL2.1", "cecill-2.1"), ("GPLv2", "gpl-2.0"), ("CC BY4.0", "cc-by-4.0")):
+        assert licenses.scan_text(text)["labels"].split(",")[-1] == label
+
+
 def test_contained_detections_are_dropped():
     assert oracles.GROUPS and licenses.scan_text("general public license version 3")["found"] != []
     for t in ("Licensed under the GNU Lesser General Public License v2.1 and the MIT License", "creative commons attribution share alike 4.0"):
