@@ -7,6 +7,7 @@ import itertools
 import random
 import re
 import zlib
+from collections import Counter
 
 import duckdb
 import numpy as np
@@ -169,6 +170,36 @@ def test_edits_against_brute_force(spark, texts):
     assert got["near_edited"].mean() > 0.5 > 0.1 > got["near_next"].mean()
 
 
+def test_likeness_of_very_long_texts(spark):
+    """Whole anchor sets of texts with more than 10^5 anchors, counted with dictionaries; local edits and a shared passage show."""
+    rng = random.Random(14)
+    words = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(2, 9))) for _ in range(5000)]
+    base = " ".join(rng.choice(words) for _ in range(80000))
+    edit = base[:200000] + "a local edit" + base[200000:]
+    passage = " ".join(rng.choice(words) for _ in range(70000)) + base[100000:102000]
+    texts = [base, edit, passage]
+
+    def brute(one, two):
+        first = []
+        for t in (one, two):
+            at, h = syncmers.anchors(t)
+            first.append({v: p for p, v in zip(reversed(at.tolist()), reversed(h.tolist()))})
+        a, b = first
+        shifts = [b[v] - a[v] for v in a.keys() & b.keys()]
+        matched = sum(n for n in Counter(shifts).values() if n > 1)
+        return matched / (len(a) + len(b) - matched)
+
+    got = {r["doc_id"]: r for r in syncmers.compare_with_next(documents(spark, [(i, t, "s") for i, t in enumerate(texts)])).collect()}
+    for i, t in enumerate(texts):
+        after = texts[(i + 1) % 3]
+        assert got[i]["near_next"] == pytest.approx(brute(t, after), abs=1e-4)
+        assert got[i]["near_edited"] == pytest.approx(brute(t, syncmers.edited(t, after)), abs=1e-4)
+        assert len(got[i]["fingerprint"].split()) > 100000 and got[i]["fingerprint"] != got[(i + 1) % 3]["fingerprint"]
+    assert 0.999 < got[0]["near_next"] < 1 and 0.002 < got[1]["near_next"] < 0.01
+    # the same words in another order share anchors, but not their distances
+    assert syncmers.likeness((np.arange(9), np.arange(9) ** 2), (np.arange(9), np.arange(9))) == 2 / 16
+
+
 # --- 4 quality -------------------------------------------------------------------------------------------------------
 
 def test_counts_against_brute_force(texts):
