@@ -11,26 +11,31 @@ from .h_stats import metric_cols
 from .registry import query, sql
 
 T = fx.SQL_TRIALS
-N_FOLDS, P = 10, 8
-NAMES = [f"c{i}" for i in range(P)]
+N_FOLDS = 10
 # The search grid of the nested model.
 GRID = {"alphas": [0.001, 0.01, 0.1, 1.0, 10.0], "l1_ratios": [0.1, 0.3, 0.5, 0.7, 0.9]}
 
 
 def epochs(s, d):
-    """Eight features per trial (one with missing values), a target that depends on two of them, fold = subject."""
+    """The whole vector of a trial (one feature with missing values), a target that depends on two of its elements, fold = subject."""
     e = fx.table(s, d, "embeddings")
-    x = F.transform(F.slice("embedding", 1, P), lambda v: v.cast("double"))
+    x = F.transform("embedding", lambda v: v.cast("double"))
     x = F.transform(x, lambda v, i: F.when((i != 2) | (F.col("vec_id") % 7 != 0), v))
     noise = (F.col("vec_id") * 37 % 97) / 97
     y = 10 * F.col("embedding")[0].cast("double") + 5 * F.col("embedding")[1].cast("double") + noise
     return e.select(F.col("label").alias("subject"), (F.col("vec_id") % 6).cast("int").alias("run"), F.col("vec_id").alias("trial"), F.col("label").cast("int").alias("fold"), x.alias("x"), y.alias("y_true"))
 
 
+def names(df):
+    """A name for every element of the longest vector."""
+    return [f"c{i}" for i in range(df.select(F.max(F.size("x"))).first()[0] or 0)]
+
+
 def medians(df, n_folds=N_FOLDS):
     """Training medians of every feature position, for the folds left out."""
-    wide = df.select("fold", *[F.col("x")[i].alias(str(i)) for i in range(P)])
-    m = M.training_medians(wide, "fold", [str(i) for i in range(P)], n_folds)
+    places = [str(i) for i in range(len(names(df)))]
+    wide = df.select("fold", *[F.get("x", F.lit(int(i))).alias(i) for i in places])
+    m = M.training_medians(wide, "fold", places, n_folds)
     return m.withColumn("feature", F.col("feature").cast("int"))
 
 
@@ -93,6 +98,14 @@ def _(s, d):
     return M.predict_fixed_params(df, params, "x", "y_true", n_folds=N_FOLDS).select("trial", "fold", "y_pred")
 
 
+@query("predict_fixed_params_all")
+def _(s, d):
+    """The same with every element of the vector; the query with SQL has one."""
+    df = epochs(s, d)
+    params = df.select("fold").distinct().select("fold", F.when(F.col("fold") % 2 == 0, 0.1).otherwise(0.5).alias("alpha"), F.lit(0.0).alias("l1_ratio"))
+    return M.predict_fixed_params(df, params, "x", "y_true", n_folds=N_FOLDS).select("trial", "fold", "y_pred")
+
+
 @query("within_subject_cv")
 def _(s, d):
     return regression_metrics(M.within_subject_cv(epochs(s, d), "subject", "run", "x", "y_true", alpha=0.01), ["subject"])
@@ -136,14 +149,15 @@ def _(s, d):
 
 @query("feature_importance")
 def _(s, d):
-    return M.feature_importance(fits(s, d)[1], NAMES)
+    df, f = fits(s, d)
+    return M.feature_importance(f, names(df))
 
 
 @query("permutation_importance")
 def _(s, d):
     df, f = fits(s, d)
     clean = df.withColumn("x", F.transform("x", lambda v: F.coalesce(clean_number(v), F.lit(0.0))))
-    return M.permutation_importance(clean, f, "x", NAMES, "y_true", ["subject", "run"], ["trial"], 5)
+    return M.permutation_importance(clean, f, "x", names(df), "y_true", ["subject", "run"], ["trial"], 5)
 
 
 @query("prediction_frame", sql(LOGO, "SELECT t.subject, t.trial_idx, t.temp, t.pain, y_true, y_pred, fold, 'line' AS model FROM pd JOIN trials t USING (subject, trial_idx)", "subject, trial_idx, pain, fold, model", "temp y_true y_pred"))

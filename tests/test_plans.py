@@ -251,3 +251,15 @@ def test_far_tails_keep_their_digits(spark):
         steps = [math.log(p[t, b] / p[t, a]) for a, b in ((999, 1000), (1000, 1001), (1001, 1002))]
         assert max(steps) - min(steps) < 1e-2 * max(map(abs, steps))
     assert 1.1e-18 < p[9.0, 1000] < 1.12e-18
+
+
+def test_model_queries_read_the_whole_vectors(spark):
+    from dosewise.catalog import k_models
+
+    d = "/root/testdata/sf0.001"
+    df = k_models.epochs(spark, d)
+    sizes = {r[0] for r in df.select(F.size("x")).distinct().collect()}
+    assert sizes == {64} and len(k_models.names(df)) == 64
+    assert k_models.medians(df).select("feature").distinct().count() == 64
+    coef = entry.queries()["final_refit"](spark, d).first()["coef"]
+    assert len(coef) == 64 and all(c is not None for c in coef)
