@@ -13,11 +13,18 @@ from .common import ARROW, map_texts
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 PIECE_CHARS = 65536
+LEAST_LONG = 16384
+
+# The characters that the pattern takes for white space (the Unicode property, not Python's str.isspace).
+SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
 # A place between a character that is no white space and one that is.  No match of the pattern runs across it: only its
 # white-space alternatives contain white space after their first character, and those contain nothing else.  Its only
 # look-around looks forward from inside white space, so a piece that ends before white space is matched as in the whole.
-SAFE_CUT = regex.compile(r"(?<=\S)(?=\s)")
+SAFE_CUT = regex.compile(rf"(?<=[^{SPACE}])(?=[{SPACE}])")
+
+# White space that the matcher would walk through with a stack that grows with it.
+LONG_BLANK = regex.compile(rf"[{SPACE}]{{{LEAST_LONG},}}+")
 
 
 @functools.lru_cache(maxsize=4)
@@ -43,10 +50,28 @@ def pieces(text, size=PIECE_CHARS):
     yield text[start:]
 
 
+def encoded_parts(enc, text):
+    """Lists of ids that follow each other, from parts of the text no match of the pattern lies across.
+
+    Of a run of white space before a word the pattern takes all but the last character as one match, and at the end of the
+    text all of it; a long run is therefore merged as one piece by the library, without its matcher.
+    """
+    at = 0
+    for blank in LONG_BLANK.finditer(text):
+        start, end = blank.span()
+        end -= end < len(text)
+        for piece in pieces(text[at:start]):
+            yield enc.encode_ordinary(piece)
+        yield enc._encode_single_piece(text[start:end])
+        at = end
+    for piece in pieces(text[at:]):
+        yield enc.encode_ordinary(piece)
+
+
 def encode_one(enc, text):
-    if len(text) <= PIECE_CHARS:
+    if len(text) <= LEAST_LONG:
         return enc.encode_ordinary(text)
-    return [i for piece in pieces(text) for i in enc.encode_ordinary(piece)]
+    return [i for part in encoded_parts(enc, text) for i in part]
 
 
 def encode(docs, text="text", keep=("doc_id",), ids="ids", ranks_path=None, pattern=public_tokenizers.PATTERN):

@@ -84,3 +84,32 @@ WITH p AS (SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS payload_bytes,
 SELECT page_id, payload_bytes, payload_digest, CASE WHEN payload_bytes >= 1000 AND page_id < top THEN 'revisit' ELSE 'response' END AS record_type,
  CASE WHEN payload_bytes >= 1000 AND page_id < top THEN top END AS refers_to FROM top
 """
+
+
+def _crc_step(c):
+    for _ in range(8):
+        c = (c >> 1) ^ (0xEDB88320 if c & 1 else 0)  # Fixed value: the reflected polynomial of crc32.
+    return c
+
+
+_CRC = [_crc_step(b) for b in range(256)]
+
+# Words one edit apart share a word that one deletion makes of both (at the same place if the lengths agree), or one is a deletion of the other.
+SPELLING = rf"""
+WITH RECURSIVE runs AS (SELECT coalesce(doc_id::VARCHAR, '') || ':' AS k, unnest(regexp_extract_all({LOWER.format('text')}, '[a-zÀ-ÿ]+')) AS run FROM documents),
+ per AS (SELECT k, run, count(*) AS n FROM runs GROUP BY 1, 2),
+ bytes AS (SELECT run, n, hex(encode(k || run)) AS h FROM per),
+ crc AS (SELECT run, n, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, length(h), 2), lambda i: ('0x' || substr(h, i, 2))::BIGINT)),
+  lambda c, b: xor(c >> 8, ({_CRC}::BIGINT[])[(xor(c, b) & 255) + 1])), 4294967295::BIGINT) AS h FROM bytes),
+ cut AS (SELECT CASE WHEN h % 199 = 0 THEN substr(run, 1, (h % length(run))::INT) || substr(run, (h % length(run))::INT + 2) ELSE run END AS word, n FROM crc),
+ w AS (SELECT word, sum(n)::BIGINT AS n FROM cut WHERE length(word) >= 6 GROUP BY 1 HAVING sum(n) >= 5),
+ gone AS (SELECT word, i, substr(word, 1, i - 1) || substr(word, i + 1) AS d FROM (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM w)),
+ pairs AS (SELECT x.word AS a, y.word AS b FROM gone x JOIN gone y ON x.d = y.d AND x.i = y.i AND x.word <> y.word
+  UNION SELECT gone.word, w.word FROM gone JOIN w ON d = w.word UNION SELECT w.word, gone.word FROM gone JOIN w ON d = w.word),
+ best AS (SELECT a, count(*) AS n_near, min({{'less': -w.n, 'b': b}}) AS best FROM pairs JOIN w ON b = w.word GROUP BY 1),
+ v AS (SELECT word, n, coalesce(n_near, 0)::BIGINT AS n_near, CASE WHEN -best.less >= 5 * n THEN best.b END AS form, CASE WHEN -best.less >= 5 * n THEN -best.less END::BIGINT AS form_n
+  FROM w LEFT JOIN best ON a = word),
+ way AS (SELECT word, word AS root, 0 AS step FROM v UNION ALL SELECT way.word, v.form, step + 1 FROM way JOIN v ON v.word = way.root WHERE v.form IS NOT NULL),
+ root AS (SELECT word, max_by(root, step) AS root FROM way GROUP BY 1)
+SELECT word, form, root, n, n_near, form_n FROM v JOIN root USING (word)
+"""

@@ -1,6 +1,6 @@
 """Registered queries of this subpackage: each applies one operator to its whole table."""
 
-from . import bpe, html_diff, licenses, mixing, oracles, partenum, quality, sharding, syncmers, toxicity, warc
+from . import bpe, html_diff, licenses, mixing, oracles, packing, partenum, quality, sharding, spelling, syncmers, toxicity, warc, whitening
 
 QUERIES = {}
 ORACLE = {}
@@ -73,3 +73,18 @@ def op3_closed_syncmers(spark, sf_dir):
 @query()
 def op2_page_differencing(spark, sf_dir):
     return html_diff.extract(table(spark, sf_dir, "pages"))
+
+
+@query()
+def op11_window_packing(spark, sf_dir):
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
+@query(oracles.SPELLING)
+def op13_pivotal_variants(spark, sf_dir):
+    return spelling.group_variants(spelling.word_counts(table(spark, sf_dir, "documents")))
+
+
+@query()
+def op12_sliced_whitening(spark, sf_dir):
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
