@@ -4,13 +4,14 @@ from pyspark.sql import functions as F
 
 from .. import fixtures as fx
 from ..functions.draws import sql_hash
+from ..functions.shuffles import sql_shuffle
 from ..operators import resample as R
 from ..operators import stats as H
 from .h_stats import bh_ctes, t_crit
 from .registry import query, sql, sql_midrank, sql_n, sql_normal_sf, sql_r
 
 T, FE, SI, CE = fx.SQL_TRIALS, fx.SQL_FEATURES, fx.SQL_SIGNALS, fx.SQL_CELLS
-PERM, BOOT = 99, 100
+PERM, BOOT, FLIPS = 1000, 100, 99
 
 
 def boot_rows(src, keys, index, n, seed, by=""):
@@ -49,11 +50,12 @@ def _(s, d):
 
 def perm_ctes(src, keys, x, y, index, seed, within=""):
     """Oracle tables of a permutation p: src has (keys, within, index 0..n-1, x, y)."""
-    inner = ", ".join(k for k in (keys, within) if k)
-    sel, using = (f"{keys}, " if keys else ""), f"USING ({inner}, {index})"
+    groups = [k for k in (keys, within) if k]
+    inner = "".join(f"{k}, " for k in groups)
+    sel = f"{keys}, " if keys else ""
     on = f"USING ({keys})" if keys else "ON true"
-    return (f"sh AS (SELECT {inner}, rep, row_number() OVER (PARTITION BY {inner}, rep ORDER BY {sql_hash(seed, 'rep', index)}, {y}) - 1 AS {index}, {y} AS yp FROM {src}, range(1, {PERM + 1}) r(rep)),"
-            f"nl AS (SELECT {sel}rep, {sql_r(x, 'yp')} AS r0 FROM sh JOIN {src} {using} GROUP BY ALL), ob AS (SELECT {sel}{sql_n(x, y)} AS n, {sql_r(x, y)} AS r FROM {src} GROUP BY ALL),"
+    return (f"{sql_shuffle('mv', src, PERM, seed, groups, index)}, sh AS (SELECT {inner}rep, moved AS {index}, {y} AS yp FROM mv JOIN {src} USING ({inner}{index})),"
+            f"nl AS (SELECT {sel}rep, {sql_r(x, 'yp')} AS r0 FROM sh JOIN {src} USING ({inner}{index}) GROUP BY ALL), ob AS (SELECT {sel}{sql_n(x, y)} AS n, {sql_r(x, y)} AS r FROM {src} GROUP BY ALL),"
             f"pm AS (SELECT {sel}r, n, count(r0) AS n_perm, (1 + count(*) FILTER (abs(r0) >= abs(r) - 1e-12)) / (count(r0) + 1) AS p_perm FROM nl JOIN ob {on} GROUP BY ALL)")
 
 
@@ -112,7 +114,7 @@ def _(s, d):
 
 
 SIGN = CE + f""", sb AS (SELECT subject, cell // 16 AS roi, cell % 16 AS ti, avg(v) AS v FROM cells GROUP BY 1, 2, 3), ids AS (SELECT DISTINCT subject, dense_rank() OVER (ORDER BY subject) - 1 AS sid FROM sb),
-  sg AS (SELECT subject, rep, CASE WHEN ({sql_hash(42, 'rep', 'sid')}) % 2 = 0 THEN 1.0 ELSE -1.0 END AS sign FROM ids, range(1, {PERM + 1}) r(rep) UNION ALL SELECT subject, 0, 1.0 FROM ids),
+  sg AS (SELECT subject, rep, CASE WHEN ({sql_hash(42, 'rep', 'sid')}) % 2 = 0 THEN 1.0 ELSE -1.0 END AS sign FROM ids, range(1, {FLIPS + 1}) r(rep) UNION ALL SELECT subject, 0, 1.0 FROM ids),
   tt AS (SELECT roi, ti, rep, abs(avg(v * sign) / (stddev_samp(v * sign) / sqrt(count(*)))) AS t, count(*) - 1 AS df FROM sb JOIN sg USING (subject) GROUP BY 1, 2, 3),{t_crit('tt')},
   ct AS (SELECT roi, rep, ti, t, crit AS threshold, ti - row_number() OVER (PARTITION BY roi, rep ORDER BY ti) AS g FROM tt JOIN tc USING (df) WHERE t >= crit), cl AS (SELECT roi, rep, threshold, min(ti) AS start, max(ti) AS stop, count(*) AS n, sum(t) AS mass FROM ct GROUP BY roi, rep, threshold, g),
   mx AS (SELECT u.roi, u.rep, coalesce(max(mass), 0) AS top FROM (SELECT DISTINCT roi, rep FROM tt WHERE rep > 0) u LEFT JOIN cl USING (roi, rep) GROUP BY 1, 2)"""
@@ -121,7 +123,7 @@ SIGN = CE + f""", sb AS (SELECT subject, cell // 16 AS roi, cell % 16 AS ti, avg
 @query("signflip_cluster_test", sql(SIGN, "SELECT roi, threshold, start, stop, n, mass, (SELECT (1 + count(*) FILTER (top >= cl.mass)) / (count(*) + 1) FROM mx WHERE mx.roi = cl.roi) AS p FROM cl WHERE rep = 0", 'roi, start, stop AS "end", n', "threshold mass p"))
 def _(s, d):
     sb = fx.cells(s, d).groupBy("subject", F.floor(F.col("cell") / 16).alias("roi"), (F.col("cell") % 16).alias("ti")).agg(F.avg("v").alias("v"))
-    return R.signflip_cluster_test(sb, "subject", ["roi"], "ti", "v", PERM)
+    return R.signflip_cluster_test(sb, "subject", ["roi"], "ti", "v", FLIPS)
 
 
 @query("graph_cluster_test")
@@ -129,7 +131,7 @@ def _(s, d):
     sb = fx.cells(s, d).groupBy("subject", F.col("cell").alias("channel")).agg(F.avg("v").alias("v"))
     ch = sb.select(F.col("channel").alias("a")).distinct()
     nb = ch.select("a", F.explode(F.array(F.col("a") + 1, F.col("a") - 1, F.col("a") + 8, F.col("a") - 8)).alias("b")).where("b >= 0 and b < 64")
-    return R.graph_cluster_test(sb, nb, "subject", "channel", "v", PERM, p_threshold=0.2)
+    return R.graph_cluster_test(sb, nb, "subject", "channel", "v", FLIPS, p_threshold=0.2)
 
 
 @query("group_null_resample", sql(SI + f""", nu AS (SELECT subject, dense_rank() OVER (PARTITION BY subject ORDER BY trial) - 1 AS perm, ti, avg(x) AS score FROM signals GROUP BY subject, trial, ti), ob AS (SELECT ti, avg(x) * 3 AS obs FROM signals GROUP BY 1),

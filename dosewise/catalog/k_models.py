@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from .. import fixtures as fx
 from ..functions.draws import sql_hash
+from ..functions.shuffles import sql_shuffle
 from ..operators import models as M
 from ..operators.columns import clean_number
 from ..operators.stats import regression_metrics
@@ -11,7 +12,7 @@ from .h_stats import metric_cols
 from .registry import query, sql
 
 T = fx.SQL_TRIALS
-N_FOLDS = 10
+N_FOLDS, PERM = 10, 1000
 # The search grid of the nested model.
 GRID = {"alphas": [0.001, 0.01, 0.1, 1.0, 10.0], "l1_ratios": [0.1, 0.3, 0.5, 0.7, 0.9]}
 
@@ -128,23 +129,31 @@ def pooled_ctes(src, keys, by="subject"):
 
 
 SHUFFLED = (T + ", b0 AS (SELECT subject, temp AS x, score AS y, row_number() OVER (ORDER BY subject, trial_idx) - 1 AS pos FROM trials),"
-            f"sh AS (SELECT rep, row_number() OVER (PARTITION BY rep ORDER BY {sql_hash(42, 'rep', 'pos')}, y) - 1 AS pos, y FROM b0, range(1, 100) r(rep) UNION ALL SELECT 0, pos, y FROM b0),"
-            "sx0 AS (SELECT rep, subject, x, sh.y FROM sh JOIN b0 USING (pos)),")
+            + sql_shuffle("mv", "b0", PERM, 42)
+            + ", sx0 AS (SELECT rep, t.subject, t.x, g.y FROM mv JOIN b0 g USING (pos) JOIN b0 t ON t.pos = mv.moved UNION ALL SELECT 0, subject, x, y FROM b0),")
 MODELS = (T + ", b0 AS (SELECT subject, trial_idx AS pos, temp, rating, trial_idx, score AS y FROM trials),"
-          f"sh AS (SELECT rep, subject, row_number() OVER (PARTITION BY subject, rep ORDER BY {sql_hash(42, 'rep', 'pos')}, y) - 1 AS pos, y FROM b0, range(1, 100) r(rep) UNION ALL SELECT 0, subject, pos, y FROM b0),"
-          "sx0 AS (SELECT rep, subject, sh.y, unnest(['temp', 'rating', 'trial_idx']) AS model, unnest([temp, rating, trial_idx]::DOUBLE[]) AS x FROM sh JOIN b0 USING (subject, pos)),")
+          + sql_shuffle("mv", "b0", PERM, 42, ("subject",))
+          + ", sh AS (SELECT rep, t.subject, t.temp, t.rating, t.trial_idx, g.y FROM mv JOIN b0 g USING (subject, pos) JOIN b0 t ON t.subject = mv.subject AND t.pos = mv.moved UNION ALL SELECT 0, subject, temp, rating, trial_idx, y FROM b0),"
+          "sx0 AS (SELECT rep, subject, y, unnest(['temp', 'rating', 'trial_idx']) AS model, unnest([temp, rating, trial_idx]::DOUBLE[]) AS x FROM sh),")
 
 
-@query("permutation_r2", sql(SHUFFLED + pooled_ctes("sx0", "rep"), """SELECT o.r2 AS r2_obs, count(n.r2) AS n_perm, (1 + count(*) FILTER (n.r2 >= o.r2)) / (count(n.r2) + 1) AS p, quantile_cont(n.r2, 0.05) AS null_q05, quantile_cont(n.r2, 0.5) AS null_q50, quantile_cont(n.r2, 0.95) AS null_q95
-  FROM po n JOIN po o ON o.rep = 0 AND n.rep > 0 GROUP BY 1""", "n_perm", "r2_obs p null_q05 null_q50 null_q95"))
+@query("permutation_r2", sql(SHUFFLED + pooled_ctes("sx0", "rep"), """SELECT o.r2 AS r2_obs, count(n.r2) AS n_perm, (1 + count(*) FILTER (n.r2 >= o.r2)) / (count(n.r2) + 1) AS p, quantile_cont(n.r2, 0.05) AS null_q05, quantile_cont(n.r2, 0.5) AS null_q50, quantile_cont(n.r2, 0.95) AS null_q95, avg(n.r2) AS null_mean, stddev_pop(n.r2) AS null_sd
+  FROM po n JOIN po o ON o.rep = 0 AND n.rep > 0 GROUP BY 1""", "n_perm", "r2_obs p null_q05 null_q50 null_q95 null_mean null_sd"))
 def _(s, d):
-    return M.permutation_r2(fx.trials(s, d), "subject", "temp", "score", ["subject", "trial_idx"], 99)
+    return M.permutation_r2(fx.trials(s, d), "subject", "temp", "score", ["subject", "trial_idx"], PERM)
+
+
+@query("permutation_r2_nested")
+def _(s, d):
+    """The nested search on every shuffle of the target, over whole vectors."""
+    df = epochs(s, d)
+    return M.permutation_r2_nested(df, "x", "y_true", ["trial"], medians=medians(df), inner="run", n_perm=PERM, **GRID)
 
 
 @query("max_stat_permutation", sql(MODELS + pooled_ctes("sx0", "rep, model") + ", mx AS (SELECT rep, max(abs(r)) AS t2, max(r) AS t1 FROM po WHERE rep > 0 GROUP BY 1)",
                                    "SELECT model, r AS r_obs, (SELECT count(*) FROM mx) AS n_perm, (SELECT (1 + count(*) FILTER (t2 >= abs(po.r))) / (count(*) + 1) FROM mx) AS p_two_sided, (SELECT (1 + count(*) FILTER (t1 >= po.r)) / (count(*) + 1) FROM mx) AS p_greater FROM po WHERE rep = 0", "model, n_perm", "r_obs p_two_sided p_greater"))
 def _(s, d):
-    return M.max_stat_permutation(fx.trials(s, d), "subject", ["temp", "rating", "trial_idx"], "score", ["trial_idx"], 99)
+    return M.max_stat_permutation(fx.trials(s, d), "subject", ["temp", "rating", "trial_idx"], "score", ["trial_idx"], PERM)
 
 
 @query("feature_importance")

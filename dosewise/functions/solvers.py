@@ -95,6 +95,57 @@ def enet(g, alpha, l1, rounds=2000, tol=1e-9):
     return b, my - b @ mu, sd, settled
 
 
+def enet_many(g, sides, alpha, l1, rounds=2000, tol=1e-9):
+    """The same for many targets with one X'X: slopes (p x targets), intercepts, and which targets settled.
+
+    ``sides`` has a column for each target: X'y, sum y, sum y^2; ``alpha`` and ``l1`` one value each.  The descent runs over the
+    coordinates with all targets as one row; a target leaves when a sweep moves none of its slopes by ``tol``.
+    """
+    p = len(g) - 2
+    n = g[p, p]
+    b, settled = np.zeros((p, sides.shape[1])), np.ones(sides.shape[1], dtype=bool)
+    if n <= 0:
+        return b, np.full(sides.shape[1], np.nan), settled
+    mu, my = g[:p, p] / n, sides[p] / n
+    c = g[:p, :p] / n - np.outer(mu, mu)
+    sd = np.sqrt(np.maximum(np.diag(c), 0))
+    live = sd > 1e-9
+    if live.any():
+        s = sd[live]
+        q = c[np.ix_(live, live)] / np.outer(s, s)
+        r = (sides[:p] / n - np.outer(mu, my))[live] / s[:, None]
+        w = np.zeros(r.shape)
+        for a in np.unique(alpha[l1 == 0]):
+            ridge = (l1 == 0) & (alpha == a)
+            w[:, ridge] = np.linalg.solve(q + a * np.eye(len(s)), r[:, ridge])
+        active = np.flatnonzero(l1 != 0)
+        for _ in range(rounds):
+            if not len(active):
+                break
+            now, side = w[:, active], r[:, active]
+            limit, down = (alpha * l1)[active], (alpha * (1 - l1))[active]
+            moved = np.zeros(len(active))
+            for j in range(len(s)):
+                z = side[j] - q[j] @ now + q[j, j] * now[j]
+                new = np.sign(z) * np.maximum(np.abs(z) - limit, 0.0) / (q[j, j] + down)
+                moved = np.maximum(moved, np.abs(new - now[j]))
+                now[j] = new
+            w[:, active] = now
+            active = active[moved >= tol]
+        settled[active] = False
+        b[live] = w / s[:, None]
+    return b, my - mu @ b, settled
+
+
+def r2_many(g, sides, b, a):
+    """(R2, squared error) of many lines on cross products; ``sides`` as in ``enet_many``."""
+    p = len(g) - 2
+    w = np.vstack([b, a])
+    sse = sides[p + 1] - 2 * (w * sides[:p + 1]).sum(axis=0) + ((g[:p + 1, :p + 1] @ w) * w).sum(axis=0)
+    vy = sides[p + 1] - sides[p] ** 2 / g[p, p]
+    return np.where(vy > 1e-12, 1 - sse / np.where(vy > 1e-12, vy, 1.0), np.nan), sse
+
+
 def line_scores(g, b, a):
     """R2, r and mean squared error of a line on cross products."""
     p = len(g) - 2

@@ -11,10 +11,11 @@ from pyspark.sql import functions as F
 
 from ..functions.draws import seeded_hash
 from ..functions.moments import pair_aggs, r_of, r_with_p
-from ..functions.solvers import enet, filled, line_scores
-from ..plans.shapes import join_keys, ordered_scan, quantiles, with_index, with_row, with_totals
+from ..functions.solvers import enet, enet_many, filled, line_scores, r2_many
+from ..plans.shapes import join_keys, once, ordered_scan, quantiles, with_index, with_row, with_totals
 from ..session import stored
-from .resample import PAIR_SUMS, permuted
+from .columns import clean_number
+from .resample import PAIR_SUMS, permuted, shuffled_sums
 from .stats import auc, complete
 
 # ---------------------------------------------------------------- folds
@@ -210,6 +211,40 @@ def balanced_blocks(rows, n_splits):
     return out
 
 
+def outer_products(keyed, features, y, fold, medians=None, n_folds=None, refit_all=False):
+    """(folds, grams, table): per outer fold the product sums of every ``__block`` over all folds, and the fold's own parts.
+
+    In the table (fold, __block, own, gram, median) a row with ``own`` false is a block's sum over all folds, one with ``own``
+    true the fold's part of it, which the solver takes off; so no product is sent to every other fold.
+    """
+    grams = stored(cross_products(keyed, [fold, "__block"], features, y).withColumnRenamed(fold, "part"), "grams")
+    ids = fold_ids(keyed, fold, grams, n_folds)
+    cells = grams.select("__block", F.posexplode("gram").alias("i", "v")).groupBy("__block", "i").agg(F.sum("v").alias("v"))
+    total = cells.groupBy("__block").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "v"))), lambda c: c["v"]).alias("gram"))
+    each = F.explode(F.array(*[F.lit(i) for i in [*ids, *([-1] if refit_all else [])]])).alias("fold")
+    table = total.select(each, "__block", F.lit(False).alias("own"), "gram")
+    table = table.unionByName(grams.select(F.col("part").cast("int").alias("fold"), "__block", F.lit(True).alias("own"), "gram"))
+    if medians is None:
+        return ids, grams, table.withColumn("median", F.lit(None).cast("array<double>"))
+    m = medians.groupBy("held_out").agg(F.transform(F.array_sort(F.collect_list(F.struct("feature", "median"))), lambda s: s["median"]).alias("median"))
+    return ids, grams, join_keys(table, m.withColumnRenamed("held_out", "fold"), ["fold"], "left")
+
+
+def training_parts(pdf, inner_splits, by_blocks):
+    """(medians, block -> products of the training rows, products of the fold's own rows, blocks of each inner fold)."""
+    size = int(round(len(pdf["gram"].iloc[0]) ** 0.5))
+    p = (size - 2) // 2
+    med = pdf["median"].iloc[0]
+    med = np.zeros(p) if med is None else np.nan_to_num(np.asarray(med, float))
+    g, own = {}, np.zeros((p + 2, p + 2))
+    for block, mine, v in zip(pdf["__block"], pdf["own"], pdf["gram"]):
+        one = filled(np.asarray(v, float).reshape(size, size), med)
+        g[block] = g.get(block, 0.0) + (-one if mine else one)
+        own += one if mine else 0.0
+    train = {k: v for k, v in g.items() if v[p, p] > 0.5}
+    return med, train, own, balanced_blocks({k: v[p, p] for k, v in train.items()}, inner_splits) if by_blocks else [[k] for k in sorted(train)]
+
+
 def elasticnet_nested(df, features, y, fold="fold", n_folds=None, alphas=(0.01, 0.1, 1.0), l1_ratios=(0.2, 0.5, 0.8), medians=None, refit_all=False, inner=None, inner_splits=5):
     """Per outer fold: search the grid by R2 over inner folds of the training rows, refit on all of them; one row per outer fold.
 
@@ -221,35 +256,23 @@ def elasticnet_nested(df, features, y, fold="fold", n_folds=None, alphas=(0.01,
     chosen over all folds and fitted on all rows.  The folds are those in the data; ``n_folds`` only checks them.
     """
     keyed = df.withColumn("__block", F.col(inner).cast("long") if inner else F.col(fold).cast("long"))
-    grams = stored(cross_products(keyed, [fold, "__block"], features, y).withColumnRenamed(fold, "part"), "grams")
+    table = outer_products(keyed, features, y, fold, medians, n_folds, refit_all)[2]
     grid = [(float(a), float(q)) for a in alphas for q in l1_ratios]
-    outer = fold_ids(df, fold, grams, n_folds) + ([-1] if refit_all else [])
-    table = grams.withColumn("fold", F.explode(F.array(*[F.lit(int(i)) for i in outer])))
-    if medians is not None:
-        m = medians.groupBy("held_out").agg(F.transform(F.array_sort(F.collect_list(F.struct("feature", "median"))), lambda s: s["median"]).alias("median"))
-        table = join_keys(table, m.withColumnRenamed("held_out", "fold"), ["fold"], "left")
-    else:
-        table = table.withColumn("median", F.lit(None).cast("array<double>"))
 
     def fit(pdf):
         fold_id = int(pdf["fold"].iloc[0])
-        size = int(round(len(pdf["gram"].iloc[0]) ** 0.5))
-        p = (size - 2) // 2
-        med = pdf["median"].iloc[0]
-        med = np.zeros(p) if med is None else np.nan_to_num(np.asarray(med, float))
-        g = {}
-        for part, block, v in zip(pdf["part"], pdf["__block"], pdf["gram"]):
-            if int(part) != fold_id:
-                one = filled(np.asarray(v, float).reshape(size, size), med)
-                g[block] = g[block] + one if block in g else one
-        total = sum(g.values())
-        splits = balanced_blocks({k: v[p, p] for k, v in g.items()}, inner_splits) if inner else [[k] for k in sorted(g)]
-        tests = [sum(g[k] for k in s) for s in splits] if len(splits) > 1 else []
-        marks = np.full((len(grid), 3), np.nan)
-        for k, (a, q) in enumerate(grid):
-            each = np.array([line_scores(t, *enet(total - t, a, q)[:2]) for t in tests]).reshape(-1, 3)
-            known = ~np.isnan(each)
-            marks[k] = np.where(known.any(axis=0), np.where(known, each, 0.0).sum(axis=0) / np.maximum(known.sum(axis=0), 1), np.nan)
+        med, train, _, splits = training_parts(pdf, inner_splits, bool(inner))
+        p = len(med)
+        total = sum(train.values()) if train else np.zeros((p + 2, p + 2))
+        tests = [sum(train[k] for k in s) for s in splits] if len(splits) > 1 else []
+        alpha, l1 = (np.array([g[i] for g in grid]) for i in (0, 1))
+        scores = []  # inner folds x settings x (r2, r, mse); all settings are columns of one descent
+        for t in tests:
+            b, c, _ = enet_many(total - t, np.tile((total - t)[:, p + 1:], (1, len(grid))), alpha, l1)
+            scores.append([line_scores(t, b[:, k], c[k]) for k in range(len(grid))])
+        each = np.array(scores, dtype=float).reshape(-1, len(grid), 3)
+        known = ~np.isnan(each)
+        marks = np.where(known.any(axis=0), np.where(known, each, 0.0).sum(axis=0) / np.maximum(known.sum(axis=0), 1), np.nan)
         by_r2, by_r, by_mse = (int(np.argmax(np.nan_to_num(v, nan=-np.inf))) for v in (marks[:, 0], marks[:, 1], -marks[:, 2]))
         b, c, sd, settled = enet(total, *grid[by_r2])
         text = lambda i: f'{{"alpha": {grid[i][0]}, "l1_ratio": {grid[i][1]}}}'
@@ -337,28 +360,107 @@ def feature_importance(fits, names):
 # ---------------------------------------------------------------- permutation on sums
 
 
+def _shuffled_pairs(df, keys, group, xs, y, order, n_perm, seed):
+    """(rep, group, model, LOGO_SUMS) of y shuffled inside ``keys``: what a shuffle does not change is summed once."""
+    acc = None if group in keys else group
+    null = shuffled_sums(df, keys, xs, y, order, n_perm, seed, acc=acc)
+    fixed = df.groupBy(group).agg(F.count(F.lit(1)).alias("n"), *[f(F.col(x).cast("double")).alias(f"__{k}{i}") for i, x in enumerate(xs) for k, f in (("sx", F.sum), ("sxx", lambda v: F.sum(v * v)))])
+    j = join_keys(null, fixed, [group])
+    models = F.array(*[F.struct(F.lit(x).alias("model"), F.col(f"__sx{i}").alias("sx"), F.col(f"__sxx{i}").alias("sxx"), F.get("sxy", F.lit(i)).alias("sxy")) for i, x in enumerate(xs)])
+    return j.select("rep", group, "n", "sy", "syy", F.inline(models)).select("rep", "model", group, *LOGO_SUMS)
+
+
+def null_summary(scores, obs):
+    """p = (ge + 1) / (P + 1) of ``r2`` against the null scores, one per replicate, and the null's mean, spread and quantiles."""
+    j = with_row(scores, obs)
+    g = j.groupBy("r2_obs").agg(F.count_if(F.col("r2") >= F.col("r2_obs")).alias("ge"), F.count("r2").alias("n_perm"), F.percentile("r2", 0.05).alias("null_q05"), F.percentile("r2", 0.5).alias("null_q50"),
+                                F.percentile("r2", 0.95).alias("null_q95"), F.avg("r2").alias("null_mean"), F.stddev_pop("r2").alias("null_sd"))
+    return g.select("r2_obs", "n_perm", ((F.col("ge") + 1) / (F.col("n_perm") + 1)).alias("p"), "null_q05", "null_q50", "null_q95", "null_mean", "null_sd")
+
+
 def permutation_r2(df, group, x, y, order, n_perm=1000, seed=42):
-    """Shuffle the target, repeat the group-out line on sums: p = (ge + 1)/(P + 1) and the null's quantiles."""
-    ok = complete(df, x, y)
-    base = with_index(ok.select(*dict.fromkeys([group, *order, x, y])), [], list(order), "__k")
-    perm = permuted(base.drop("__k"), [], y, order, n_perm, seed)
-    null = perm.join(base.select("__k", group, x), "__k")
-    scores = pooled_scores(logo_lines(_pair_sums(null, ["rep", group], x, y), group, ["rep"]), ["rep"])
+    """Shuffle the target, repeat the group-out line on sums; the search of the nested model is in ``permutation_r2_nested``."""
+    ok = once(complete(df, x, y).select(*dict.fromkeys([group, *order, x, y])))
+    null = _shuffled_pairs(ok, [], group, [x], y, order, n_perm, seed)
+    scores = pooled_scores(logo_lines(null.drop("model"), group, ["rep"]), ["rep"])
     obs = pooled_scores(logo_lines(_pair_sums(ok, [group], x, y), group)).select(F.col("r2").alias("r2_obs"))
-    j = with_row(scores, obs)
-    return j.groupBy("r2_obs").agg(F.count_if(F.col("r2") >= F.col("r2_obs")).alias("ge"), F.count("r2").alias("n_perm"), F.percentile("r2", 0.05).alias("null_q05"), F.percentile("r2", 0.5).alias("null_q50"),
-                                   F.percentile("r2", 0.95).alias("null_q95")).select("r2_obs", "n_perm", ((F.col("ge") + 1) / (F.col("n_perm") + 1)).alias("p"), "null_q05", "null_q50", "null_q95")
+    return null_summary(scores, obs)
+
+
+def permutation_r2_nested(df, features, y, order, fold="fold", alphas=(0.01, 0.1, 1.0), l1_ratios=(0.2, 0.5, 0.8), medians=None, inner=None, inner_splits=5, n_perm=1000, seed=42, block=50):
+    """The whole nested search of ``elasticnet_nested`` repeated on ``n_perm`` shuffles of the target over all rows.
+
+    A shuffle leaves X'X, the training medians and the folds alone; only X'y changes.  So the rows are read once for the
+    products and once for the right-hand sides of all shuffles (``shuffled_sums``, kept apart by fold and inner block), and a
+    task takes one outer fold with ``block`` shuffles: coordinate descent runs on all of them and all settings together, as
+    columns of one matrix.  The score is the R2 of all out-of-fold predictions, from sums; the target as it is goes along as
+    replicate 0.  One row as in ``null_summary``, with ``unsettled``, the number of fits that used up their sweeps.
+    """
+    ok = df.where(F.col(y).isNotNull())
+    keyed = once(ok.select(*dict.fromkeys([fold, *order, y]), F.col(features).alias("__f"), (F.col(inner) if inner else F.col(fold)).cast("long").alias("__block")))
+    folds, grams, table = outer_products(keyed, "__f", y, fold, medians)
+    size = F.sqrt(F.size("gram")).cast("int")
+    observed = grams.select("part", "__block", F.lit(0).cast("long").alias("rep"), F.transform(F.sequence(F.lit(1), size), lambda i: F.get("gram", i * size - 1)).alias("side"))
+    value = lambda v: clean_number(v.cast("double"))
+    both = F.concat(F.transform("__f", lambda v: F.coalesce(value(v), F.lit(0.0))), F.transform("__f", lambda v: value(v).isNull().cast("double")))
+    sides = keyed.withColumns({"__xu": both, "__acc": F.concat_ws(":", fold, "__block")})
+    cut = F.split("__acc", ":")
+    null = shuffled_sums(sides, [], "__xu", y, order, n_perm, seed, acc="__acc")
+    null = null.select(cut[0].cast("int").alias("part"), cut[1].cast("long").alias("__block"), "rep", F.concat("sxy", F.array("sy", "syy")).alias("side"))
+    rhs = stored(null.unionByName(observed).withColumn("reps", F.floor(F.col("rep") / block).cast("int")), "sides")
+    long = rhs.select("__block", "reps", "rep", F.posexplode("side").alias("i", "v")).groupBy("__block", "reps", "rep", "i").agg(F.sum("v").alias("v"))
+    total = long.groupBy("__block", "reps", "rep").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "v"))), lambda c: c["v"]).alias("side"))
+    each = F.explode(F.array(*[F.lit(i) for i in folds])).alias("fold")
+    columns = ["__block", "reps", "rep", "side"]
+    sides = total.select(each, F.lit(False).alias("own"), *columns).unionByName(rhs.select(F.col("part").alias("fold"), F.lit(True).alias("own"), *columns))
+    grid = [(float(a), float(q)) for a in alphas for q in l1_ratios]
+
+    def solve(products, targets):
+        med, train, own, splits = training_parts(products, inner_splits, bool(inner))
+        p, many = len(med), targets["rep"].nunique()
+        reps = np.sort(targets["rep"].unique())
+        at = {r: i for i, r in enumerate(reps)}
+        sums = {k: np.zeros((2 * p + 2, many)) for k in train}
+        held = np.zeros((2 * p + 2, many))
+        for k, rep, mine, side in zip(targets["__block"], targets["rep"], targets["own"], targets["side"]):
+            v = np.asarray(side, float)
+            if mine:
+                held[:, at[rep]] += v
+            if k in sums:
+                sums[k][:, at[rep]] += -v if mine else v
+        fill = lambda m: np.vstack([m[:p] + med[:, None] * m[p:2 * p], m[2 * p:]])
+        right, held = {k: fill(m) for k, m in sums.items()}, fill(held)
+        total_g, total_r = sum(train.values()), sum(right.values())
+        tests = [(sum(train[k] for k in s), sum(right[k] for k in s)) for s in splits] if len(splits) > 1 else []
+        # columns: all shuffles under the first setting, then under the second, and so on
+        alpha, l1 = (np.repeat([g[i] for g in grid], many) for i in (0, 1))
+        marks, known, unsettled = np.zeros((len(grid), many)), np.zeros((len(grid), many)), 0
+        for g, r in tests:
+            b, c, settled = enet_many(total_g - g, np.tile(total_r - r, (1, len(grid))), alpha, l1)
+            r2 = r2_many(g, np.tile(r, (1, len(grid))), b, c)[0].reshape(len(grid), many)
+            marks, known, unsettled = marks + np.nan_to_num(r2), known + ~np.isnan(r2), unsettled + int((~settled).sum())
+        best = np.argmax(np.where(known > 0, marks / np.maximum(known, 1), -np.inf), axis=0)
+        b, c, settled = enet_many(total_g, total_r, *(np.array([grid[k][i] for k in best]) for i in (0, 1)))
+        counts = np.zeros(many, dtype=np.int64)
+        counts[0] = unsettled + int((~settled).sum())
+        return pd.DataFrame({"rep": reps, "sse": r2_many(own, held, b, c)[1], "n": own[p, p], "sy": held[p], "syy": held[p + 1], "unsettled": counts})
+
+    dealt = table.withColumn("reps", F.explode(F.sequence(F.lit(0), F.lit(n_perm // block))))
+    got = dealt.groupBy("fold", "reps").cogroup(sides.groupBy("fold", "reps")).applyInPandas(solve, "rep long, sse double, n double, sy double, syy double, unsettled long")
+    scores = stored(got.groupBy("rep").agg(*[F.sum(c).alias(c) for c in ("sse", "n", "sy", "syy", "unsettled")]), "scores")
+    spread = F.col("syy") - F.col("sy") * F.col("sy") / F.col("n")
+    r2 = scores.select("rep", F.when(spread > 1e-12, 1 - F.col("sse") / spread).alias("r2"))
+    return with_row(null_summary(r2.where("rep > 0"), r2.where("rep = 0").select(F.col("r2").alias("r2_obs"))), scores.agg(F.sum("unsettled").alias("unsettled")))
 
 
 def max_stat_permutation(df, group, xs, y, order, n_perm=1000, seed=42):
     """Shuffle inside each subject; the largest absolute r over one-feature models per replicate gives corrected p."""
-    ok = complete(df, y, *xs)
-    base = with_index(ok.select(*dict.fromkeys([group, *order, *xs, y])), [group], list(order), "__k")
-    rows = lambda d, extra: d.select(group, *extra, y, F.inline(F.array(*[F.struct(F.lit(m).alias("model"), F.col(m).cast("double").alias("x")) for m in xs])))
-    obs = pooled_scores(logo_lines(_pair_sums(rows(base, []), ["model", group], "x", y), group, ["model"]), ["model"]).select("model", F.col("r").alias("r_obs"))
-    perm = permuted(base.drop("__k"), [group], y, order, n_perm, seed)
-    null = rows(join_keys(perm, base.select(group, "__k", *xs), [group, "__k"]), ["rep"])
-    r = pooled_scores(logo_lines(_pair_sums(null, ["rep", "model", group], "x", y), group, ["rep", "model"]), ["rep", "model"])
+    xs = list(xs)
+    ok = once(complete(df, y, *xs).select(*dict.fromkeys([group, *order, *xs, y])))
+    rows = ok.select(group, y, F.inline(F.array(*[F.struct(F.lit(m).alias("model"), F.col(m).cast("double").alias("x")) for m in xs])))
+    obs = pooled_scores(logo_lines(_pair_sums(rows, ["model", group], "x", y), group, ["model"]), ["model"]).select("model", F.col("r").alias("r_obs"))
+    null = _shuffled_pairs(ok, [group], group, xs, y, order, n_perm, seed)
+    r = pooled_scores(logo_lines(null, group, ["rep", "model"]), ["rep", "model"])
     top = r.groupBy("rep").agg(F.max(F.abs("r")).alias("top2"), F.max("r").alias("top1"))
     reps = top.withColumn("model", F.explode(F.array(*[F.lit(m) for m in xs])))
     g = join_keys(reps, obs, ["model"]).groupBy("model", "r_obs").agg(F.count_if(F.col("top2") >= F.abs("r_obs")).alias("g2"), F.count_if(F.col("top1") >= F.col("r_obs")).alias("g1"), F.count(F.lit(1)).alias("n_perm"))

@@ -1,10 +1,12 @@
 """Bootstrap and permutation.  Draws are a function of (seed, replicate, position), so reruns and lost tasks agree."""
 
-
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
+from ..functions import shuffles
 from ..functions.draws import seeded_draw, seeded_hash
-from ..functions.moments import fisher_z, pair_aggs, r_of
+from ..functions.moments import clip, fisher_z, pair_aggs, r_of
 from ..functions.special import let, normal_cdf, normal_quantile, t_quantile
 from ..plans.shapes import join_keys, once, ordered_scan, quantiles, replicate_quantiles, replicates, with_index, with_midrank, with_row, with_totals
 from ..session import stored
@@ -175,16 +177,122 @@ def permuted(df, keys, value, order, n_perm, seed):
     return shuffled.select(*keys, "rep", "__k", value)
 
 
+SLICE_ROWS = 32768
+BLOCK_REPS = 125
+AT_ONCE = 1 << 20
+
+
+def group_number(keys):
+    """A number below 2^48 for each group, from its keys as text."""
+    text = F.concat_ws(":", *[F.col(k).cast("string") for k in keys]) if keys else F.lit("")
+    return F.conv(F.substring(F.md5(text), 1, 12), 16, 10).cast("long")
+
+
+def shuffled_sums(df, keys, xs, y, order, n_perm, seed, centre=None, acc=None):
+    """Sums against ``n_perm`` shuffles of y inside ``keys``: (keys, acc, rep, sy, syy, sxy as an array over ``xs``).
+
+    In replicate r the row at place k of its group gives its y to the row at place p_r(k), a keyed permutation that is
+    computed from k alone; so no replicate is sorted and no row is copied per replicate.  Groups lie in slices of at most
+    ``SLICE_ROWS`` rows, one row of arrays each, which is sent once for each block of ``BLOCK_REPS`` replicates; a task
+    scatters the slice's y over the receiving places and multiplies.  Only values whose place lies in another slice of a
+    longer group travel, as packed arrays.  With ``centre`` (keys), x and y are first reduced by their means over these
+    keys.  ``acc`` names a column by whose values of the receiving rows the sums are kept apart.  ``xs`` are column
+    names, or one name of an array column.
+    """
+    keys = list(keys)
+    parts = [F.col(xs)] if isinstance(xs, str) else [F.array(*[F.col(c).cast("double") for c in xs])]
+    base = with_index(df.select(*keys, *[c for c in order if c not in keys], *[c for c in (centre or []) if c not in keys], *([F.col(acc).alias("__acc")] if acc else []),
+                                parts[0].alias("__x"), F.col(y).cast("double").alias("__y")), keys, list(order), "__k")
+    if centre is not None:
+        width = len(xs)
+        base = with_totals(once(base), centre, {"__my": F.avg("__y"), **{f"__m{i}": F.avg(F.get("__x", F.lit(i))) for i in range(width)}})
+        base = base.withColumns({"__y": F.col("__y") - F.col("__my"), "__x": F.array(*[F.get("__x", F.lit(i)) - F.col(f"__m{i}") for i in range(width)])})
+    base = base.withColumn("__acc", F.col("__acc") if acc else F.lit(0))
+    packed = base.withColumn("__slice", F.floor(F.col("__k") / SLICE_ROWS)).groupBy(*keys, "__slice").agg(F.array_sort(F.collect_list(F.struct("__k", "__x", "__y", "__acc"))).alias("__r"))
+    r = F.col("__r")
+    packed = packed.select(*keys, "__slice", r["__y"].alias("__y"), F.flatten(r["__x"]).alias("__x"), r["__acc"].alias("__acc"))
+    packed = stored(with_totals(packed, keys, {"__n": F.sum(F.size("__y"))}).withColumn("__group", group_number(keys)), "slices")
+    kinds = dict(packed.dtypes)
+    k_types = ", ".join(f"`{k}` {kinds[k]}" for k in keys)
+    head = k_types + ", " if keys else ""
+    acc_type = kinds["__acc"][len("array<"):-1]
+    sums = f"{head}__acc {acc_type}, rep long, sums array<double>"
+    blocks = F.explode(F.sequence(F.lit(0), F.lit((n_perm - 1) // BLOCK_REPS)))
+    dealt = packed.withColumn("__block", blocks)
+    dealt = dealt.repartition(*keys, "__slice", "__block")
+    n_keys, slice_rows, block_reps, at_once = len(keys), SLICE_ROWS, BLOCK_REPS, AT_ONCE
+
+    def reps_of(block, m):
+        """The block's replicates (from 1) in chunks whose arrays stay small."""
+        first, last = block * block_reps + 1, min(n_perm, (block + 1) * block_reps)
+        step = max(1, at_once // max(1, m))
+        return [np.arange(a, min(a + step, last + 1)) for a in range(first, last + 1, step)]
+
+    def own(batches):
+        for batch in batches:
+            col = {name: batch.column(i) for i, name in enumerate(batch.schema.names)}
+            made, at = [], []
+            for i in range(batch.num_rows):
+                part = shuffles.Slice(col["__y"][i].values, col["__x"][i].values, col["__acc"][i].values)
+                start = col["__slice"][i].as_py() * slice_rows
+                for reps in reps_of(col["__block"][i].as_py(), part.rows):
+                    keyed = shuffles.round_keys(seed, col["__group"][i].as_py(), reps)
+                    to = shuffles.permuted_positions(keyed, start + np.arange(part.rows), col["__n"][i].as_py()) - start
+                    made.append(part.sums(part.scattered(to), reps))
+                    at.append(np.full(made[-1].num_rows, i))
+            if made:
+                table = pa.Table.from_batches(made)
+                taken = [batch.column(k).take(pa.array(np.concatenate(at))) for k in range(n_keys)]
+                yield from pa.Table.from_arrays([*taken, *table.columns], names=batch.schema.names[:n_keys] + table.schema.names).to_batches()
+
+    out = dealt.mapInArrow(own, sums)
+    if packed.where("__slice > 0").limit(1).count():
+        def away(batches):
+            for batch in batches:
+                col = {name: batch.column(i) for i, name in enumerate(batch.schema.names)}
+                for i in range(batch.num_rows):
+                    ys, mine = col["__y"][i].values.to_numpy(), col["__slice"][i].as_py()
+                    for reps in reps_of(col["__block"][i].as_py(), len(ys)):
+                        keyed = shuffles.round_keys(seed, col["__group"][i].as_py(), reps)
+                        to = shuffles.permuted_positions(keyed, mine * slice_rows + np.arange(len(ys)), col["__n"][i].as_py())
+                        sent = shuffles.sendings(to, ys, reps, slice_rows, mine)
+                        key = [batch.column(k).take(pa.array(np.full(sent.num_rows, i))) for k in range(n_keys)]
+                        block = pa.array(np.full(sent.num_rows, col["__block"][i].as_py(), dtype=np.int32))
+                        yield pa.RecordBatch.from_arrays([*key, block, *sent.columns], names=batch.schema.names[:n_keys] + ["__block"] + sent.schema.names)
+
+        def arrived(slices, sendings):
+            if not slices.num_rows:
+                return shuffles.no_sums(slices.schema, n_keys)
+            part = shuffles.Slice(slices["__y"][0].values, slices["__x"][0].values, slices["__acc"][0].values)
+            made = [part.sums(part.placed(at.values, ys.values), np.array([rep.as_py()])) for rep, at, ys in zip(sendings["rep"], sendings["at"], sendings["ys"])]
+            table = pa.Table.from_batches(made) if made else shuffles.no_sums(slices.schema, 0)
+            key = [pa.array([slices.column(k)[0].as_py()] * table.num_rows, slices.schema.field(k).type) for k in range(n_keys)]
+            return pa.Table.from_arrays([*key, *table.columns], names=slices.schema.names[:n_keys] + table.schema.names)
+
+        sent = dealt.mapInArrow(away, f"{head}__block int, __slice long, rep long, at array<int>, ys array<double>")
+        at = [*keys, "__slice", "__block"]
+        got = dealt.groupBy(*at).cogroup(sent.groupBy(*at)).applyInArrow(arrived, sums)
+        out = out.unionByName(got)
+    width = (len(xs) if not isinstance(xs, str) else None) or (packed.select((F.size("__x") / F.size("__y")).cast("int").alias("w")).limit(1).first() or [0])[0]
+    got = out.groupBy(*keys, "__acc", "rep").agg(*[F.sum(F.get("sums", F.lit(i))).alias(f"__s{i}") for i in range(width + 2)])
+    return got.select(*keys, *([F.col("__acc").alias(acc)] if acc else []), "rep", F.col("__s0").alias("sy"), F.col("__s1").alias("syy"), F.array(*[F.col(f"__s{i + 2}") for i in range(width)]).alias("sxy"))
+
+
 def permutation_test(df, keys, x, y, order, n_perm=1000, seed=42, within=()):
-    """Two-sided p of r(x, y) on the given columns (ranks or residuals), shuffling y inside ``within`` too."""
-    ok = complete(df, x, y)
+    """Two-sided p of r(x, y) on the given columns (ranks or residuals), shuffling y inside ``within`` too.
+
+    Only the cross product changes with a shuffle, so a replicate is one number per group.
+    """
+    keys = list(keys)
     inner = [*keys, *within]
-    base = with_index(ok.select(*inner, *order, x, y), inner, list(order), "__k")
-    obs = base.groupBy(*keys).agg(*pair_aggs(x, y)).withColumn("r", r_of()).select(*keys, "r", "n")
-    perm = permuted(base.drop("__k"), inner, y, order, n_perm, seed)
-    null = join_keys(perm, base.select(*inner, "__k", x), [*inner, "__k"]).groupBy(*keys, "rep").agg(*pair_aggs(x, y)).withColumn("r_null", r_of()).select(*keys, "rep", "r_null")
-    j = join_keys(null, obs, list(keys)) if keys else with_row(null, obs)
-    g = j.groupBy(*keys, "r", "n").agg(F.count_if(F.abs("r_null") >= F.abs("r") - 1e-12).alias("ge"), F.count("r_null").alias("n_perm"))
+    ok = once(complete(df, x, y).select(*dict.fromkeys([*inner, *order, x, y])))
+    obs = ok.groupBy(*keys).agg(*pair_aggs(x, y)).withColumn("r", r_of())
+    spread = F.sqrt(F.col("vx") * F.col("vy")) * (F.col("n") - 1)
+    obs = obs.select(*keys, "r", "n", F.when(F.col("r").isNotNull(), spread).alias("__spread"))
+    null = shuffled_sums(ok, inner, [x], y, order, n_perm, seed, centre=keys).groupBy(*keys, "rep").agg(F.sum(F.get("sxy", F.lit(0))).alias("__c"))
+    j = join_keys(null, obs, keys) if keys else with_row(null, obs)
+    r_null = clip(F.col("__c") / F.col("__spread"), -1, 1)
+    g = j.select(*keys, "r", "n", r_null.alias("r_null")).groupBy(*keys, "r", "n").agg(F.count_if(F.abs("r_null") >= F.abs("r") - 1e-12).alias("ge"), F.count("r_null").alias("n_perm"))
     return g.withColumn("p_perm", (F.col("ge") + 1) / (F.col("n_perm") + 1)).drop("ge")
 
 
