@@ -37,15 +37,15 @@ def _slope(w):
     return f"(sum({w}sxy) - sum({w}sx) * sum({w}sy) / sum({w}n)) / (sum({w}sxx) - sum({w}sx) * sum({w}sx) / sum({w}n))"
 
 
-@query("cluster_bootstrap", sql(T + "," + SUMS + f", mu AS (SELECT rep, ({sql_hash(7, 'rep', 'i')}) % (SELECT count(*) FROM sub) AS i FROM sub, range(1, 501) r(rep)), bs AS (SELECT rep, {_slope('')} AS st FROM mu JOIN sub USING (i) GROUP BY 1)",
+@query("cluster_bootstrap", sql(T + "," + SUMS + f", mu AS (SELECT rep, ({sql_hash(7, 'rep', 'i')}) % (SELECT count(*) FROM sub) AS i FROM sub, range(1, 1001) r(rep)), bs AS (SELECT rep, {_slope('')} AS st FROM mu JOIN sub USING (i) GROUP BY 1)",
                                 f"SELECT (SELECT {_slope('')} FROM sub) AS estimate, quantile_cont(st, 0.025) AS ci_low, quantile_cont(st, 0.975) AS ci_high, count(st) AS n_boot FROM bs", "n_boot", "estimate ci_low ci_high"))
 def _(s, d):
-    return R.cluster_bootstrap(R.subject_sums(fx.trials(s, d), "subject", "temp", "score"), "subject", "slope", n_boot=500, seed=7)
+    return R.cluster_bootstrap(R.subject_sums(fx.trials(s, d), "subject", "temp", "score"), "subject", "slope", n_boot=1000, seed=7)
 
 
 @query("bca_interval")
 def _(s, d):
-    return R.bca_interval(R.subject_sums(fx.trials(s, d), "subject", "temp", "score"), "subject", "slope", n_boot=500, seed=7)
+    return R.bca_interval(R.subject_sums(fx.trials(s, d), "subject", "temp", "score"), "subject", "slope", n_boot=1000, seed=7)
 
 
 def perm_ctes(src, keys, x, y, index, seed, within=""):

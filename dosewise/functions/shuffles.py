@@ -26,19 +26,33 @@ def mixed(h):
     return ((h % 65536) * 69621 + (h // 65536) * 40692 + (h % 32749) * (h % 31337)) % MODULUS
 
 
-def hashes(seed, rep, pos):
-    """``seeded_hash`` modulo its modulus, for arrays of replicates and positions."""
-    out = []
+def long_hashes(seed, rep, pos):
+    """``seeded_hash`` itself for arrays: 62 bits."""
+    words = []
     for low, middle, high, copy, salt in FACTORS:
         place = pos % 65536 * low + (pos >> 16) % 65536 * middle + (pos >> 32) * high
-        out.append(mixed(mixed((place + (rep % MODULUS) * copy + (int(seed) * salt % MODULUS + 12345)) % MODULUS)))
-    return ((out[0] % MODULUS) * (2147483648 % MODULUS) + out[1]) % MODULUS
+        words.append(mixed(mixed((place + (rep % MODULUS) * copy + (int(seed) * salt % MODULUS + 12345)) % MODULUS)))
+    return words[0] * 2147483648 + words[1]
+
+
+def draw_counts(seed, reps, mine, sizes, n):
+    """How often each of the slice's members is drawn when ``n`` are drawn with replacement from all slices: (replicates, members).
+
+    The split over slices is one multinomial draw per replicate, repeated alike wherever it is needed.
+    """
+    share, rows = np.asarray(sizes, dtype=float) / n, sizes[mine]
+    counts = np.zeros((len(reps), rows))
+    for k, rep in enumerate(reps):
+        here = np.random.default_rng([int(seed) % (1 << 32), int(rep)]).multinomial(n, share)[mine]
+        slots = (np.int64(mine) << 40) + np.arange(here, dtype=np.int64)
+        counts[k] = np.bincount(long_hashes(seed, np.int64(rep), slots) % rows, minlength=rows)
+    return counts
 
 
 def round_keys(seed, group, reps):
     """One key per replicate and round: (replicates, ROUNDS); ``group`` is a number below 2^48."""
     reps = np.asarray(reps, dtype=np.int64)[:, None]
-    return hashes(seed, reps, np.int64(group) * 16 + np.arange(ROUNDS, dtype=np.int64)[None, :])
+    return long_hashes(seed, reps, np.int64(group) * 16 + np.arange(ROUNDS, dtype=np.int64)[None, :]) % MODULUS
 
 
 def permuted_positions(keys, at, n):

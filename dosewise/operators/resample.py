@@ -63,11 +63,47 @@ def weighted_r(df, keys, x, y, weight):
     return g.select(*keys, F.when((vx > 1e-9) & (vy > 1e-9), c / F.sqrt(vx * vy)).alias("r"))
 
 
-def subject_multiplicities(subjects, key, n_boot, seed):
-    """(rep, subject, m): resampled subjects with how often each is drawn."""
-    idx = with_index(subjects.select(key).distinct(), [], [key], "__i")
-    m = row_resamples(idx.withColumn("__g", F.lit(0)), ["__g"], n_boot, seed)
-    return m.join(idx, "__i").select("rep", key, "m")
+def resampled_sums(sums, subject, keys, n_boot, seed):
+    """Sums over resampled subjects: (rep, keys, the other columns), from per-subject sums.
+
+    Subjects are dealt to slices by a hash; how many of a replicate's draws fall to each slice is a multinomial draw that every
+    task repeats from the seed, and inside a slice each draw is a hash of (replicate, slice, number).  So a slice knows the counts
+    of its own subjects, multiplies them into its sums, and nothing but sums per replicate is moved.
+    """
+    keys = list(keys)
+    cols = [c for c in sums.columns if c not in (subject, *keys)]
+    n_slices = -(-(sums.agg(F.count_distinct(F.coalesce(F.xxhash64(subject), F.lit(0)))).first()[0] or 1) // SLICE_ROWS)
+    named = sums.withColumn("__acc", F.to_json(F.struct(*keys), {"ignoreNullFields": "false"}) if keys else F.lit(""))
+    at = F.pmod(F.xxhash64(subject), F.lit(n_slices)).alias("__slice")
+    rows = named.select(at, "__acc", F.col(subject).alias("__subject"), F.array(*[F.col(c).cast("double") for c in cols]).alias("__x"))
+    by_subject = rows.groupBy("__slice", "__subject").agg(F.array_sort(F.collect_list(F.struct("__acc", "__x"))).alias("__r"))
+    packed = by_subject.groupBy("__slice").agg(F.array_sort(F.collect_list(F.struct("__subject", "__r"))).alias("__s"))
+    s = F.col("__s")
+    packed = stored(packed.select("__slice", F.size(s).alias("__n"), F.transform(s, lambda v: F.size(v["__r"])).alias("__many"), F.flatten(F.transform(s, lambda v: v["__r"]["__acc"])).alias("__acc"),
+                                  F.flatten(F.flatten(F.transform(s, lambda v: v["__r"]["__x"]))).alias("__x")), "subjects")
+    sizes = {r["__slice"]: r["__n"] for r in packed.select("__slice", "__n").collect()}  # one number per 32,768 subjects
+    order, n_subjects, block_reps = sorted(sizes), sum(sizes.values()), BLOCK_REPS
+    dealt = packed.withColumn("__block", F.explode(F.sequence(F.lit(0), F.lit((n_boot - 1) // block_reps)))).repartition("__slice", "__block")
+
+    def run(batches):
+        for batch in batches:
+            col = {name: batch.column(i) for i, name in enumerate(batch.schema.names)}
+            for i in range(batch.num_rows):
+                mine, block, n = col["__slice"][i].as_py(), col["__block"][i].as_py(), col["__n"][i].as_py()
+                reps = np.arange(block * block_reps + 1, min(n_boot, (block + 1) * block_reps) + 1)
+                counts = shuffles.draw_counts(seed, reps, order.index(mine), [sizes[k] for k in order], n_subjects)
+                many = col["__many"][i].values.to_numpy()
+                part = shuffles.Slice(pa.array(np.zeros(int(many.sum()))), col["__x"][i].values, col["__acc"][i].values)
+                got = np.zeros((len(reps), part.rows))
+                got[:, part.place] = np.repeat(counts, many, axis=1)
+                yield part.sums(got, reps)
+
+    out = dealt.mapInArrow(run, "__acc string, rep long, sums array<double>")
+    out = out.groupBy("__acc", "rep").agg(*[F.sum(F.get("sums", F.lit(i + 2))).alias(c) for i, c in enumerate(cols)])
+    if not keys:
+        return out.drop("__acc")
+    names = named.select("__acc", *keys).groupBy("__acc").agg(*[F.first(k).alias(k) for k in keys])
+    return out.join(names, "__acc").select("rep", *keys, *cols)
 
 
 # Sufficient statistics of a pair and the statistics they close over.
@@ -97,14 +133,13 @@ def subject_sums(df, subject, x, y, keys=()):
 def cluster_bootstrap(sums, subject, statistic, keys=(), n_boot=1000, seed=42, level=0.95, samples=False):
     """Interval of a statistic when whole subjects are resampled.
 
-    Replicate rows are (rep, subject) with a multiplicity; trials are never copied.
+    A replicate is one row of sums (``resampled_sums``); neither trials nor subjects are copied.
     ``statistic`` is a name of ``pair_statistic`` or an expression over the summed columns.
     """
     close = pair_statistic(statistic) if isinstance(statistic, str) else statistic
     sums = once(sums)
     cols = [c for c in sums.columns if c not in (subject, *keys)]
-    mult = subject_multiplicities(sums, subject, n_boot, seed)
-    g = mult.join(sums, subject).groupBy("rep", *keys).agg(*[F.sum(F.col(c) * F.col("m")).alias(c) for c in cols])
+    g = resampled_sums(sums, subject, keys, n_boot, seed)
     boots = g.select("rep", *keys, close.alias("stat"))
     if samples:
         return boots

@@ -160,3 +160,27 @@ def test_nested_permutation_equals_one_run_per_shuffle(spark):
     for name, q in (("null_q05", 0.05), ("null_q50", 0.5), ("null_q95", 0.95)):
         assert got[name] == pytest.approx(np.quantile(null, q), abs=1e-6)
     assert got["null_mean"] == pytest.approx(np.mean(null), abs=1e-6)
+
+
+@pytest.mark.parametrize("slice_rows", [1000, 6])
+def test_resampled_subjects(spark, monkeypatch, slice_rows):
+    """Every replicate draws as many subjects as there are, each about as often, one or many slices; groups share the draw."""
+    monkeypatch.setattr(resample, "SLICE_ROWS", slice_rows)
+    monkeypatch.setattr(resample, "BLOCK_REPS", 70)
+    subjects = [None, *range(1, 21)]
+    rows = [(s, g, 1, float(2 ** k)) for k, s in enumerate(subjects) for g in ("a", None)]
+    sums = spark.createDataFrame(rows, "subject int, g string, n int, x double").repartition(3)
+    got = resample.resampled_sums(sums, "subject", ["g"], 300, 9).collect()
+    assert len(got) == 600 and all(r["n"] == 21 for r in got)
+    by_rep = {}
+    for r in got:
+        by_rep.setdefault(r["rep"], set()).add(r["x"])
+    assert all(len(v) == 1 for v in by_rep.values()) and len({min(v) for v in by_rep.values()}) == 300
+    total = sum(min(v) for v in by_rep.values()) / 300
+    assert abs(total / (2 ** 21 - 1) - 1) < 0.25
+    if slice_rows == 1000:
+        from dosewise.functions.draws import seeded_draw
+
+        slots = spark.range(21).crossJoin(spark.range(1, 301).withColumnRenamed("id", "rep")).select("rep", seeded_draw(9, F.col("rep"), F.col("id"), 21).alias("k"))
+        want = {r["rep"]: r["x"] for r in slots.groupBy("rep").agg(F.sum(F.pow(F.lit(2.0), "k")).alias("x")).collect()}
+        assert {k: min(v) for k, v in by_rep.items()} == want
