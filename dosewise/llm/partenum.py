@@ -24,7 +24,8 @@ BAND_RATIO = 2.0
 SECOND, LEFT_OUT = 2, 1
 SKETCH_BINS = 128
 COARSE, FINE = 0.2, 0.7
-BLOCK_ROWS = 2048
+BLOCK_ROWS = 1024
+SET_BYTES = 16 << 20
 BROADCAST_ROWS = 1_000_000
 
 SPACES, FOLD = space_table(), fold_table()
@@ -249,11 +250,7 @@ def linked(pairs, docs, doc_id, text):
     pairs = stored(pairs, "pairs")
     ids = stored(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "ids")
 
-    def make(own, sets):
-        kept = [(i, s.tobytes()) for i, s in zip(own, sets) if len(s)]
-        return batch_of({"id": [i for i, _ in kept], "set": [s for _, s in kept]}, {"id": "long", "set": "binary"})
-
-    sets = stored(set_rows(of_documents(docs, ids, doc_id), doc_id, text, {"id": "long", "set": "binary"}, make).distinct(), "sets")
+    sets = stored(shingle_frame(docs, ids, doc_id, text), "sets")
     wide = pairs.join(sets.select(F.col("id").alias("a"), F.col("set").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("set").alias("sb")), "b")
 
     def run(batches):
@@ -261,10 +258,8 @@ def linked(pairs, docs, doc_id, text):
             out = {"a": [], "b": []}
             for a, b, sa, sb in zip(*(c.to_pylist() for c in batch.columns)):
                 x, y = np.frombuffer(sa, np.uint64), np.frombuffer(sb, np.uint64)
-                both = np.concatenate([x, y])
-                both.sort(kind="stable")
-                common = int((both[1:] == both[:-1]).sum())
-                if DEN * common >= NUM * (len(both) - common):
+                common = common_of(x, y)
+                if DEN * common >= NUM * (len(x) + len(y) - common):
                     out["a"].append(a)
                     out["b"].append(b)
             yield batch_of(out, {"a": "long", "b": "long"})
@@ -296,46 +291,136 @@ def components(links):
     return stored(edges.select(F.col("u").alias("id"), F.col("v").alias("comp")).unionByName(roots), "components")
 
 
+def least_reached(a, b, size):
+    """The smallest index that each of ``size`` indices reaches over the edges (a, b)."""
+    label = np.arange(size)
+    while True:
+        low = np.minimum(label[a], label[b])
+        before = label.copy()
+        np.minimum.at(label, a, low)
+        np.minimum.at(label, b, low)
+        label = label[label]
+        if (label == before).all():
+            return label
+
+
+def open_pairs(comp, n, raw, own, both):
+    """Plausible pairs (as positions) of different components: all of a chunk, or only those between its two chunks."""
+    bins = np.array([len(r) for r in raw])
+    _, back, counts = np.unique(comp, return_inverse=True, return_counts=True)
+    # one side is never of the component with most members: two of its members are together already
+    minor = back != counts.argmax()
+    for level_a in np.unique(bins[minor]):
+        for level_b in np.unique(bins):
+            level = min(level_a, level_b)
+            rows, columns = np.flatnonzero(minor & (bins == level_a)), np.flatnonzero(bins == level_b)
+            x, y = (folded(np.frombuffer(b"".join(raw[k] for k in at), np.uint8).reshape(len(at), -1), level) for at in (rows, columns))
+            step = max(1, (1 << 22) // (len(columns) * level))
+            for at in range(0, len(rows), step):
+                r = rows[at:at + step]
+                ok = may_be_similar(x[at:at + step, None], y[None], n[r][:, None], n[columns][None]) & (comp[r][:, None] != comp[columns][None])
+                if both:
+                    ok &= own[r][:, None] != own[columns][None]
+                u, v = np.nonzero(ok)
+                yield r[u], columns[v]
+
+
+def chunked(members, group, chunks):
+    """``members`` with i, j and own: every pair of a group's chunks is a group of its own, and each member is in all of its chunk's."""
+    dealt = members.join(chunks.select(group, "chunks"), group).withColumn("own", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int"))
+    dealt = dealt.withColumn("mate", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    return dealt.withColumns({"i": F.least("own", "mate"), "j": F.greatest("own", "mate")})
+
+
 def crossing(star, comps, sketches):
-    """Plausible pairs that share a signature but no component yet (but for those with the star's centre, which are settled).
+    """Edges (a, b) that connect ids with a plausible pair in some star whose ids lie in different components.
 
     Ids that share a signature are in the star of its smallest id, so the pairs of each star are compared, once for all its
-    signatures.  That happens inside a task, on sketches, and only plausible pairs leave it.  A star of more than
-    ``BLOCK_ROWS`` ids is cut into chunks, and each pair of chunks is a group of its own.
+    signatures.  That happens inside a task, on sketches.  What leaves it is not the pairs, whose number grows with the
+    square of a star, but for each id with a plausible partner one edge to the smallest id that such pairs lead to.
     """
-    placed = star.join(comps.withColumnRenamed("id", "other"), "other", "left").select("rep", "other", F.coalesce("comp", "other").alias("comp"))
+    placed = star.join(comps.withColumnRenamed("id", "other"), "other", "left").select("rep", F.col("other").alias("id"), F.coalesce("comp", "other").alias("comp"))
     live = placed.groupBy("rep").agg(F.count(F.lit(1)).alias("n"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi")
-    members = placed.join(live.select("rep", F.ceil(F.col("n") / BLOCK_ROWS).cast("int").alias("chunks")), "rep")
-    members = members.withColumn("own", F.pmod(F.xxhash64("other"), F.col("chunks")).cast("int")).withColumn("mate", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    members = members.select("rep", F.least("own", "mate").alias("i"), F.greatest("own", "mate").alias("j"), F.col("other").alias("id"), "comp")
-    wide = members.join(sketches.select("id", "n", "sketch"), "id").select("rep", "i", "j", "id", "comp", "n", "sketch")
+    members = chunked(placed, "rep", live.withColumn("chunks", F.ceil(F.col("n") / BLOCK_ROWS).cast("int")))
+    wide = members.join(sketches.select("id", "n", "sketch"), "id").select("rep", "i", "j", "own", "id", "comp", "n", "sketch")
 
     def compare(group):
-        n, comp, ids = (group.column(k).to_numpy(zero_copy_only=False) for k in ("n", "comp", "id"))
-        raw = group.column("sketch").to_pylist()
-        bins = np.array([len(r) for r in raw])
-        _, back, counts = np.unique(comp, return_inverse=True, return_counts=True)
-        minor = back != counts.argmax()
-        a, b = [], []
-        for own in np.unique(bins[minor]):
-            for other in np.unique(bins):
-                level = min(own, other)
-                rows, columns = np.flatnonzero(minor & (bins == own)), np.flatnonzero(bins == other)
-                x, y = (folded(np.frombuffer(b"".join(raw[k] for k in at), np.uint8).reshape(len(at), -1), level) for at in (rows, columns))
-                step = max(1, (1 << 22) // (len(columns) * level))
-                for at in range(0, len(rows), step):
-                    r = rows[at:at + step]
-                    ok = may_be_similar(x[at:at + step, None], y[None], n[r][:, None], n[columns][None]) & (comp[r][:, None] != comp[columns][None])
-                    u, v = np.nonzero(ok)
-                    a.append(np.minimum(ids[r][u], ids[columns][v]))
-                    b.append(np.maximum(ids[r][u], ids[columns][v]))
-        a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (a, b))
-        pairs = np.unique(np.stack([a, b], axis=1), axis=0)
-        return pa.table({"a": pa.array(pairs[:, 0], pa.int64()), "b": pa.array(pairs[:, 1], pa.int64())})
+        n, comp, ids, own = (group.column(k).to_numpy(zero_copy_only=False) for k in ("n", "comp", "id", "own"))
+        found = list(open_pairs(comp, n, group.column("sketch").to_pylist(), own, group["i"][0] != group["j"][0]))
+        u, v = (np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.int64),) * 2
+        order = np.argsort(ids, kind="stable")
+        place = np.empty_like(order)
+        place[order] = np.arange(len(order))
+        root = least_reached(place[u], place[v], len(ids))
+        ids = ids[order]
+        away = root != np.arange(len(ids))
+        return pa.table({"a": pa.array(ids[root[away]], pa.int64()), "b": pa.array(ids[away], pa.int64())})
 
     return wide.groupBy("rep", "i", "j").applyInArrow(compare, T.StructType(fields_of({"a": "long", "b": "long"}))).distinct()
 
 
+def shingle_frame(docs, ids, doc_id, text):
+    """(id, set as bytes) of the documents in ``ids``; rows that share an id and a text once."""
+    def make(own, sets):
+        kept = [(i, s.tobytes()) for i, s in zip(own, sets) if len(s)]
+        return batch_of({"id": [i for i, _ in kept], "set": [s for _, s in kept]}, {"id": "long", "set": "binary"})
+
+    return set_rows(of_documents(docs, ids, doc_id), doc_id, text, {"id": "long", "set": "binary"}, make).distinct()
+
+
+def common_of(x, y):
+    both = np.concatenate([x, y])
+    both.sort(kind="stable")
+    return int((both[1:] == both[:-1]).sum())
+
+
+def settle(edges, comps, docs, doc_id, text):
+    """Links between components among ids that ``edges`` connect: exact, and none missing that would merge two components.
+
+    The ids of a connected cluster meet with their sets, each once (a cluster of more than ``SET_BYTES`` is cut into chunks, and
+    each pair of chunks is a group of its own).  In the task every plausible pair of two components is counted on the sets,
+    unless links found before have merged them; so at most one link for each component leaves it.
+    """
+    clusters = components(edges)
+    sets = stored(shingle_frame(docs, clusters.select("id"), doc_id, text), "sets")
+    placed = clusters.withColumnRenamed("comp", "cluster").join(comps, "id", "left").select("cluster", "id", F.coalesce("comp", "id").alias("comp"))
+    held = placed.join(sets.select("id", F.length("set").alias("bytes")), "id")
+    chunks = held.groupBy("cluster").agg(F.ceil(F.sum("bytes") / SET_BYTES).cast("int").alias("chunks"))
+    wide = chunked(placed, "cluster", chunks).join(sets, "id").select("cluster", "i", "j", "own", "id", "comp", "set")
+
+    def count(group):
+        comp, ids, own = (group.column(k).to_numpy(zero_copy_only=False) for k in ("comp", "id", "own"))
+        sets_ = [np.frombuffer(x, np.uint64) for x in group.column("set").to_pylist()]
+        n = np.array([len(x) for x in sets_])
+        coarse = [sketch_of(x, bins_for(len(x), COARSE)).tobytes() for x in sets_]
+        fine = [sketch_of(x, bins_for(len(x), FINE)) for x in sets_]
+        heads = {c: c for c in comp.tolist()}
+
+        def head(c):
+            while heads[c] != c:
+                heads[c] = heads[heads[c]]
+                c = heads[c]
+            return c
+
+        a, b = [], []
+        for us, vs in open_pairs(comp, n, coarse, own, group["i"][0] != group["j"][0]):
+            for u, v in zip(us.tolist(), vs.tolist()):
+                one, two = head(int(comp[u])), head(int(comp[v]))
+                if one == two:
+                    continue
+                level = min(len(fine[u]), len(fine[v]))
+                if not may_be_similar(folded(fine[u], level), folded(fine[v], level), n[u], n[v]):
+                    continue
+                common = common_of(sets_[u], sets_[v])
+                if DEN * common >= NUM * (n[u] + n[v] - common):
+                    heads[max(one, two)] = min(one, two)
+                    a.append(min(ids[u], ids[v]))
+                    b.append(max(ids[u], ids[v]))
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return stored(wide.groupBy("cluster", "i", "j").applyInArrow(count, T.StructType(fields_of({"a": "long", "b": "long"}))), "links")
+
+
 def groups(docs, doc_id="doc_id", text="text"):
     """One row per document: id, size of its shingle set, and the smallest id that it reaches by links.
 
@@ -343,7 +428,8 @@ def groups(docs, doc_id="doc_id", text="text"):
        their smallest id.
     2. The signatures of those sets meet; each shared signature gives a star, not all pairs.
     3. Plausible pairs (by sketch, which errs only towards plausible) are counted exactly; links give components.
-    4. Stars whose ids are still apart are compared in full, on sketches, and what is plausible is counted as well.
+    4. Stars whose ids are still apart are compared in full, on sketches; ids with plausible partners meet with their sets,
+       and every such pair that is still apart is counted as well.
 
     After that every two similar sets are in one component, and all links are real.  A document without words, or null, is
     alone; one without an id takes no part and has no component; rows that share an id count as one document with several
@@ -357,7 +443,7 @@ def groups(docs, doc_id="doc_id", text="text"):
     star = stored(stars(signature_rows(standing, doc_id, text)), "stars")
     links = linked(near(star.select(F.col("rep").alias("a"), F.col("other").alias("b")), sketches), docs, doc_id, text)
     comps = components(links)
-    more = linked(plausible(stored(crossing(star, comps, sketches), "crossing"), sketches, "fine"), docs, doc_id, text)
+    more = settle(stored(crossing(star, comps, sketches), "crossing"), comps, docs, doc_id, text)
     comps = components(comps.select(F.col("id").alias("a"), F.col("comp").alias("b")).unionByName(more))
     named = reps.join(comps, "id", "left").select(F.col("f1").alias("g1"), F.col("f2").alias("g2"), F.col("n").alias("m"), F.coalesce("comp", "id").alias("group_id"))
     same = (F.col("f1") == F.col("g1")) & (F.col("f2") == F.col("g2")) & (F.col("n") == F.col("m")) & F.col("doc_id").isNotNull()
@@ -365,10 +451,22 @@ def groups(docs, doc_id="doc_id", text="text"):
 
 
 def one_of_each(docs, doc_id="doc_id", text="text"):
-    """The documents with one of every group: the row with the group's smallest id (one row, where that id is repeated).
+    """The documents with one of every group: the row with the group's smallest id.
 
-    Documents without words or without an id all stay.
+    Rows that repeat that id are copies in the same group, so one of them stays, the one whose columns hash smallest.  Documents without words or without an id all stay.
     """
     members = stored(groups(docs, doc_id, text), "groups")
     gone = stored(members.filter("component_id <> doc_id").select(F.col("doc_id").alias("id")).distinct(), "gone")
-    return joined_by_id(docs, gone, doc_id, "left_anti")
+    again = members.filter("n_shingles > 0 and doc_id is not null").groupBy(F.col("doc_id").alias("id")).agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1")
+    again = stored(again.join(gone, "id", "left_anti").select("id"), "again")
+    kept = joined_by_id(docs, gone, doc_id, "left_anti")
+    if not again.limit(1).count():
+        return kept
+    repeated = joined_by_id(kept, again, doc_id, "left_semi")
+    has_words = F.coalesce(F.col(text).cast("string"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    # partial minima are merged, so no task holds the repeats of one id
+    one = repeated.filter(has_words).groupBy(F.col(doc_id).alias("__id")).agg(F.min_by(whole, F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])).alias("__row")).select("__row.*")
+    return joined_by_id(kept, again, doc_id, "left_anti").unionByName(repeated.filter(~has_words)).unionByName(one)
+
+

@@ -319,3 +319,70 @@ def test_spelling_edges(spark):
     assert spelling.group_variants(spark.createDataFrame([], schema)).collect() == []
     with pytest.raises(ValueError):
         spelling.group_variants(spark.createDataFrame([], schema), ratio=1)
+
+
+# --- 6 the step between components -----------------------------------------------------------------------------------
+
+def template_texts(n, rng, shared=60, own=24):
+    """Texts of one template: pairs lie a little below or above the asked similarity."""
+    base = [f"t{k}" for k in range(shared)]
+    texts = []
+    for i in range(n):
+        words = list(base)
+        for k in range(rng.choice([1, 2, 2])):
+            words[rng.randrange(shared)] = f"x{i}_{k}"
+        texts.append(" ".join(words + [f"o{rng.randrange(4)}_{k}" for k in range(rng.randrange(own))]))
+    return texts
+
+
+@pytest.mark.parametrize("block_rows,set_bytes", [(1024, 16 << 20), (7, 3000)])
+def test_step_between_components(spark, monkeypatch, block_rows, set_bytes):
+    """Small chunks, so that every pair of chunks is met: groups equal brute force, and rows out stay linear."""
+    from dosewise.llm import partenum
+
+    monkeypatch.setattr(partenum, "BLOCK_ROWS", block_rows)
+    monkeypatch.setattr(partenum, "SET_BYTES", set_bytes)
+    rng = random.Random(8)
+    texts = template_texts(90, rng)
+    sets = [set(zip(*(t.split()[k:] for k in range(5)))) for t in texts]
+    root = list(range(len(texts)))
+
+    def head(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(texts)):
+        for j in range(i):
+            common = len(sets[i] & sets[j])
+            if 100 * common >= 75 * (len(sets[i]) + len(sets[j]) - common):
+                a, b = sorted((head(i), head(j)))
+                root[b] = a
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    got = {r["doc_id"]: r["component_id"] for r in partenum.groups(docs).collect()}
+    assert got == {i: head(i) for i in range(len(texts))} and 3 < len(set(got.values())) < 90
+    # nothing known to be linked: every star is compared, and each chunk gives at most one edge for each of its ids
+    none = spark.createDataFrame([], "id long, comp long")
+    ids = [(0, i) for i in range(1, 90)]
+    profile = partenum.profiles(texts)
+    sketches = spark.createDataFrame([(i, profile["n"][i], bytearray(profile["sketch"][i]), bytearray(profile["fine"][i])) for i in range(90)], "id long, n long, sketch binary, fine binary")
+    edges = partenum.crossing(spark.createDataFrame(ids, "rep long, other long"), none, sketches)
+    pairs = -(-89 // block_rows) * (-(-89 // block_rows) + 1) // 2
+    assert edges.count() <= 2 * block_rows * pairs and (block_rows < 90 or edges.count() < 90)
+    links = partenum.settle(edges, none, docs, "doc_id", "text")
+    linked = {r["id"]: r["comp"] for r in partenum.components(links).collect()}
+    within = {}
+    for i in range(1, 90):
+        within.setdefault(linked.get(i, i), set()).add(i)
+    assert sum(len(v) for v in within.values()) == 89
+
+
+def test_one_row_of_a_repeated_smallest_id(spark):
+    from dosewise.llm import partenum
+
+    body = "one two three four five six seven eight nine ten"
+    rows = [(1, body, "b"), (1, body, "a"), (1, body, "a"), (2, body, "c"), (3, "", "x"), (3, "", "x"), (None, body, "n"), (None, body, "n"), (4, "other words here", "y")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    kept = sorted(partenum.one_of_each(docs).collect(), key=repr)
+    assert [r["doc_id"] for r in kept].count(1) == 1 and [r["doc_id"] for r in kept].count(3) == 2 and [r["doc_id"] for r in kept].count(None) == 2
+    assert {r["doc_id"] for r in kept} == {1, 3, 4, None} and len(kept) == 6
