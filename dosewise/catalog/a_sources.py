@@ -102,9 +102,10 @@ def _(s, d):
 def _(s, d):
     path = scratch_path(s, "log")
     rows = fx.trials(s, d).groupBy("subject", "run").agg(F.count("k").alias("n_rows"))
-    S.sink_append_log(rows.where("subject % 2 = 0"), path)
-    S.sink_append_log(rows.where("subject % 2 = 1"), path)
-    return s.read.parquet(path)
+    S.sink_append_log(rows.where("subject % 2 = 0"), path, "even")
+    S.sink_append_log(rows.where("subject % 2 = 1"), path, "odd")
+    S.sink_append_log(rows.where("subject % 2 = 0"), path, "even")  # a retry
+    return S.scan_append_log(s, path, "subject bigint, run int, n_rows bigint")
 
 
 @query("write_back_columns", sql(GF, "SELECT d.subject, n, q AS q_global, coalesce(reject, false) AS reject_global FROM dr d JOIN gf ON gf.row_id = d.subject AND gf.tab = 'dose'", "subject, n, reject_global", "q_global"))

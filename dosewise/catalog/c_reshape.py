@@ -99,11 +99,13 @@ def _(s, d):
     return R.metrics_wide(m, ["r", "top"], KINDS)
 
 
-@query("common_channels", sql(FE, """SELECT channel, count(DISTINCT subject) AS n_subjects FROM features f WHERE NOT (subject = 3 AND freq > 9) AND NOT (subject = 5 AND channel IN ('c1', 'c2') AND band = 'b4')
-  AND NOT (subject = 6 AND channel = 'c4') AND subject <> 3 AND subject <> 6 GROUP BY 1 HAVING count(DISTINCT subject) = (SELECT count(DISTINCT subject) - 2 FROM features)""", "channel, n_subjects"))
+@query("common_channels", sql(FE, """SELECT channel, count(DISTINCT subject) AS n_subjects FROM (SELECT subject, channel FROM features UNION ALL SELECT 1, 'c99') WHERE subject <> 3
+  GROUP BY 1 HAVING count(DISTINCT subject) = (SELECT count(DISTINCT subject) - 1 FROM features)""", "channel, n_subjects"))
 def _(s, d):
-    f = fx.features(s, d).where(~((F.col("subject") == 3) & (F.col("freq") > 9)) & ~((F.col("subject") == 6) & (F.col("channel") == "c4")))
-    return R.common_channels(f, axes=("freq",))
+    """Subject 3 has a frequency of its own, so its grid differs; subject 1 has a channel of its own."""
+    f = fx.features(s, d).select("subject", "channel", "freq")
+    extra = s.createDataFrame([(3, "c0", 99), (1, "c99", 1)], "subject int, channel string, freq int")
+    return R.common_channels(f.unionByName(extra), axes=("freq",))
 
 
 @query("missing_required", sql(T, """SELECT s.subject, r.name, (SELECT count(DISTINCT trial_type) FROM trials t WHERE t.subject = s.subject AND t.run = s.run AND trial_type IN ('view', 'click', 'error', 'other')) AS n_present, s.run
@@ -113,11 +115,11 @@ def _(s, d):
     return R.missing_required(fx.trials(s, d).withColumnRenamed("trial_type", "name"), ["view", "click", "error", "other"], keys=["subject", "run"])
 
 
-@query("union_stat_tables", sql(T, """SELECT subject, avg(score) AS r, 'alpha' AS band, 'rating' AS target FROM trials WHERE pain = 1 GROUP BY 1
+@query("union_stat_tables", sql(T, """SELECT subject, avg(score) FILTER (pain = 1) AS r, 'alpha' AS band, 'rating' AS target FROM trials GROUP BY 1
   UNION ALL SELECT subject, avg(rating), trial_type, 'temp' FROM trials GROUP BY 1, trial_type""", "subject, band, target", "r"))
 def _(s, d):
     tr = fx.trials(s, d)
-    a = tr.where("pain = 1").groupBy("subject").agg(F.avg("score").alias("r"))
+    a = tr.groupBy("subject").agg(F.avg(F.when(F.col("pain") == 1, F.col("score"))).alias("r"))
     b = tr.groupBy("subject", F.col("trial_type").alias("band")).agg(F.avg("rating").alias("r"))
     return R.union_stat_tables([(a, {"band": "alpha", "target": "rating"}), (b, {"band": "x", "target": "temp"})])
 

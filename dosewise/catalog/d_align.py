@@ -108,7 +108,8 @@ def _(s, d):
 
 
 @query("events_by_volume", sql(T + """, tt AS (SELECT subject, trial_type, onset / 20000 AS onset, duration FROM trials),
-  heat AS (SELECT DISTINCT subject, v AS volume FROM (SELECT subject, unnest(range(greatest(floor(onset / 0.9)::BIGINT, 0), least(floor((onset + duration) / 0.9)::BIGINT, 140))) AS v FROM tt WHERE trial_type IN ('view', 'click'))),
+  rn AS (SELECT subject, floor(max(onset + duration) / 0.9)::BIGINT + 1 AS n FROM tt GROUP BY 1),
+  heat AS (SELECT DISTINCT subject, v AS volume FROM (SELECT subject, unnest(range(greatest(floor(onset / 0.9)::BIGINT, 0), least(floor((onset + duration) / 0.9)::BIGINT, n))) AS v FROM tt JOIN rn USING (subject) WHERE trial_type IN ('view', 'click'))),
   outl AS (SELECT DISTINCT subject, floor(onset / 0.9)::BIGINT AS volume FROM tt WHERE trial_type = 'error')""",
   """SELECT subject, count(h.volume) AS n_heat, count(o.volume) AS n_outlier, count(CASE WHEN h.volume = o.volume THEN 1 END) AS n_both,
   coalesce(count(CASE WHEN h.volume = o.volume THEN 1 END) / nullif(count(o.volume), 0), 0) AS fraction FROM heat h FULL JOIN outl o USING (subject, volume) GROUP BY 1""",
@@ -116,7 +117,7 @@ def _(s, d):
 def _(s, d):
     tr = fx.trials(s, d).withColumn("onset", F.col("onset") / 20000)
     out = tr.where("trial_type = 'error'").select("subject", F.floor(F.col("onset") / 0.9).alias("volume"))
-    return A.events_by_volume(tr.where("trial_type in ('view', 'click')"), out, ["subject"], 0.9, 140)
+    return A.events_by_volume(tr.where("trial_type in ('view', 'click')"), out, ["subject"], 0.9, A.run_lengths(tr, ["subject"], 0.9))
 
 
 @query("attach_covariates", sql(T, """SELECT subject, trial_idx AS k, CASE WHEN k % 3 <> 0 THEN temp END AS temp, trial_idx + 1 AS trial,

@@ -164,24 +164,26 @@ def _(s, d):
 
 
 def _summary(src, keys):
-    return f"""s1 AS (SELECT subject, {keys}, pain, temp, power FROM {src} WHERE NOT (subject = 4 AND pain = 1)),
+    return f"""s1 AS (SELECT subject, {keys}, pain, temp, CASE WHEN NOT (subject = 4 AND pain = 1) THEN power END AS power FROM {src}),
   lab AS (SELECT subject, {keys}, 'All' AS label, avg(power) AS mu FROM s1 GROUP BY ALL UNION ALL SELECT subject, {keys}, printf('%.1f', temp), avg(power) FROM s1 GROUP BY subject, {keys}, temp),
-  pr AS (SELECT subject, {keys}, avg(power) FILTER (pain = 1) AS p, avg(power) FILTER (pain = 0) AS q FROM s1 GROUP BY ALL HAVING count(*) FILTER (pain = 1) > 0 AND count(*) FILTER (pain = 0) > 0),
+  pr AS (SELECT subject, {keys}, avg(power) FILTER (pain = 1) AS p, avg(power) FILTER (pain = 0) AS q FROM s1 GROUP BY ALL HAVING count(power) FILTER (pain = 1) > 0 AND count(power) FILTER (pain = 0) > 0),
   al AS (SELECT * FROM lab UNION ALL SELECT subject, {keys}, 'Pain', p FROM pr UNION ALL SELECT subject, {keys}, 'Non-pain', q FROM pr UNION ALL SELECT subject, {keys}, 'Diff', p - q FROM pr)"""
 
 
+# One subject has no value under pain.
+GAP = "case when not (subject = 4 and pain = 1) then power end"
 SUMMARY = "SELECT {k}, label, avg(mu) AS mu_log10, count(mu) AS n, (pow(10, avg(mu)) - 1) * 100 AS pct_change FROM al GROUP BY ALL"
 
 
 @query("band_condition_summary", sql(FE + "," + _summary("features", "band"), SUMMARY.format(k="band"), "band, label, n", "mu_log10 pct_change"))
 def _(s, d):
-    return A.band_condition_summary(fx.features(s, d).where("not (subject = 4 and pain = 1)"))
+    return A.band_condition_summary(fx.features(s, d).withColumn("power", F.expr(GAP)))
 
 
 @query("roi_condition_summary", sql(FE + "," + SQL_ROI + ", rm AS (SELECT subject, trial, pain, temp, band, roi, avg(power) AS power FROM features JOIN rois USING (channel) GROUP BY ALL)," + _summary("rm", "band, roi"),
                                     SUMMARY.format(k="band, roi"), "band, roi, label, n", "mu_log10 pct_change"))
 def _(s, d):
-    f = fx.features(s, d).where("not (subject = 4 and pain = 1)")
+    f = fx.features(s, d).withColumn("power", F.expr(GAP))
     return A.roi_condition_summary(f, roi_assignment(f, ROI), ["subject", "trial", "pain", "temp", "band"])
 
 

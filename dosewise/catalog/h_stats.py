@@ -189,7 +189,7 @@ def _(s, d):
     return a.join(b, ["band", "channel"])
 
 
-GF = T + "," + DOSE + """, al AS (SELECT subject % 20 AS subject, 'dose' AS tab, subject AS row_id, p_dose AS p, CASE WHEN subject % 3 = 0 THEN p_dose / 2 END AS p_perm FROM dr UNION ALL SELECT subject % 20, 'rating', subject, p_rating, NULL FROM dr WHERE subject % 4 > 0),
+GF = T + "," + DOSE + """, al AS (SELECT subject % 20 AS subject, 'dose' AS tab, subject AS row_id, p_dose AS p, CASE WHEN subject % 3 = 0 THEN p_dose / 2 END AS p_perm FROM dr UNION ALL SELECT subject % 20, 'rating', subject, p_rating, NULL FROM dr),
   al2 AS (SELECT *, coalesce(p_perm, p) AS p_used FROM al),""" + bh_ctes("gf", "al2", "subject", "p_used")
 
 
@@ -197,7 +197,7 @@ def _result_tables(s, d):
     r = _subject_r(s, d)
     g = (F.col("subject") % 20).alias("subject")
     a = r.select(g, F.lit("dose").alias("tab"), F.col("subject").alias("row_id"), F.col("p_dose").alias("p"), F.when(F.col("subject") % 3 == 0, F.col("p_dose") / 2).alias("p_perm"))
-    b = r.where("subject % 4 > 0").select(g, F.lit("rating").alias("tab"), F.col("subject").alias("row_id"), F.col("p_rating").alias("p"), F.lit(None).cast("double").alias("p_perm"))
+    b = r.select(g, F.lit("rating").alias("tab"), F.col("subject").alias("row_id"), F.col("p_rating").alias("p"), F.lit(None).cast("double").alias("p_perm"))
     return a.unionByName(b)
 
 
@@ -380,7 +380,7 @@ def _(s, d):
     return H.residual_checks(fx.predictions(s, d), ["fold"], covariate="temp").select("fold", "x", "y", "n", F.round("r", 5).alias("r"), F.round("p", 4).alias("p"))
 
 
-@query("paired_model_metrics", sql(T + "," + DOSE, "SELECT subject, r_dose AS loso, r_rating AS within, r_dose - r_rating AS difference FROM dr WHERE subject % 6 > 0", "subject", "loso within difference"))
+@query("paired_model_metrics", sql(T + "," + DOSE, "SELECT subject, r_dose AS loso, r_rating AS within, r_dose - r_rating AS difference FROM dr WHERE r_dose IS NOT NULL AND r_rating IS NOT NULL", "subject", "loso within difference"))
 def _(s, d):
     r = _subject_r(s, d)
-    return H.paired_model_metrics(r.select("subject", F.col("r_dose").alias("r")), r.where("subject % 6 > 0").select("subject", F.col("r_rating").alias("r")))
+    return H.paired_model_metrics(r.select("subject", F.col("r_dose").alias("r")), r.select("subject", F.col("r_rating").alias("r")))

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from .. import fixtures as fx
 from ..operators import linear as L
+from ..operators.align import run_lengths
 from .registry import query, sql
 
 T, CE, SI = fx.SQL_TRIALS, fx.SQL_CELLS, fx.SQL_SIGNALS
@@ -20,11 +21,11 @@ def _hrf(x):
 
 
 def conv(src, keys, name):
-    return (f"SELECT {keys}, volume, {name}, sum({_hrf('(volume * 0.9::DOUBLE - onset)')} - {_hrf('(volume * 0.9::DOUBLE - onset - duration)')}) AS value FROM {src}, range(0, 180) v(volume) "
+    return (f"SELECT {keys}, volume, {name}, sum({_hrf('(volume * 0.9::DOUBLE - onset)')} - {_hrf('(volume * 0.9::DOUBLE - onset - duration)')}) AS value FROM {src} JOIN rn USING (subject), unnest(range(0, n)) v(volume) "
             f"WHERE volume * 0.9::DOUBLE >= onset AND volume * 0.9::DOUBLE <= onset + duration + 32 GROUP BY ALL")
 
 
-SHORT = T + ", tt AS (SELECT subject, run, trial_idx, trial_type, onset / 20000 AS onset, duration FROM trials)"
+SHORT = T + ", tt AS (SELECT subject, run, trial_idx, trial_type, onset / 20000 AS onset, duration FROM trials), rn AS (SELECT subject, floor((max(onset + duration) + 32) / 0.9::DOUBLE)::BIGINT + 1 AS n FROM tt GROUP BY 1)"
 
 
 def short_trials(s, d):
@@ -33,13 +34,15 @@ def short_trials(s, d):
 
 @query("design_matrix", sql(SHORT, conv("tt", "subject", "trial_type"), "subject, volume, trial_type", "value"))
 def _(s, d):
-    return L.design_matrix(short_trials(s, d), ["subject"], 0.9, 180)
+    tr = short_trials(s, d)
+    return L.design_matrix(tr, ["subject"], 0.9, run_lengths(tr, ["subject"], 0.9, L.HRF_LENGTH))
 
 
 @query("trial_design", sql(SHORT + ", rg AS (SELECT subject, onset, duration, CASE WHEN trial_type IN ('view', 'click') THEN 'trial_' || lpad((row_number() OVER (PARTITION BY subject, trial_type IN ('view', 'click') ORDER BY run, trial_idx) - 1)::VARCHAR, 3, '0') ELSE trial_type END AS regressor FROM tt)",
                            conv("rg", "subject", "regressor"), "subject, volume, regressor", "value"))
 def _(s, d):
-    return L.trial_design(short_trials(s, d), ["subject"], "subject", "run", F.col("trial_type").isin("view", "click"), ["trial_idx"], 0.9, 180)
+    tr = short_trials(s, d)
+    return L.trial_design(tr, ["subject"], "subject", "run", F.col("trial_type").isin("view", "click"), ["trial_idx"], 0.9, run_lengths(tr, ["subject"], 0.9, L.HRF_LENGTH))
 
 
 def bold(s, d):

@@ -155,13 +155,27 @@ def subjects_with_both(a, b, key="subject"):
     return a.select(key).intersect(b.select(key))
 
 
+def run_lengths(events, keys, tr, tail=0.0):
+    """Volumes of each run: up to the end of its last event and ``tail`` seconds more."""
+    end = F.max(F.col("onset") + F.col("duration")) + tail
+    return events.groupBy(*keys).agg((F.floor(end / tr) + 1).alias("n_volumes"))
+
+
+def with_run_length(events, keys, n_volumes):
+    if isinstance(n_volumes, int):
+        return events.withColumn("n_volumes", F.lit(n_volumes))
+    return join_keys(events, n_volumes.select(*keys, "n_volumes"), list(keys))
+
+
 def events_by_volume(events, outliers, keys, tr, n_volumes):
     """Volumes covered by events, outlier volumes, and the share of outliers inside events (0 without outliers).
 
-    Each interval is opened to the volumes it covers, so the range join is an equi join.
+    Each interval is opened to the volumes it covers, so the range join is an equi join.  ``n_volumes`` is the length of
+    every run, or a frame with the keys and ``n_volumes`` of each (``run_lengths``).
     """
+    events = with_run_length(events, keys, n_volumes)
     start = F.greatest(F.floor(F.col("onset") / tr), F.lit(0))
-    end = F.least(F.floor((F.col("onset") + F.col("duration")) / tr), F.lit(n_volumes)) - 1
+    end = F.least(F.floor((F.col("onset") + F.col("duration")) / tr), F.col("n_volumes")) - 1
     covered = events.select(*keys, start.alias("a"), end.alias("b")).where(F.col("a") <= F.col("b"))
     covered = covered.select(*keys, F.explode(F.sequence("a", "b")).alias("volume")).distinct().withColumn("__in", F.lit(1))
     out = outliers.select(*keys, F.col("volume").cast("long").alias("volume")).distinct().withColumn("__out", F.lit(1))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.solvers import inverse
 from ..plans.shapes import join_keys, quantiles, with_index, with_totals
 from ..session import stored
+from .align import with_run_length
 
 HRF_LENGTH = 32.0  # seconds
 
@@ -28,10 +29,12 @@ def hrf_step(x):
 def design_matrix(events, keys, tr, n_volumes, name="trial_type", onset="onset", duration="duration"):
     """Regressor values per volume (sparse, long): a boxcar convolved with the response, in closed form.
 
-    An event is opened to the volumes it reaches, so there is no range join.
+    An event is opened to the volumes it reaches, so there is no range join.  ``n_volumes`` is the length of every run, or a
+    frame with the keys and ``n_volumes`` of each (``align.run_lengths``).
     """
+    events = with_run_length(events, keys, n_volumes)
     first = F.greatest(F.ceil(F.col(onset) / tr), F.lit(0))
-    last = F.least(F.floor((F.col(onset) + F.col(duration) + HRF_LENGTH) / tr), F.lit(n_volumes - 1))
+    last = F.least(F.floor((F.col(onset) + F.col(duration) + HRF_LENGTH) / tr), F.col("n_volumes") - 1)
     rows = events.where(first <= last).select(*keys, name, onset, duration, F.explode(F.sequence(first, last)).alias("volume"))
     lag = F.col("volume") * tr - F.col(onset)
     return rows.groupBy(*keys, "volume", name).agg(F.sum(hrf_step(lag) - hrf_step(lag - F.col(duration))).alias("value"))

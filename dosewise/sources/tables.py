@@ -1,5 +1,8 @@
 """Reading and writing the experiment's tables."""
 
+import re
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions.scalars import clean_number
@@ -124,9 +127,46 @@ def sink_json(df, path, mode="error"):
     clean.write.mode(mode).option("ignoreNullFields", False).json(path)
 
 
-def sink_append_log(df, path):
-    """Append integrity rows; the header is the schema, so it exists once."""
-    df.write.mode("append").parquet(path)
+def _files(spark, path):
+    jvm = spark._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()), jvm.org.apache.hadoop.fs.Path
+
+
+def sink_append_log(df, path, run_id):
+    """Append the rows of one run, once: whether they were added now.
+
+    The rows are written to a folder of their own below ``path``; they count only when a commit record named by the run is
+    there, which is moved into place as a whole after the write.  So a run that is repeated adds nothing, of two writers of
+    one run the later one gives way, and what a lost writer left behind is never read.
+    """
+    spark = df.sparkSession
+    fs, at = _files(spark, path)
+    name = re.sub(r"[^A-Za-z0-9_-]", lambda c: f".{ord(c[0]):x}.", str(run_id))
+    record = at(f"{path}/commits/{name}")
+    if fs.exists(record):
+        return False
+    attempt = f"{name}-{uuid.uuid4().hex}"
+    df.write.parquet(f"{path}/data/attempt={attempt}")
+    staged = at(f"{path}/staged/{attempt}")
+    out = fs.create(staged, False)
+    out.write(bytearray(f"{attempt}\n".encode()))
+    out.close()
+    fs.mkdirs(record.getParent())
+    if fs.exists(record) or not fs.rename(staged, record):
+        fs.delete(staged, False)
+        return False
+    return True
+
+
+def scan_append_log(spark, path, schema):
+    """The rows of all committed runs; of a run that is not committed, none."""
+    fs, at = _files(spark, path)
+    if not fs.exists(at(f"{path}/commits")):
+        return spark.createDataFrame([], schema)
+    attempts = spark.read.text(f"{path}/commits").select(F.col("value").alias("attempt"))
+    rows = spark.read.schema(f"{schema}, attempt string").parquet(f"{path}/data")
+    return rows.join(attempts, "attempt", "left_semi").drop("attempt")
 
 
 def write_back_columns(table, computed, keys, path=None):

@@ -125,3 +125,24 @@ def test_stored_line_and_graph(spark):
 def test_top_edges(spark):
     df = spark.createDataFrame([("m", "a", "b", -0.9), ("m", "a", "c", 0.5), ("m", "b", "c", None)], "measure string, node_a string, node_b string, r double")
     assert rows(topk.top_edges(df, 1), "node_b", "rank") == [("b", 1)]
+
+
+def test_append_log_counts_a_run_once(spark, tmp_path):
+    from dosewise.sources import tables
+
+    path = f"{tmp_path}/log"
+    df = spark.createDataFrame([(1, "a"), (2, "b")], "n long, t string")
+    schema = "n long, t string"
+    assert tables.scan_append_log(spark, path, schema).collect() == []
+    assert tables.sink_append_log(df, path, "run 1/x") and not tables.sink_append_log(df, path, "run 1/x")
+    df.write.parquet(f"{path}/data/attempt=lost-writer")  # written, never committed
+    assert tables.sink_append_log(df.where("n = 2"), path, "run 2") and tables.sink_append_log(df.where("n > 9"), path, "empty")
+    assert sorted(tuple(r) for r in tables.scan_append_log(spark, path, schema).collect()) == [(1, "a"), (2, "b"), (2, "b")]
+
+
+def test_run_lengths_cut_nothing(spark):
+    ev = spark.createDataFrame([("a", 0.0, 2.0), ("a", 250.5, 4.0), ("b", 1.0, 1.0)], "s string, onset double, duration double")
+    out = spark.createDataFrame([("a", 252), ("b", 7)], "s string, volume int")
+    runs = align.run_lengths(ev, ["s"], 1.0)
+    assert rows(runs, "s", "n_volumes") == [("a", 255), ("b", 3)]
+    assert rows(align.events_by_volume(ev, out, ["s"], 1.0, runs), "s", "n_heat", "n_outlier", "n_both") == [("a", 6, 1, 1), ("b", 1, 1, 0)]
