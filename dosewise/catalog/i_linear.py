@@ -100,7 +100,17 @@ def _(s, d):
     return L.threshold_graph(L.envelope_connectivity(node_series(s, d), ["trial"]), ["trial"], 0.7)
 
 
-@query("graph_metrics")
+GRAPH = CE + """, e AS (SELECT a.trial, 'n' || (a.cell // 8) AS node_a, 'n' || (b.cell // 8) AS node_b, corr(a.v, b.v) AS value FROM cells a JOIN cells b ON a.trial = b.trial AND a.cell % 8 = b.cell % 8 AND a.cell > b.cell GROUP BY 1, 2, 3),
+  k AS (SELECT *, abs(value) AS weight, list_sort(list(abs(value)) OVER (PARTITION BY trial)) AS l FROM e), g AS (SELECT trial, node_a, node_b FROM k WHERE weight >= l[floor(0.7 * len(l))::INT + 1]),
+  bo AS (SELECT trial, node_a AS u, node_b AS v FROM g UNION SELECT trial, node_b, node_a FROM g), dg AS (SELECT trial, u, count(*) AS deg FROM bo GROUP BY 1, 2),
+  tr AS (SELECT x.trial, x.u, count(*) / 2 AS tri FROM bo x JOIN bo y ON x.trial = y.trial AND x.u = y.u AND x.v <> y.v JOIN bo z ON z.trial = x.trial AND z.u = x.v AND z.v = y.v GROUP BY 1, 2),
+  nd AS (SELECT DISTINCT trial, 'n' || (cell // 8) AS u FROM cells), lo AS (SELECT trial, coalesce(deg, 0) AS deg, coalesce(tri, 0) AS tri FROM nd LEFT JOIN dg USING (trial, u) LEFT JOIN tr USING (trial, u)),
+  mt AS (SELECT trial, count(*) AS n_nodes, avg(deg) AS mean_degree, avg(CASE WHEN deg > 1 THEN 2 * tri / (deg * (deg - 1)) ELSE 0 END) AS clustering FROM lo GROUP BY 1),
+  wk AS (SELECT trial, u AS s, v AS t, 1 AS d FROM bo UNION SELECT wk.trial, s, bo.v, d + 1 FROM wk JOIN bo ON bo.trial = wk.trial AND bo.u = wk.t WHERE d < 7 AND bo.v <> s),
+  ds AS (SELECT trial, s, t, min(d) AS d FROM wk GROUP BY 1, 2, 3), pa AS (SELECT trial, avg(d) AS path_length, sum(1 / d) AS e FROM ds GROUP BY 1)"""
+
+
+@query("graph_metrics", sql(GRAPH, "SELECT mt.*, path_length, coalesce(e / (n_nodes * (n_nodes - 1)), 0) AS efficiency FROM mt LEFT JOIN pa USING (trial)", "trial, n_nodes", "mean_degree clustering path_length efficiency"))
 def _(s, d):
     c = node_series(s, d)
     g = L.threshold_graph(L.envelope_connectivity(c, ["trial"]), ["trial"], 0.7)

@@ -1,6 +1,7 @@
 """Design matrices, least squares on sums, and connectivity graphs."""
 
 import math
+from functools import reduce
 
 from pyspark.sql import functions as F
 
@@ -161,11 +162,50 @@ def threshold_graph(edges, keys, quantile, value="value", order=("node_a", "node
     return join_keys(w.drop("__i", "__n"), cut, list(keys)).where(F.col("weight") >= F.col("cutoff"))
 
 
+def hop_sums(both, keys, u="u", v="v"):
+    """Per node and group of 64 sources: how many of them it ``reached``, the sum of their distances and of their inverses.
+
+    A breadth-first search from all nodes of a graph at once: sources are bits of a long, so a row is a node with 64
+    sources and not a pair of nodes.  A round merges the bits of a node's neighbours by ``bit_or`` (partial results are merged, so
+    a hub is no task of its own) and keeps those it has not seen; each round's rows are written, and nothing else
+    is carried.  ``both`` has every edge in both directions.
+    """
+    keys = list(keys)
+    numbered = with_index(both.select(*keys, F.col(u).alias("u")).distinct(), keys, ["u"], "__i")
+    bit = F.expr("shiftleft(1L, cast(__i % 64 as int))")
+    state = numbered.select(*keys, "u", F.floor(F.col("__i") / 64).alias("word"), bit.alias("seen"), bit.alias("fresh"), *[F.lit(z).alias(c) for c, z in (("reached", 0), ("hops", 0), ("inverse", 0.0))])
+    state = stored(state.select(*keys, "u", "word", "seen", "fresh", F.col("reached").cast("long"), F.col("hops").cast("long"), "inverse"), "hops")
+    edges = both.select(*keys, F.col(u).alias("u"), F.col(v).alias("__to"))
+    distance = 0
+    while True:
+        distance += 1
+        met = join_keys(state.where("fresh <> 0").select(*keys, "u", "word", "fresh"), edges, [*keys, "u"])
+        met = met.groupBy(*keys, F.col("__to").alias("u"), "word").agg(F.bit_or("fresh").alias("__met"))
+        both_ways = join_full(state, met, [*keys, "u", "word"])
+        seen = F.coalesce("seen", F.lit(0).cast("long"))
+        new = F.coalesce("__met", F.lit(0).cast("long")).bitwiseAND(F.bitwise_not(seen))
+        count = F.bit_count(new).cast("long")
+        add = lambda c, x: (F.coalesce(c, F.lit(0)) + x).alias(c)
+        state = stored(both_ways.select(*keys, "u", "word", seen.bitwiseOR(new).alias("seen"), new.alias("fresh"), add("reached", count), add("hops", count * F.lit(distance)), add("inverse", count / F.lit(float(distance)))), "hops")
+        if not state.where("fresh <> 0").limit(1).count():
+            return state
+
+
+def join_full(left, right, keys):
+    """Full join on keys that may be missing; the keys appear once."""
+    right = right.withColumnsRenamed({k: f"__r_{k}" for k in keys})
+    on = [F.col(k).eqNullSafe(F.col(f"__r_{k}")) for k in keys]
+    # a word is never missing, so it tells the sides of an unmatched row apart
+    mine = F.col(keys[-1]).isNotNull()
+    j = left.join(right, reduce(lambda a, b: a & b, on), "full")
+    return j.select(*[F.when(mine, F.col(k)).otherwise(F.col(f"__r_{k}")).alias(k) for k in keys], *[c for c in j.columns if c not in keys and c not in {f"__r_{k}" for k in keys}])
+
+
 def graph_metrics(edges, nodes, keys, a="node_a", b="node_b", node="node"):
     """Mean degree, mean clustering, path length over reachable pairs and global efficiency of undirected graphs.
 
     Triangles are closed from the end of lower degree, which keeps hubs from opening all
-    their neighbour pairs.  Distances grow one step a round until no pair is new.
+    their neighbour pairs.  Distances come from ``hop_sums``.
     """
     e = edges.select(*keys, F.least(a, b).alias("u"), F.greatest(a, b).alias("v")).where("u <> v").distinct()
     both = stored(e.unionByName(e.select(*keys, F.col("v").alias("u"), F.col("u").alias("v"))), "adjacency")
@@ -180,15 +220,7 @@ def graph_metrics(edges, nodes, keys, a="node_a", b="node_b", node="node"):
     cc = F.when(F.col("deg") > 1, 2 * F.col("tri") / (F.col("deg") * (F.col("deg") - 1))).otherwise(0.0)
     m = local.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_nodes"), F.avg("deg").alias("mean_degree"), F.avg(cc).alias("clustering"))
 
-    seen = both.select(*keys, F.col("u").alias("s"), F.col("v").alias("t"), F.lit(1).alias("d"))
-    frontier, dist = seen, 1
-    while True:
-        step = join_keys(frontier.select(*keys, "s", F.col("t").alias("u")), both, [*keys, "u"]).select(*keys, "s", F.col("v").alias("t")).where("s <> t").distinct()
-        new = stored(step.join(seen, [*keys, "s", "t"], "left_anti").withColumn("d", F.lit(dist + 1)), "frontier")
-        if not new.limit(1).count():
-            break
-        seen, frontier, dist = seen.unionByName(new), new, dist + 1
-    paths = seen.groupBy(*keys).agg(F.avg("d").alias("path_length"), F.sum(1 / F.col("d")).alias("__e"))
+    paths = hop_sums(both, keys).groupBy(*keys).agg((F.sum("hops") / F.sum("reached")).alias("path_length"), F.sum("inverse").alias("__e"))
     out = join_keys(m, paths, list(keys), "left")
     pairs = F.col("n_nodes") * (F.col("n_nodes") - 1)
     return out.withColumn("efficiency", F.coalesce(F.try_divide(F.col("__e"), pairs), F.lit(0.0))).drop("__e")

@@ -146,3 +146,33 @@ def test_run_lengths_cut_nothing(spark):
     runs = align.run_lengths(ev, ["s"], 1.0)
     assert rows(runs, "s", "n_volumes") == [("a", 255), ("b", 3)]
     assert rows(align.events_by_volume(ev, out, ["s"], 1.0, runs), "s", "n_heat", "n_outlier", "n_both") == [("a", 6, 1, 1), ("b", 1, 1, 0)]
+
+
+def test_distances_of_many_sources(spark):
+    """Graphs of more than 64 nodes, with a missing key, against a plain search."""
+    import random
+
+    rng = random.Random(2)
+    edges, want = set(), {}
+    for g, n in (("a", 150), (None, 70)):
+        own = {(i, i + 1) for i in range(n - 1) if i % 13} | {(rng.randrange(n), rng.randrange(n)) for _ in range(n // 2)}
+        own = {(u, v) for u, v in own if u != v}
+        edges |= {(g, *e) for e in own}
+        near = {}
+        for u, v in own:
+            near.setdefault(u, set()).add(v)
+            near.setdefault(v, set()).add(u)
+        reached = hops = 0
+        inverse = 0.0
+        for s in near:
+            dist, ring, d = {s: 0}, {s}, 0
+            while ring:
+                d += 1
+                ring = {v for u in ring for v in near[u]} - dist.keys()
+                dist |= dict.fromkeys(ring, d)
+                reached, hops, inverse = reached + len(ring), hops + d * len(ring), inverse + len(ring) / d
+        want[g] = (reached, hops, round(inverse, 6))
+    df = spark.createDataFrame(sorted(edges, key=repr), "g string, u int, v int").repartition(3)
+    both = df.unionByName(df.select("g", F.col("v").alias("u"), F.col("u").alias("v"))).distinct()
+    got = linear.hop_sums(both, ["g"]).groupBy("g").agg(F.sum("reached"), F.sum("hops"), F.round(F.sum("inverse"), 6)).collect()
+    assert {r[0]: tuple(r)[1:] for r in got} == want
