@@ -11,7 +11,7 @@ from .h_stats import bh_ctes, t_crit
 from .registry import query, sql, sql_midrank, sql_n, sql_normal_sf, sql_r
 
 T, FE, SI, CE = fx.SQL_TRIALS, fx.SQL_FEATURES, fx.SQL_SIGNALS, fx.SQL_CELLS
-PERM, BOOT, FLIPS = 1000, 100, 99
+PERM, BOOT, FLIPS = 1000, 100, 1000
 
 
 def boot_rows(src, keys, index, n, seed, by=""):
@@ -105,7 +105,7 @@ def _(s, d):
   oc AS (SELECT channel, threshold, ti, st, ti - row_number() OVER (PARTITION BY channel ORDER BY ti) AS g FROM o JOIN th USING (channel) WHERE st >= threshold), cl AS (SELECT channel, threshold, min(ti) AS start, max(ti) AS stop, count(*) AS n, sum(st) AS mass FROM oc GROUP BY channel, threshold, g),
   nc AS (SELECT channel, rep, st, ti - row_number() OVER (PARTITION BY channel, rep ORDER BY ti) AS g FROM nu JOIN th USING (channel) WHERE st >= threshold), nm AS (SELECT channel, rep, sum(st) AS mass FROM nc GROUP BY channel, rep, g),
   mx AS (SELECT u.channel, u.rep, coalesce(max(mass), 0) AS top FROM (SELECT DISTINCT channel, rep FROM nu) u LEFT JOIN nm USING (channel, rep) GROUP BY 1, 2)""",
-  """SELECT cl.*, (SELECT (1 + count(*) FILTER (top >= mass)) / (count(*) + 1) FROM mx WHERE mx.channel = cl.channel) AS p FROM cl""", 'channel, start, stop AS "end", n', "threshold mass p"))
+  """SELECT cl.*, (SELECT (1 + count(*) FILTER (top >= mass - 1e-9 * abs(mass))) / (count(*) + 1) FROM mx WHERE mx.channel = cl.channel) AS p FROM cl""", 'channel, start, stop AS "end", n', "threshold mass p"))
 def _(s, d):
     sg = fx.signals(s, d)
     obs = sg.groupBy("channel", "ti").agg((F.avg("x") * 8).alias("score"))
@@ -120,7 +120,7 @@ SIGN = CE + f""", sb AS (SELECT subject, cell // 16 AS roi, cell % 16 AS ti, avg
   mx AS (SELECT u.roi, u.rep, coalesce(max(mass), 0) AS top FROM (SELECT DISTINCT roi, rep FROM tt WHERE rep > 0) u LEFT JOIN cl USING (roi, rep) GROUP BY 1, 2)"""
 
 
-@query("signflip_cluster_test", sql(SIGN, "SELECT roi, threshold, start, stop, n, mass, (SELECT (1 + count(*) FILTER (top >= cl.mass)) / (count(*) + 1) FROM mx WHERE mx.roi = cl.roi) AS p FROM cl WHERE rep = 0", 'roi, start, stop AS "end", n', "threshold mass p"))
+@query("signflip_cluster_test", sql(SIGN, "SELECT roi, threshold, start, stop, n, mass, (SELECT (1 + count(*) FILTER (top >= cl.mass - 1e-9 * abs(cl.mass))) / (count(*) + 1) FROM mx WHERE mx.roi = cl.roi) AS p FROM cl WHERE rep = 0", 'roi, start, stop AS "end", n', "threshold mass p"))
 def _(s, d):
     sb = fx.cells(s, d).groupBy("subject", F.floor(F.col("cell") / 16).alias("roi"), (F.col("cell") % 16).alias("ti")).agg(F.avg("v").alias("v"))
     return R.signflip_cluster_test(sb, "subject", ["roi"], "ti", "v", FLIPS)

@@ -205,4 +205,4 @@ def _(s, d):
 def _(s, d):
     e = epochs(s, d).withColumn("x", F.transform("x", lambda v: F.coalesce(v, F.lit(0.0))))
     e = M.with_index(e, ["subject"], ["trial"], "k").withColumn("fold", (F.col("k") % 3).cast("int"))
-    return M.subject_identifiability(e, "subject", "x")[0]
+    return M.subject_identifiability(e, "subject", "x").withColumn("confusion", F.to_json("confusion"))

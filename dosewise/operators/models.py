@@ -5,6 +5,8 @@ the sum over its folds, so no fold re-reads the rows.  Only p x p matrices reach
 solver, one task per (outer fold).
 """
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
@@ -549,8 +551,13 @@ def forest_nested(df, features, y, fold="fold", n_folds=3, grid=({"maxDepth": 3}
     return out
 
 
-def subject_identifiability(df, subject, features, fold="fold", n_folds=3, reg=0.01):
-    """Predict the subject from its features: AUC per subject against the rest, macro mean, confusion counts."""
+def subject_identifiability(df, subject, features, fold="fold", reg=0.01, max_iter=100):
+    """Predict the subject from its features, each fold by a model of the others.
+
+    Per subject: AUC against the rest, rows and hits, the mean AUC, how often each subject was predicted for its rows
+    (``confusion``: predicted subject -> rows), and ``unsettled``, the number of fits that used up their iterations.  The
+    folds are those in the data; a row without one is an error.
+    """
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.feature import StringIndexer
     from pyspark.ml.functions import vector_to_array
@@ -558,18 +565,25 @@ def subject_identifiability(df, subject, features, fold="fold", n_folds=3, reg=0
     data = _vector(df, features, [subject, fold])
     indexer = StringIndexer(inputCol="__s", outputCol="__y", stringOrderType="alphabetAsc").fit(data.withColumn("__s", F.col(subject).cast("string")))
     data = stored(indexer.transform(data.withColumn("__s", F.col(subject).cast("string"))), "labelled")
-    lr = LogisticRegression(family="multinomial", labelCol="__y", regParam=reg, maxIter=50)
-    pred = None
-    for k in range(n_folds):
-        p = lr.fit(data.where(F.col(fold) != k)).transform(data.where(F.col(fold) == k)).select("__y", "__s", F.col("prediction"), vector_to_array("probability").alias("prob"))
-        pred = p if pred is None else pred.unionByName(p)
+    lr = LogisticRegression(family="multinomial", labelCol="__y", regParam=reg, maxIter=max_iter)
+    folds = sorted(r[0] for r in data.select(fold).distinct().collect() if r[0] is not None)
+    if data.where(F.col(fold).isNull()).limit(1).count():
+        raise ValueError("rows without a fold")
+    parts, unsettled = [], 0
+    for k in folds:
+        model = lr.fit(data.where(F.col(fold) != k))
+        unsettled += int(model.summary.totalIterations >= max_iter)
+        parts.append(model.transform(data.where(F.col(fold) == k)).select("__y", "__s", F.col("prediction"), vector_to_array("probability").alias("prob")))
+    pred = reduce(lambda one, two: one.unionByName(two), parts)
     pred = stored(pred, "predictions")
     long = pred.select("__y", F.posexplode("prob").alias("cls", "score")).withColumn("label", (F.col("__y") == F.col("cls")).cast("int"))
     per = auc(long, ["cls"], "label", "score", 2)
     hits = pred.groupBy(F.col("__y").cast("int").alias("cls")).agg(F.first("__s").alias(subject), F.count(F.lit(1)).alias("n"), F.count_if(F.col("__y") == F.col("prediction")).alias("n_correct"))
-    out = per.join(hits, "cls").select(subject, "auc", "n", "n_correct")
-    confusion = pred.groupBy(F.col("__y").cast("int").alias("true"), F.col("prediction").cast("int").alias("predicted")).agg(F.count(F.lit(1)).alias("n"))
-    return with_totals(out, [], {"macro_auc": F.avg("auc")}), confusion
+    names = F.array(*[F.lit(x) for x in indexer.labels])
+    confusion = pred.groupBy(F.col("__y").cast("int").alias("cls"), F.get(names, F.col("prediction").cast("int")).alias("p")).agg(F.count(F.lit(1)).alias("c"))
+    confusion = confusion.groupBy("cls").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("p", "c")))).alias("confusion"))
+    out = per.join(hits, "cls").join(confusion, "cls").select(subject, "auc", "n", "n_correct", "confusion", F.lit(unsettled).alias("unsettled"))
+    return with_totals(out, [], {"macro_auc": F.avg("auc")})
 
 
 # ---------------------------------------------------------------- train time x test time

@@ -215,6 +215,7 @@ def permuted(df, keys, value, order, n_perm, seed):
 SLICE_ROWS = 32768
 BLOCK_REPS = 125
 AT_ONCE = 1 << 20
+TIE = 1e-9
 
 
 def group_number(keys):
@@ -422,9 +423,13 @@ def cluster_null_test(obs, null, keys, index, stat, rep="rep", alpha=0.05):
 
 
 def p_against_maxima(clusters, maxima, keys, mass="mass", top="top"):
-    """p = (1 + maxima at or above the mass) / (P + 1), by a running count over both sets in one order."""
+    """p = (1 + maxima at or above the mass) / (P + 1), by a running count over both sets in one order.
+
+    A maximum that is the same sum in another order counts as at the mass: the limit lies ``TIE`` of the mass below it.
+    """
+    at = F.col(mass) - TIE * F.abs(mass)
     side = maxima.select(*keys, F.col(top).alias("v"), F.lit(1).alias("m"), F.lit(None).cast(clusters.withColumn("s", F.struct("*")).schema["s"].dataType).alias("s"))
-    both = side.unionByName(clusters.select(*keys, F.col(mass).alias("v"), F.lit(0).alias("m"), F.struct("*").alias("s")))
+    both = side.unionByName(clusters.select(*keys, at.alias("v"), F.lit(0).alias("m"), F.struct("*").alias("s")))
     both = ordered_scan(both, keys, ["v", "m"], {"below": ("sum_before", "m")})
     both = with_totals(both, keys, {"P": F.sum("m")}).where(F.col("s").isNotNull())
     return both.select("s.*", ((1 + F.col("P") - F.col("below")) / (F.col("P") + 1)).alias("p"))
