@@ -137,6 +137,26 @@ def enet_many(g, sides, alpha, l1, rounds=2000, tol=1e-9):
     return b, my - mu @ b, settled
 
 
+def ridge_path(g, alphas):
+    """(slopes, intercept) for each penalty (in units of one row) on standardised columns, from one decomposition of the products."""
+    p = len(g) - 2
+    n = g[p, p]
+    if n <= 0:
+        return [(np.zeros(p), np.nan)] * len(alphas)
+    mu, my = g[:p, p] / n, g[p + 1, p] / n
+    c = g[:p, :p] / n - np.outer(mu, mu)
+    sd = np.sqrt(np.maximum(np.diag(c), 0))
+    live = sd > 1e-9
+    values, vectors = np.linalg.eigh(c[np.ix_(live, live)] / np.outer(sd[live], sd[live]))
+    side = vectors.T @ ((g[:p, p + 1] / n - mu * my)[live] / sd[live])
+    out = []
+    for alpha in alphas:
+        b = np.zeros(p)
+        b[live] = vectors @ (side / (values + alpha / n)) / sd[live]
+        out.append((b, my - b @ mu))
+    return out
+
+
 def r2_many(g, sides, b, a):
     """(R2, squared error) of many lines on cross products; ``sides`` as in ``enet_many``."""
     p = len(g) - 2

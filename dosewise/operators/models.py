@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.draws import seeded_hash
 from ..functions.moments import pair_aggs, r_of, r_with_p
-from ..functions.solvers import enet, enet_many, filled, line_scores, r2_many
+from ..functions.solvers import enet, enet_many, filled, line_scores, r2_many, ridge_path
 from ..plans.shapes import join_keys, once, ordered_scan, quantiles, with_index, with_row, with_totals
 from ..session import stored
 from .columns import clean_number
@@ -589,13 +589,16 @@ def subject_identifiability(df, subject, features, fold="fold", reg=0.01, max_it
 # ---------------------------------------------------------------- train time x test time
 
 
-def temporal_generalization(df, fold, t, features, y, n_folds, alpha=1.0):
+def temporal_generalization(df, fold, t, features, y, n_folds=None, alphas=(0.01, 0.1, 1.0, 10.0, 100.0)):
     """Ridge trained at each time and scored (r) at every time, per outer fold; fold means weighted by test size.
 
     Training uses the other folds' products at the train time; scoring uses the held-out
-    fold's products at the test time, so a score costs p x p numbers and no rows.
+    fold's products at the test time, so a score costs p x p numbers and no rows.  The penalty of each (fold, time) is the
+    one with the best mean r over the other folds in turn (the first where there is no such score): one decomposition of a
+    product gives all penalties.  The folds are those in the data; ``n_folds`` only checks them.
     """
     grams = stored(cross_products(df, [fold, t], features, y), "products")
+    fold_ids(df, fold, grams.withColumnRenamed(fold, "part"), n_folds)
     types = dict(grams.dtypes)
 
     def fit(pdf):
@@ -603,12 +606,17 @@ def temporal_generalization(df, fold, t, features, y, n_folds, alpha=1.0):
         p = (size - 2) // 2
         g = {int(k): filled(np.asarray(v, float).reshape(size, size), np.zeros(p)) for k, v in zip(pdf[fold], pdf["gram"])}
         rows = []
-        for k in range(n_folds):
-            rest = [v for f, v in g.items() if f != k]
-            if rest:
-                total = sum(rest)
-                b, a, *_ = enet(total, alpha / total[p, p], 0.0)
-                rows.append({"t_train": pdf[t].iloc[0], "fold": k, "w": [*b, a]})
+        for k in g:
+            rest = [f for f in g if f != k]
+            if not rest:
+                continue
+            train = sum(g[f] for f in rest)
+            inner = [[line_scores(g[f], *line)[1] for line in ridge_path(train - g[f], alphas)] for f in rest] if len(rest) > 1 else []
+            known = ~np.isnan(np.array(inner, dtype=float).reshape(-1, len(alphas)))
+            mean = np.where(known, np.array(inner, dtype=float).reshape(-1, len(alphas)), 0.0).sum(axis=0) / np.maximum(known.sum(axis=0), 1)
+            best = int(np.argmax(np.where(known.any(axis=0), mean, -np.inf)))
+            b, c = ridge_path(train, alphas)[best]
+            rows.append({"t_train": pdf[t].iloc[0], "fold": k, "w": [*b, c]})
         return pd.DataFrame(rows, columns=["t_train", "fold", "w"])
 
     fits = grams.groupBy(t).applyInPandas(fit, f"t_train {types[t]}, fold int, w array<double>")
@@ -629,18 +637,23 @@ def temporal_generalization(df, fold, t, features, y, n_folds, alpha=1.0):
     return s.groupBy("t_train", "t_test").agg((F.sum(F.col("r") * F.col("weight")) / F.sum("weight")).alias("score"), F.count(F.lit(1)).alias("n_folds"))
 
 
-def temporal_generalization_auc(df, fold, t, features, label, n_folds, c=1.0, rounds=12):
+def temporal_generalization_auc(df, fold, t, features, label, n_folds=None, c=1.0, rounds=50, tol=1e-10):
     """Balanced logistic model trained at each time, AUC at every time.
 
     All (fold, time) models take their Newton steps together: each step is one pass that sums
-    gradients and curvature per model in the tasks, followed by a p x p solve per model.
+    gradients and curvature per model in the tasks, followed by a p x p solve per model.  A step that lowers a model's
+    penalised likelihood is halved; a model is done when a full step would gain less than ``tol`` of it, and takes no
+    further part.  ``unsettled`` counts the fold models of the training time that used up ``rounds``.  The folds are those in the
+    data; ``n_folds`` only checks them.
     """
     data = stored(df.select(F.col(fold).cast("int").alias("part"), F.col(t).alias("t"), F.col(features).alias("x"), F.col(label).cast("int").alias("y")), "epochs")
     size = data.groupBy("part", "t").agg(F.count_if(F.col("y") == 1).alias("n1"), F.count_if(F.col("y") == 0).alias("n0"))
-    ids = F.array(*[F.lit(i) for i in range(n_folds)])
+    ids = F.array(*[F.lit(i) for i in fold_ids(data, "part", size, n_folds)])
     base = size.withColumn("fold", F.explode(ids)).where("part <> fold").groupBy("fold", "t").agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0")).where("n1 > 0 and n0 > 0")
     first = df.select(F.size(features).alias("p")).limit(1)
-    w = stored(with_row(base, first).withColumn("w", F.array_repeat(F.lit(0.0), F.col("p") + 1)).drop("p"), "weights")
+    zero = F.array_repeat(F.lit(0.0), F.col("p") + 1)
+    w = with_row(base, first).withColumns({"w": zero, "best": zero, "step": zero, "goal": F.lit(None).cast("double"), "done": F.lit(False)}).drop("p")
+    w = stored(w, "weights")
     tt = dict(data.dtypes)["t"]
 
     def sums(batches):
@@ -654,31 +667,48 @@ def temporal_generalization_auc(df, fold, t, features, label, n_folds, c=1.0, ro
                 yy, coef = sub["y"].to_numpy(float), np.asarray(sub["w"].iloc[0], float)
                 n1, n0 = float(sub["n1"].iloc[0]), float(sub["n0"].iloc[0])
                 cw = np.where(yy == 1, (n1 + n0) / (2 * n1), (n1 + n0) / (2 * n0))
-                mu = 1 / (1 + np.exp(-np.clip(x @ coef, -30, 30)))
-                part = np.append(((x * (cw * mu * (1 - mu))[:, None]).T @ x).ravel(), x.T @ (cw * (yy - mu)))
+                z = x @ coef
+                mu = 1 / (1 + np.exp(-np.clip(z, -500, 500)))
+                gain = -(cw * np.logaddexp(0.0, np.where(yy == 1, -z, z))).sum()
+                part = np.concatenate([((x * (cw * mu * (1 - mu))[:, None]).T @ x).ravel(), x.T @ (cw * (yy - mu)), [gain]])
                 key = (f, time)
                 acc[key] = acc[key] + part if key in acc else part
         for (f, time), v in acc.items():
             yield pd.DataFrame({"fold": np.array([f], dtype="int32"), "t": [time], "v": [v]})
 
-    @F.pandas_udf("array<double>")
-    def step(coef: pd.Series, v: pd.Series) -> pd.Series:
-        out = []
-        for a, s in zip(coef, v):
-            a, s = np.asarray(a, float), np.asarray(s, float)
-            q = len(a)
-            pen = np.append(np.full(q - 1, 1 / c), 0.0)
-            out.append((a + np.linalg.solve(s[:q * q].reshape(q, q) + np.diag(pen) + 1e-9 * np.eye(q), s[q * q:] - pen * a)).tolist())
-        return pd.Series(out)
-
+    def newton(batches):
+        for pdf in batches:
+            out = []
+            for at, best, step, goal, v in zip(pdf["w"], pdf["best"], pdf["step"], pdf["goal"], pdf["v"]):
+                at, best, step, v = (np.asarray(m, float) for m in (at, best, step, v))
+                q = len(at)
+                pen = np.append(np.full(q - 1, 1 / c), 0.0)
+                now = v[-1] - 0.5 * (pen * at * at).sum()
+                if np.isnan(goal) or now >= goal - 1e-12 * abs(goal):
+                    slope = v[q * q:-1] - pen * at
+                    step = np.linalg.solve(v[:q * q].reshape(q, q) + np.diag(pen) + 1e-9 * np.eye(q), slope)
+                    best, goal, done = at, now, slope @ step <= tol * (1 + abs(now))
+                else:
+                    step = step / 2
+                    done = np.abs(step).max() <= 1e-14 * (1 + np.abs(best).max())
+                out.append((best + step, best, step, goal, bool(done)))
+            yield pdf[["fold", "t", "n1", "n0"]].assign(**{k: [o[i] for o in out] for i, k in enumerate(("w", "best", "step", "goal", "done"))})
+
+    shape = f"fold int, t {tt}, n1 long, n0 long, w array<double>, best array<double>, step array<double>, goal double, done boolean"
     for _ in range(rounds):
-        rows = data.join(w, "t").where(F.col("part") != F.col("fold")).select("fold", "t", "x", "y", "w", "n1", "n0")
+        live = w.where("not done")
+        if not live.limit(1).count():
+            break
+        rows = data.join(live, "t").where(F.col("part") != F.col("fold")).select("fold", "t", "x", "y", "w", "n1", "n0")
         parts = rows.mapInPandas(sums, f"fold int, t {tt}, v array<double>").select("fold", "t", F.posexplode("v").alias("i", "e"))
         total = parts.groupBy("fold", "t", "i").agg(F.sum("e").alias("e")).groupBy("fold", "t").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "e"))), lambda z: z["e"]).alias("v"))
-        w = stored(w.join(total, ["fold", "t"]).select("fold", "t", "n1", "n0", step("w", "v").alias("w")), "weights")
+        moved = live.join(total, ["fold", "t"]).select("fold", "t", "n1", "n0", "w", "best", "step", "goal", "v").mapInPandas(newton, shape)
+        w = stored(w.where("done").select("fold", "t", "n1", "n0", "w", "best", "step", "goal", "done").unionByName(moved), "weights")
+    w = w.select("fold", "t", F.col("best").alias("w"), "done")
     test = data.select(F.col("part").alias("fold"), F.col("t").alias("t_test"), "x", "y")
-    pairs = test.join(w.select("fold", F.col("t").alias("t_train"), "w"), "fold")
+    pairs = test.join(w.select("fold", F.col("t").alias("t_train"), "w", "done"), "fold")
     # The intercept does not change the order of scores.
     pairs = pairs.withColumn("score", F.aggregate(F.zip_with("x", F.slice("w", F.lit(1), F.size("x")), lambda a, b: a.cast("double") * b), F.lit(0.0), lambda acc, v: acc + v))
     a = auc(pairs, ["fold", "t_train", "t_test"], "y", "score", 2).where("auc is not null").withColumn("weight", F.col("n_pos") + F.col("n_neg"))
-    return a.groupBy("t_train", "t_test").agg((F.sum(F.col("auc") * F.col("weight")) / F.sum("weight")).alias("score"), F.count(F.lit(1)).alias("n_folds"))
+    slow = w.groupBy(F.col("t").alias("t_train")).agg(F.count_if(~F.col("done")).alias("unsettled"))
+    return a.join(slow, "t_train").groupBy("t_train", "t_test", "unsettled").agg((F.sum(F.col("auc") * F.col("weight")) / F.sum("weight")).alias("score"), F.count(F.lit(1)).alias("n_folds"))
