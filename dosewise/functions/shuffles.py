@@ -23,7 +23,7 @@ CARRY = 48271  # Fixed value: a primitive root of the modulus.
 
 
 def mixed(h):
-    return ((h % 65536) * 69621 + (h // 65536) * 40692 + (h % 32749) * (h % 31337)) % MODULUS
+    return ((h & 65535) * 69621 + (h >> 16) * 40692 + (h % 32749) * (h % 31337)) % MODULUS
 
 
 def long_hashes(seed, rep, pos):
@@ -64,19 +64,22 @@ def permuted_positions(keys, at, n):
         i, j = p // cols, p % cols
         for t in range(ROUNDS):
             if t % 2 == 0:
-                j = (j + mixed((i * CARRY + k[..., t]) % MODULUS)) % cols
+                j = (j + mixed((i * carry + k[..., t]) % modulus)) % cols
             else:
-                i = (i + mixed((j * CARRY + k[..., t]) % MODULUS)) % rows
+                i = (i + mixed((j * carry + k[..., t]) % modulus)) % rows
         return i * cols + j
 
-    p = walk(np.asarray(at, dtype=np.int64)[None, :], keys[:, None, :])
+    # all numbers are below 2^63 and none is negative: remainders are faster without a sign
+    keys = keys.astype(np.uint64)
+    rows, cols, carry, modulus = (np.uint64(v) for v in (rows, cols, CARRY, MODULUS))
+    p = walk(np.asarray(at, dtype=np.uint64)[None, :], keys[:, None, :])
     rep, where = np.nonzero(p >= n)
     while len(rep):
         again = walk(p[rep, where], keys[rep])
         p[rep, where] = again
         out = again >= n
         rep, where = rep[out], where[out]
-    return p
+    return p.astype(np.int64)
 
 
 class Slice:
