@@ -3,6 +3,8 @@
 import re
 from bisect import bisect_right
 
+import numpy as np
+
 from .common import map_texts
 
 # Base phrases and their labels.
@@ -224,18 +226,30 @@ def detections(folded, words):
     for order, (priority, weight, label, pattern, gate) in enumerate(RULES):
         if present.issuperset(gate) and not present.isdisjoint(OPENINGS[order]):
             found += [(priority, m.start() - m.end(), m.start(), order, m.end(), label, weight) for m in pattern.finditer(folded)]
-    kept, starts = [], []
-    for _, _, start, _, end, label, weight in sorted(found):
-        at = bisect_right(starts, start)
-        # kept matches are apart or overlap without containment, so their ends rise with their starts
-        if at and kept[at - 1][1] >= end:
-            continue
-        inside = [k for k in range(at, len(kept)) if kept[k][0] < end and kept[k][0] <= start and kept[k][1] >= end]
-        if inside:
+    return uncontained(sorted(found))
+
+
+def uncontained(ranked):
+    """(start, end, label, weight), by place, of those matches that none ranked before them contains.
+
+    A Fenwick tree over the starts holds the farthest end of the kept matches up to each start, so a match costs a few
+    steps however many there are.
+    """
+    starts = sorted({m[2] for m in ranked})
+    farthest, kept = [-1] * (len(starts) + 1), []
+    for _, _, start, _, end, label, weight in ranked:
+        at = place = bisect_right(starts, start)
+        reach = -1
+        while at:
+            reach = max(reach, farthest[at])
+            at &= at - 1
+        if reach >= end:
             continue
-        kept.insert(at, (start, end, label, weight))
-        starts.insert(at, start)
-    return kept
+        kept.append((start, end, label, weight))
+        while place < len(farthest):
+            farthest[place] = max(farthest[place], end)
+            place += place & -place
+    return sorted(kept)
 
 
 def scan_text(text):
@@ -245,14 +259,20 @@ def scan_text(text):
     found = detections(folded, words)
     first, last = (min(base)[0], max(base)[0]) if base else (None, None)
     labels = {label for _, label in base}
+    blanks = np.flatnonzero(np.frombuffer(folded, np.uint8) == 32)
+
+    def words_before(at):
+        return np.searchsorted(blanks, at).tolist()
+
+    spans = zip(words_before([s - 1 for s, *_ in found]), words_before([e for _, e, *_ in found]), (label for *_, label, _ in found))
     miss = 1.0
     for weight in [BASE_WEIGHT] * len(base) + [w for _, _, _, w in found]:
         miss *= 1.0 - weight
     return {
         "n_words": len(words), "n_base": len(base),
-        "first_word": folded.count(b" ", 0, first) if base else None, "last_word": folded.count(b" ", 0, last) if base else None,
+        "first_word": words_before(first) if base else None, "last_word": words_before(last) if base else None,
         "base_labels": ",".join(sorted(labels)), "labels": ",".join(sorted(labels | {d[2] for d in found})), "score": 1.0 - miss,
-        "found": [f"{folded.count(b' ', 0, s - 1)}:{folded.count(b' ', 0, e)}:{label}" for s, e, label, _ in sorted(found)],
+        "found": [f"{first}:{end}:{label}" for first, end, label in spans],
     }
 
 

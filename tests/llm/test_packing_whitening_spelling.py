@@ -386,3 +386,36 @@ def test_one_row_of_a_repeated_smallest_id(spark):
     kept = sorted(partenum.one_of_each(docs).collect(), key=repr)
     assert [r["doc_id"] for r in kept].count(1) == 1 and [r["doc_id"] for r in kept].count(3) == 2 and [r["doc_id"] for r in kept].count(None) == 2
     assert {r["doc_id"] for r in kept} == {1, 3, 4, None} and len(kept) == 6
+
+
+# --- 10 overlapping detections ---------------------------------------------------------------------------------------
+
+def test_containment_against_all_pairs():
+    """A match goes if any match ranked before it and kept contains it, wherever that one starts."""
+    from dosewise.llm import licenses
+
+    rng = random.Random(12)
+    for _ in range(400):
+        found = []
+        for order in range(rng.randint(0, 25)):
+            start = rng.randint(0, 30)
+            end = start + rng.randint(1, 15)
+            found.append((rng.randint(0, 3), start - end, start, order, end, f"l{order}", 0.5))
+        kept = []
+        for m in sorted(found):
+            if not any(k[0] <= m[2] and k[1] >= m[4] for k in kept):
+                kept.append((m[2], m[4], m[5], m[6]))
+        assert licenses.uncontained(sorted(found)) == sorted(kept)
+
+
+def test_many_detections_in_one_text():
+    import time
+
+    from dosewise.llm import licenses
+
+    few = licenses.scan_text("Licensed under the MIT license and " * 3)
+    start = time.time()
+    many = licenses.scan_text("Licensed under the MIT license and " * 60_000)
+    assert time.time() - start < 20 and len(many["found"]) == 20_000 * len(few["found"]) and many["labels"] == few["labels"] and few["found"]
+    first, end, _ = few["found"][0].split(":")
+    assert 0 <= int(first) < int(end) <= 6
