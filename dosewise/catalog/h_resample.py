@@ -11,7 +11,7 @@ from .h_stats import bh_ctes, t_crit
 from .registry import query, sql, sql_midrank, sql_n, sql_normal_sf, sql_r
 
 T, FE, SI, CE = fx.SQL_TRIALS, fx.SQL_FEATURES, fx.SQL_SIGNALS, fx.SQL_CELLS
-PERM, BOOT, FLIPS = 1000, 100, 1000
+PERM, BOOT, FLIPS = 1000, 1000, 1000
 
 
 def boot_rows(src, keys, index, n, seed, by=""):
@@ -19,7 +19,7 @@ def boot_rows(src, keys, index, n, seed, by=""):
     return (f"bt AS (SELECT {keys}, rep, ({sql_hash(seed, 'rep', index)}) % cnt AS {index} FROM (SELECT {keys}, {index}, count(*) OVER (PARTITION BY {keys}) AS cnt FROM {src}), range(1, {n + 1}) r(rep))")
 
 
-@query("bootstrap_percentile", sql(T + "," + boot_rows("trials", "subject", "trial_idx", BOOT, 42) + f""", bs AS (SELECT subject, rep, pain, score, level FROM bt JOIN trials USING (subject, trial_idx)),
+@query("bootstrap_percentile", sql(T + "," + "br AS (SELECT subject, pain, score, level, row_number() OVER (PARTITION BY subject ORDER BY level, trial_idx) - 1 AS pos FROM trials)," + boot_rows("br", "subject", "pos", BOOT, 42) + f""", bs AS (SELECT subject, rep, pain, score, level FROM bt JOIN br USING (subject, pos)),
   rk AS (SELECT subject, rep, pain, {sql_midrank('subject, rep', 'level')} AS rk FROM bs), st AS (SELECT subject, rep, (sum(rk) FILTER (pain = 1) - count(*) FILTER (pain = 1) * (count(*) FILTER (pain = 1) + 1) / 2) / nullif(count(*) FILTER (pain = 1) * count(*) FILTER (pain = 0), 0) AS s FROM rk GROUP BY 1, 2),
   rs AS (SELECT subject, rep, {sql_midrank('subject, rep', 'level')} AS a, {sql_midrank('subject, rep', 'score')} AS b FROM bs), ss AS (SELECT subject, rep, {sql_r('a', 'b')} AS s FROM rs GROUP BY 1, 2)""",
   """SELECT st.subject, quantile_cont(st.s, 0.025) AS ci_low, quantile_cont(st.s, 0.975) AS ci_high, count(st.s) AS n_boot, quantile_cont(ss.s, 0.025) AS rho_low, quantile_cont(ss.s, 0.975) AS rho_high FROM st JOIN ss USING (subject, rep) GROUP BY 1""", "subject, n_boot", "ci_low ci_high rho_low rho_high"))

@@ -49,6 +49,56 @@ def draw_counts(seed, reps, mine, sizes, n):
     return counts
 
 
+def slice_totals(seed, reps, sizes):
+    """How many of a replicate's draws (as many as there are rows) fall to each slice: (replicates, slices).
+
+    One multinomial draw per replicate, repeated alike wherever it is needed.
+    """
+    n = sum(sizes)
+    if len(sizes) == 1:
+        return np.full((len(reps), 1), n)
+    share = np.asarray(sizes, dtype=float) / n
+    return np.stack([np.random.default_rng([int(seed) % (1 << 32), int(rep)]).multinomial(n, share) for rep in reps])
+
+
+def slice_counts(seed, reps, mine, here, rows):
+    """How often each row of a slice is drawn when ``here`` draws of the replicate fall to it: (replicates, rows)."""
+    reps, here = np.asarray(reps, dtype=np.int64)[:, None], np.asarray(here)[:, None]
+    slots = np.arange(int(here.max()), dtype=np.int64)[None, :]
+    drawn = long_hashes(seed, reps, (np.int64(mine) << 40) + slots) % rows + np.arange(len(reps))[:, None] * rows
+    return np.bincount(drawn[slots < here], minlength=len(reps) * rows).reshape(len(reps), rows).astype(float)
+
+
+def drawn_midranks(x, seed, reps, mine, sizes, first, last):
+    """Counts and centred average ranks of a slice's rows in each replicate: two arrays (replicates, rows).
+
+    ``x`` are the slice's values; rows are numbered through all slices in the order of the values.  ``first`` is the number of
+    the first row anywhere that ties with the slice's lowest value, ``last`` that of the last row that ties with its highest:
+    such ties may lie in other slices, whose draws are repeated here.
+    """
+    totals = slice_totals(seed, reps, sizes)
+    counts = slice_counts(seed, reps, mine, totals[:, mine], sizes[mine])
+    starts = np.flatnonzero(np.r_[True, np.diff(x) != 0])
+    tied = np.add.reduceat(counts, starts, axis=1)
+    below = totals[:, :mine].sum(axis=1)[:, None] + np.cumsum(tied, axis=1) - tied
+    a, b = first // sizes[0], last // sizes[0]
+    if a < mine:
+        part = slice_counts(seed, reps, a, totals[:, a], sizes[a])[:, first - a * sizes[0]:].sum(axis=1) + totals[:, a + 1:mine].sum(axis=1)
+        below[:, 0] -= part
+        tied[:, 0] += part
+    if b > mine:
+        tied[:, -1] += slice_counts(seed, reps, b, totals[:, b], sizes[b])[:, :last - b * sizes[0] + 1].sum(axis=1) + totals[:, mine + 1:b].sum(axis=1)
+    ranks = below + (tied + 1) / 2 - (sum(sizes) + 1) / 2
+    return counts, np.repeat(ranks, np.diff(np.r_[starts, len(x)]), axis=1)
+
+
+def tied_sums(values, *tables):
+    """The distinct values in order, and the sums of each table's columns (replicates, rows) over rows of equal value."""
+    order = np.argsort(values, kind="stable")
+    starts = np.flatnonzero(np.r_[True, np.diff(values[order]) != 0])
+    return [values[order][starts], *[np.add.reduceat(t[:, order], starts, axis=1) for t in tables]]
+
+
 def round_keys(seed, group, reps):
     """One key per replicate and round: (replicates, ROUNDS); ``group`` is a number below 2^48."""
     reps = np.asarray(reps, dtype=np.int64)[:, None]

@@ -2,6 +2,7 @@
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import shuffles
@@ -11,24 +12,13 @@ from ..functions.special import let, normal_cdf, normal_quantile, t_quantile
 from ..plans.shapes import join_keys, once, ordered_scan, quantiles, replicate_quantiles, replicates, with_index, with_midrank, with_row, with_totals
 from ..session import stored
 from .sequence import contiguous_clusters
-from .stats import auc, bh_fdr, complete, partial_residuals, ttest_one_sample
+from .stats import bh_fdr, complete, partial_residuals, ttest_one_sample
 
 
 def with_replicates(df, n):
     return df.withColumn("rep", F.explode(replicates(n)))
 
 
-def row_resamples(df, keys, n_boot, seed, index="__i"):
-    """How often each row is drawn in each replicate: (keys, rep, index, m), rows drawn at least once.
-
-    n draws with replacement per group and replicate; equal draws are merged before the join.
-    """
-    slots = with_totals(df.select(*keys, index), keys, {"__n": F.max(index)}).withColumn("__n", F.col("__n") + 1)
-    slots = with_replicates(slots, n_boot)
-    pick = seeded_draw(seed, F.col("rep"), F.col(index), F.col("__n"))
-    return slots.select(*keys, "rep", pick.alias(index)).groupBy(*keys, "rep", index).agg(F.count(F.lit(1)).alias("m"))
-
-
 def percentile_interval(boots, keys, value, level=0.95):
     """Percentile limits over replicates; a group holds one row per replicate, so its size is known."""
     tail = (1 - level) / 2
@@ -38,29 +28,122 @@ def percentile_interval(boots, keys, value, level=0.95):
 
 
 def bootstrap_percentile(df, keys, x, y, order, n_boot=1000, seed=42, statistic="auc", level=0.95):
-    """Percentile interval of AUC (y is 0/1) or Spearman from row resamples; one-class resamples are skipped."""
-    rows = with_index(complete(df, x, y).select(*keys, *order, x, y), keys, list(order), "__i")
-    draws = row_resamples(rows, keys, n_boot, seed)
-    boot = join_keys(draws, rows.select(*keys, "__i", x, y), [*keys, "__i"])
+    """Percentile interval of AUC (y is 0/1, other rows do not count) or Spearman from row resamples; one-class resamples are skipped."""
+    stat = resampled_statistic(df, keys, x, y, order, n_boot, seed, statistic)
+    return percentile_interval(stat, keys, "stat", level)
+
+
+def resampled_statistic(df, keys, x, y, order, n_boot=1000, seed=42, statistic="auc"):
+    """AUC or Spearman of every replicate of a row bootstrap: (keys, rep, stat), null where the resample has no value.
+
+    Rows are numbered by x (then ``order``) inside their group and cut into slices of ``SLICE_ROWS``.  How many of a
+    replicate's draws fall to a slice is a multinomial draw that every task repeats, and inside a slice each draw is a hash; so a
+    task knows how often each of its rows is drawn, how many draws lie below them, and hence their average ranks by x.
+    AUC closes over sums of these.  Spearman needs the ranks by y too: a group of one slice has them in the task; longer ones send,
+    per block of replicates and distinct y, the counts and summed x ranks as packed arrays to slices of y.  No row is copied.
+    """
+    keys = list(keys)
+    ok = complete(df, x, y).select(*keys, *[c for c in order if c not in keys], F.col(x).cast("double").alias("__x"), F.col(y).cast("double").alias("__y"))
     if statistic == "auc":
-        stat = auc(boot, [*keys, "rep"], y, x, 1, weight="m").select(*keys, "rep", F.col("auc").alias("stat"))
+        ok = ok.where(F.col("__y").isin(0.0, 1.0))
+    rows = with_index(ok, keys, ["__x", *order], "__k").select(*keys, "__k", "__x", "__y", F.floor(F.col("__k") / SLICE_ROWS).alias("__slice"))
+    rows = stored(rows, "rows")
+    ties = rows.groupBy(*keys, "__x").agg(F.min("__k").alias("__low"), F.max("__k").alias("__high")).where(F.floor(F.col("__low") / SLICE_ROWS) < F.floor(F.col("__high") / SLICE_ROWS))
+    sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
+    one_slice = F.col("__n") <= SLICE_ROWS
+    long_groups = statistic != "auc" and sizes.where(~one_slice).limit(1).count() > 0
+    if long_groups:
+        # Slices of y hold about as many (distinct y, slice of x) entries; a single y has one entry per slice of x at most.
+        ys = rows.groupBy(*keys, "__y").agg(F.count_distinct("__slice").alias("__e"))
+        ys = ordered_scan(ys, keys, ["__y"], {"__b": ("sum_before", "__e")}).select(*keys, "__y", F.floor(F.coalesce("__b", F.lit(0)) / Y_ENTRIES).alias("__ys"))
+        rows = join_keys(rows, ys, [*keys, "__y"])
     else:
-        # Weighted midranks: a value's rank is the rows below plus half of its own.
-        for c in (x, y):
-            vc = boot.groupBy(*keys, "rep", c).agg(F.sum("m").alias("__m"))
-            vc = ordered_scan(vc, [*keys, "rep"], [c], {"__b": ("sum_before", "__m")})
-            boot = join_keys(boot, vc.select(*keys, "rep", c, (F.col("__b") + (F.col("__m") + 1) / 2).alias(f"__rk_{c}")), [*keys, "rep", c])
-        stat = weighted_r(boot, [*keys, "rep"], f"__rk_{x}", f"__rk_{y}", "m").withColumnRenamed("r", "stat")
-    return percentile_interval(stat, keys, "stat", level)
+        rows = rows.withColumn("__ys", F.lit(0).cast("long"))
+    packed = rows.groupBy(*keys, "__slice").agg(F.array_sort(F.collect_list(F.struct("__k", "__x", "__y", "__ys"))).alias("__r"))
+    r = F.col("__r")
+    packed = packed.select(*keys, "__slice", r["__x"].alias("__x"), r["__y"].alias("__y"), r["__ys"].alias("__ys"), r[0]["__x"].alias("__x0"), F.element_at(r, -1)["__x"].alias("__x1"))
+    packed = join_keys(packed, sizes, keys) if keys else with_row(packed, sizes)
+    packed = join_keys(packed, ties.select(*keys, F.col("__x").alias("__x0"), F.col("__low").alias("__first")), [*keys, "__x0"], "left")
+    packed = join_keys(packed, ties.select(*keys, F.col("__x").alias("__x1"), F.col("__high").alias("__last")), [*keys, "__x1"], "left")
+    start = F.col("__slice") * SLICE_ROWS
+    packed = packed.select(*keys, "__slice", "__x", "__y", "__ys", "__n", F.coalesce("__first", start).alias("__first"), F.coalesce("__last", start + F.size("__x") - 1).alias("__last"))
+    packed = stored(packed, "slices").withColumn("__block", F.explode(F.sequence(F.lit(0), F.lit((n_boot - 1) // BLOCK_REPS)))).repartition(*keys, "__slice", "__block")
+    kinds = dict(packed.dtypes)
+    head = "".join(f"`{k}` {kinds[k]}, " for k in keys)
+    n_keys, slice_rows, block_reps, at_once = len(keys), SLICE_ROWS, BLOCK_REPS, AT_ONCE
 
+    def slices_of(batch):
+        """(row, y, slices of y, group size, replicates, counts, centred ranks by x) for chunks of replicates whose arrays stay small."""
+        col = {name: batch.column(i) for i, name in enumerate(batch.schema.names)}
+        for i in range(batch.num_rows):
+            n, mine = col["__n"][i].as_py(), col["__slice"][i].as_py()
+            cut = [slice_rows] * (n // slice_rows) + [n % slice_rows] * (n % slice_rows > 0)
+            values, y, to = (col[c][i].values.to_numpy() for c in ("__x", "__y", "__ys"))
+            a, b = col["__block"][i].as_py() * block_reps + 1, min(n_boot, (col["__block"][i].as_py() + 1) * block_reps)
+            step = max(1, at_once // cut[0])
+            for reps in (np.arange(c, min(c + step, b + 1)) for c in range(a, b + 1, step)):
+                yield i, y, to, n, reps, *shuffles.drawn_midranks(values, seed, reps, mine, cut, col["__first"][i].as_py(), col["__last"][i].as_py())
+
+    def closed(batches):
+        """Sums per replicate: (drawn ones, their ranks) for AUC, (xy, xx, yy) for the correlation."""
+        for batch in batches:
+            at, numbers, sums = [], [], []
+            for i, y, _, n, reps, m, rx in slices_of(batch):
+                if statistic == "auc":
+                    one = m * y
+                    found = [one.sum(axis=1), (one * rx).sum(axis=1)]
+                else:
+                    _, c, p = shuffles.tied_sums(y, m, m * rx)
+                    ry = np.cumsum(c, axis=1) - c + (c + 1) / 2 - (n + 1) / 2
+                    found = [(p * ry).sum(axis=1), (m * rx * rx).sum(axis=1), (c * ry * ry).sum(axis=1)]
+                at.append(np.full(len(reps), i))
+                numbers.append(reps)
+                sums.append(np.stack(found))
+            if at:
+                kept = [batch.column(k).take(pa.array(np.concatenate(at))) for k in range(n_keys)]
+                sums = np.concatenate(sums, axis=1)
+                yield pa.RecordBatch.from_arrays([*kept, pa.array(np.concatenate(numbers)), *[pa.array(v) for v in sums]], names=[*batch.schema.names[:n_keys], "rep", *[f"s{j}" for j in range(len(sums))]])
 
-def weighted_r(df, keys, x, y, weight):
-    """Correlation with row multiplicities."""
-    w, a, b = F.col(weight), F.col(x), F.col(y)
-    g = df.groupBy(*keys).agg(F.sum(w).alias("n"), F.sum(w * a).alias("a"), F.sum(w * b).alias("b"), F.sum(w * a * a).alias("aa"), F.sum(w * b * b).alias("bb"), F.sum(w * a * b).alias("ab"))
-    vx, vy = F.col("aa") - F.col("a") * F.col("a") / F.col("n"), F.col("bb") - F.col("b") * F.col("b") / F.col("n")
-    c = F.col("ab") - F.col("a") * F.col("b") / F.col("n")
-    return g.select(*keys, F.when((vx > 1e-9) & (vy > 1e-9), c / F.sqrt(vx * vy)).alias("r"))
+    if statistic == "auc":
+        got = packed.mapInArrow(closed, f"{head}rep long, s0 double, s1 double").groupBy(*keys, "rep").agg(F.sum("s0").alias("p"), F.sum("s1").alias("u"))
+        got = join_keys(got, sizes, keys) if keys else with_row(got, sizes)
+        p, n = F.col("p"), F.col("__n")
+        return got.select(*keys, "rep", F.when((p > 0) & (p < n), (F.col("u") + p * (n - p) / 2) / (p * (n - p))).alias("stat"))
+    sums = packed.where(one_slice).mapInArrow(closed, f"{head}rep long, s0 double, s1 double, s2 double")
+    if long_groups:
+        def sent(batches):
+            for batch in batches:
+                for i, y, to, n, reps, m, rx in slices_of(batch):
+                    for ys in np.unique(to):
+                        own = to == ys
+                        held, c, p = shuffles.tied_sums(y[own], m[:, own], m[:, own] * rx[:, own])
+                        xx = (m[:, own] * rx[:, own] * rx[:, own]).sum(axis=1)
+                        key = [batch.column(k).slice(i, 1) for k in range(n_keys)]
+                        flat = [pa.array([v.ravel()], pa.list_(pa.float64())) for v in (held, c.T, p.T, xx)]
+                        yield pa.RecordBatch.from_arrays([*key, pa.array([int(ys)], pa.int64()), pa.array([int(reps[0])], pa.int64()), *flat], names=[*batch.schema.names[:n_keys], "__ys", "__rep", "y", "c", "p", "xx"])
+
+        def joined(table):
+            """Sums of a slice of y, with ranks counted from the slice's own lowest draw."""
+            values = np.concatenate([v.values.to_numpy() for v in table["y"]])
+            width = len(table["xx"][0].values)
+            c, p = (np.concatenate([v.values.to_numpy() for v in table[name]]).reshape(-1, width).T for name in ("c", "p"))
+            _, c, p = shuffles.tied_sums(values, c, p)
+            ry = np.cumsum(c, axis=1) - c + (c + 1) / 2
+            found = [c.sum(axis=1), p.sum(axis=1), (p * ry).sum(axis=1), (c * ry).sum(axis=1), (c * ry * ry).sum(axis=1), np.sum([v.values.to_numpy() for v in table["xx"]], axis=0)]
+            same = pa.array(np.zeros(width, np.int64))
+            taken = [table.column(k).take(same) for k in range(n_keys)]
+            return pa.Table.from_arrays([*taken, table["__ys"].take(same), pa.array(table["__rep"][0].as_py() + np.arange(width)), *[pa.array(v) for v in found]], names=[*table.schema.names[:n_keys], "__ys", "rep", *[f"f{j}" for j in range(6)]])
+
+        parts = packed.where(~one_slice).mapInArrow(sent, f"{head}__ys long, __rep long, y array<double>, c array<double>, p array<double>, xx array<double>")
+        parts = parts.groupBy(*keys, "__ys", "__rep").applyInArrow(joined, f"{head}__ys long, rep long, " + ", ".join(f"f{j} double" for j in range(6)))
+        by = Window.partitionBy(*keys, "rep")
+        earlier = F.coalesce(F.sum("f0").over(by.orderBy("__ys").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+        parts = parts.withColumn("__off", earlier - (F.sum("f0").over(by) + 1) / 2)
+        n, p, q, v, w, off = (F.col(c) for c in ("f0", "f1", "f2", "f3", "f4", "__off"))
+        parts = parts.groupBy(*keys, "rep").agg(F.sum(q + off * p).alias("s0"), F.sum("f5").alias("s1"), F.sum(w + 2 * off * v + off * off * n).alias("s2"))
+        sums = sums.unionByName(parts)
+    spread = F.col("s1") * F.col("s2")
+    return sums.select(*keys, "rep", F.when((F.col("s1") > 1e-9) & (F.col("s2") > 1e-9), F.col("s0") / F.sqrt(spread)).alias("stat"))
 
 
 def resampled_sums(sums, subject, keys, n_boot, seed):
@@ -215,6 +298,7 @@ def permuted(df, keys, value, order, n_perm, seed):
 SLICE_ROWS = 32768
 BLOCK_REPS = 125
 AT_ONCE = 1 << 20
+Y_ENTRIES = 4096
 TIE = 1e-9
 
 
