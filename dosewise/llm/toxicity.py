@@ -33,7 +33,11 @@ def features(texts):
 
 
 class Chains:
-    """The words of each text in stretches of at most ``CHAIN``, laid out as rows so that every step works on all of them."""
+    """One chain per text, laid out in stretches of ``CHAIN`` words as rows so that every step works on all of them.
+
+    A stretch is a 2 x 2 matrix from the tag before it to the tag at its end; the matrices of a text, applied one after the other
+    from both ends, give each stretch what the rest of the chain says, so the cuts change no marginal.
+    """
 
     def __init__(self, words):
         self.place = np.arange(len(words.hash)) - words.first[:-1][words.text]
@@ -41,12 +45,45 @@ class Chains:
         self.row, self.col = np.cumsum(new) - 1, self.place % CHAIN
         self.n = int(new.sum())
         self.length = np.bincount(self.row, minlength=self.n)
+        self.part = self.place[new] // CHAIN
+        self.later = np.flatnonzero(self.part)
+        order = np.argsort(self.part, kind="stable")
+        cuts = np.searchsorted(self.part[order], np.arange(1, self.part.max(initial=0) + 2))
+        self.waves = [order[i:j] for i, j in zip(cuts, cuts[1:])]
 
     def spread(self, values, fill):
         out = np.full((CHAIN, self.n), fill)
         out[self.col, self.row] = values
         return out
 
+    def ends(self, e, trans):
+        """Odds at the end of the stretch before each stretch, and what follows a stretch says of its last word."""
+        enter, leave = np.ones(self.n), np.ones(self.n)
+        if not self.waves:
+            return enter, leave
+        t00, t01, t10, t11 = np.exp(trans)
+        rows = np.union1d(self.later, self.later - 1)
+        e, length, first = e[:, rows], self.length[rows], self.part[rows] == 0
+        m = np.stack([np.where(first, 1.0, t00), np.where(first, e[0], e[0] * t01), np.where(first, 1.0, t10), np.where(first, e[0], e[0] * t11)])
+        for k in range(1, CHAIN):
+            c, x = m[0::2], m[1::2]
+            step = np.empty_like(m)
+            step[0::2], step[1::2] = t00 * c + t10 * x, e[k] * (t01 * c + t11 * x)
+            m = np.where(k < length, step, m)
+            if k % 8 == 0:
+                m /= m.sum(axis=0)
+        m /= m.sum(axis=0)
+        c0, x0, c1, x1 = full = np.ones((4, self.n))
+        full[:, rows] = m
+        state = x0 / c0
+        for own in self.waves:
+            r = enter[own] = state[own - 1]
+            state[own] = (x0[own] + r * x1[own]) / (c0[own] + r * c1[own])
+        for own in reversed(self.waves):
+            r = leave[own]
+            leave[own - 1] = (c1[own] + x1[own] * r) / (c0[own] + x0[own] * r)
+        return enter, leave
+
     def marginals(self, emission, trans):
         """Odds of the toxic tag before and after each word, as ratios to the other tag; and the marginal of each word.
 
@@ -54,27 +91,31 @@ class Chains:
         """
         t00, t01, t10, t11 = np.exp(trans)
         e = np.exp(np.clip(self.spread(emission, -30.0), -30, 30))
-        ahead, back = np.empty_like(e), np.ones_like(e)
-        ahead[0] = e[0]
+        enter, leave = self.ends(e, trans)
+        ahead, back = np.empty_like(e), np.empty_like(e)
+        ahead[0] = np.where(self.part > 0, e[0] * (t01 + enter * t11) / (t00 + enter * t10), e[0])
         for k in range(1, CHAIN):
             r = ahead[k - 1]
             ahead[k] = e[k] * (t01 + r * t11) / (t00 + r * t10)
         last = self.length - 1
+        back[-1] = leave
         for k in range(CHAIN - 2, -1, -1):
             x = e[k + 1] * back[k + 1]
-            back[k] = np.where(k < last, (t10 + t11 * x) / (t00 + t01 * x), 1.0)
+            back[k] = np.where(k < last, (t10 + t11 * x) / (t00 + t01 * x), leave)
         odds = (ahead * back)[self.col, self.row]
         return e, ahead, back, odds / (1.0 + odds)
 
+    def neighbours(self, left, right):
+        """The values of ``left`` and ``right`` at all pairs of neighbouring words, over the cuts too."""
+        real = np.arange(1, CHAIN)[:, None] < self.length[None, :]
+        return np.r_[left[:-1][real], left[-1, self.later - 1]], np.r_[right[1:][real], right[0, self.later]]
+
     def pairs(self, e, ahead, back, trans):
         """Expected counts of the four transitions."""
         t00, t01, t10, t11 = np.exp(trans)
-        x = e[1:] * back[1:]
-        r = ahead[:-1]
+        r, x = self.neighbours(ahead, e * back)
         cells = np.stack([np.full_like(r, t00), t01 * x, t10 * r, t11 * r * x])
-        cells /= cells.sum(axis=0)
-        real = np.arange(1, CHAIN)[:, None] < self.length[None, :]
-        return (cells * real).sum(axis=(1, 2))
+        return (cells / cells.sum(axis=0)).sum(axis=1)
 
 
 def token_tags(words, ids, toxic):
@@ -120,9 +161,8 @@ def fit_chain(texts, toxic, seed=5):
             squares += step * step
             weights -= 0.3 * step / np.sqrt(squares)
             path = chains.spread(y, 0.0)
-            pair = path[:-1] * 2 + path[1:]
-            real = np.arange(1, CHAIN)[:, None] < chains.length[None, :]
-            seen = np.bincount(pair[real].astype(int), minlength=4)
+            before, after = chains.neighbours(path, path)
+            seen = np.bincount((before * 2 + after).astype(int), minlength=4)
             t_step = chains.pairs(e, ahead, back, trans) - seen + 1e-3 * trans
             trans_squares += t_step * t_step
             trans -= 0.3 * t_step / np.sqrt(trans_squares)
@@ -165,7 +205,8 @@ def train(docs, labels, doc_id="doc_id", text="text", label="toxic", train_rows=
     """A model from a bounded sample of labelled rows, or the plain share of toxic labels where one class is missing.
 
     The sample: of the rows whose crc32(id as text) mod 4 is not 2, those with the smallest id hashes, at most
-    ``train_rows`` of each class and ``train_chars`` characters in all.  Two thirds of it fit the chain and the rest fits
+    ``train_rows`` of each class and ``train_chars`` characters in all (a text that would pass that is left out, later ones
+    that fit are taken).  Two thirds of it fit the chain and the rest fits
     the scale from marginals to scores, so that the scale sees words as new as they are in other texts.
     """
     key = F.col(doc_id).cast("string")
@@ -177,9 +218,9 @@ def train(docs, labels, doc_id="doc_id", text="text", label="toxic", train_rows=
     sample = docs.select(F.col(doc_id).alias("__id"), F.col(text).cast("string").alias("__text")).join(F.broadcast(ids), "__id")
     rows, chars = [], 0
     for row in sample.groupBy("__id").agg(F.max("__text").alias("__text"), F.first("__toxic").alias("__toxic"), F.first("__at").alias("__at")).orderBy("__at", "__id").toLocalIterator():
+        if chars + len(row["__text"] or "") > train_chars:
+            continue
         chars += len(row["__text"] or "")
-        if chars > train_chars:
-            break
         rows.append((row["__text"] or "", int(row["__toxic"])))
     toxic = np.array([y for _, y in rows], np.int64)
     if len(set(toxic.tolist())) < 2:

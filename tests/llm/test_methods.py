@@ -321,6 +321,50 @@ def test_marginals_against_enumeration():
     assert np.allclose(chains.pairs(e, ahead, back, trans), pairs)
 
 
+def test_chains_longer_than_a_stretch():
+    """Marginals and transition counts of texts of many stretches, against one walk through each text in log space."""
+    rng = np.random.default_rng(4)
+    sizes = [1, 63, 64, 65, 0, 128, 200, 129, 1000]
+    words = hashing.WordHashes([" ".join(["w"] * n) for n in sizes], toxicity.MARKS, toxicity.FOLD)
+    emission, trans = rng.normal(size=sum(sizes)) * 6, np.array([1.5, -1.0, -0.7, 1.2])
+    t = trans.reshape(2, 2)
+    want, pairs, at = [], np.zeros((2, 2)), 0
+    for n in sizes:
+        own = np.stack([np.zeros(n), emission[at:at + n]], axis=1)
+        at += n
+        fore, aft = own.copy(), np.zeros((n, 2))
+        for k in range(1, n):
+            fore[k] += np.logaddexp.reduce(fore[k - 1][:, None] + t, axis=0)
+        for k in range(n - 2, -1, -1):
+            aft[k] = np.logaddexp.reduce(t + (own[k + 1] + aft[k + 1])[None, :], axis=1)
+        both = fore + aft
+        want.append(1 / (1 + np.exp(both[:, 0] - both[:, 1])))
+        for k in range(1, n):
+            cell = fore[k - 1][:, None] + t + (own[k] + aft[k])[None, :]
+            pairs += np.exp(cell - np.logaddexp.reduce(cell.ravel()))
+    chains = toxicity.Chains(words)
+    e, ahead, back, p = chains.marginals(emission, trans)
+    assert np.allclose(p, np.concatenate(want), atol=1e-9)
+    assert np.allclose(chains.pairs(e, ahead, back, trans), pairs.ravel())
+
+
+def test_a_span_across_a_cut_scores_like_any_other():
+    strength = {n: np.r_[np.zeros(n), [1.5] * 3, np.zeros(300 - n)] for n in (30, 62, 63, 64, 127)}
+    words = hashing.WordHashes([" ".join(["w"] * 303)], toxicity.MARKS, toxicity.FOLD)
+    found = {n: toxicity.Chains(words).marginals(e, np.array([1.0, -2.0, -1.0, 0.5]))[3][n:n + 3] for n, e in strength.items()}
+    assert all(np.allclose(p, found[127], atol=1e-6) for p in found.values())
+
+
+def test_a_text_beyond_the_sample_is_left_out_of_it(spark):
+    """The sample goes on after a text that does not fit."""
+    docs = spark.createDataFrame([(i, "you vile wretched thing " * 3 if i % 2 else "a calm day by the sea " * 3) for i in range(60)] + [(i, "calm " * 2000) for i in range(60, 70)], "doc_id long, text string")
+    marks = spark.createDataFrame([(i, i % 2 if i < 60 else 0) for i in range(70)], "doc_id long, toxic int")
+    model = toxicity.train(docs, marks, train_chars=9000)
+    assert "share" not in model
+    scores = {r["doc_id"]: r["score"] for r in toxicity.score(docs, model).collect()}
+    assert min(scores[i] for i in range(1, 60, 2)) > max(scores[i] for i in range(0, 60, 2))
+
+
 def test_held_out_accuracy(spark):
     sf = "/root/testdata/sf0.01"
     docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
