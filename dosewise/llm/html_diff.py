@@ -4,6 +4,7 @@ import hashlib
 import html as references
 import re
 from bisect import bisect_left
+from itertools import accumulate
 from urllib.parse import urlsplit
 
 import pyarrow as pa
@@ -14,7 +15,10 @@ from pyspark.sql import types as T
 from ..session import stored
 from .common import batch_of, fields_of, parts_in_order
 
-TAG = re.compile(r"<(?:(!--)|(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>|[!?][^>]*>)")
+OPENING = re.compile(r"<(?:(!--)|(/?)(?=[a-zA-Z])|[!?])")
+NAME_END = re.compile(r"[\s/>]")
+REST = re.compile(r"(?:\"[^\"]*\"|'[^']*'|[^>\"'])*+>")
+DELIMITER = re.compile(r"[>\"']")
 ATTRIBUTE = re.compile(r"([a-zA-Z_:][-\w:.]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 NAME = re.compile(r"[a-z]+|[A-Z][a-z]*|[0-9]+")
 
@@ -66,15 +70,73 @@ def is_noise(tag, text, in_article):
     return 1 if words & NOISE_WORDS or "header" in words and not in_article else 0
 
 
+class Tags:
+    """The tags of a page in order, in time linear in the page whatever its markup: what is no whole tag is text.
+
+    A tag ends at the first > outside quotes.  Once one has none, a table from the end of the page backward tells of every quote
+    and > whether a tag that is open there ends at all, so that no other search runs to the end of the page in vain.
+    """
+
+    def __init__(self, page):
+        self.page, self.last = page, page.rfind(">")
+        self.name_end, self.table = -1, None
+
+    def ends(self, at):
+        """Whether a tag whose name ended at ``at`` ends."""
+        if self.table is None:
+            places, closed = [], []
+            ahead, quoted = False, {'"': False, "'": False}
+            for m in reversed([*DELIMITER.finditer(self.page)]):
+                # quoted[q]: whether a tag ends in which the quote q is open here, that is, what follows the next q
+                if m[0] == ">":
+                    ahead = True
+                else:
+                    ahead, quoted[m[0]] = quoted[m[0]], ahead
+                places.append(m.start())
+                closed.append(ahead)
+            self.table = places[::-1], closed[::-1]
+        places, closed = self.table
+        k = bisect_left(places, at)
+        return k < len(places) and closed[k]
+
+    def next(self, at):
+        """(start, end, kind, name, attributes) of the next tag: kind is "!--", "/" or "" for a tag, None for a declaration."""
+        page = self.page
+        while True:
+            m = OPENING.search(page, at)
+            if m and m.start() > self.last and not m[1]:
+                # only a comment may still begin where no > is left
+                at = page.find("<!--", at)
+                m = OPENING.match(page, at) if at >= 0 else None
+            if not m:
+                return None
+            if m[1]:
+                close = page.find("-->", m.end())
+                return m.start(), len(page) if close < 0 else close + 3, "!--", "", ""
+            if m[2] is None:
+                return m.start(), page.index(">", m.end()) + 1, None, "", ""
+            if self.name_end < m.end():
+                found = NAME_END.search(page, m.end())
+                self.name_end = found.start() if found else len(page)
+            name_end = self.name_end
+            rest = REST.match(page, name_end) if self.table is None or self.ends(name_end) else None
+            if rest:
+                return m.start(), rest.end(), m[2], page[m.end():name_end].lower(), page[name_end:rest.end() - 1]
+            self.ends(name_end)
+            at = m.start() + 1
+
+
 def blocks(page):
     """(text, in article) of every text block of a page, in order, without what the markup itself marks as no article.
 
     Character references are decoded, white space is one blank, empty blocks are left out.
     """
     out, line = [], []
-    stack = []  # (tag, noise, in article)
+    stack = []  # (tag, noise, in article, place of the nearest block element at or below)
+    open_tags = {}
     noise, inside = 0, False
     at, last = 0, None
+    tags = Tags(page)
 
     def end_block():
         text = " ".join(references.unescape("".join(line)).split())
@@ -82,31 +144,32 @@ def blocks(page):
         if text:
             out.append((text, last))
 
+    def close_from(k):
+        for entry in stack[k:]:
+            open_tags[entry[0]] -= 1
+        del stack[k:]
+
     while True:
-        m = TAG.search(page, at)
-        text = page[at:m.start() if m else len(page)]
+        found = tags.next(at)
+        text = page[at:found[0] if found else len(page)]
         if text and not noise:
             if last is not inside:
                 end_block()
                 last = inside
             line.append(text)
-        if not m:
+        if not found:
             break
-        at = m.end()
-        if m[1]:
-            close = page.find("-->", m.start() + 4)
-            at = len(page) if close < 0 else close + 3
-            continue
-        if not m[3]:
+        _, at, kind, tag, rest = found
+        if not tag:
             continue
-        tag = m[3].lower()
         if tag not in INLINE:
             end_block()
-        if m[2]:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == tag:
-                    del stack[k:]
-                    break
+        if kind:
+            if open_tags.get(tag):
+                k = len(stack) - 1
+                while stack[k][0] != tag:
+                    k -= 1
+                close_from(k)
         elif tag in RAW:
             close = re.compile(rf"</{tag}[\s/>]", re.I).search(page, at)
             end = page.find(">", close.start()) if close else -1
@@ -114,19 +177,16 @@ def blocks(page):
             continue
         elif tag not in VOID:
             ended = SELF_ENDING.get(tag, ())
-            if tag in ENDS_P or ended:
-                for k in range(len(stack) - 1, -1, -1):
-                    if stack[k][0] in ended or stack[k][0] == "p" and tag in ENDS_P:
-                        del stack[k:]
-                        break
-                    if stack[k][0] not in INLINE:
-                        break
-            above, held = (stack[-1][1], stack[-1][2]) if stack else (0, False)
-            mark = is_noise(tag, m[4], held)
+            k = stack[-1][3] if stack else -1
+            if k >= 0 and (stack[k][0] in ended or stack[k][0] == "p" and tag in ENDS_P):
+                close_from(k)
+            above, held, base = stack[-1][1:] if stack else (0, False, -1)
+            mark = is_noise(tag, rest, held)
             article = held or tag in ("article", "main") and above < 2 and not mark
             if article and not held and above == 1:
                 above = 0
-            stack.append((tag, max(above, mark), article))
+            stack.append((tag, max(above, mark), article, base if tag in INLINE else len(stack)))
+            open_tags[tag] = open_tags.get(tag, 0) + 1
         noise, inside = (stack[-1][1], stack[-1][2]) if stack else (0, False)
     end_block()
     return out
@@ -136,32 +196,68 @@ def line_key(text):
     return int.from_bytes(hashlib.blake2b(text.encode(), digest_size=8).digest(), "little", signed=True)
 
 
+def bits_at(places, size):
+    out = bytearray(size // 8 + 1)
+    for j in places:
+        out[j >> 3] |= 1 << (j & 7)
+    return int.from_bytes(out, "little")
+
+
+def subsequence_rows(a, b):
+    """After each line of ``a``: a number whose bit j is clear where the longest common subsequence with ``b[:j + 1]`` is longer
+    than with ``b[:j]``.  All lines of ``b`` are one addition."""
+    where = {}
+    for j, v in enumerate(b):
+        where.setdefault(v, []).append(j)
+    kept = {v: bits_at(places, len(b)) for v, places in where.items() if len(places) > 64}
+    full = row = (1 << len(b)) - 1
+    for v in a:
+        if v in where:
+            hit = row & (kept.get(v) or bits_at(where[v], len(b)))
+            row = (row + hit | row - hit) & full
+        yield row
+
+
+def common_places(a, b, cells=1 << 28):
+    """Places in ``a`` of one longest common subsequence; tables beyond ``cells`` bits are cut in two (Hirschberg's way)."""
+    if not a or not b:
+        return []
+    if len(a) * len(b) > cells and len(a) > 1:
+        def lengths(x, y):
+            for row in subsequence_rows(x, y):
+                pass
+            return [0, *accumulate(c == "0" for c in reversed(f"{row:0{len(y)}b}"))]
+
+        half = len(a) // 2
+        before, after = lengths(a[:half], b), lengths(a[:half - 1:-1], b[::-1])[::-1]
+        cut = max(range(len(b) + 1), key=lambda j: before[j] + after[j])
+        return common_places(a[:half], b[:cut], cells) + [half + i for i in common_places(a[half:], b[cut:], cells)]
+    rows = [(1 << len(b)) - 1, *subsequence_rows(a, b)]
+    out, i, j = [], len(a), len(b)
+    while i and j:
+        if rows[i] >> j - 1 & 1:
+            j -= 1
+        else:
+            i -= 1
+            if rows[i] >> j - 1 & 1:
+                out.append(i)
+                j -= 1
+    return out[::-1]
+
+
 def common_lines(a, b):
-    """Places in ``a`` of one longest common subsequence of the two line lists (matches sorted into increasing runs)."""
+    """Places in ``a`` of one longest common subsequence of the two line lists: equal ends first, then 64 lines a step."""
     lead = 0
     while lead < min(len(a), len(b)) and a[lead] == b[lead]:
         lead += 1
     tail = 0
     while tail < min(len(a), len(b)) - lead and a[-1 - tail] == b[-1 - tail]:
         tail += 1
-    where = {}
-    for j in range(len(b) - tail - 1, lead - 1, -1):
-        where.setdefault(b[j], []).append(j)
-    ends, chains = [], []
-    for i in range(lead, len(a) - tail):
-        for j in where.get(a[i], ()):
-            k = bisect_left(ends, j)
-            node = (i, chains[k - 1] if k else None)
-            if k == len(ends):
-                ends.append(j)
-                chains.append(node)
-            else:
-                ends[k], chains[k] = j, node
-    middle, node = [], chains[-1] if chains else None
-    while node:
-        middle.append(node[0])
-        node = node[1]
-    return [*range(lead), *reversed(middle), *range(len(a) - tail, len(a))]
+    x, y = a[lead:len(a) - tail], b[lead:len(b) - tail]
+    both = set(x) & set(y)
+    at = [lead + i for i, v in enumerate(x) if v in both]
+    middle = common_places([a[i] for i in at], [v for v in y if v in both])
+    return [*range(lead), *[at[i] for i in middle], *range(len(a) - tail, len(a))]
 
 
 def template_edges(a, b):

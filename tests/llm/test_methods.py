@@ -6,6 +6,7 @@ import io
 import itertools
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -304,6 +305,35 @@ def test_components_of_a_chain(spark):
     assert {r["id"]: r["comp"] for r in partenum.components(links).collect()} == {i: 0 for i in range(60)} | {100: 100, 101: 100}
 
 
+@pytest.mark.parametrize("page", ["<a " * 60000, "<a" * 60000, '<a "' * 60001 + ">", "<!" * 60000, "<div>" * 60000 + "</b>" * 60000, "<b>" * 60000 + "<p></p>" * 60000, "<a '\"" * 60000 + ">", "<!--" * 60000])
+def test_hostile_markup_ends(page):
+    """Tags that never end, quotes that never close, and end tags without a start: read in time linear in the page."""
+    begun = time.monotonic()
+    html_diff.blocks(page)
+    assert time.monotonic() - begun < 20
+
+
+def test_what_is_no_whole_tag_is_text():
+    assert html_diff.blocks('1 < 2 <b>bold</b> <a "x>y') == [('1 < 2 bold <a "x>y', False)]
+    assert html_diff.blocks("<p title='a>b'>one<p>two</i></p>three<!-- never closed") == [("one", False), ("two", False), ("three", False)]
+    assert html_diff.blocks("text <!--") == [("text", False)]
+
+
+def test_common_lines_are_longest():
+    """Against the table of all prefixes, whole and cut in two; and on many repeats."""
+    rng = random.Random(6)
+    for _ in range(400):
+        a, b = ([rng.randint(0, 4) for _ in range(rng.randint(0, 25))] for _ in range(2))
+        best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i, x in enumerate(a):
+            for j, y in enumerate(b):
+                best[i + 1][j + 1] = best[i][j] + 1 if x == y else max(best[i][j + 1], best[i + 1][j])
+        for found in (html_diff.common_lines(a, b), html_diff.common_places(a, b, 20)):
+            rest = iter(b)
+            assert len(found) == best[-1][-1] and found == sorted(set(found)) and all(a[i] in rest for i in found)
+    assert len(html_diff.common_lines([1, 2] * 4000 + [3], [2, 1] * 4000 + [4])) == 7999
+
+
 # --- 7 toxicity ------------------------------------------------------------------------------------------------------
 
 def test_marginals_against_enumeration():
