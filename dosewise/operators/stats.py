@@ -1,11 +1,16 @@
 """Correlations, tests, corrections and agreement measures over groups."""
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import functions as F
 
+from ..functions.counting import inversions
 from ..functions.moments import clip, fisher_z, pair_aggs, r_of, r_with_p
 from ..functions.solvers import partial_from_cov, slopes_from_cov
 from ..functions.special import normal_quantile, r_p_value, t_greater, t_quantile, t_two_sided
 from ..plans.shapes import join_keys, once, ordered_scan, quantiles, with_midrank, with_totals
+from ..session import stored
 from .aggregate import roi_mean
 from .columns import TEMPERATURE_ALIASES, pick_first_column
 
@@ -29,33 +34,53 @@ def spearman(df, keys, x, y, min_n=5, r="r", p="p"):
     return out
 
 
+def _dense(column):
+    """Order codes of a column of any type; equal values share a code."""
+    return pc.rank(column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column, sort_keys="ascending", tiebreaker="dense").to_numpy().astype(np.int64)
+
+
+def _swaps(*cols):
+    """A function for ``applyInArrow``: weighted inversions of a group, in the order of ``cols[0]``, then ``cols[1]``, of ``cols[-1]``."""
+    def count(key, table):
+        codes = [_dense(table[c]) for c in cols]
+        order = np.lexsort(codes[::-1])
+        found = inversions(codes[-1][order], table["w"].to_numpy()[order])
+        ends = {name: pa.array([k.as_py()], k.type) for name, k in zip(("fold_a", "fold_b"), key)}
+        return pa.table(ends | {"d": pa.array([found], pa.int64())})
+
+    return count
+
+
 def kendall_tau(df, fold, feature, value):
     """tau-b between the folds' value vectors, both orders of the pair.
 
-    Discordant pairs are counted without forming pairs: for each binary digit of the
-    second rank, rows with digit 1 that come earlier in the first order are counted by
-    a running sum.
+    Discordant pairs are inversions between two orders of the distinct value pairs: by (first, second) and by (second, first), so that
+    ties are never inverted.  Each order is cut into slices by range partitioning, and an inversion is counted where it lies: in one
+    slice of the second order; else in one slice of the first order, by numbers of second slices; else between cells (first slice, second
+    slice), of which there are at most the square of the number of slices.  No task holds a pair of folds, and no pair of rows is formed.
+    Rows with a missing value are left out; a pair of folds without two different values on a side has a missing tau.
     """
-    ranks = with_midrank(complete(df, value), [fold], {value: "rk"}).select(fold, feature, (2 * F.col("rk")).cast("long").alias("rk"))
-    a = ranks.select(feature, F.col(fold).alias("fold_a"), F.col("rk").alias("ra"))
-    b = ranks.select(feature, F.col(fold).alias("fold_b"), F.col("rk").alias("rb"))
-    pairs = a.join(b, feature).where(F.col("fold_a") < F.col("fold_b"))
+    rows = complete(df, value)
+    a = rows.select(feature, F.col(fold).alias("fold_a"), F.col(value).alias("va"))
+    b = rows.select(feature, F.col(fold).alias("fold_b"), F.col(value).alias("vb"))
     keys = ["fold_a", "fold_b"]
+    pairs = once(a.join(b, feature).where(F.col("fold_a") < F.col("fold_b")).groupBy(*keys, "va", "vb").agg(F.count(F.lit(1)).alias("w")))
     ties = None
-    for name, cols in (("tx", ["ra"]), ("ty", ["rb"]), ("txy", ["ra", "rb"])):
-        c = pairs.groupBy(*keys, *cols).agg(F.count(F.lit(1)).alias("c")).groupBy(*keys).agg(F.sum(F.col("c") * (F.col("c") - 1) / 2).alias(name), F.sum("c").alias("n"))
+    for name, cols in (("tx", ["va"]), ("ty", ["vb"]), ("txy", ["va", "vb"])):
+        c = pairs.groupBy(*keys, *cols).agg(F.sum("w").alias("c")).groupBy(*keys).agg(F.sum(F.col("c") * (F.col("c") - 1) / 2).alias(name), F.sum("c").alias("n"))
         ties = c if ties is None else join_keys(ties, c.drop("n"), keys)
-    top = with_totals(pairs, keys, {"__top": F.max("rb")})
-    digits = F.ceil(F.log2(F.col("__top") + 1)).cast("int")
-    bits = top.select(*keys, "ra", "rb", F.explode(F.sequence(F.lit(0), digits)).alias("level"))
-    bits = bits.select(*keys, "level", F.expr("shiftright(rb, level + 1)").alias("head"), "ra", F.expr("shiftright(rb, level) % 2").alias("bit"))
-    vc = bits.groupBy(*keys, "level", "head", "ra").agg(F.count_if(F.col("bit") == 1).alias("ones"), F.count_if(F.col("bit") == 0).alias("zeros"))
-    vc = ordered_scan(vc, [*keys, "level", "head"], ["ra"], {"before": ("sum_before", "ones")})
-    disc = vc.groupBy(*keys).agg(F.sum(F.col("zeros") * F.col("before")).alias("d"))
-    out = join_keys(ties, disc, keys)
+    cut = stored(pairs.repartitionByRange(*keys, "va", "vb").withColumn("s", F.spark_partition_id()), "slices")
+    cut = stored(cut.repartitionByRange(*keys, "vb", "va").withColumn("b", F.spark_partition_id()), "slices")
+    kinds = dict(df.dtypes)
+    schema = f"fold_a {kinds[fold]}, fold_b {kinds[fold]}, d long"
+    cells = cut.groupBy(*keys, "s", "b").agg(F.sum("w").alias("w"))
+    parts = [cut.groupBy(*keys, "b").applyInArrow(_swaps("va", "vb"), schema),
+             cut.groupBy(*keys, "s").applyInArrow(_swaps("va", "vb", "b"), schema),
+             cells.groupBy(*keys).applyInArrow(_swaps("s", "b"), schema)]
+    disc = parts[0].unionByName(parts[1]).unionByName(parts[2]).groupBy(*keys).agg(F.sum("d").alias("d"))
     n0 = F.col("n") * (F.col("n") - 1) / 2
     tau = F.try_divide(n0 - F.col("tx") - F.col("ty") + F.col("txy") - 2 * F.col("d"), F.sqrt((n0 - F.col("tx")) * (n0 - F.col("ty"))))
-    out = out.select(*keys, "n", tau.alias("tau"))
+    out = once(join_keys(ties, disc, keys).select(*keys, "n", tau.alias("tau")))
     return out.unionByName(out.select(F.col("fold_b").alias("fold_a"), F.col("fold_a").alias("fold_b"), "n", "tau"))
 
 
