@@ -166,7 +166,36 @@ def _(s, d):
 def _(s, d):
     df, f = fits(s, d)
     clean = df.withColumn("x", F.transform("x", lambda v: F.coalesce(clean_number(v), F.lit(0.0))))
-    return M.permutation_importance(clean, f, "x", names(df), "y_true", ["subject", "run"], ["trial"], 5)
+    return M.permutation_importance(clean, f, "x", names(df), "y_true", ["subject", "run"])
+
+
+# One slope per element and fold, from the other folds' rows; every element counts a sixteenth.
+MARGINAL = """e AS (SELECT label, vec_id % 6 AS run, list_transform(embedding, lambda v, i: CASE WHEN i <> 3 OR vec_id % 7 <> 0 THEN v::DOUBLE END) AS v, 10 * embedding[1]::DOUBLE + 5 * embedding[2]::DOUBLE + (vec_id * 37 % 97) / 97 AS y, vec_id FROM embeddings),
+  l AS (SELECT label, run, vec_id, y, i - 1 AS pos, v[i] AS x FROM e, range(1, 1 + (SELECT max(len(v)) FROM e)) t(i)), f AS (SELECT DISTINCT label AS fold FROM e),
+  ft AS (SELECT fold, pos, regr_slope(y, x) / 16 AS b, avg(x) FILTER (y IS NOT NULL) AS mx FROM f JOIN l ON l.label <> f.fold GROUP BY 1, 2), ic AS (SELECT fold, avg(y) AS my FROM f JOIN e ON e.label <> f.fold GROUP BY 1),
+  lx AS (SELECT l.*, coalesce(x, mx) AS z, b, mx FROM l JOIN ft ON ft.fold = l.label AND ft.pos = l.pos), pd AS (SELECT label, vec_id, any_value(my) + sum(b * (z - mx)) AS p FROM lx JOIN ic ON ic.fold = label GROUP BY 1, 2),
+  a AS (SELECT lx.label, run, pos, y, z, z * z AS zz, b, p, (y - p + b * z) * b AS aa, b * b AS bb, p - b * z AS u FROM lx JOIN pd USING (label, vec_id)),
+  w AS (SELECT avg(y) AS my, var_pop(y) AS vy, corr(y, p) AS r0 FROM a WHERE pos = 0),
+  bl AS (SELECT pos, label, run, count(*) AS n, avg(aa) * avg(z) AS az, avg(aa * z) AS az0, avg(bb) * avg(zz) AS bz, avg(bb * zz) AS bz0, avg(u + b * avg_z) AS s, avg((u + b * avg_z) * y) AS sy, avg(u * u + 2 * u * b * avg_z + bb * avg_zz) AS ss,
+    sum(4 * aa * aa) - 4 * n0 * avg(aa) ^ 2 AS c11, sum(-2 * aa * bb) + 2 * n0 * avg(aa) * avg(bb) AS c12, sum(bb * bb) - n0 * avg(bb) ^ 2 AS c22, sum(zz) - n0 * avg(z) ^ 2 AS d11, sum(z * zz) - n0 * avg(z) * avg(zz) AS d12, sum(zz * zz) - n0 * avg(zz) ^ 2 AS d22
+    FROM (SELECT *, avg(z) OVER g AS avg_z, avg(zz) OVER g AS avg_zz, count(*) OVER g AS n0 FROM a WINDOW g AS (PARTITION BY pos, label, run)) GROUP BY pos, label, run, n0)"""
+
+
+@query("permutation_importance_marginal", sql(MARGINAL, """SELECT 'c' || pos AS feature, sum(n * (-2 * (az - az0) + (bz - bz0))) / sum(n) / any_value(vy) AS importance, sqrt(sum(CASE WHEN n > 1 THEN (c11 * d11 + 2 * c12 * d12 + c22 * d22) / (n - 1) END)) / sum(n) / any_value(vy) AS sd,
+  any_value(r0) - (sum(n * sy) / sum(n) - sum(n * s) / sum(n) * any_value(my)) / sqrt((sum(n * ss) / sum(n) - (sum(n * s) / sum(n)) ^ 2) * any_value(vy)) AS importance_r FROM bl, w GROUP BY pos""", "feature", "importance importance_r sd"))
+def _(s, d):
+    """The same for a model that SQL can fit: one slope per element, from the rows of the other folds."""
+    df = epochs(s, d)
+    long = df.select("fold", F.col("y_true").alias("y"), F.posexplode("x").alias("pos", "x"))
+    kept = df.select("fold").distinct().withColumnRenamed("fold", "held")
+    here = long.groupBy("fold", "pos").agg(F.count("x").alias("n"), F.sum("x").alias("sx"), F.sum(F.when(F.col("x").isNotNull(), F.col("y"))).alias("sy"), F.sum(F.col("x") * F.col("y")).alias("sxy"), F.sum(F.col("x") * F.col("x")).alias("sxx"))
+    here = here.join(df.groupBy("fold").agg(F.sum("y_true").alias("ty"), F.count("y_true").alias("tn")), "fold")
+    sums = here.join(kept, F.col("fold") != F.col("held")).groupBy("held", "pos").agg(*[F.sum(c).alias(c) for c in ("n", "sx", "sy", "sxy", "sxx", "ty", "tn")])
+    b = (F.col("sxy") - F.col("sx") * F.col("sy") / F.col("n")) / (F.col("sxx") - F.col("sx") * F.col("sx") / F.col("n")) / 16
+    lines = sums.select("held", "pos", b.alias("b"), (F.col("sx") / F.col("n")).alias("m"), (F.col("ty") / F.col("tn")).alias("my"))
+    f = lines.groupBy(F.col("held").alias("fold")).agg(F.array_sort(F.collect_list(F.struct("pos", "b", "m"))).alias("l"), F.max("my").alias("my"))
+    f = f.select("fold", F.col("l.b").alias("coef"), F.col("l.m").alias("median"), (F.col("my") - F.aggregate("l", F.lit(0.0), lambda t, v: t + v["b"] * v["m"])).alias("intercept"))
+    return M.permutation_importance(df, f, "x", names(df), "y_true", ["subject", "run"])
 
 
 @query("prediction_frame", sql(LOGO, "SELECT t.subject, t.trial_idx, t.temp, t.pain, y_true, y_pred, fold, 'line' AS model FROM pd JOIN trials t USING (subject, trial_idx)", "subject, trial_idx, pain, fold, model", "temp y_true y_pred"))

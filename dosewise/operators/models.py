@@ -17,7 +17,7 @@ from ..functions.solvers import enet, enet_many, filled, line_scores, r2_many, r
 from ..plans.shapes import join_keys, once, ordered_scan, quantiles, with_index, with_row, with_totals
 from ..session import stored
 from .columns import clean_number
-from .resample import PAIR_SUMS, permuted, shuffled_sums
+from .resample import PAIR_SUMS, shuffled_sums
 from .stats import auc, complete
 
 # ---------------------------------------------------------------- folds
@@ -469,30 +469,45 @@ def max_stat_permutation(df, group, xs, y, order, n_perm=1000, seed=42):
     return g.select("model", "r_obs", "n_perm", ((F.col("g2") + 1) / (F.col("n_perm") + 1)).alias("p_two_sided"), ((F.col("g1") + 1) / (F.col("n_perm") + 1)).alias("p_greater"))
 
 
-def permutation_importance(df, fits, features, names, y, block, order, n_rep=5, seed=42, fold="fold"):
-    """Loss of R2 when a feature is shuffled inside (subject, run), mean over repeats.
+def permutation_importance(df, fits, features, names, y, block, fold="fold"):
+    """Loss of R2 when a feature is shuffled inside its block: exact mean and spread over all shuffles, from moments of the blocks.
 
-    Shuffling one feature moves a linear prediction by its coefficient times the change, so
-    only (feature, replicate) sums are kept.  A feature constant in every block has 0.
+    Without the feature's term b x a row's residual is a; shuffled, its square is a^2 - 2 a b x' + b^2 x'^2 with x' from another row of
+    the block.  The sum of c(i, j) = -2 A_i x_j + B_i x_j^2 (A = a b, B = b^2) over a shuffle has a mean from averages and a variance
+    from covariances of (A, B) and of (x, x^2) inside the block; blocks are shuffled apart, so both add up.  No replicate is drawn.
+
+    ``importance``: mean loss of R2; ``sd``: its standard deviation from shuffle to shuffle; ``importance_r``: loss of r at the expected
+    moments of the shuffled prediction (r is no sum, so this is its mean up to a term that falls with the number of rows).
+    Rows without y or without a prediction are left out; missing features stand at the fit's median, as in the prediction; a feature
+    that is constant in every block has 0, and so has every feature where y does not vary.
     """
     block = list(block)
-    base = predict_linear(df, fits, features, fold)
-    base = join_keys(base, fits.select(F.col("fold").alias(fold), "coef"), [fold])
-    base = with_index(base, block, list(order), "__row")
-    labels = F.array(*[F.lit(n) for n in names])
-    long = base.select(*block, "__row", y, "y_pred", F.posexplode(F.arrays_zip(F.col(features).alias("x"), F.col("coef").alias("b"))).alias("pos", "v")).select(
-        *block, "__row", y, "y_pred", F.get(labels, F.col("pos")).alias("feature"), F.col("v.x").cast("double").alias("x"), F.col("v.b").alias("b"))
-    spread = long.groupBy("feature", *block).agg((F.max("x") > F.min("x")).alias("varies")).groupBy("feature").agg(F.bool_or("varies").alias("varies"))
-    live = long.join(spread.where("varies"), "feature", "left_semi")
-    perm = permuted(live.select("feature", *block, "__row", "x"), ["feature", *block], "x", ["__row"], n_rep, seed).withColumnRenamed("x", "x_new").withColumnRenamed("__k", "__j")
-    idx = with_index(live, ["feature", *block], ["__row"], "__j")
-    j = join_keys(perm, idx, ["feature", *block, "__j"])
-    new = F.col("y_pred") + F.col("b") * (F.col("x_new") - F.col("x"))
-    e0, e1 = F.col(y) - F.col("y_pred"), F.col(y) - new
-    g = j.groupBy("feature", "rep").agg(F.var_pop(y).alias("var_y"), F.avg(e0 * e0).alias("m0"), F.avg(e1 * e1).alias("m1"), *pair_aggs(new, F.col(y)), *pair_aggs("y_pred", y, "_0"))
-    g = g.select("feature", "rep", ((F.col("m1") - F.col("m0")) / F.col("var_y")).alias("loss"), (r_of("_0") - r_of()).alias("loss_r"))
-    out = g.groupBy("feature").agg(F.avg("loss").alias("importance"), F.avg("loss_r").alias("importance_r"), F.stddev_samp("loss").alias("sd"))
-    return join_keys(spread.select("feature"), out, ["feature"], "left").fillna(0.0, ["importance", "importance_r", "sd"])
+    base = complete(predict_linear(df, fits, features, fold), y, "y_pred")
+    base = join_keys(base, fits.select(F.col("fold").alias(fold), "coef", "median"), [fold])
+    x = F.zip_with(F.col(features), F.col("median"), lambda v, m: F.coalesce(F.when(~F.isnan(v), v), m).cast("double"))
+    long = base.select(*block, F.col(y).cast("double").alias("y"), F.col("y_pred").alias("p"), F.posexplode(F.arrays_zip(x.alias("x"), F.col("coef").alias("b"))).alias("pos", "v"))
+    long = long.select(*block, "pos", "y", "p", F.col("v.x").alias("x"), F.col("v.b").alias("b")).withColumn("u", F.col("p") - F.col("b") * F.col("x"))
+    long = long.withColumns({"ab": (F.col("y") - F.col("u")) * F.col("b"), "bb": F.col("b") * F.col("b"), "xx": F.col("x") * F.col("x")})
+    cov, var, ub = F.covar_pop, F.var_pop, F.col("u") * F.col("b")
+    m = long.groupBy("pos", *block).agg(
+        F.count(F.lit(1)).alias("n"), (2 * cov("ab", "x") - cov("bb", "xx")).alias("gain"),
+        (4 * var("ab") * var("x") - 4 * cov("ab", "bb") * cov("x", "xx") + var("bb") * var("xx")).alias("spread"),
+        F.avg("u").alias("u"), F.avg("b").alias("b"), F.avg("x").alias("x"), F.avg("xx").alias("xx"), F.avg("bb").alias("bb"), F.avg(ub).alias("ub"),
+        F.avg(F.col("b") * F.col("y")).alias("by"), F.avg(F.col("u") * F.col("y")).alias("uy"), F.avg(F.col("u") * F.col("u")).alias("uu"),
+        (F.max("x") > F.min("x")).alias("varies"))
+    n = F.col("n")
+    total = m.groupBy("pos").agg(
+        F.sum("n").alias("n"), F.bool_or("varies").alias("varies"), F.sum(n * F.col("gain")).alias("gain"),
+        F.sum(F.when(n > 1, n * n / (n - 1) * F.col("spread"))).alias("spread"),
+        F.sum(n * (F.col("u") + F.col("b") * F.col("x"))).alias("s"), F.sum(n * (F.col("uy") + F.col("by") * F.col("x"))).alias("sy"),
+        F.sum(n * (F.col("uu") + 2 * F.col("ub") * F.col("x") + F.col("bb") * F.col("xx"))).alias("ss"))
+    whole = base.agg(F.avg(F.col(y).cast("double")).alias("my"), F.var_pop(F.col(y).cast("double")).alias("vy"), F.try_divide(F.covar_pop(F.col(y).cast("double"), "y_pred"), F.sqrt(F.var_pop(F.col(y).cast("double")) * F.var_pop("y_pred"))).alias("r0"))
+    t = with_row(total, whole)
+    r1 = F.try_divide(F.col("sy") / n - F.col("s") / n * F.col("my"), F.sqrt((F.col("ss") / n - F.pow(F.col("s") / n, 2)) * F.col("vy")))
+    labels = F.array(*[F.lit(v) for v in names])
+    zero = lambda e: F.coalesce(F.when(F.col("varies"), e), F.lit(0.0))
+    return t.select(F.get(labels, F.col("pos")).alias("feature"), zero(F.try_divide(F.col("gain") / n, F.col("vy"))).alias("importance"), zero(F.col("r0") - r1).alias("importance_r"),
+                    zero(F.try_divide(F.sqrt(F.greatest(F.col("spread"), F.lit(0.0))) / n, F.col("vy"))).alias("sd"))
 
 
 def learning_curve(df, subject, x, y, order, shares=(0.1, 0.2, 0.4, 0.6, 0.8, 1.0), seed=42):
