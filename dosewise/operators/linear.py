@@ -3,10 +3,13 @@
 import math
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import functions as F
 
 from ..functions.solvers import inverse
-from ..plans.shapes import join_keys, quantiles, with_index, with_totals
+from ..plans.shapes import join_keys, once, quantiles, with_index, with_row, with_totals
 from ..session import stored
 from .align import with_run_length
 
@@ -103,20 +106,73 @@ def regressor_snr(design, data, keys, cell, regressors, row="volume", value="val
     return join_keys(out, design.groupBy(*keys).agg(sd.alias("__s")).select(*keys, F.inline("__s")), [*keys, "regressor"])
 
 
-def _centred_series(df, keys, channel, t, value):
-    """Per (trial, channel) the samples in time order minus their mean; one epoch long."""
-    g = df.groupBy(*keys, channel).agg(F.array_sort(F.collect_list(F.struct(F.col(t).alias("t"), F.col(value).alias("v")))).alias("__s"), F.avg(value).alias("__m"))
-    g = g.withColumn("x", F.transform("__s", lambda s: s["v"] - F.col("__m")))
-    return g.withColumn("ss", F.aggregate("x", F.lit(0.0), lambda a, v: a + v * v)).select(*keys, channel, "x", "ss", F.size("x").alias("n"))
+BLOCK_CHANNELS, CHUNK_SAMPLES = 64, 4096
+
+
+def _multiplied(a_first):
+    """A function for ``applyInArrow``: products of the channels of two blocks over the samples of one chunk, as a matrix product."""
+    def multiply(key, table):
+        *trial, low, high, _ = key
+        c, t, v = (pc.rank(table[n].combine_chunks(), sort_keys="ascending", tiebreaker="dense").to_numpy().astype(np.int64) - 1 for n in ("c", "t", "v"))
+        order = np.lexsort((v, t, c))
+        c, t = c[order], t[order]
+        # The k-th of several samples at one time meets the k-th of the other channel.
+        first = np.flatnonzero(np.r_[True, (c[1:] != c[:-1]) | (t[1:] != t[:-1])])
+        nth = np.arange(len(c)) - np.repeat(first, np.diff(np.r_[first, len(c)]))
+        place = np.unique(np.stack([t, nth]), axis=1, return_inverse=True)[1].reshape(-1)
+        x = np.zeros((c.max() + 1, place.max() + 1))
+        seen = np.zeros_like(x)
+        x[c, place] = pc.fill_null(table["v"], 0.0).to_numpy()[order]
+        seen[c, place] = table["real"].to_numpy()[order]
+        one = order[np.r_[0, np.flatnonzero(c[1:] != c[:-1]) + 1]]
+        block = table["block"].to_numpy()[one]
+        left, right = np.flatnonzero(block == low.as_py()), np.flatnonzero(block == high.as_py())
+        i, j = (k.reshape(-1) for k in np.meshgrid(left, right, indexing="ij"))
+        dot, both = ((m[left] @ m[right].T).reshape(-1) for m in (x, seen))
+        if low.as_py() == high.as_py():
+            keep = i >= j
+        else:
+            keep = np.ones(len(i), bool)
+        i, j, dot, both = i[keep], j[keep], dot[keep], both[keep]
+        i, j = np.maximum(i, j), np.minimum(i, j)
+        ends = {"a": i, "b": j} if a_first else {"a": j, "b": i}
+        take = lambda name, k: table[name].take(pa.array(one[k]))
+        out = {f"k{n}": pa.repeat(k, len(i)) for n, k in enumerate(trial)}
+        out |= {e: take("c", k) for e, k in ends.items()} | {"dot": pa.array(dot), "both": pa.array(both.astype(np.int64))}
+        out |= {f"{f}{e}": take(f, k) for e, k in ends.items() for f in ("s", "n")}
+        return pa.table(out)
+
+    return multiply
 
 
 def _channel_pairs(df, keys, channel, t, value, strict):
-    s = _centred_series(df, keys, channel, t, value)
-    a = s.select(*keys, F.col(channel).alias("a"), F.col("x").alias("xa"), F.col("ss").alias("sa"), "n")
-    b = s.select(*keys, F.col(channel).alias("b"), F.col("x").alias("xb"), F.col("ss").alias("sb"))
-    # The pairs of a trial are the result itself; its samples are not multiplied.
-    j = a.join(b, list(keys)).where(F.col("a") > F.col("b") if strict else F.col("a") <= F.col("b"))
-    return j.withColumn("dot", F.aggregate(F.zip_with("xa", "xb", lambda p, q: p * q), F.lit(0.0), lambda acc, v: acc + v))
+    """Products of centred series for all channel pairs of a trial: (keys, a, b, dot, sa, sb, n); a > b if ``strict``, else a <= b.
+
+    Channels fall into blocks of about ``BLOCK_CHANNELS`` and samples into chunks of about ``CHUNK_SAMPLES`` by hashes, so a task holds
+    two blocks of one chunk, multiplies them as matrices and emits numbers; a sample is copied once per block, not once per channel,
+    and sums over chunks finish a pair.  A series with a missing sample, or two series with other times, have a missing dot.
+    """
+    keys = list(keys)
+    kinds = dict(df.dtypes)
+    rows = df.select(*[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)], F.col(channel).alias("c"), F.col(t).alias("t"), F.col(value).cast("double").alias("v"))
+    own = [f"k{i}" for i in range(len(keys))]
+    stats = rows.groupBy(*own, "c").agg(F.count(F.lit(1)).alias("n"), F.avg("v").alias("m"), F.when(F.count("v") == F.count(F.lit(1)), F.count("v") * F.var_pop("v")).alias("s"))
+    stats = with_totals(stats, own, {"longest": F.max("n")})
+    stats = with_row(stats, stats.agg(F.ceil(F.count_distinct("c") / BLOCK_CHANNELS).alias("blocks")))
+    stats = once(stats).select(*own, "c", "n", "m", "s", F.ceil(F.col("longest") / CHUNK_SAMPLES).alias("chunks"), F.pmod(F.xxhash64("c"), F.col("blocks")).alias("block"), "blocks")
+    rows = join_keys(rows, stats, [*own, "c"]).withColumns({"chunk": F.pmod(F.xxhash64("t"), F.col("chunks")), "real": F.lit(1.0)})
+    # A row without a sample in the first chunk lets two channels meet that share no chunk.
+    rows = rows.unionByName(stats.withColumns({"chunk": F.lit(0).cast("long"), "real": F.lit(0.0)}), allowMissingColumns=True)
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    rows = rows.select(*own, "c", "t", (F.col("v") - F.col("m")).alias("v"), "real", "s", "n", "block", "chunk", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
+    c = kinds[channel]
+    schema = ", ".join([*[f"k{i} {kinds[k]}" for i, k in enumerate(keys)], f"a {c}, b {c}, dot double, both long, sa double, na long, sb double, nb long"])
+    tiles = rows.groupBy(*own, "low", "high", "chunk").applyInArrow(_multiplied(strict), schema)
+    if strict:
+        tiles = tiles.where(F.col("a") != F.col("b"))
+    g = tiles.groupBy(*own, "a", "b").agg(F.sum("dot").alias("dot"), F.sum("both").alias("both"), *[F.max(x).alias(x) for x in ("sa", "na", "sb", "nb")])
+    whole = (F.col("both") == F.col("na")) & (F.col("both") == F.col("nb")) & F.col("sa").isNotNull() & F.col("sb").isNotNull()
+    return g.select(*[F.col(f"k{i}").alias(k) for i, k in enumerate(keys)], "a", "b", F.when(whole, F.col("dot")).alias("dot"), "sa", "sb", F.col("na").alias("n"))
 
 
 def envelope_connectivity(df, keys, channel="channel", t="t", value="x"):
