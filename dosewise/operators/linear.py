@@ -106,41 +106,51 @@ def regressor_snr(design, data, keys, cell, regressors, row="volume", value="val
     return join_keys(out, design.groupBy(*keys).agg(sd.alias("__s")).select(*keys, F.inline("__s")), [*keys, "regressor"])
 
 
-BLOCK_CHANNELS, CHUNK_SAMPLES = 64, 4096
+BLOCK_CHANNELS, CHUNK_SAMPLES, BUCKET_SAMPLES = 64, 4096, 65536
 
 
-def _multiplied(a_first):
-    """A function for ``applyInArrow``: products of the channels of two blocks over the samples of one chunk, as a matrix product."""
+def _starts(*codes):
+    """Places where sorted codes begin a new combination."""
+    return np.flatnonzero(np.r_[True, np.any([c[1:] != c[:-1] for c in codes], axis=0)])
+
+
+def _multiplied(n_keys, a_first):
+    """A function for ``applyInArrow``: for each trial of a bucket, the products of two blocks' channels over one chunk, as a matrix product."""
     def multiply(key, table):
-        *trial, low, high, _ = key
-        c, t, v = (pc.rank(table[n].combine_chunks(), sort_keys="ascending", tiebreaker="dense").to_numpy().astype(np.int64) - 1 for n in ("c", "t", "v"))
-        order = np.lexsort((v, t, c))
-        c, t = c[order], t[order]
+        low, high = key[1].as_py(), key[2].as_py()
+        names = [f"k{n}" for n in range(n_keys)]
+        code = {n: pc.rank(table[n].combine_chunks(), sort_keys="ascending", tiebreaker="dense").to_numpy().astype(np.int64) for n in (*names, "c", "t", "v")}
+        trial = np.unique(np.stack([code[n] for n in names]), axis=1, return_inverse=True)[1].reshape(-1) if names else np.zeros(len(table), np.int64)
+        order = np.lexsort((code["v"], code["t"], code["c"], trial))
+        trial, c, t = trial[order], code["c"][order], code["t"][order]
+        values, real, block = pc.fill_null(table["v"], 0.0).to_numpy()[order], table["real"].to_numpy()[order], table["block"].to_numpy()[order]
         # The k-th of several samples at one time meets the k-th of the other channel.
-        first = np.flatnonzero(np.r_[True, (c[1:] != c[:-1]) | (t[1:] != t[:-1])])
+        first = _starts(trial, c, t)
         nth = np.arange(len(c)) - np.repeat(first, np.diff(np.r_[first, len(c)]))
-        place = np.unique(np.stack([t, nth]), axis=1, return_inverse=True)[1].reshape(-1)
-        x = np.zeros((c.max() + 1, place.max() + 1))
-        seen = np.zeros_like(x)
-        x[c, place] = pc.fill_null(table["v"], 0.0).to_numpy()[order]
-        seen[c, place] = table["real"].to_numpy()[order]
-        one = order[np.r_[0, np.flatnonzero(c[1:] != c[:-1]) + 1]]
-        block = table["block"].to_numpy()[one]
-        left, right = np.flatnonzero(block == low.as_py()), np.flatnonzero(block == high.as_py())
-        i, j = (k.reshape(-1) for k in np.meshgrid(left, right, indexing="ij"))
-        dot, both = ((m[left] @ m[right].T).reshape(-1) for m in (x, seen))
-        if low.as_py() == high.as_py():
-            keep = i >= j
-        else:
-            keep = np.ones(len(i), bool)
-        i, j, dot, both = i[keep], j[keep], dot[keep], both[keep]
-        i, j = np.maximum(i, j), np.minimum(i, j)
-        ends = {"a": i, "b": j} if a_first else {"a": j, "b": i}
-        take = lambda name, k: table[name].take(pa.array(one[k]))
-        out = {f"k{n}": pa.repeat(k, len(i)) for n, k in enumerate(trial)}
-        out |= {e: take("c", k) for e, k in ends.items()} | {"dot": pa.array(dot), "both": pa.array(both.astype(np.int64))}
-        out |= {f"{f}{e}": take(f, k) for e, k in ends.items() for f in ("s", "n")}
-        return pa.table(out)
+        times, place = np.unique(np.stack([trial, t, nth]), axis=1, return_inverse=True)
+        place, heads = place.reshape(-1), _starts(trial, c)
+        row = np.repeat(np.arange(len(heads)), np.diff(np.r_[heads, len(c)]))
+        begin = np.r_[_starts(trial), len(c)]
+        column = np.r_[_starts(times[0]), times.shape[1]]
+        found = []
+        for s0, s1, p0, p1 in zip(begin, begin[1:], column, column[1:]):
+            here, r0 = slice(s0, s1), row[s0]
+            x = np.zeros((row[s1 - 1] + 1 - r0, p1 - p0))
+            seen = np.zeros_like(x)
+            x[row[here] - r0, place[here] - p0] = values[here]
+            seen[row[here] - r0, place[here] - p0] = real[here]
+            of = block[heads[r0:row[s1 - 1] + 1]]
+            left, right = np.flatnonzero(of == low), np.flatnonzero(of == high)
+            i, j = np.repeat(left, len(right)), np.tile(right, len(left))
+            keep = i >= j if low == high else np.ones(len(i), bool)
+            dot, both = ((m[left] @ m[right].T).reshape(-1)[keep] for m in (x, seen))
+            found.append((r0 + np.maximum(i, j)[keep], r0 + np.minimum(i, j)[keep], dot, both))
+        later, earlier, dot, both = (np.concatenate(f) for f in zip(*found))
+        ends = {"a": later, "b": earlier} if a_first else {"a": earlier, "b": later}
+        take = lambda name, k: table[name].take(pa.array(order[heads[k]]))
+        out = {n: take(n, later) for n in names} | {e: take("c", k) for e, k in ends.items()}
+        out |= {"dot": pa.array(dot), "both": pa.array(both.astype(np.int64))}
+        return pa.table(out | {f"{f}{e}": take(f, k) for e, k in ends.items() for f in ("s", "n")})
 
     return multiply
 
@@ -149,7 +159,7 @@ def _channel_pairs(df, keys, channel, t, value, strict):
     """Products of centred series for all channel pairs of a trial: (keys, a, b, dot, sa, sb, n); a > b if ``strict``, else a <= b.
 
     Channels fall into blocks of about ``BLOCK_CHANNELS`` and samples into chunks of about ``CHUNK_SAMPLES`` by hashes, so a task holds
-    two blocks of one chunk, multiplies them as matrices and emits numbers; a sample is copied once per block, not once per channel,
+    two blocks of one chunk (short trials share a task, about ``BUCKET_SAMPLES`` of theirs), multiplies them as matrices and emits numbers; a sample is copied once per block, not once per channel,
     and sums over chunks finish a pair.  A series with a missing sample, or two series with other times, have a missing dot.
     """
     keys = list(keys)
@@ -158,16 +168,16 @@ def _channel_pairs(df, keys, channel, t, value, strict):
     own = [f"k{i}" for i in range(len(keys))]
     stats = rows.groupBy(*own, "c").agg(F.count(F.lit(1)).alias("n"), F.avg("v").alias("m"), F.when(F.count("v") == F.count(F.lit(1)), F.count("v") * F.var_pop("v")).alias("s"))
     stats = with_totals(stats, own, {"longest": F.max("n")})
-    stats = with_row(stats, stats.agg(F.ceil(F.count_distinct("c") / BLOCK_CHANNELS).alias("blocks")))
-    stats = once(stats).select(*own, "c", "n", "m", "s", F.ceil(F.col("longest") / CHUNK_SAMPLES).alias("chunks"), F.pmod(F.xxhash64("c"), F.col("blocks")).alias("block"), "blocks")
+    stats = with_row(stats, stats.agg(F.ceil(F.count_distinct("c") / BLOCK_CHANNELS).alias("blocks"), F.ceil(F.sum("n") / BUCKET_SAMPLES).alias("buckets")))
+    stats = once(stats).select(*own, "c", "n", "m", "s", F.ceil(F.col("longest") / CHUNK_SAMPLES).alias("chunks"), F.pmod(F.xxhash64("c"), F.col("blocks")).alias("block"), "blocks", F.pmod(F.xxhash64(F.lit(0), *own), F.col("buckets")).alias("bucket"))
     rows = join_keys(rows, stats, [*own, "c"]).withColumns({"chunk": F.pmod(F.xxhash64("t"), F.col("chunks")), "real": F.lit(1.0)})
     # A row without a sample in the first chunk lets two channels meet that share no chunk.
     rows = rows.unionByName(stats.withColumns({"chunk": F.lit(0).cast("long"), "real": F.lit(0.0)}), allowMissingColumns=True)
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    rows = rows.select(*own, "c", "t", (F.col("v") - F.col("m")).alias("v"), "real", "s", "n", "block", "chunk", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
+    rows = rows.select(*own, "c", "t", (F.col("v") - F.col("m")).alias("v"), "real", "s", "n", "bucket", "block", "chunk", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
     c = kinds[channel]
     schema = ", ".join([*[f"k{i} {kinds[k]}" for i, k in enumerate(keys)], f"a {c}, b {c}, dot double, both long, sa double, na long, sb double, nb long"])
-    tiles = rows.groupBy(*own, "low", "high", "chunk").applyInArrow(_multiplied(strict), schema)
+    tiles = rows.groupBy("bucket", "low", "high", "chunk").applyInArrow(_multiplied(len(own), strict), schema)
     if strict:
         tiles = tiles.where(F.col("a") != F.col("b"))
     g = tiles.groupBy(*own, "a", "b").agg(F.sum("dot").alias("dot"), F.sum("both").alias("both"), *[F.max(x).alias(x) for x in ("sa", "na", "sb", "nb")])

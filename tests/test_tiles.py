@@ -19,10 +19,11 @@ def frame(spark, data):
     return spark.createDataFrame(rows, SCHEMA).repartition(5)
 
 
-@pytest.mark.parametrize("block, chunk", [(64, 4096), (3, 7), (1, 5)])
-def test_tiles_give_the_whole_matrix(spark, monkeypatch, block, chunk):
+@pytest.mark.parametrize("block, chunk, bucket", [(64, 4096, 65536), (3, 7, 300), (1, 5, 1)])
+def test_tiles_give_the_whole_matrix(spark, monkeypatch, block, chunk, bucket):
     monkeypatch.setattr(linear, "BLOCK_CHANNELS", block)
     monkeypatch.setattr(linear, "CHUNK_SAMPLES", chunk)
+    monkeypatch.setattr(linear, "BUCKET_SAMPLES", bucket)
     data = series(10, 40, 1)
     df = frame(spark, data)
     got = {(r.trial, r.node_a, r.node_b): r.value for r in linear.envelope_connectivity(df, ["trial"]).collect()}
