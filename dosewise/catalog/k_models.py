@@ -187,10 +187,11 @@ def _(s, d):
     """The same for a model that SQL can fit: one slope per element, from the rows of the other folds."""
     df = epochs(s, d)
     long = df.select("fold", F.col("y_true").alias("y"), F.posexplode("x").alias("pos", "x"))
-    kept = df.select("fold").distinct().withColumnRenamed("fold", "held")
     here = long.groupBy("fold", "pos").agg(F.count("x").alias("n"), F.sum("x").alias("sx"), F.sum(F.when(F.col("x").isNotNull(), F.col("y"))).alias("sy"), F.sum(F.col("x") * F.col("y")).alias("sxy"), F.sum(F.col("x") * F.col("x")).alias("sxx"))
     here = here.join(df.groupBy("fold").agg(F.sum("y_true").alias("ty"), F.count("y_true").alias("tn")), "fold")
-    sums = here.join(kept, F.col("fold") != F.col("held")).groupBy("held", "pos").agg(*[F.sum(c).alias(c) for c in ("n", "sx", "sy", "sxy", "sxx", "ty", "tn")])
+    columns = ("n", "sx", "sy", "sxy", "sxx", "ty", "tn")
+    every = here.groupBy("pos").agg(*[F.sum(c).alias(f"all_{c}") for c in columns])
+    sums = here.join(every, "pos").select(F.col("fold").alias("held"), "pos", *[(F.col(f"all_{c}") - F.col(c)).alias(c) for c in columns])
     b = (F.col("sxy") - F.col("sx") * F.col("sy") / F.col("n")) / (F.col("sxx") - F.col("sx") * F.col("sx") / F.col("n")) / 16
     lines = sums.select("held", "pos", b.alias("b"), (F.col("sx") / F.col("n")).alias("m"), (F.col("ty") / F.col("tn")).alias("my"))
     f = lines.groupBy(F.col("held").alias("fold")).agg(F.array_sort(F.collect_list(F.struct("pos", "b", "m"))).alias("l"), F.max("my").alias("my"))
